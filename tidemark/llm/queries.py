@@ -1,10 +1,10 @@
 """The corpus queries and their SQL."""
 
-from tidemark.llm import exact_dedup, simhash, substring_dedup
+from tidemark.llm import exact_dedup, packing, simhash, substring_dedup
 
 
 def queries():
-    return {f.__name__: f for f in (simhash.op2_simhash, substring_dedup.op3_substring_dedup, exact_dedup.op5_exact_dedup)}
+    return {f.__name__: f for f in (simhash.op2_simhash, substring_dedup.op3_substring_dedup, exact_dedup.op5_exact_dedup, packing.op6_packing)}
 
 
 def oracle_sql():
