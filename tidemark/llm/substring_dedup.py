@@ -1,8 +1,8 @@
 """Repeated passages by de Bruijn compaction.
 
 A window of 20 words is an edge of the de Bruijn graph. Consecutive windows of a document that share their
-minimizer (of the 6-word grams in a window, the one with the least hash) are one path without branches inside the
-document; such a path is compacted into one row, known by the 128-bit hash of its words.
+minimizer (of the 6-word grams in a window, the least hash) are one path without branches inside the document; such
+a path is compacted into one row, known by the 128-bit hash of its words.
 
 1. A scan finds the minimizers that occur more than once; only paths around these can repeat. They go into a bitmap
    of fixed size, which may let more through and never fewer.
@@ -22,7 +22,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import Stage, batch, keyed, mix64, utf8
@@ -30,87 +29,107 @@ from tidemark.llm.common import Stage, batch, keyed, mix64, utf8
 WINDOW, GRAM = 20, 6
 #: Bits of the bitmap of minimizers: 2**27, so 16 MB whatever the input's size.
 MAP_BITS = 27
-_VOCABULARY = 400_000
+#: Documents are hashed together up to so many bytes; a longer one is hashed alone.
+TOGETHER = 1 << 20
 
 _rng = np.random.default_rng(20)
-_BASE = _rng.integers(1 << 62, 1 << 63, 2, dtype=np.uint64) | np.uint64(5)
+_BYTE = _rng.integers(1 << 62, 1 << 63, 256, dtype=np.uint64)
+_BASE = _rng.integers(1 << 62, 1 << 63, 3, dtype=np.uint64) & ~np.uint64(7) | np.uint64(5)
 _GRAM = _rng.integers(1 << 62, 1 << 63, GRAM, dtype=np.uint64) | np.uint64(1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class _Words(dict):
-    """word -> number, and 128 bits of hash for each number; starts anew when it is full."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes = np.zeros((1 << 12, 2), np.uint64)
+class _Powers:
+    """Powers of the bases and of their inverses modulo 2**64, as many as were needed so far."""
 
-    def __missing__(self, word: bytes) -> int:
-        i = len(self)
-        if i == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        h = xxhash.xxh3_128_intdigest(word)
-        self.hashes[i] = h & (1 << 64) - 1, h >> 64
-        self[word] = i
-        return i
+    up = [np.ones(1, np.uint64)] * 3
+    down = [np.ones(1, np.uint64)] * 3
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > _VOCABULARY:
-            self.clear()
-        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.hashes[number]
+    @classmethod
+    def of(cls, k: int, n: int):
+        if n >= len(cls.up[k]):
+            m = max(1 << 16, n + n // 4)
+            for table, b in ((cls.up, int(_BASE[k])), (cls.down, pow(int(_BASE[k]), -1, 1 << 64))):
+                x = np.full(m + 1, b, np.uint64)
+                x[0] = 1
+                table[k] = np.cumprod(x, dtype=np.uint64)
+        return cls.up[k], cls.down[k]
 
 
-class _Powers:
-    """Powers of the two bases and of their inverses modulo 2**64."""
+class _Sums:
+    """Hashes of spans of a sequence of 64-bit values, from running sums of value times power."""
 
-    up = down = np.ones((1, 2), np.uint64)
+    def __init__(self, k: int, values: np.ndarray):
+        up, self.down = _Powers.of(k, len(values))
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], dtype=np.uint64, out=self.sums[1:])
 
-    @classmethod
-    def need(cls, n: int):
-        if n >= len(cls.up):
-            m = max(1 << 12, 2 * n)
-            inverse = np.array([pow(int(b), -1, 1 << 64) for b in _BASE], np.uint64)
-            cls.up, cls.down = (np.cumprod(np.vstack([np.ones((1, 2), np.uint64), np.broadcast_to(b, (m, 2))]), axis=0, dtype=np.uint64) for b in (_BASE, inverse))
-        return cls.up, cls.down
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
 class Paths:
-    """The compacted paths of one document."""
-
-    def __init__(self, vocabulary: _Words, words: list[bytes]):
-        h = vocabulary.of(words)
-        n = len(words) - WINDOW + 1
-        up, self.down = _Powers.need(len(words))
-        self.sums = np.zeros((len(words) + 1, 2), np.uint64)
-        np.cumsum(h * up[: len(words)], axis=0, dtype=np.uint64, out=self.sums[1:])
-        grams = np.zeros(len(words) - GRAM + 1, np.uint64)
+    """The compacted paths of some documents: document, first window, number of windows, minimizer.
+
+    A path is a run of windows whose minimizer stands at the same place, of equal grams the leftmost; so no two
+    windows of a path are equal.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        space = _SPACE[data]
+        start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        first = np.cumsum([1] + [len(t) + 1 for t in texts])
+        self.document = np.searchsorted(first, start, "right") - 1
+        self.first_word = np.searchsorted(start, first[:-1])
+        n = max(0, len(start) - WINDOW + 1)
+        valid = np.flatnonzero(self.document[:n] == self.document[WINDOW - 1 :][:n])
+        word = _Sums(0, _BYTE[data]).span(start, end)
+        self.hashes = _Sums(1, word), _Sums(2, mix64(word ^ np.uint64(0x5851F42D4C957F2D)))
+        if not len(valid):
+            self.start = self.length = valid
+            self.minimizer = valid.astype(np.uint64)
+            return
+        grams = np.zeros(len(word) - GRAM + 1, np.uint64)
         for j in range(GRAM):
-            grams += h[j : j + len(grams), 0] * _GRAM[j]
-        grams = mix64(grams)
-        at = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).argmin(axis=1) + np.arange(n)
-        self.start = np.flatnonzero(np.diff(at, prepend=-1))
-        self.length = np.diff(self.start, append=n)
-        self.minimizer = grams[at[self.start]]
-
-    def hashes(self, start: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+            grams += word[j : j + len(grams)] * _GRAM[j]
+        least, at, width = mix64(grams), np.arange(len(grams), dtype=np.int32), 1
+        while width < (full := WINDOW - GRAM + 1):
+            by = min(width, full - width)
+            left = least[:-by] <= least[by:]
+            least, at, width = np.where(left, least[:-by], least[by:]), np.where(left, at[:-by], at[by:]), width + by
+        m, at = least[valid], at[valid]
+        new = np.flatnonzero(np.r_[True, (np.diff(at) != 0) | (np.diff(valid) > 1)])
+        self.start, self.length, self.minimizer = valid[new], np.diff(new, append=len(valid)), m[new]
+
+    def place(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document and word within it."""
+        d = self.document[start]
+        return d, start - self.first_word[d]
+
+    def hash(self, start: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for each span of so many words."""
-        x = (self.sums[start + words] - self.sums[start]) * self.down[start]
-        return np.stack([mix64(x[:, 0] + np.uint64(1) * np.asarray(words, np.uint64)), mix64(x[:, 1] ^ np.uint64(0x5851F42D4C957F2D))], axis=1).view(np.int64)
+        return tuple(h.span(start, start + words).view(np.int64) for h in self.hashes)
 
 
 def _documents(batches):
-    """(place, Paths) of each document that has a window; place: doc_id or None, row."""
-    vocabulary = _Words()
+    """(doc_ids, rows, Paths) of documents taken together."""
     for b in batches:
-        ids, rows = b.column(0).to_pylist(), b.column(2).to_pylist()
-        yield [(ids[i], rows[i], Paths(vocabulary, w)) for i, t in enumerate(utf8(b.column(1))) if len(w := t.split()) >= WINDOW]
+        texts, at = utf8(b.column(1)), 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= TOGETHER):
+                size += len(texts[to])
+                to += 1
+            yield b.column(0).slice(at, to - at), b.column(2).slice(at, to - at), Paths(texts[at:to])
+            at = to
 
 
 def _minimizers(batches):
-    for found in _documents(batches):
-        if found:
-            values, counts = np.unique(np.concatenate([p.minimizer for *_, p in found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int8))], names=["m", "n"])
+    for *_, p in _documents(batches):
+        values, counts = np.unique(p.minimizer, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int8))], names=["m", "n"])
 
 
 def _in(bitmap: np.ndarray, minimizers: np.ndarray) -> np.ndarray:
@@ -118,24 +137,19 @@ def _in(bitmap: np.ndarray, minimizers: np.ndarray) -> np.ndarray:
     return (bitmap[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
 
 
-def _place(found, counts):
-    ids = pa.array([i for (i, *_), c in zip(found, counts) for _ in range(c)], pa.int64())
-    return ids, np.repeat(np.array([r for _, r, _ in found], np.int64), counts)
+def _spans(ids, rows, p: Paths, start: np.ndarray, length: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    document, word = p.place(start)
+    document = pa.array(document)
+    columns = [*p.hash(start, length + WINDOW - 1), ids.take(document), rows.take(document), word.astype(np.int32), length.astype(np.int32), *more]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["h1", "h2", "doc_id", "row", "start", "length", "m"][: len(columns)])
 
 
 def _paths(shared):
     def run(batches):
         bitmap = np.frombuffer(shared.value, np.uint8)
-        for found in _documents(batches):
-            keep = [_in(bitmap, p.minimizer) for *_, p in found]
-            if not any(k.any() for k in keep):
-                continue
-            ids, rows = _place(found, [int(k.sum()) for k in keep])
-            start = np.concatenate([p.start[k] for (*_, p), k in zip(found, keep)])
-            length = np.concatenate([p.length[k] for (*_, p), k in zip(found, keep)])
-            h = np.concatenate([p.hashes(p.start[k], p.length[k] + WINDOW - 1) for (*_, p), k in zip(found, keep)])
-            m = np.concatenate([p.minimizer[k] for (*_, p), k in zip(found, keep)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[:, 0].copy(), h[:, 1].copy(), m, ids, rows, start.astype(np.int32), length.astype(np.int32))], names=["h1", "h2", "m", "doc_id", "row", "start", "length"])
+        for ids, rows, p in _documents(batches):
+            k = _in(bitmap, p.minimizer)
+            yield _spans(ids, rows, p, p.start[k], p.length[k], p.minimizer[k].view(np.int64))
 
     return run
 
@@ -143,18 +157,11 @@ def _paths(shared):
 def _windows(shared):
     def run(batches):
         bitmap = np.frombuffer(shared.value, np.uint8)
-        for found in _documents(batches):
-            starts = []
-            for *_, p in found:
-                k = _in(bitmap, p.minimizer)
-                s, c = p.start[k], p.length[k]
-                starts.append(np.repeat(s - np.cumsum(c) + c, c) + np.arange(c.sum()))
-            if not sum(map(len, starts)):
-                continue
-            ids, rows = _place(found, list(map(len, starts)))
-            h = np.concatenate([p.hashes(s, WINDOW) for (*_, p), s in zip(found, starts)])
-            start = np.concatenate(starts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[:, 0].copy(), h[:, 1].copy(), ids, rows, start, np.ones(len(start), np.int32))], names=["h1", "h2", "doc_id", "row", "start", "length"])
+        for ids, rows, p in _documents(batches):
+            k = _in(bitmap, p.minimizer)
+            s, n = p.start[k], p.length[k]
+            start = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield _spans(ids, rows, p, start, np.ones(len(start), np.int64))
 
     return run
 
@@ -184,7 +191,7 @@ def repeated_spans(docs: DataFrame, stage: Stage, text: str = "text", doc_id: st
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     repeated = source.mapInArrow(_minimizers, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
     shared = spark.sparkContext.broadcast(bitmap_of(repeated))
-    paths = stage.table(source.mapInArrow(_paths(shared), "h1 long, h2 long, m long, doc_id long, row long, start int, length int"), "paths")
+    paths = stage.table(source.mapInArrow(_paths(shared), "h1 long, h2 long, doc_id long, row long, start int, length int, m long"), "paths")
     branches = paths.groupBy("m").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("m")
     forked = spark.sparkContext.broadcast(bitmap_of(branches))
     stage.release()
