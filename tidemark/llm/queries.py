@@ -1,10 +1,11 @@
 """The corpus queries and their SQL."""
 
-from tidemark.llm import exact_dedup, packing, simhash, substring_dedup
+from tidemark.llm import exact_dedup, language_id, packing, simhash, substring_dedup, toxicity
 
 
 def queries():
-    return {f.__name__: f for f in (simhash.op2_simhash, substring_dedup.op3_substring_dedup, exact_dedup.op5_exact_dedup, packing.op6_packing)}
+    found = (toxicity.op1_toxicity, simhash.op2_simhash, substring_dedup.op3_substring_dedup, exact_dedup.op5_exact_dedup, packing.op6_packing, language_id.op10_language_id)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
