@@ -1,12 +1,12 @@
 """The corpus queries and their SQL."""
 
-from tidemark.llm import exact_dedup, flac, language_id, packing, simhash, substring_dedup, toxicity
+from tidemark.llm import exact_dedup, flac, language_id, license_scan, packing, simhash, substring_dedup, toxicity
 
 
 def queries():
-    found = (toxicity.op1_toxicity, simhash.op2_simhash, substring_dedup.op3_substring_dedup, exact_dedup.op5_exact_dedup, packing.op6_packing, flac.op9_flac_media, language_id.op10_language_id)
+    found = (toxicity.op1_toxicity, simhash.op2_simhash, substring_dedup.op3_substring_dedup, license_scan.op4_license_scan, exact_dedup.op5_exact_dedup, packing.op6_packing, flac.op9_flac_media, language_id.op10_language_id)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return dict(exact_dedup.ORACLE)
+    return exact_dedup.ORACLE | license_scan.ORACLE
