@@ -1 +1,69 @@
-"""Queries."""
+"""Model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import windows as W
+from tidemark.operators import models as M
+from tidemark.plans.registry import query
+from tidemark.plans.views import bars, design
+
+FS = [f"f{i}" for i in range(1, 6)]
+D = ("design",)
+DAY = W.series_order("ticker", by=("ts",))
+BAR = "PARTITION BY ticker ORDER BY ts"
+query("m01_ols_single", "intercept:d slope:d", lambda s, d: (lambda m: s.createDataFrame([(float(m.intercept), float(m.coefficients[0]))], "intercept double, slope double"))(M.fit_ols(M.gram(design(s, d), ["f1"]))), "SELECT regr_intercept(y, f1) AS intercept, regr_slope(y, f1) AS slope FROM design", D)
+query("m01_ols", "feature:s coefficient:d", lambda s, d: M.fit_ols(M.gram(design(s, d), FS)).table(s))
+query("m02_ridge", "feature:s coefficient:d", lambda s, d: M.fit_ridge(M.gram(design(s, d), FS), 10.0).table(s))
+query("m03_lasso", "feature:s coefficient:d", lambda s, d: M.fit_lasso(M.gram(design(s, d), FS), 0.05).table(s))
+query("m04_rolling_ols", "ticker:s ts:t prediction:d", lambda s, d: M.rolling_ols(bars(s, d), ["volume"], "close", 60, ["ticker"]), f"WITH w AS (SELECT ticker, ts, volume, count(*) OVER q AS n, sum(volume) OVER q AS sx, sum(close) OVER q AS sy, sum(volume * volume) OVER q + 1e-6 AS sxx, sum(volume * close) OVER q AS sxy FROM bars WINDOW q AS ({BAR} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))\nFINALLY SELECT ticker, ts, ((sxx * sy - sx * sxy) + volume * ((n + 1e-6) * sxy - sx * sy)) / ((n + 1e-6) * sxx - sx * sx) AS prediction FROM w WHERE n >= 60", ("bars",))
+LONG = "l AS (SELECT id, y, unnest(['f1', 'f2', 'f3', 'f4', 'f5']) AS feature, unnest([f1, f2, f3, f4, f5]) AS x FROM design)"
+RX = "rank() OVER (PARTITION BY feature ORDER BY {c}) + (count(*) OVER (PARTITION BY feature, {c}) - 1) / 2.0"
+SCORED = f"r AS (SELECT id, feature, ({RX.format(c='x')} - 1) / (count(*) OVER (PARTITION BY feature) - 1) AS r FROM l)"
+query("m05_factor_score", "id:l prediction:d", lambda s, d: M.rank_score(design(s, d), M.rank_weights(design(s, d), FS)), f"WITH {LONG}, w AS (SELECT feature, corr(x, y) AS w FROM l GROUP BY feature), {SCORED}\nFINALLY SELECT id, sum(w * r) AS prediction FROM r JOIN w USING (feature) GROUP BY id", D)
+query("m06_rank_alpha", "id:l prediction:d", lambda s, d: M.rank_score(design(s, d), M.rank_weights(design(s, d), FS, how="spearman")), f"WITH {LONG}, k AS (SELECT feature, {RX.format(c='x')} AS x, {RX.format(c='y')} AS y FROM l), w AS (SELECT feature, corr(x, y) AS w FROM k GROUP BY feature), {SCORED}\nFINALLY SELECT id, sum(w * r) AS prediction FROM r JOIN w USING (feature) GROUP BY id", D)
+query("m07_fit_metrics", "ic:d rank_ic:d mse:d rmse:d mae:d r2:d", lambda s, d: M.fit_metrics(design(s, d).withColumn("p", 4 + F.col("f1") * 2), "y", "p"),
+      "WITH e AS (SELECT y, 4 + f1 * 2 AS p, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry, rank() OVER (ORDER BY f1) + (count(*) OVER (PARTITION BY f1) - 1) / 2.0 AS rp FROM design)\nFINALLY SELECT corr(y, p) AS ic, corr(ry, rp) AS rank_ic, avg((y - p) * (y - p)) AS mse, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae, 1 - sum((y - p) * (y - p)) / var_pop(y) / count(*) AS r2 FROM e", D)
+query("m08_compare_models", "model:s train_ic:d train_rank_ic:d test_ic:d test_rank_ic:d test_mse:d test_r2:d", lambda s, d: M.compare(design(s, d).where("id % 4 <> 0"), design(s, d).where("id % 4 = 0"), FS))
+
+
+def ensemble(s, d):
+    df = design(s, d)
+    g = M.gram(df, FS)
+    return df.select("id", (0.5 * M.fit_ols(g).predict() + 0.3 * M.fit_ridge(g, 1.0).predict() + 0.2 * M.fit_lasso(g, 0.01).predict()).alias("prediction"))
+
+
+query("m09_ensemble", "id:l prediction:d", ensemble)
+query("m10_formula", "formula:s", lambda s, d: s.createDataFrame([(M.fit_ols(M.gram(design(s, d), FS)).formula(),)], "formula string"))
+query("m11_full_signal", "id:l signal:d", lambda s, d: design(s, d).select("id", (-M.Linear(FS[:2], 0.5, [2.0, -3.0]).predict()).alias("signal")), "SELECT id, -(0.5 + 2 * f1 - 3 * f2) AS signal FROM design", D)
+PAIR = "p AS (SELECT a.ts, a.close AS x, b.close AS y FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker = 'LARGE' AND b.ticker = 'SMALL')"
+
+
+def pair(s, d, a="LARGE", b="SMALL"):
+    t = bars(s, d)
+    return t.where(F.col("ticker") == a).select("ts", F.col("close").alias("x")).join(t.where(F.col("ticker") == b).select("ts", F.col("close").alias("y")), "ts")
+
+
+def both_ways(df):
+    """The regression of either side on the other; the one with the larger slope, rounded to two places."""
+    r = df.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.regr_slope("x", "y").alias("c"), F.regr_intercept("x", "y").alias("d"))
+    first = F.col("a") >= F.col("c")
+    return r.select(F.when(first, "y on x").otherwise("x on y").alias("way"), F.round(F.when(first, F.col("a")).otherwise(F.col("c")), 2).alias("slope"), F.round(F.when(first, F.col("b")).otherwise(F.col("d")), 2).alias("intercept"))
+
+
+query("m12_pair_regression", "way:s slope:d intercept:d", lambda s, d: both_ways(pair(s, d)), f"WITH {PAIR}, r AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_slope(x, y) AS c, regr_intercept(x, y) AS d FROM p)\nFINALLY SELECT CASE WHEN a >= c THEN 'y on x' ELSE 'x on y' END AS way, round(CASE WHEN a >= c THEN a ELSE c END, 2) AS slope, round(CASE WHEN a >= c THEN b ELSE d END, 2) AS intercept FROM r", ("bars",))
+query("m13_residual_spread", "ts:t v:d", lambda s, d: (lambda p: p.join(F.broadcast(p.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a")))).select("ts", (F.col("y") - F.col("a") - F.col("b") * F.col("x")).alias("v")))(pair(s, d)), f"WITH {PAIR}\nFINALLY SELECT ts, y - (SELECT regr_intercept(y, x) FROM p) - (SELECT regr_slope(y, x) FROM p) * x AS v FROM p", ("bars",))
+
+
+def optimal_weights(s, d):
+    names = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    r = bars(s, d).select("ticker", "ts", (W.pct_change("close", DAY) / 1000).alias("r")).groupBy("ts").pivot("ticker", names).agg(F.max("r"))
+    g = M.gram(r.withColumn("y", F.lit(0.0)), names)
+    mean = g.sx / g.n
+    cov = (g.xx - g.n * mean[:, None] * mean[None, :]) / (g.n - 1)
+    return s.createDataFrame([(n, float(v)) for n, v in zip(names, M.max_sharpe_weights(mean * 252, cov * 252))], "ticker string, weight double")
+
+
+query("m14_max_sharpe", "ticker:s weight:d", optimal_weights)
+query("w28_rolling_betas", "ticker:s ts:t beta:d", lambda s, d: M.rolling_ols(bars(s, d), ["volume"], "close", 24, ["ticker"], betas=True).select("ticker", "ts", F.col("betas")[0].alias("beta")))

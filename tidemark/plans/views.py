@@ -45,3 +45,20 @@ SQL = {
     "entities": "entities AS (SELECT p_partkey AS entity, p_brand AS ticker, p_type AS sector, p_retailprice AS cap, p_size AS year FROM part)",
     "nation_months": "nation_months AS (SELECT n_name AS name, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ts, round(sum(o_totalprice), 2) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)",
 }
+
+SQL["ledger"] = """num AS (SELECT ticker AS run, ts, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS n, count(*) OVER (PARTITION BY ticker) AS m FROM bars),
+held AS (SELECT run, ts, close, CASE WHEN n = 1 OR n = m THEN 0 ELSE 10 * ((n // 7) % 3) END AS pos FROM num),
+flows AS (SELECT run, ts, close, pos, (pos - coalesce(lag(pos) OVER (PARTITION BY run ORDER BY ts), 0)) * close AS paid FROM held),
+ledger AS (SELECT run, ts, pos, close, pos * close AS exposure, round(1000000 - sum(paid) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING), 2) AS cash, abs(paid) AS turnover, round(1000000 - sum(paid) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) + pos * close, 2) AS nav FROM flows)"""
+
+
+def ledger(spark, sf_dir):
+    """A ledger for each ticker: holdings of 0, 10 or 20 shares that change every seven bars, flat at both ends."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("run").orderBy("ts")
+    d = bars(spark, sf_dir).withColumnRenamed("ticker", "run").select("run", "ts", "close", F.row_number().over(w).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("run")).alias("m"))
+    d = d.withColumn("pos", F.when((F.col("n") == 1) | (F.col("n") == F.col("m")), 0).otherwise(10 * (F.floor(F.col("n") / 7) % 3)).cast("long"))
+    d = d.withColumn("paid", (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0))) * F.col("close"))
+    cash = 1000000 - F.sum("paid").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return d.select("run", "ts", "pos", "close", (F.col("pos") * F.col("close")).alias("exposure"), F.round(cash, 2).alias("cash"), F.abs("paid").alias("turnover"), F.round(cash + F.col("pos") * F.col("close"), 2).alias("nav"))
