@@ -1 +1,103 @@
-"""Queries."""
+"""Cointegration and pair-trading queries."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Window, functions as F
+
+from tidemark.functions import windows as W
+from tidemark.operators import joins as J, pairs as K
+from tidemark.plans.registry import query
+from tidemark.plans.views import bars, nation_months
+
+N, B = ("nation_months",), ("bars",)
+
+
+def monthly_pairs(s, d):
+    """a, b, ts, x, y: monthly totals of the nations of a region."""
+    m = nation_months(s, d)
+    n = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name"), "n_regionkey")
+    inside = n.select(F.col("name").alias("a"), "n_regionkey").join(F.broadcast(n.select(F.col("name").alias("b"), "n_regionkey")), "n_regionkey").where("a < b").select("a", "b")
+    return J.aligned_pairs(m.withColumn("v", F.col("v") / 1000), inside, "v")
+
+
+PAIRS = "p AS (SELECT x.name AS a, y.name AS b, x.ts, x.v / 1000 AS x, y.v / 1000 AS y FROM nation_months x JOIN nation_months y ON x.ts = y.ts AND x.name < y.name JOIN nation m ON m.n_name = x.name JOIN nation n ON n.n_name = y.name AND m.n_regionkey = n.n_regionkey)"
+
+
+def daily_pair(s, d):
+    t = bars(s, d)
+    return t.where("ticker = 'LARGE'").select("ts", F.col("close").alias("x")).join(t.where("ticker = 'SMALL'").select("ts", F.col("close").alias("y")), "ts").withColumn("pair", F.lit("LARGE:SMALL"))
+
+
+DAILY = "p AS (SELECT a.ts, a.close AS x, b.close AS y, 'LARGE:SMALL' AS pair FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker = 'LARGE' AND b.ticker = 'SMALL')"
+
+
+def z_scores(s, d):
+    p = daily_pair(s, d).select("pair", "ts", (F.col("x") - 0.5 * F.col("y")).alias("spread"))
+    m = p.groupBy("pair").agg(F.avg("spread").alias("m"), F.stddev_samp("spread").alias("sd"))
+    return p.join(F.broadcast(m), "pair").select("pair", "ts", "spread", ((F.col("spread") - F.col("m")) / F.col("sd")).alias("z"))
+
+
+def johansen_table(s, d):
+    p = daily_pair(s, d).orderBy("ts").select("x", "y").toPandas().to_numpy()  # one pair's bars
+    values, vectors, trace, rank = K.johansen(p)
+    w = vectors[:, 0] / vectors[0, 0]
+    return s.createDataFrame([(float(values[0]), float(trace[0]), float(trace[1]), int(rank), float(w[1]))], "eigenvalue double, trace0 double, trace1 double, rank int, weight double")
+
+
+query("k01_adf", "name:s stat:d p:d lags:l c1:d c5:d c10:d", lambda s, d: K.adf_table(nation_months(s, d), "name", "v"))
+query("k02_engle_granger", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d).where("a = 'NATION_0'"), 1))
+query("k03_cointegration_scan", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d)).where("p < 0.05"))
+query("k04_johansen", "eigenvalue:d trace0:d trace1:d rank:l weight:d", johansen_table)
+query("k05_spread_zscore", "pair:s ts:t spread:d z:d", z_scores, f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p)\nFINALLY SELECT pair, ts, spread, (spread - avg(spread) OVER ()) / stddev_samp(spread) OVER () AS z FROM s", B)
+query("k06_reversion_positions", "pair:s ts:t z:d position:l", lambda s, d: K.reversion_positions(z_scores(s, d)))
+PW = Window.partitionBy("pair").orderBy("ts")
+query("k07_spread_pnl", "pair:s ts:t pnl:d total:d", lambda s, d: z_scores(s, d).select("pair", "ts", (F.lag(-F.signum("z")).over(PW) * (F.col("spread") - F.lag("spread").over(PW))).alias("pnl")).withColumn("total", F.sum("pnl").over(W.running(PW))), f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p), z AS (SELECT *, spread - avg(spread) OVER () AS z FROM s), q AS (SELECT pair, ts, lag(-sign(z)) OVER (ORDER BY ts) * (spread - lag(spread) OVER (ORDER BY ts)) AS pnl FROM z)\nFINALLY SELECT *, sum(pnl) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM q", B)
+query("k08_pair_correlations", "a:s b:s rho:d", lambda s, d: K.pair_correlations(monthly_pairs(s, d)), f"WITH {PAIRS}\nFINALLY SELECT a, b, coalesce(round(CASE WHEN count(*) >= 3 THEN corr(x, y) END, 2), -2) AS rho FROM p GROUP BY 1, 2", N)
+query("k09_select_pairs", "a:s b:s weight:d intercept:d deviation:d", lambda s, d: K.select_pairs(monthly_pairs(s, d), -1.0, 20, farthest=1e9))
+query("k10_random_pairs", "a:s b:s", lambda s, d: K.random_pairs(monthly_pairs(s, d), 10))
+
+
+def windowed(s, d):
+    return K.back_window(z_scores(s, d).select("pair", "ts", F.floor("spread").cast("double").alias("spread")), 21)
+
+
+BW = "(ORDER BY ts ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)"
+query("k11_back_window", "pair:s ts:t spread:d mean:d sd:d", lambda s, d: windowed(s, d), f"WITH {DAILY}, s AS (SELECT pair, ts, floor(x - 0.5 * y) AS spread FROM p)\nFINALLY SELECT pair, ts, spread, CASE WHEN count(*) OVER {BW} >= 21 THEN round(avg(spread) OVER {BW}, 2) END AS mean, CASE WHEN count(*) OVER {BW} >= 21 THEN round(stddev_pop(spread) OVER {BW}, 2) END AS sd FROM s", B)
+
+
+def traded(s, d):
+    p = daily_pair(s, d).withColumn("weight", F.lit(0.5)).withColumn("spread", F.col("x") - 0.5 * F.col("y"))
+    return K.trade_pairs(K.back_window(p, 21), 1.0, 100_000.0)
+
+
+COLS = "ts:t positive:l negative:l profit:d ret:d open:l margin:d"
+query("k12_k14_pair_trades", "pair:s " + COLS, traded)
+query("k13_margin", "ts:t margin:d", lambda s, d: traded(s, d).where("open > 0"))
+query("k15_day_rollup", COLS, lambda s, d: K.day_rollup(traded(s, d), 1))
+query("k16_liquidation", "pair:s open:l", lambda s, d: traded(s, d).groupBy("pair").agg(F.max_by("open", "ts").alias("open")))
+
+
+def walked(s, d):
+    found = K.walk_forward(monthly_pairs(s, d), inside=48, step=12, back=6, least=-1.0, top=5, farthest=1e9)
+    return reduce(lambda a, b: a.unionByName(b), [t.withColumn("period", F.lit(k)) for k, t in found])
+
+
+query("k17_walk_forward", "period:l pair:s " + COLS, walked)
+query("k18_ratio_strategy", "money:d", lambda s, d: K.window_search(daily_pair(s, d), 5, [60]))
+query("k19_window_search", "long:l money:d place:l", lambda s, d: K.window_search(daily_pair(s, d), 5, list(range(10, 120, 10))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("money"), "long"))))
+query("k20_portfolio_curve", "ts:t balance:d margin:d", lambda s, d: K.day_rollup(traded(s, d), 1).select("ts", (100_000 + F.sum("profit").over(W.running(Window.orderBy("ts")))).alias("balance"), "margin"))
+query("k21_compounding", "ts:t r:d c:d", lambda s, d: daily_pair(s, d).select("pair", "ts", W.pct_change("x", PW).alias("r")).select("ts", "r", F.sum(F.ln(1 + F.col("r"))).over(W.running(Window.orderBy("ts"))).alias("c")), f"WITH {DAILY}, r AS (SELECT ts, x / lag(x) OVER (ORDER BY ts) - 1 AS r FROM p)\nFINALLY SELECT ts, r, sum(ln(1 + r)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM r", B)
+
+
+def _filtered(make, columns):
+    from tidemark.operators import filters as R
+
+    return lambda s, d: R.by_series(bars(s, d), "close", make(R), columns)
+
+
+query("w32_rsi", "ticker:s ts:t rsi:d", _filtered(lambda R: lambda x: {"rsi": R.rsi(x)}, ["rsi"]))
+query("w33_macd", "ticker:s ts:t macd:d signal:d histogram:d", _filtered(lambda R: lambda x: dict(zip(("macd", "signal", "histogram"), R.macd(x))), ["macd", "signal", "histogram"]))
+query("w39_kalman", "ticker:s ts:t level:d", _filtered(lambda R: lambda x: {"level": R.kalman(x)}, ["level"]))
+query("w41_wavelet_denoise", "ticker:s ts:t smooth:d", _filtered(lambda R: lambda x: {"smooth": R.denoise(x)}, ["smooth"]))
