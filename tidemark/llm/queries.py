@@ -1,13 +1,13 @@
 """The corpus queries and their SQL."""
 
 import corpus_pipeline
-from tidemark.llm import exact_dedup, flac, language_id, license_scan, packing, simhash, substring_dedup, token_counts, toxicity
+from tidemark.llm import exact_dedup, flac, language_id, license_scan, packing, pieces, simhash, substring_dedup, token_counts, toxicity
 
 
 def queries():
     found = (
         toxicity.op1_toxicity, simhash.op2_simhash, substring_dedup.op3_substring_dedup, license_scan.op4_license_scan, exact_dedup.op5_exact_dedup,
-        packing.op6_packing, token_counts.op8_token_counts, flac.op9_flac_media, language_id.op10_language_id,
+        packing.op6_packing, pieces.op7_pieces, token_counts.op8_token_counts, flac.op9_flac_media, language_id.op10_language_id,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
