@@ -45,7 +45,7 @@ class Model:
         self.score = {self.pieces[i]: m.get_score(i) for i in plain}
         self.beside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.longest = max(map(len, self.id))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self.stable = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}
 
     def merge(self, text: str) -> list[str]:
@@ -60,12 +60,12 @@ class Model:
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether the two pieces, put together, are encoded as just these two."""
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a << 20 | b)
         if known is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > 300_000:
                 self._pairs.clear()
             x, y = self.pieces[a], self.pieces[b]
-            known = self._pairs[a, b] = x[-1] + y[0] not in self.beside or self.merge(x + y) == [x, y]
+            known = self._pairs[a << 20 | b] = x[-1] + y[0] not in self.beside or self.merge(x + y) == [x, y]
         return known
 
     def parts(self, word: str) -> list[str]:
@@ -149,22 +149,25 @@ def _chunks(path: str):
     return run
 
 
-EDGE = pa.struct([("e", pa.int32()), ("s", pa.int32()), ("id", pa.int32()), ("before", pa.list_(pa.int32()))])
-
-
 def _before(path: str):
     """Adds to each edge the ids of the edges that end where it begins and may stand before it."""
 
     def run(batches):
         m = model(path)
         for b in batches:
-            out = []
-            for edges in b.column(1).to_pylist():
+            lists, fields = b.column(1), b.column(1).flatten().flatten()
+            bounds = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            e, s, ids = (f.to_numpy().tolist() for f in fields)
+            before, to = [], [0]
+            for lo, hi in zip(bounds, bounds[1:]):
                 ends: dict[int, list[int]] = {}
-                for x in edges:
-                    ends.setdefault(x["e"], []).append(x["id"])
-                out.append([{"e": x["e"], "s": x["s"], "id": x["id"], "before": [a for a in ends.get(x["s"], ()) if m.neighbours(a, x["id"])]} for x in edges])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(EDGE))], names=["part", "edges"])
+                for k in range(lo, hi):
+                    ends.setdefault(e[k], []).append(ids[k])
+                for k in range(lo, hi):
+                    before += [a for a in ends.get(s[k], ()) if m.neighbours(a, ids[k])]
+                    to.append(len(before))
+            linked = pa.StructArray.from_arrays([*fields, pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(before, pa.int32()))], ["e", "s", "id", "before"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), linked)], names=["part", "edges"])
 
     return run
 
