@@ -12,8 +12,10 @@ Pieces get their rank within their length from counts by task, without bringing
 
 from __future__ import annotations
 
+import base64
 import os
 import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -25,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import Stage, keyed, utf8
+from tidemark.llm.hashing import BYTE, Sums
 
 CAPACITY, END = 1024, 2
 ROUNDS = 800
-_CACHE = 250_000
+_CACHE = 600_000
+_MARKS = string.punctuation
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, task long, rank long"
 
@@ -39,42 +43,136 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_ODD = re.compile(r"\s\s|^\s|\s$")
+#: A text in UTF-8 with none of these has white space beside a space nowhere but at its ends.
+_RARE = [b"  ", b" \n", b"\n ", *(bytes([i]) for i in b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"), b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def split_at_spaces(text: str) -> list[str]:
-    """The text cut before each single space that stands between two characters other than white space."""
-    first, *rest = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
-    return [first, *[f" {x}" for x in rest]]
+    """The text cut at each single space that stands between two characters other than white space; these spaces are left out."""
+    return _SAFE.split(text)
 
 
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
     A byte-level vocabulary never has a token over a single space between two characters that are not white space,
-    so a text is cut there, and each part is encoded once for as long as it is remembered.
+    so a text is cut there, and each part is encoded once for as long as it is remembered. With ``ranks``, the same
+    vocabulary as a rank file, new parts of letters only are encoded all in one text, whose ids are dealt out by the
+    lengths of the tokens, and marks that follow the letters on their own; all others are encoded one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.words = Tokenizer.from_file(path), {}, None
+        if ranks:
+            import tiktoken
+
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
+            self.words = tiktoken.Encoding("words", pat_str=r" ?\p{L}+", mergeable_ranks=table, special_tokens={})
+            self.size = np.zeros(max(table.values()) + 1, np.int64)
+            for token, i in table.items():
+                self.size[i] = len(token)
+            self.marks = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, each with a space in front."""
+        if not words:
+            return []
+        text = " " + " ".join(words)
+        ids = np.array(self.words.encode_ordinary(text), "<u4")
+        ends = np.append(np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)[1:], len(text.encode()))
+        to = (4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)).tolist()
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *to], to)]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Remembers the ids of each part with a space in front; parts are known by their UTF-8."""
+        known = self.known
+        if self.words:
+            text = list(map(bytes.decode, new))
+            words = {b: t for b, t in zip(new, text) if t.isalpha()}
+            ended, rest = [], []
+            for b, t in zip(new, text):
+                if b not in words:
+                    base = t.rstrip(_MARKS)
+                    if base and base is not t and base.isalpha():
+                        k = base.encode()
+                        ended.append((b, k, t[len(base) :]))
+                        if k not in known:
+                            words[k] = base
+                    else:
+                        rest.append(b)
+            known.update(zip(words, self._letters(list(words.values()))))
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            marks = list({m for *_, m in ended}.difference(self.marks))
+            self.marks.update(zip(marks, self._whole(marks)))
+            known.update([(p, known[b] + self.marks[m]) for p, b, m in ended])
+            new = rest
+        known.update(zip(new, self._whole([" " + p.decode() for p in new])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """Text by text, for any texts."""
         parts = [split_at_spaces(t) for t in texts]
+        firsts = self._whole([x.pop(0) for x in parts])
+        parts = [list(map(str.encode, x)) for x in parts]
         if len(self.known) > _CACHE:
             self.known.clear()
-        new = [p for p in set().union(*parts) if p not in self.known]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in parts]
+        self.learn(list(set().union(*parts).difference(self.known)))
+        return [f + b"".join(map(self.known.__getitem__, x)) for f, x in zip(firsts, parts)]
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """All texts together: words are found and told apart by hash, so that each distinct one is looked up once."""
+        out = [b""] * len(texts)
+        every = b"x".join(texts)
+        rare = [x for x in _RARE if x in every]
+        plain = [i for i, t in enumerate(texts) if t and t[0] != 32 and t[-1] != 32 and not any(x in t for x in rare)]
+        rest = sorted(set(range(len(texts))).difference(plain))
+        for i, x in zip(rest, self.ids([texts[i].decode() for i in rest])):
+            out[i] = x
+        if not plain:
+            return out
+        joined = b" ".join([b"", *(texts[i] for i in plain), b""])
+        data = np.frombuffer(joined, np.uint8)
+        space = np.flatnonzero(data == 32)
+        start, end = space[:-1] + 1, space[1:]
+        value = BYTE[data]
+        h = Sums(0, value).span(start, end)
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        second = Sums(1, value).span(start, end)
+        if (second[at][which] != second).any():  # two words with one hash
+            for i, x in zip(plain, self.ids([texts[i].decode() for i in plain])):
+                out[i] = x
+            return out
+        words = [joined[i:j] for i, j in zip(start[at].tolist(), end[at].tolist())]
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        self.learn([w for w in words if w not in self.known])
+        # The first word of a text has no space in front.
+        begins = np.cumsum([0] + [len(texts[i]) + 1 for i in plain[:-1]]) + 1
+        first = np.searchsorted(start, begins)
+        which[first] = len(words) + np.arange(len(plain))
+        found = [*map(self.known.__getitem__, words), *self._whole([joined[start[i] : end[i]].decode() for i in first])]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, offsets = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        to = np.cumsum(n)
+        tokens = flat[np.repeat(offsets[which] - (to - n), n) + np.arange(to[-1])].tobytes()
+        cuts = [*(4 * (to - n)[first]).tolist(), len(tokens)]
+        for i, lo, hi in zip(plain, cuts, cuts[1:]):
+            out[i] = tokens[lo:hi]
+        return out
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, ranks: str | None = None) -> Encoder:
+    return Encoder(path, ranks)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -86,25 +184,25 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 ARROW_PIECES = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in (x.split()[0] for x in PIECES.split(", "))])
 
 
-def _pieces(path: str, capacity: int):
+def _pieces(path: str, ranks: str | None, capacity: int):
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
-        e, task = encoder(path), TaskContext.get().partitionId()
-        ranks = np.zeros(capacity + 1, np.int64)
+        e, task = encoder(path, ranks), TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            ids, rows, texts, at = b.column(0).to_pylist(), b.column(2).to_pylist(), [t.decode() for t in utf8(b.column(1))], 0
+            ids, rows, texts, at = b.column(0).to_pylist(), b.column(2).to_pylist(), utf8(b.column(1)), 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 20):
+                while to < len(texts) and (to == at or size + len(texts[to]) < 2 << 20):
                     size += len(texts[to])
                     to += 1
                 out = []
-                for i, data in zip(range(at, to), e.ids(texts[at:to])):
+                for i, data in zip(range(at, to), e.ids_of(texts[at:to])):
                     data += end
                     for k, (s, n) in enumerate(cut(len(data) // 4, capacity)):
-                        out.append((ids[i], rows[i], k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), task, int(ranks[n])))
-                        ranks[n] += 1
+                        out.append((ids[i], rows[i], k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), task, int(seen[n])))
+                        seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW_PIECES)], schema=ARROW_PIECES)
                 at = to
 
@@ -223,16 +321,18 @@ def _placed(table):
     return run
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, row, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and then id 2; null counts as empty, so that it and the empty text are one token.
     Repeated rows and null ids are documents of their own. Texts of any length are encoded whole and cut only into
     pieces of the capacity. An empty table gives an empty result; columns other than the two named are not read.
     """
+    if path is None:
+        path, ranks = tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")
     stage = Stage(docs.sparkSession, "pack")
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = stage.table(source.mapInArrow(_pieces(path or tokenizer_path(), capacity), PIECES), "pieces")
+    pieces = stage.table(source.mapInArrow(_pieces(path, ranks, capacity), PIECES), "pieces")
     counts = stage.table(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
     rows, _ = plan(histogram, capacity)

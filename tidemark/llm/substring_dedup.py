@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import Stage, batch, keyed, mix64, utf8
+from tidemark.llm.hashing import BYTE, Sums
 
 WINDOW, GRAM = 20, 6
 #: Bits of the bitmap of minimizers: 2**27, so 16 MB whatever the input's size.
@@ -32,42 +33,10 @@ MAP_BITS = 27
 #: Documents are hashed together up to so many bytes; a longer one is hashed alone.
 TOGETHER = 1 << 20
 
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1 << 62, 1 << 63, 256, dtype=np.uint64)
-_BASE = _rng.integers(1 << 62, 1 << 63, 3, dtype=np.uint64) & ~np.uint64(7) | np.uint64(5)
-_GRAM = _rng.integers(1 << 62, 1 << 63, GRAM, dtype=np.uint64) | np.uint64(1)
+_GRAM = np.random.default_rng(20).integers(1 << 62, 1 << 63, GRAM, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class _Powers:
-    """Powers of the bases and of their inverses modulo 2**64, as many as were needed so far."""
-
-    up = [np.ones(1, np.uint64)] * 3
-    down = [np.ones(1, np.uint64)] * 3
-
-    @classmethod
-    def of(cls, k: int, n: int):
-        if n >= len(cls.up[k]):
-            m = max(1 << 16, n + n // 4)
-            for table, b in ((cls.up, int(_BASE[k])), (cls.down, pow(int(_BASE[k]), -1, 1 << 64))):
-                x = np.full(m + 1, b, np.uint64)
-                x[0] = 1
-                table[k] = np.cumprod(x, dtype=np.uint64)
-        return cls.up[k], cls.down[k]
-
-
-class _Sums:
-    """Hashes of spans of a sequence of 64-bit values, from running sums of value times power."""
-
-    def __init__(self, k: int, values: np.ndarray):
-        up, self.down = _Powers.of(k, len(values))
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], dtype=np.uint64, out=self.sums[1:])
-
-    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-
 class Paths:
     """The compacted paths of some documents: document, first window, number of windows, minimizer.
 
@@ -85,8 +54,8 @@ class Paths:
         self.first_word = np.searchsorted(start, first[:-1])
         n = max(0, len(start) - WINDOW + 1)
         valid = np.flatnonzero(self.document[:n] == self.document[WINDOW - 1 :][:n])
-        word = _Sums(0, _BYTE[data]).span(start, end)
-        self.hashes = _Sums(1, word), _Sums(2, mix64(word ^ np.uint64(0x5851F42D4C957F2D)))
+        word = Sums(0, BYTE[data]).span(start, end)
+        self.hashes = Sums(1, word), Sums(2, mix64(word ^ np.uint64(0x5851F42D4C957F2D)))
         if not len(valid):
             self.start = self.length = valid
             self.minimizer = valid.astype(np.uint64)
