@@ -10,14 +10,19 @@ from tidemark.plans.registry import query
 from tidemark.plans.views import bars, entities
 from tidemark.plans.windows import quantile_bucket, rolled
 
-DAY = W.series_order("ticker", by=("ts",))
+
+
+def day():
+    return W.series_order("ticker", by=("ts",))
+
+
 BAR = "PARTITION BY ticker ORDER BY ts"
 B = ("bars",)
 
 
 def reverted(s, d):
-    m = bars(s, d).select("ticker", "ts", "close", "volume", (F.col("close") / F.lag("close", 21).over(DAY) - 1).alias("monthly"))
-    return m.select("ticker", "ts", X.FACTORS["mean_reversion"](DAY).alias("v"), X.FACTORS["dollar_volume"](DAY).alias("dv"))
+    m = bars(s, d).select("ticker", "ts", "close", "volume", (F.col("close") / F.lag("close", 21).over(day()) - 1).alias("monthly"))
+    return m.select("ticker", "ts", X.FACTORS["mean_reversion"](day()).alias("v"), X.FACTORS["dollar_volume"](day()).alias("dv"))
 
 
 M = f"m AS (SELECT ticker, ts, close, volume, close * volume AS cv, close / lag(close, 21) OVER ({BAR}) - 1 AS monthly FROM bars), f AS (SELECT ticker, ts, (monthly - {rolled('avg(monthly)', 252, 252, 'monthly', BAR)}) / nullif({rolled('stddev_samp(monthly)', 252, 252, 'monthly', BAR)}, 0) AS v, {rolled('avg(cv)', 30, 30, 'cv', BAR)} AS dv FROM m)"
@@ -29,7 +34,7 @@ query("x03_ranked_factor", "ticker:s ts:t rank:l longs:b shorts:b", lambda s, d:
 def size(s, d):
     """Market values of the last bar carried back by returns, as deciles of a date."""
     r = bars(s, d).select("ticker", "ts", "close")
-    cap = r.withColumn("cap", F.last("close").over(DAY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * 1000 * F.col("close") / F.last("close").over(DAY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    cap = r.withColumn("cap", F.last("close").over(day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * 1000 * F.col("close") / F.last("close").over(day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return quantile_bucket(cap, "cap", 5, "ts")
 
 

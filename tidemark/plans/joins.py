@@ -9,7 +9,12 @@ from tidemark.operators import joins as J
 from tidemark.plans.registry import query
 from tidemark.plans.views import bars, entities, nation_months, table, ticks
 
-DAY = W.series_order("ticker", by=("ts",))
+
+
+def day():
+    return W.series_order("ticker", by=("ts",))
+
+
 BAR = "PARTITION BY ticker ORDER BY ts"
 B = ("bars",)
 MARKET = "m AS (SELECT ts, avg(close) AS market FROM bars GROUP BY ts)"
@@ -20,7 +25,7 @@ def market(df):
 
 
 query("j01_join_on_date", "ticker:s ts:t close:d market:d", lambda s, d: bars(s, d).join(market(bars(s, d)), "ts"), f"WITH {MARKET}\nFINALLY SELECT ticker, ts, close, market FROM bars JOIN m USING (ts)", B)
-query("j02_lagged_left_join", "ticker:s ts:t close:d before:d", lambda s, d: bars(s, d).join(bars(s, d).select("ticker", "ts", F.lag("close").over(DAY).alias("before")).na.drop(), ["ticker", "ts"], "left"), f"SELECT ticker, ts, close, lag(close) OVER ({BAR}) AS before FROM bars", B)
+query("j02_lagged_left_join", "ticker:s ts:t close:d before:d", lambda s, d: bars(s, d).join(bars(s, d).select("ticker", "ts", F.lag("close").over(day()).alias("before")).na.drop(), ["ticker", "ts"], "left"), f"SELECT ticker, ts, close, lag(close) OVER ({BAR}) AS before FROM bars", B)
 query("j03_metadata_left_join", "ticker:s ts:t parts:l", lambda s, d: bars(s, d).join(F.broadcast(entities(s, d).groupBy(F.col("sector").alias("ticker")).agg(F.count(F.lit(1)).alias("parts"))), "ticker", "left"), "SELECT ticker, ts, parts FROM bars LEFT JOIN (SELECT sector AS ticker, count(*) AS parts FROM entities GROUP BY 1) USING (ticker)", ("bars", "entities"))
 query("j04_index_alignment", "ts:t v:d", lambda s, d: bars(s, d).where("ticker = 'LARGE'").select("ts", F.col("close").alias("a")).join(bars(s, d).where("ticker = 'SMALL'").select("ts", F.col("close").alias("b")), "ts").select("ts", (F.col("a") - F.col("b")).alias("v")), "SELECT a.ts, a.close - b.close AS v FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker = 'LARGE' AND b.ticker = 'SMALL'", B)
 query("j05_semi_join", "o_orderkey:l", lambda s, d: table(s, d, "orders").join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi"), "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

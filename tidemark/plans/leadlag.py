@@ -10,12 +10,17 @@ from tidemark.plans.registry import query
 from tidemark.plans.views import nation_months
 
 N = ("nation_months",)
-NAME = Window.partitionBy("name").orderBy("ts")
+
+
+def name():
+    return Window.partitionBy("name").orderBy("ts")
+
+
 
 
 def returns(s, d):
     """name, ts, r: monthly changes."""
-    return nation_months(s, d).select("name", "ts", W.pct_change("v", NAME).alias("r")).na.drop()
+    return nation_months(s, d).select("name", "ts", W.pct_change("v", name()).alias("r")).na.drop()
 
 
 RET = "r AS (SELECT * FROM (SELECT name, ts, v / lag(v) OVER (PARTITION BY name ORDER BY ts) - 1 AS r FROM nation_months) WHERE r IS NOT NULL)"

@@ -11,7 +11,12 @@ from tidemark.plans.views import bars, design
 
 FS = [f"f{i}" for i in range(1, 6)]
 D = ("design",)
-DAY = W.series_order("ticker", by=("ts",))
+
+
+def day():
+    return W.series_order("ticker", by=("ts",))
+
+
 BAR = "PARTITION BY ticker ORDER BY ts"
 query("m01_ols_single", "intercept:d slope:d", lambda s, d: (lambda m: s.createDataFrame([(float(m.intercept), float(m.coefficients[0]))], "intercept double, slope double"))(M.fit_ols(M.gram(design(s, d), ["f1"]))), "SELECT regr_intercept(y, f1) AS intercept, regr_slope(y, f1) AS slope FROM design", D)
 query("m01_ols", "feature:s coefficient:d", lambda s, d: M.fit_ols(M.gram(design(s, d), FS)).table(s))
@@ -58,7 +63,7 @@ query("m13_residual_spread", "ts:t v:d", lambda s, d: (lambda p: p.join(F.broadc
 
 def optimal_weights(s, d):
     names = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    r = bars(s, d).select("ticker", "ts", (W.pct_change("close", DAY) / 1000).alias("r")).groupBy("ts").pivot("ticker", names).agg(F.max("r"))
+    r = bars(s, d).select("ticker", "ts", (W.pct_change("close", day()) / 1000).alias("r")).groupBy("ts").pivot("ticker", names).agg(F.max("r"))
     g = M.gram(r.withColumn("y", F.lit(0.0)), names)
     mean = g.sx / g.n
     cov = (g.xx - g.n * mean[:, None] * mean[None, :]) / (g.n - 1)

@@ -52,8 +52,13 @@ query("k03_cointegration_scan", "a:s b:s stat:d p:d", lambda s, d: K.cointegrati
 query("k04_johansen", "eigenvalue:d trace0:d trace1:d rank:l weight:d", johansen_table)
 query("k05_spread_zscore", "pair:s ts:t spread:d z:d", z_scores, f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p)\nFINALLY SELECT pair, ts, spread, (spread - avg(spread) OVER ()) / stddev_samp(spread) OVER () AS z FROM s", B)
 query("k06_reversion_positions", "pair:s ts:t z:d position:l", lambda s, d: K.reversion_positions(z_scores(s, d)))
-PW = Window.partitionBy("pair").orderBy("ts")
-query("k07_spread_pnl", "pair:s ts:t pnl:d total:d", lambda s, d: z_scores(s, d).select("pair", "ts", (F.lag(-F.signum("z")).over(PW) * (F.col("spread") - F.lag("spread").over(PW))).alias("pnl")).withColumn("total", F.sum("pnl").over(W.running(PW))), f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p), z AS (SELECT *, spread - avg(spread) OVER () AS z FROM s), q AS (SELECT pair, ts, lag(-sign(z)) OVER (ORDER BY ts) * (spread - lag(spread) OVER (ORDER BY ts)) AS pnl FROM z)\nFINALLY SELECT *, sum(pnl) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM q", B)
+
+
+def pw():
+    return Window.partitionBy("pair").orderBy("ts")
+
+
+query("k07_spread_pnl", "pair:s ts:t pnl:d total:d", lambda s, d: z_scores(s, d).select("pair", "ts", (F.lag(-F.signum("z")).over(pw()) * (F.col("spread") - F.lag("spread").over(pw()))).alias("pnl")).withColumn("total", F.sum("pnl").over(W.running(pw()))), f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p), z AS (SELECT *, spread - avg(spread) OVER () AS z FROM s), q AS (SELECT pair, ts, lag(-sign(z)) OVER (ORDER BY ts) * (spread - lag(spread) OVER (ORDER BY ts)) AS pnl FROM z)\nFINALLY SELECT *, sum(pnl) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM q", B)
 query("k08_pair_correlations", "a:s b:s rho:d", lambda s, d: K.pair_correlations(monthly_pairs(s, d)), f"WITH {PAIRS}\nFINALLY SELECT a, b, coalesce(round(CASE WHEN count(*) >= 3 THEN corr(x, y) END, 2), -2) AS rho FROM p GROUP BY 1, 2", N)
 query("k09_select_pairs", "a:s b:s weight:d intercept:d deviation:d", lambda s, d: K.select_pairs(monthly_pairs(s, d), -1.0, 20, farthest=1e9))
 query("k10_random_pairs", "a:s b:s", lambda s, d: K.random_pairs(monthly_pairs(s, d), 10))
@@ -81,14 +86,15 @@ query("k16_liquidation", "pair:s open:l", lambda s, d: traded(s, d).groupBy("pai
 
 def walked(s, d):
     found = K.walk_forward(monthly_pairs(s, d), inside=48, step=12, back=6, least=-1.0, top=5, farthest=1e9)
-    return reduce(lambda a, b: a.unionByName(b), [t.withColumn("period", F.lit(k)) for k, t in found])
+    none = s.createDataFrame([], K.DAY).withColumn("period", F.lit(0))
+    return reduce(lambda a, b: a.unionByName(b), [t.withColumn("period", F.lit(k)) for k, t in found], none)
 
 
 query("k17_walk_forward", "period:l pair:s " + COLS, walked)
 query("k18_ratio_strategy", "money:d", lambda s, d: K.window_search(daily_pair(s, d), 5, [60]))
 query("k19_window_search", "long:l money:d place:l", lambda s, d: K.window_search(daily_pair(s, d), 5, list(range(10, 120, 10))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("money"), "long"))))
 query("k20_portfolio_curve", "ts:t balance:d margin:d", lambda s, d: K.day_rollup(traded(s, d), 1).select("ts", (100_000 + F.sum("profit").over(W.running(Window.orderBy("ts")))).alias("balance"), "margin"))
-query("k21_compounding", "ts:t r:d c:d", lambda s, d: daily_pair(s, d).select("pair", "ts", W.pct_change("x", PW).alias("r")).select("ts", "r", F.sum(F.ln(1 + F.col("r"))).over(W.running(Window.orderBy("ts"))).alias("c")), f"WITH {DAILY}, r AS (SELECT ts, x / lag(x) OVER (ORDER BY ts) - 1 AS r FROM p)\nFINALLY SELECT ts, r, sum(ln(1 + r)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM r", B)
+query("k21_compounding", "ts:t r:d c:d", lambda s, d: daily_pair(s, d).select("pair", "ts", W.pct_change("x", pw()).alias("r")).select("ts", "r", F.sum(F.ln(1 + F.col("r"))).over(W.running(Window.orderBy("ts"))).alias("c")), f"WITH {DAILY}, r AS (SELECT ts, x / lag(x) OVER (ORDER BY ts) - 1 AS r FROM p)\nFINALLY SELECT ts, r, sum(ln(1 + r)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM r", B)
 
 
 def _filtered(make, columns):

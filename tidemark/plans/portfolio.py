@@ -10,13 +10,18 @@ from tidemark.plans.registry import query
 from tidemark.plans.views import bars, ledger
 
 L = ("bars", "ledger")
-DAY = W.series_order("ticker", by=("ts",))
+
+
+def day():
+    return W.series_order("ticker", by=("ts",))
+
+
 RUN = "PARTITION BY run ORDER BY ts"
 
 
 def signals(s, d):
     """Runs for the simulators: price, momentum as signal, open regime."""
-    b = bars(s, d).select(F.col("ticker").alias("run"), "ts", F.col("close").alias("price"), F.coalesce(W.momentum("close", DAY, 3), F.lit(0.0)).alias("signal"))
+    b = bars(s, d).select(F.col("ticker").alias("run"), "ts", F.col("close").alias("price"), F.coalesce(W.momentum("close", day(), 3), F.lit(0.0)).alias("signal"))
     return b.withColumn("regime", F.lit(1.0))
 
 
@@ -97,14 +102,19 @@ def benchmarked(s, d):
 
 query("b23_against_benchmark", "run:s beta:d alpha:d omega:d sharpe:d", lambda s, d: B.against_benchmark(benchmarked(s, d)), f"WITH {MKT}\nFINALLY SELECT run, regr_slope(r, market) AS beta, regr_intercept(r, market) * 252 AS alpha, sum(r) FILTER (WHERE r > 0) / -sum(r) FILTER (WHERE r < 0) AS omega, avg(r) / stddev_samp(r) * sqrt(252.0) AS sharpe FROM j GROUP BY run", L)
 F60 = f"({RUN} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
-RW = Window.partitionBy("run").orderBy("ts")
-query("b24_rolling_sharpe_beta", "run:s ts:t sharpe:d beta:d", lambda s, d: benchmarked(s, d).select("run", "ts", (W.rolling_mean("r", RW, 60, 60) / W.rolling_std("r", RW, 60, 60) * F.sqrt(F.lit(252.0))).alias("sharpe"), W.rolling_beta("r", "market", RW, 60).alias("beta")), f"WITH {MKT}\nFINALLY SELECT run, ts, CASE WHEN count(r) OVER {F60} >= 60 THEN avg(r) OVER {F60} / stddev_samp(r) OVER {F60} * sqrt(252.0) END AS sharpe, CASE WHEN count(r) OVER {F60} >= 60 THEN covar_samp(r, market) OVER {F60} / var_samp(market) OVER {F60} END AS beta FROM j", L)
-query("b25_event_window", "run:s ts:t c:d market_c:d", lambda s, d: benchmarked(s, d).where("ts BETWEEN timestamp_ntz'1998-01-01' AND timestamp_ntz'1998-03-31'").select("run", "ts", F.sum(F.col("r") / 100).over(RW).alias("c"), F.sum(F.col("market") / 100).over(RW).alias("market_c")), f"WITH {MKT}, e AS (SELECT * FROM j WHERE ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-03-31')\nFINALLY SELECT run, ts, sum(r / 100) OVER ({RUN}) AS c, sum(market / 100) OVER ({RUN}) AS market_c FROM e", L)
+
+
+def rw():
+    return Window.partitionBy("run").orderBy("ts")
+
+
+query("b24_rolling_sharpe_beta", "run:s ts:t sharpe:d beta:d", lambda s, d: benchmarked(s, d).select("run", "ts", (W.rolling_mean("r", rw(), 60, 60) / W.rolling_std("r", rw(), 60, 60) * F.sqrt(F.lit(252.0))).alias("sharpe"), W.rolling_beta("r", "market", rw(), 60).alias("beta")), f"WITH {MKT}\nFINALLY SELECT run, ts, CASE WHEN count(r) OVER {F60} >= 60 THEN avg(r) OVER {F60} / stddev_samp(r) OVER {F60} * sqrt(252.0) END AS sharpe, CASE WHEN count(r) OVER {F60} >= 60 THEN covar_samp(r, market) OVER {F60} / var_samp(market) OVER {F60} END AS beta FROM j", L)
+query("b25_event_window", "run:s ts:t c:d market_c:d", lambda s, d: benchmarked(s, d).where("ts BETWEEN timestamp_ntz'1998-01-01' AND timestamp_ntz'1998-03-31'").select("run", "ts", F.sum(F.col("r") / 100).over(rw()).alias("c"), F.sum(F.col("market") / 100).over(rw()).alias("market_c")), f"WITH {MKT}, e AS (SELECT * FROM j WHERE ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-03-31')\nFINALLY SELECT run, ts, sum(r / 100) OVER ({RUN}) AS c, sum(market / 100) OVER ({RUN}) AS market_c FROM e", L)
 
 
 def summary_metrics(s, d):
     """total, apr, sharpe, sortino with population deviations, greatest drawdown and its longest duration in bars."""
-    w = RW
+    w = rw()
     x = ledger(s, d).select("run", "ts", "nav", W.pct_change("nav", w).alias("r"), F.max("nav").over(W.running(w)).alias("hwm"), F.row_number().over(w).alias("n"))
     x = x.withColumn("since", F.col("n") - F.max(F.when(F.col("nav") >= F.col("hwm"), F.col("n"))).over(W.running(w)))
     down = F.stddev_pop(F.when(F.col("r") < 0, F.col("r")))

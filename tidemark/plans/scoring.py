@@ -10,7 +10,12 @@ from tidemark.plans.registry import query
 from tidemark.plans.views import bars, design
 from tidemark.plans.windows import quantile_bucket
 
-DAY = W.series_order("ticker", by=("ts",))
+
+
+def day():
+    return W.series_order("ticker", by=("ts",))
+
+
 BAR = "PARTITION BY ticker ORDER BY ts"
 FS = [f"f{i}" for i in range(1, 7)]
 LONG = "l AS (SELECT id, y, unnest(['f1', 'f2', 'f3', 'f4', 'f5', 'f6']) AS feature, unnest([f1, f2, f3, f4, f5, f6]) AS x FROM design)"
@@ -28,7 +33,7 @@ query("f04_slope_t", "feature:s v:d", lambda s, d: C.long_features(design(s, d),
 
 def _signal(s, d):
     """Bars with a signal (momentum) and the next return."""
-    return bars(s, d).select("ticker", "ts", W.momentum("close", DAY, 3).alias("s"), W.forward_return("close", DAY).alias("r"))
+    return bars(s, d).select("ticker", "ts", W.momentum("close", day(), 3).alias("s"), W.forward_return("close", day()).alias("r"))
 
 
 SIG = f"sig AS (SELECT ticker, ts, close - lag(close, 3) OVER ({BAR}) AS s, lead(close) OVER ({BAR}) / close - 1 AS r FROM bars), ok AS (SELECT * FROM sig WHERE s IS NOT NULL AND r IS NOT NULL)"
@@ -39,7 +44,7 @@ ROLL = GUARD.format(f=f"({BAR} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)", k=50
 
 def icir(df, k=50):
     """Mean, deviation and their ratio of the rolling IC of each series."""
-    r = df.select("ticker", W.rolling_correlation("s", "r", DAY, k).alias("ic"))
+    r = df.select("ticker", W.rolling_correlation("s", "r", day(), k).alias("ic"))
     return r.groupBy("ticker").agg(F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"), (F.avg("ic") / (F.stddev_samp("ic") + 1e-12)).alias("icir"))
 
 
@@ -53,7 +58,7 @@ query("f09_feature_ic", "feature:s ic:d abs_ic:d", lambda s, d: C.ranked_ic(desi
 query("f10_hit_ratio", "hit:d", lambda s, d: C.accuracy(_signal(s, d), "s", "r"), f"WITH {SIG}\nFINALLY SELECT avg(CAST(sign(s) * sign(r) > 0 AS INT)) AS hit FROM ok", B)
 query("f11_directional_accuracy", "long_accuracy:d short_accuracy:d n_long:l n_short:l", lambda s, d: C.accuracy(_signal(s, d), "s", "r"), f"WITH {SIG}\nFINALLY SELECT avg(CASE WHEN s > 0 THEN CAST(r > 0 AS INT) END) AS long_accuracy, avg(CASE WHEN s < 0 THEN CAST(r < 0 AS INT) END) AS short_accuracy, count_if(s > 0) AS n_long, count_if(s < 0) AS n_short FROM ok", B)
 RK = "rank() OVER (PARTITION BY {g} ORDER BY {c}) + (count(*) OVER (PARTITION BY {g}, {c}) - 1) / 2.0"
-query("f12_signal_decay", "lag:l ic:d n:l", lambda s, d: C.decay(_signal(s, d).withColumn("bar", F.row_number().over(DAY)), "s", "r", 5), f"WITH {SIG}, p AS (SELECT *, row_number() OVER ({BAR}) AS bar FROM sig), j AS (SELECT lag, a.s, b.r FROM p a JOIN (SELECT unnest(range(0, 6)) AS lag) ON true JOIN p b ON a.ticker = b.ticker AND b.bar = a.bar + lag WHERE a.s IS NOT NULL AND b.r IS NOT NULL), k AS (SELECT lag, {RK.format(g='lag', c='s')} AS x, {RK.format(g='lag', c='r')} AS y FROM j)\nFINALLY SELECT lag, corr(x, y) AS ic, count(*) AS n FROM k GROUP BY lag", B)
+query("f12_signal_decay", "lag:l ic:d n:l", lambda s, d: C.decay(_signal(s, d).withColumn("bar", F.row_number().over(day())), "s", "r", 5), f"WITH {SIG}, p AS (SELECT *, row_number() OVER ({BAR}) AS bar FROM sig), j AS (SELECT lag, a.s, b.r FROM p a JOIN (SELECT unnest(range(0, 6)) AS lag) ON true JOIN p b ON a.ticker = b.ticker AND b.bar = a.bar + lag WHERE a.s IS NOT NULL AND b.r IS NOT NULL), k AS (SELECT lag, {RK.format(g='lag', c='s')} AS x, {RK.format(g='lag', c='r')} AS y FROM j)\nFINALLY SELECT lag, corr(x, y) AS ic, count(*) AS n FROM k GROUP BY lag", B)
 query("f13_monthly_ic", "month:s ic:d n:l", lambda s, d: S.spearman(_signal(s, d).withColumn("month", F.date_format("ts", "yyyy-MM")), "s", "r", ["month"]), f"WITH {SIG}, m AS (SELECT strftime(ts, '%Y-%m') AS month, s, r FROM ok), k AS (SELECT month, {RK.format(g='month', c='s')} AS x, {RK.format(g='month', c='r')} AS y FROM m)\nFINALLY SELECT month, CASE WHEN count(*) >= 5 THEN corr(x, y) END AS ic, count(*) AS n FROM k GROUP BY month", B)
 POP = "(sum(pow(s - mu, {p})) / count(*)) / pow(max(sd), {p})"
 query("f14_prediction_distribution", "mean:d std:d min:d max:d skew:d kurtosis:d p5:d p25:d p50:d p75:d p95:d", lambda s, d: C.distribution(_signal(s, d).where("s IS NOT NULL"), "s"), f"WITH {SIG}, z AS (SELECT s, avg(s) OVER () AS mu, stddev_pop(s) OVER () AS sd FROM sig WHERE s IS NOT NULL)\nFINALLY SELECT avg(s) AS mean, stddev_pop(s) AS std, min(s) AS min, max(s) AS max, {POP.format(p=3)} AS skew, {POP.format(p=4)} - 3 AS kurtosis, " + ", ".join(f"quantile_cont(s, {p / 100}) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM z", B)
@@ -73,7 +78,7 @@ query("f17_frozen_sign", "sign:l", lambda s, d: S.spearman(_signal(s, d).where("
 
 def _factor(s, d):
     """Factor (volume), its bucket of three by date, and forward returns."""
-    f = bars(s, d).select("ticker", "ts", F.col("volume").alias("factor"), W.forward_return("close", DAY, 1).alias("r1"), W.forward_return("close", DAY, 5).alias("r5"))
+    f = bars(s, d).select("ticker", "ts", F.col("volume").alias("factor"), W.forward_return("close", day(), 1).alias("r1"), W.forward_return("close", day(), 5).alias("r5"))
     return quantile_bucket(f, "factor", 3, "ts")
 
 

@@ -10,7 +10,16 @@ from tidemark.plans.views import bars, ticks
 
 OVER = "PARTITION BY series ORDER BY ts, tie"
 BAR = "PARTITION BY ticker ORDER BY ts"
-TICK, DAY = W.series_order("series"), W.series_order("ticker", by=("ts",))
+
+
+def tick():
+    return W.series_order("series")
+
+
+def day():
+    return W.series_order("ticker", by=("ts",))
+
+
 
 
 def frame(k: int, over: str = OVER) -> str:
@@ -29,27 +38,27 @@ def on_bars(name: str, make, sql: str, kind: str = "d", before: str = "bars", pr
     query(name, f"ticker:s ts:t v:{kind}", lambda s, d: prepare(bars(s, d)).select("ticker", "ts", make().alias("v")), f"SELECT ticker, ts, {sql} AS v FROM {before}", ("bars",))
 
 
-on_ticks("w01_rolling_mean", lambda: W.rolling_mean("x", TICK, 12), rolled("avg(x)", 12, 6))
-on_ticks("w02_rolling_median", lambda: W.rolling_median("x", TICK, 6), rolled("median(x)", 6, 3))
-on_ticks("w03_rolling_std", lambda: W.rolling_std("x", TICK, 24), rolled("stddev_samp(x)", 24, 12))
-on_ticks("w04_rolling_zscore", lambda: W.rolling_zscore("x", TICK, 12), f"(x - {rolled('avg(x)', 12, 6)}) / nullif({rolled('stddev_samp(x)', 12, 6)}, 0)")
-on_ticks("w05_lag", lambda: W.lagged("x", TICK, 3), f"lag(x, 3) OVER ({OVER})")
-on_ticks("w06_momentum", lambda: W.momentum("x", TICK, 6), f"x - lag(x, 6) OVER ({OVER})")
-on_ticks("w07_pct_change", lambda: W.pct_change("x", TICK, 5), f"x / nullif(lag(x, 5) OVER ({OVER}), 0) - 1")
+on_ticks("w01_rolling_mean", lambda: W.rolling_mean("x", tick(), 12), rolled("avg(x)", 12, 6))
+on_ticks("w02_rolling_median", lambda: W.rolling_median("x", tick(), 6), rolled("median(x)", 6, 3))
+on_ticks("w03_rolling_std", lambda: W.rolling_std("x", tick(), 24), rolled("stddev_samp(x)", 24, 12))
+on_ticks("w04_rolling_zscore", lambda: W.rolling_zscore("x", tick(), 12), f"(x - {rolled('avg(x)', 12, 6)}) / nullif({rolled('stddev_samp(x)', 12, 6)}, 0)")
+on_ticks("w05_lag", lambda: W.lagged("x", tick(), 3), f"lag(x, 3) OVER ({OVER})")
+on_ticks("w06_momentum", lambda: W.momentum("x", tick(), 6), f"x - lag(x, 6) OVER ({OVER})")
+on_ticks("w07_pct_change", lambda: W.pct_change("x", tick(), 5), f"x / nullif(lag(x, 5) OVER ({OVER}), 0) - 1")
 CORR = "CASE WHEN count(close) OVER {f} >= {k} AND stddev_pop(close) OVER {f} * stddev_pop(volume) OVER {f} > 1e-14 THEN covar_pop(close, volume) OVER {f} / (stddev_pop(close) OVER {f} * stddev_pop(volume) OVER {f}) END"
-on_bars("w08_rolling_correlation", lambda: W.rolling_correlation("close", "volume", DAY, 20), CORR.format(f=frame(20, BAR), k=20))
-on_bars("w09_rolling_beta", lambda: W.rolling_beta("close", "volume", DAY, 20), f"CASE WHEN count(close) OVER {frame(20, BAR)} >= 20 THEN covar_samp(close, volume) OVER {frame(20, BAR)} / nullif(var_samp(volume) OVER {frame(20, BAR)}, 0) END")
+on_bars("w08_rolling_correlation", lambda: W.rolling_correlation("close", "volume", day(), 20), CORR.format(f=frame(20, BAR), k=20))
+on_bars("w09_rolling_beta", lambda: W.rolling_beta("close", "volume", day(), 20), f"CASE WHEN count(close) OVER {frame(20, BAR)} >= 20 THEN covar_samp(close, volume) OVER {frame(20, BAR)} / nullif(var_samp(volume) OVER {frame(20, BAR)}, 0) END")
 LO, HI = rolled("min(close)", 20, 20, "close", BAR), rolled("max(close)", 20, 20, "close", BAR)
-on_bars("w10_price_position", lambda: W.price_position("close", DAY, 20), f"(close - {LO}) / ({HI} - {LO} + 1e-12)")
-on_bars("w11_volume_ratio", lambda: W.ratio_to_mean("volume", DAY, 20), f"volume / ({rolled('avg(volume)', 20, 20, 'volume', BAR)} + 1e-12)")
+on_bars("w10_price_position", lambda: W.price_position("close", day(), 20), f"(close - {LO}) / ({HI} - {LO} + 1e-12)")
+on_bars("w11_volume_ratio", lambda: W.ratio_to_mean("volume", day(), 20), f"volume / ({rolled('avg(volume)', 20, 20, 'volume', BAR)} + 1e-12)")
 
 
 def _changes(df):
-    return df.select("ticker", "ts", W.pct_change("close", DAY).alias("a"), W.pct_change("volume", DAY).alias("b"))
+    return df.select("ticker", "ts", W.pct_change("close", day()).alias("a"), W.pct_change("volume", day()).alias("b"))
 
 
 query(
-    "w12_price_volume_correlation", "ticker:s ts:t v:d", lambda s, d: _changes(bars(s, d)).select("ticker", "ts", W.rolling_correlation("a", "b", DAY, 20).alias("v")),
+    "w12_price_volume_correlation", "ticker:s ts:t v:d", lambda s, d: _changes(bars(s, d)).select("ticker", "ts", W.rolling_correlation("a", "b", day(), 20).alias("v")),
     f"WITH c AS (SELECT ticker, ts, close / lag(close) OVER ({BAR}) - 1 AS a, volume / lag(volume) OVER ({BAR}) - 1 AS b FROM bars)\nFINALLY SELECT ticker, ts, "
     + CORR.format(f=frame(20, BAR), k=20).replace("close", "a").replace("volume", "b") + " AS v FROM c", ("bars",),
 )
@@ -59,8 +68,8 @@ def feature_set(df, windows=(5, 10, 20, 50)):
     """All bar features of each window in one projection over shared frames."""
     out = []
     for k in windows:
-        out += [W.pct_change("close", DAY, k).alias(f"ret_{k}"), W.rolling_mean("close", DAY, k, k).alias(f"ma_{k}"), W.rolling_std("close", DAY, k, k).alias(f"std_{k}"), W.rolling_max("close", DAY, k, k).alias(f"max_{k}"),
-                W.rolling_min("close", DAY, k, k).alias(f"min_{k}"), W.price_position("close", DAY, k).alias(f"pos_{k}"), W.momentum("close", DAY, k).alias(f"mom_{k}"), W.ratio_to_mean("volume", DAY, k).alias(f"vol_{k}")]
+        out += [W.pct_change("close", day(), k).alias(f"ret_{k}"), W.rolling_mean("close", day(), k, k).alias(f"ma_{k}"), W.rolling_std("close", day(), k, k).alias(f"std_{k}"), W.rolling_max("close", day(), k, k).alias(f"max_{k}"),
+                W.rolling_min("close", day(), k, k).alias(f"min_{k}"), W.price_position("close", day(), k).alias(f"pos_{k}"), W.momentum("close", day(), k).alias(f"mom_{k}"), W.ratio_to_mean("volume", day(), k).alias(f"vol_{k}")]
     return df.select("ticker", "ts", *out)
 
 
@@ -104,17 +113,17 @@ def volatility_regime(df, key="ticker", c="close", k=24, parts=3):
 
 E = f"({BAR} ROWS UNBOUNDED PRECEDING)"
 query("w14_volatility_regime", "ticker:s ts:t v:l", lambda s, d: volatility_regime(bars(s, d)), f"WITH v AS (SELECT ticker, ts, {rolled('stddev_samp(close)', 24, 12, 'close', BAR)} AS vol FROM bars)\nFINALLY SELECT ticker, ts, CASE WHEN vol >= quantile_cont(vol, 2.0 / 3) OVER {E} THEN 2 WHEN vol <= quantile_cont(vol, 1.0 / 3) OVER {E} THEN 0 ELSE 1 END AS v FROM v", ("bars",))
-on_ticks("w15_trend_regime", lambda: W.trend_regime("x", TICK), f"coalesce(CAST({rolled('avg(x)', 6, 3)} > {rolled('avg(x)', 24, 12)} AS INT), 0)", "l")
+on_ticks("w15_trend_regime", lambda: W.trend_regime("x", tick()), f"coalesce(CAST({rolled('avg(x)', 6, 3)} > {rolled('avg(x)', 24, 12)} AS INT), 0)", "l")
 on_bars("w16_cross_sectional_rank", lambda: W.cross_rank("volume", "ts"), "(rank() OVER (PARTITION BY ts ORDER BY volume) + (count(*) OVER (PARTITION BY ts, volume) - 1) / 2.0) / count(volume) OVER (PARTITION BY ts)")
 on_bars("w17_relative_spread", lambda: F.col("close") - F.avg("close").over(Window.partitionBy("ts")), "close - avg(close) OVER (PARTITION BY ts)")
 
 
 def engineered(df, windows=(6, 12, 24), lags=(1, 3, 6, 12, 24)):
     """Long-form engineered features in one projection, then the cross-section."""
-    cols = [f(c, DAY, k).alias(f"{c}_{n}_{k}") for c in ("close", "volume") for k in windows for n, f in (("rmean", W.rolling_mean), ("rstd", W.rolling_std), ("rzsc", W.rolling_zscore))]
-    cols += [W.rolling_zscore(c, DAY, 3).alias(f"{c}_rzsc_3") for c in ("close", "volume")]
-    cols += [f(c, DAY, k).alias(f"{c}_{n}{k}") for c in ("close", "volume") for k in lags for n, f in (("lag", W.lagged), ("mom", W.momentum))]
-    cols += [W.trend_regime("close", DAY).alias("close_trendreg"), W.cross_rank("close", "ts").alias("close_csrank"), (F.col("close") - F.avg("close").over(Window.partitionBy("ts"))).alias("close_spread"), (F.col("close") * F.col("volume")).alias("close_x_volume")]
+    cols = [f(c, day(), k).alias(f"{c}_{n}_{k}") for c in ("close", "volume") for k in windows for n, f in (("rmean", W.rolling_mean), ("rstd", W.rolling_std), ("rzsc", W.rolling_zscore))]
+    cols += [W.rolling_zscore(c, day(), 3).alias(f"{c}_rzsc_3") for c in ("close", "volume")]
+    cols += [f(c, day(), k).alias(f"{c}_{n}{k}") for c in ("close", "volume") for k in lags for n, f in (("lag", W.lagged), ("mom", W.momentum))]
+    cols += [W.trend_regime("close", day()).alias("close_trendreg"), W.cross_rank("close", "ts").alias("close_csrank"), (F.col("close") - F.avg("close").over(Window.partitionBy("ts"))).alias("close_spread"), (F.col("close") * F.col("volume")).alias("close_x_volume")]
     return df.select("ticker", "ts", *cols)
 
 
@@ -147,35 +156,35 @@ query("w18_engineer_features", _engineered()[0], lambda s, d: engineered(bars(s,
 
 
 def scoring_features(df):
-    cols = [W.momentum("close", DAY, k).alias(f"mom{k}") for k in (1, 3, 6, 12, 24)]
-    cols += [((F.col("close") - W.rolling_mean("close", DAY, k, k)) / (W.rolling_std("close", DAY, k, k) + 1e-12)).alias(f"z{k}") for k in (3, 6, 12, 24)]
+    cols = [W.momentum("close", day(), k).alias(f"mom{k}") for k in (1, 3, 6, 12, 24)]
+    cols += [((F.col("close") - W.rolling_mean("close", day(), k, k)) / (W.rolling_std("close", day(), k, k) + 1e-12)).alias(f"z{k}") for k in (3, 6, 12, 24)]
     return df.select("ticker", "ts", *cols)
 
 
 query("w19_scoring_features", "ticker:s ts:t mom1:d mom3:d mom6:d mom12:d mom24:d z3:d z6:d z12:d z24:d", lambda s, d: scoring_features(bars(s, d)),
       "SELECT ticker, ts, " + ", ".join([f"close - lag(close, {k}) OVER ({BAR}) AS mom{k}" for k in (1, 3, 6, 12, 24)] + [f"(close - {rolled('avg(close)', k, k, 'close', BAR)}) / ({rolled('stddev_samp(close)', k, k, 'close', BAR)} + 1e-12) AS z{k}" for k in (3, 6, 12, 24)]) + " FROM bars", ("bars",))
-on_bars("w20_target_return", lambda: W.forward_return("close", DAY, 3), f"lead(close, 3) OVER ({BAR}) / close - 1")
-on_bars("w20_target_log_return", lambda: W.forward_return("close", DAY, 1, "log_return"), f"ln(lead(close) OVER ({BAR}) / close)")
-on_bars("w20_target_directional", lambda: W.forward_return("close", DAY, 1, "directional"), f"coalesce(CAST(lead(close) OVER ({BAR}) > close AS INT), 0)", "l")
-query("w21_target_alignment", "ticker:s v:d", lambda s, d: bars(s, d).select("ticker", F.abs(W.forward_return("close", DAY) - (F.lead("close").over(DAY) / F.col("close") - 1)).alias("e")).groupBy("ticker").agg(F.avg("e").alias("v")), f"WITH t AS (SELECT ticker, abs((lead(close) OVER ({BAR}) / close - 1) - (lead(close) OVER ({BAR}) / close - 1)) AS e FROM bars)\nFINALLY SELECT ticker, avg(e) AS v FROM t GROUP BY ticker", ("bars",))
-on_bars("w22_drawdown", lambda: W.drawdown("close", DAY), f"(close - max(close) OVER {E}) / (max(close) OVER {E} + 1e-12)")
-on_bars("w23_running_sum", lambda: W.running_sum("volume", DAY), f"sum(volume) OVER {E}")
-query("w23_running_product", "ticker:s ts:t v:d", lambda s, d: bars(s, d).select("ticker", "ts", F.coalesce(1 + W.pct_change("close", DAY) / 5000, F.lit(1.0)).alias("g")).select("ticker", "ts", W.running_product("g", DAY).alias("v")), f"WITH g AS (SELECT ticker, ts, coalesce(1 + (close / lag(close) OVER ({BAR}) - 1) / 5000, 1) AS g FROM bars)\nFINALLY SELECT ticker, ts, exp(sum(ln(g)) OVER {E}) AS v FROM g", ("bars",))
-on_bars("w24_change", lambda: W.change("close", DAY, 1000.0), f"close - coalesce(lag(close) OVER ({BAR}), 1000)")
-query("w25_rolling_ic", "ticker:s ts:t v:d", lambda s, d: bars(s, d).select("ticker", "ts", F.col("volume").alias("a"), W.forward_return("close", DAY).alias("b")).select("ticker", "ts", W.rolling_correlation("a", "b", DAY, 50).alias("v")),
+on_bars("w20_target_return", lambda: W.forward_return("close", day(), 3), f"lead(close, 3) OVER ({BAR}) / close - 1")
+on_bars("w20_target_log_return", lambda: W.forward_return("close", day(), 1, "log_return"), f"ln(lead(close) OVER ({BAR}) / close)")
+on_bars("w20_target_directional", lambda: W.forward_return("close", day(), 1, "directional"), f"coalesce(CAST(lead(close) OVER ({BAR}) > close AS INT), 0)", "l")
+query("w21_target_alignment", "ticker:s v:d", lambda s, d: bars(s, d).select("ticker", F.abs(W.forward_return("close", day()) - (F.lead("close").over(day()) / F.col("close") - 1)).alias("e")).groupBy("ticker").agg(F.avg("e").alias("v")), f"WITH t AS (SELECT ticker, abs((lead(close) OVER ({BAR}) / close - 1) - (lead(close) OVER ({BAR}) / close - 1)) AS e FROM bars)\nFINALLY SELECT ticker, avg(e) AS v FROM t GROUP BY ticker", ("bars",))
+on_bars("w22_drawdown", lambda: W.drawdown("close", day()), f"(close - max(close) OVER {E}) / (max(close) OVER {E} + 1e-12)")
+on_bars("w23_running_sum", lambda: W.running_sum("volume", day()), f"sum(volume) OVER {E}")
+query("w23_running_product", "ticker:s ts:t v:d", lambda s, d: bars(s, d).select("ticker", "ts", F.coalesce(1 + W.pct_change("close", day()) / 5000, F.lit(1.0)).alias("g")).select("ticker", "ts", W.running_product("g", day()).alias("v")), f"WITH g AS (SELECT ticker, ts, coalesce(1 + (close / lag(close) OVER ({BAR}) - 1) / 5000, 1) AS g FROM bars)\nFINALLY SELECT ticker, ts, exp(sum(ln(g)) OVER {E}) AS v FROM g", ("bars",))
+on_bars("w24_change", lambda: W.change("close", day(), 1000.0), f"close - coalesce(lag(close) OVER ({BAR}), 1000)")
+query("w25_rolling_ic", "ticker:s ts:t v:d", lambda s, d: bars(s, d).select("ticker", "ts", F.col("volume").alias("a"), W.forward_return("close", day()).alias("b")).select("ticker", "ts", W.rolling_correlation("a", "b", day(), 50).alias("v")),
       f"WITH c AS (SELECT ticker, ts, lead(close) OVER ({BAR}) / close - 1 AS b, CASE WHEN lead(close) OVER ({BAR}) IS NOT NULL THEN volume END AS a FROM bars)\nFINALLY SELECT ticker, ts, " + CORR.format(f=frame(50, BAR), k=50).replace("close", "a").replace("volume", "b") + " AS v FROM c", ("bars",))
 LATE = f"({BAR} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"
-on_bars("w29_beta_through_origin", lambda: W.beta_through_origin("close", "volume", DAY, 30), f"CASE WHEN count(volume) OVER {LATE} >= 30 THEN sum(volume * close) OVER {LATE} / sum(volume * volume) OVER {LATE} END")
-on_bars("w30_spread_zscore", lambda: W.spread_zscore("close", DAY, 5, 60), f"({rolled('avg(close)', 5, 5, 'close', BAR)} - {rolled('avg(close)', 60, 60, 'close', BAR)}) / nullif({rolled('stddev_samp(close)', 60, 60, 'close', BAR)}, 0)")
+on_bars("w29_beta_through_origin", lambda: W.beta_through_origin("close", "volume", day(), 30), f"CASE WHEN count(volume) OVER {LATE} >= 30 THEN sum(volume * close) OVER {LATE} / sum(volume * volume) OVER {LATE} END")
+on_bars("w30_spread_zscore", lambda: W.spread_zscore("close", day(), 5, 60), f"({rolled('avg(close)', 5, 5, 'close', BAR)} - {rolled('avg(close)', 60, 60, 'close', BAR)}) / nullif({rolled('stddev_samp(close)', 60, 60, 'close', BAR)}, 0)")
 for _i, _n in enumerate(("lower", "middle", "upper")):
-    on_bars(f"w31_bollinger_{_n}", lambda i=_i: W.bollinger("close", DAY)[i], f"{rolled('avg(close)', 21, 21, 'close', BAR)} + {(_i - 1) * 2.0} * {rolled('stddev_pop(close)', 21, 21, 'close', BAR)}")
-query("w34_reverse_product", "ticker:s ts:t v:d", lambda s, d: bars(s, d).select("ticker", "ts", (1 + F.coalesce(W.pct_change("close", DAY), F.lit(0.0)) / 5000).alias("g")).select("ticker", "ts", W.running_product("g", Window.partitionBy("ticker").orderBy(F.desc("ts"))).alias("v")), f"WITH g AS (SELECT ticker, ts, 1 + coalesce(close / lag(close) OVER ({BAR}) - 1, 0) / 5000 AS g FROM bars)\nFINALLY SELECT ticker, ts, exp(sum(ln(g)) OVER (PARTITION BY ticker ORDER BY ts DESC ROWS UNBOUNDED PRECEDING)) AS v FROM g", ("bars",))
-on_bars("w35_shift_ahead", lambda: F.lead("close", 2).over(DAY), f"lead(close, 2) OVER ({BAR})")
-on_bars("w36_normalised_return", lambda: W.normalised_return("close", DAY, 6), f"pow(1 + (close / lag(close, 6) OVER ({BAR}) - 1), 1.0 / 6) - 1")
-on_bars("w37_momentum_difference", lambda: W.normalised_return("close", DAY, 12) - W.normalised_return("close", DAY, 3), f"(pow(1 + (close / lag(close, 12) OVER ({BAR}) - 1), 1.0 / 12) - 1) - (pow(1 + (close / lag(close, 3) OVER ({BAR}) - 1), 1.0 / 3) - 1)")
+    on_bars(f"w31_bollinger_{_n}", lambda i=_i: W.bollinger("close", day())[i], f"{rolled('avg(close)', 21, 21, 'close', BAR)} + {(_i - 1) * 2.0} * {rolled('stddev_pop(close)', 21, 21, 'close', BAR)}")
+query("w34_reverse_product", "ticker:s ts:t v:d", lambda s, d: bars(s, d).select("ticker", "ts", (1 + F.coalesce(W.pct_change("close", day()), F.lit(0.0)) / 5000).alias("g")).select("ticker", "ts", W.running_product("g", Window.partitionBy("ticker").orderBy(F.desc("ts"))).alias("v")), f"WITH g AS (SELECT ticker, ts, 1 + coalesce(close / lag(close) OVER ({BAR}) - 1, 0) / 5000 AS g FROM bars)\nFINALLY SELECT ticker, ts, exp(sum(ln(g)) OVER (PARTITION BY ticker ORDER BY ts DESC ROWS UNBOUNDED PRECEDING)) AS v FROM g", ("bars",))
+on_bars("w35_shift_ahead", lambda: F.lead("close", 2).over(day()), f"lead(close, 2) OVER ({BAR})")
+on_bars("w36_normalised_return", lambda: W.normalised_return("close", day(), 6), f"pow(1 + (close / lag(close, 6) OVER ({BAR}) - 1), 1.0 / 6) - 1")
+on_bars("w37_momentum_difference", lambda: W.normalised_return("close", day(), 12) - W.normalised_return("close", day(), 3), f"(pow(1 + (close / lag(close, 12) OVER ({BAR}) - 1), 1.0 / 12) - 1) - (pow(1 + (close / lag(close, 3) OVER ({BAR}) - 1), 1.0 / 3) - 1)")
 for _k in (21, 42, 63):
-    on_bars(f"w40_moving_average_{_k}", lambda k=_k: W.rolling_mean("close", DAY, k, k), rolled("avg(close)", _k, _k, "close", BAR))
-on_ticks("w42_ntile", lambda: F.ntile(4).over(TICK), f"ntile(4) OVER ({OVER})", "l")
+    on_bars(f"w40_moving_average_{_k}", lambda k=_k: W.rolling_mean("close", day(), k, k), rolled("avg(close)", _k, _k, "close", BAR))
+on_ticks("w42_ntile", lambda: F.ntile(4).over(tick()), f"ntile(4) OVER ({OVER})", "l")
 
 
 def quantile_bucket(df, c: str, parts: int, *keys: str, out: str = "v"):
