@@ -28,7 +28,7 @@ from tidemark.llm.common import Stage, keyed, utf8
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: A chunk ends with the document that brings it to so many distinct parts or words; a longer part is folded in its task.
-CHUNK_PARTS, CHUNK_WORDS, LONG = 200_000, 4_000_000, 48
+CHUNK_PARTS, CHUNK_WORDS, LONG = 60_000, 1_000_000, 48
 
 
 class Model:

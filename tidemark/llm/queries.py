@@ -14,4 +14,4 @@ def queries():
 
 def oracle_sql():
     sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return exact_dedup.ORACLE | license_scan.ORACLE | sql
+    return substring_dedup.ORACLE | exact_dedup.ORACLE | license_scan.ORACLE | sql

@@ -216,3 +216,15 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = {
+    "op3_substring_dedup": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, r, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: struct_pack(s := i, g := array_to_string(w[i : i + {WINDOW - 1}], ' ')))) AS x FROM d),
+later AS (SELECT r, x.s AS s FROM g QUALIFY row_number() OVER (PARTITION BY x.g ORDER BY doc_id, r, x.s) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + {WINDOW})) AS p FROM later),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r) LEFT JOIN kept USING (r)"""
+}
