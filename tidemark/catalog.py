@@ -1,6 +1,6 @@
 """All registered queries and the SQL that gives the same rows."""
 
-from tidemark.plans import aggregates, factors, joins, leadlag, models, pairs, portfolio, reshape, scoring, windows  # noqa: F401
+from tidemark.plans import aggregates, factors, io, joins, leadlag, models, pairs, portfolio, reshape, scoring, windows  # noqa: F401
 from tidemark.plans.registry import QUERIES
 
 

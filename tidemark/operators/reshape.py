@@ -107,3 +107,10 @@ def filled(df: DataFrame, c: str, key: str = "ticker", ts: str = "ts", head: boo
     w = W.series_order(key, by=(ts,))
     v = W.fill_forward(c, w)
     return df.withColumn(c, F.coalesce(v, W.fill_backward(c, w)) if head else v)
+
+
+def unique_columns(df: DataFrame) -> DataFrame:
+    """The first of columns with one name."""
+    places = list({c: i for i, c in reversed(list(enumerate(df.columns)))}.values())
+    renamed = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return renamed.select(*[F.col(f"_{i}").alias(df.columns[i]) for i in sorted(places)])

@@ -83,3 +83,12 @@ def read_vendor(spark: SparkSession, name: str, **options) -> DataFrame:
     if name not in VENDORS:
         raise LookupError(f"no vendor reader named {name!r}; register one, or read its files with read_bars")
     return VENDORS[name](spark, **options)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the place that driver and executors share."""
+    import uuid
+
+    key = "spark.checkpoint.dir"
+    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or "file:///tmp/checkpoints/tidemark"
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
