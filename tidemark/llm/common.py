@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes A-Z become a-z, every other byte stays.
@@ -43,6 +44,9 @@ class Stage:
         self.n += 1
         path = f"{self.root}/{self.n:03d}_{name}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1:  # what is left goes with the application
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
         self.release()
@@ -70,7 +74,17 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null counts as empty."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+    return [x or b"" for x in (column if pa.types.is_binary(column.type) else column.cast(pa.binary())).to_pylist()]
+
+
+def utf8_groups(column: pa.Array, size: int):
+    """(from, to, texts) of runs of rows of about so many bytes; a longer text is alone. One run's texts are in memory at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, to, utf8(column.slice(at, to - at))
+        at = to
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

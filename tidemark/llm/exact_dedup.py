@@ -19,7 +19,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import ASCII_LOWER, Stage, batch, keyed, partitions, utf8
+from tidemark.llm.common import ASCII_LOWER, Stage, batch, keyed, partitions, utf8_groups
 
 FP_BITS = 48
 CHUNK_ROWS = 1 << 16
@@ -75,13 +75,13 @@ def _keys(owners: int):
         part, seq = TaskContext.get().partitionId(), 0
         ids, rows, fps, shas = [], [], [], []
         for b in batches:
-            texts = utf8(b.column(1))
             ids += b.column(0).to_pylist()
             rows += b.column(2).to_pylist()
-            for t in texts:
-                t = t.translate(ASCII_LOWER)
-                fps.append(xxhash.xxh3_64_intdigest(t) >> (64 - FP_BITS))
-                shas.append(hashlib.sha256(t).digest())
+            for *_, texts in utf8_groups(b.column(1), 1 << 20):
+                for t in texts:
+                    t = t.translate(ASCII_LOWER)
+                    fps.append(xxhash.xxh3_64_intdigest(t) >> (64 - FP_BITS))
+                    shas.append(hashlib.sha256(t).digest())
             while len(ids) >= CHUNK_ROWS:
                 yield from chunk_rows(ids[:CHUNK_ROWS], rows[:CHUNK_ROWS], fps[:CHUNK_ROWS], shas[:CHUNK_ROWS], part << 20 | seq)
                 ids, rows, fps, shas, seq = ids[CHUNK_ROWS:], rows[CHUNK_ROWS:], fps[CHUNK_ROWS:], shas[CHUNK_ROWS:], seq + 1
@@ -107,7 +107,8 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _lowered(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t.translate(ASCII_LOWER) for t in utf8(b.column(2))], pa.binary())], names=["doc_id", "row", "norm"])
+        for i, j, texts in utf8_groups(b.column(2), 4 << 20):
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([t.translate(ASCII_LOWER) for t in texts], pa.binary())], names=["doc_id", "row", "norm"])
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

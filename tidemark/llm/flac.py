@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import batch, keyed, utf8
+from tidemark.llm.common import batch, keyed, utf8_groups
 
 UNIT, PAD = 192, b" "
 BLOCK = 1152
@@ -373,26 +373,13 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return [(x.view(np.uint8) ^ 128).tobytes() for x in out]
 
 
-def _groups(values: list[bytes]):
-    """Index ranges of about _TOGETHER bytes."""
-    at = 0
-    while at < len(values):
-        to, size = at, 0
-        while to < len(values) and (to == at or size + len(values[to]) <= _TOGETHER):
-            size += len(values[to])
-            to += 1
-        yield at, to
-        at = to
-
-
 ENCODED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
 
 def _encode(batches):
     for b in batches:
-        texts = utf8(b.column(1))
-        for i, j in _groups(texts):
-            yield batch(ENCODED, b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), [len(t) for t in texts[i:j]], encode([payload(t) for t in texts[i:j]]))
+        for i, j, texts in utf8_groups(b.column(1), _TOGETHER):
+            yield batch(ENCODED, b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), list(map(len, texts)), encode(list(map(payload, texts))))
 
 
 def media_column(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -410,9 +397,9 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, j in _groups(b.column(3).to_pylist()):
+            for i, j, media in utf8_groups(b.column(3), _TOGETHER):
                 ids, rows = b.column(0).slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist()
-                cut = [(d, r, s, min(BLOCK, len(p) - s), p[s : s + BLOCK]) for d, r, p in zip(ids, rows, decode(b.column(3).slice(i, j - i).to_pylist())) for s in range(0, len(p), BLOCK)]
+                cut = [(d, r, s, min(BLOCK, len(p) - s), p[s : s + BLOCK]) for d, r, p in zip(ids, rows, decode(media)) for s in range(0, len(p), BLOCK)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "row", "sample_offset", "n_samples", "pcm"])
 
     return media.select("doc_id", "row", "n_bytes", "media").mapInArrow(run, "doc_id long, row long, sample_offset long, n_samples int, pcm binary")
@@ -429,12 +416,11 @@ READ = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.in
 
 def _read(batches):
     for b in batches:
-        media = b.column(3).to_pylist()
-        for i, j in _groups(media):
-            p = decode(media[i:j])
+        for i, j, media in utf8_groups(b.column(3), _TOGETHER):
+            p = decode(media)
             yield batch(
                 READ, b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), list(map(len, p)), [hashlib.sha256(x).hexdigest() for x in p],
-                [zlib.crc32(x[-16:]) for x in p], list(map(len, media[i:j])), [hashlib.sha256(x).hexdigest() for x in media[i:j]], list(map(feature, p)),
+                [zlib.crc32(x[-16:]) for x in p], list(map(len, media)), [hashlib.sha256(x).hexdigest() for x in media], list(map(feature, p)),
             )
 
 

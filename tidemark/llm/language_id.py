@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import batch, keyed, utf8
+from tidemark.llm.common import batch, keyed, utf8_groups
 from tidemark.llm.sample import first_by_hash, remainder
 
 #: Bounds of the training sample: documents, and distinct words a language.
@@ -165,13 +165,9 @@ def _predict(model):
         languages, net = model.value
         pool = Pool(net) if net else None
         for b in batches:
-            texts, at, out = utf8(b.column(1)), 0, []
-            while at < len(texts):
-                some, size = [], 0
-                while at < len(texts) and (not some or size < 1 << 20):
-                    size += len(texts[at])
-                    some.append(segments(texts[at]) if any(map(str.isalpha, texts[at].decode())) else [])
-                    at += 1
+            out = []
+            for *_, texts in utf8_groups(b.column(1), 1 << 20):
+                some = [segments(t) if any(map(str.isalpha, t.decode())) else [] for t in texts]
                 if net is None:
                     out += [("und", 0.0)] * len(some)
                     continue

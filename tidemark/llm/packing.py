@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import Stage, keyed, utf8
+from tidemark.llm.common import Stage, keyed, utf8_groups
 from tidemark.llm.hashing import BYTE, Sums
 
 CAPACITY, END = 1024, 2
 ROUNDS = 800
-_CACHE = 600_000
+#: Documents are encoded together up to so many bytes; parts are remembered up to so many.
+TOGETHER, _CACHE = 1 << 20, 300_000
 _MARKS = string.punctuation
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, task long, rank long"
@@ -142,11 +143,8 @@ class Encoder:
         data = np.frombuffer(joined, np.uint8)
         space = np.flatnonzero(data == 32)
         start, end = space[:-1] + 1, space[1:]
-        value = BYTE[data]
-        h = Sums(0, value).span(start, end)
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        second = Sums(1, value).span(start, end)
-        if (second[at][which] != second).any():  # two words with one hash
+        _, at, which = np.unique(Sums(0, BYTE[data]).span(start, end), return_index=True, return_inverse=True)
+        if not _same_bytes(data, start, end, at[which]):  # two words with one hash
             for i, x in zip(plain, self.ids([texts[i].decode() for i in plain])):
                 out[i] = x
             return out
@@ -170,6 +168,15 @@ class Encoder:
         return out
 
 
+def _same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span whose number ``other`` gives."""
+    n = end - start
+    if (n != n[other]).any():
+        return False
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return bool((data[np.repeat(start, n) + within] == data[np.repeat(start[other], n) + within]).all())
+
+
 @lru_cache(2)
 def encoder(path: str, ranks: str | None = None) -> Encoder:
     return Encoder(path, ranks)
@@ -191,20 +198,16 @@ def _pieces(path: str, ranks: str | None, capacity: int):
         e, task = encoder(path, ranks), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            ids, rows, texts, at = b.column(0).to_pylist(), b.column(2).to_pylist(), utf8(b.column(1)), 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) < 2 << 20):
-                    size += len(texts[to])
-                    to += 1
+            ids, rows = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for at, _, texts in utf8_groups(b.column(1), TOGETHER):
                 out = []
-                for i, data in zip(range(at, to), e.ids_of(texts[at:to])):
+                for i, data in enumerate(e.ids_of(texts), at):
                     data += end
                     for k, (s, n) in enumerate(cut(len(data) // 4, capacity)):
                         out.append((ids[i], rows[i], k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), task, int(seen[n])))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW_PIECES)], schema=ARROW_PIECES)
-                at = to
+        e.known.clear()  # the worker lives on, its memory is for the next task
 
     return run
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import ASCII_LOWER, Stage, batch, keyed, utf8
+from tidemark.llm.common import ASCII_LOWER, Stage, batch, keyed, utf8_groups
 from tidemark.llm.components import components
 
 SEED, SHINGLE, MOST_BITS, BLOCKS = 42, 3, 3, 5
@@ -43,7 +43,8 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64
 
 def _fingerprints(batches):
     for b in batches:
-        yield batch(SCHEMA, b.column(0), b.column(2), np.array([fingerprint(t) for t in utf8(b.column(1))], np.uint64).view(np.int64))
+        prints = [fingerprint(t) for *_, texts in utf8_groups(b.column(1), 1 << 20) for t in texts]
+        yield batch(SCHEMA, b.column(0), b.column(2), np.array(prints, np.uint64).view(np.int64))
 
 
 def _local_links(fps: np.ndarray) -> list[tuple[int, int]]:

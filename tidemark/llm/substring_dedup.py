@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import Stage, batch, keyed, mix64, utf8
+from tidemark.llm.common import Stage, batch, keyed, mix64, utf8, utf8_groups
 from tidemark.llm.hashing import BYTE, Sums
 
 WINDOW, GRAM = 20, 6
@@ -85,14 +85,8 @@ class Paths:
 def _documents(batches):
     """(doc_ids, rows, Paths) of documents taken together."""
     for b in batches:
-        texts, at = utf8(b.column(1)), 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= TOGETHER):
-                size += len(texts[to])
-                to += 1
-            yield b.column(0).slice(at, to - at), b.column(2).slice(at, to - at), Paths(texts[at:to])
-            at = to
+        for i, j, texts in utf8_groups(b.column(1), TOGETHER):
+            yield b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), Paths(texts)
 
 
 def _minimizers(batches):
