@@ -32,7 +32,7 @@ from tidemark.llm.hashing import BYTE, Sums
 CAPACITY, END = 1024, 2
 ROUNDS = 800
 #: Documents are encoded together up to so many bytes; parts are remembered up to so many.
-TOGETHER, _CACHE = 1 << 20, 300_000
+TOGETHER, _CACHE = 1 << 20, 400_000
 _MARKS = string.punctuation
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, task long, rank long"
@@ -191,7 +191,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 ARROW_PIECES = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in (x.split()[0] for x in PIECES.split(", "))])
 
 
-def _pieces(path: str, ranks: str | None, capacity: int):
+def _pieces(path: str, ranks: str | None, capacity: int, together: int):
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
@@ -199,7 +199,7 @@ def _pieces(path: str, ranks: str | None, capacity: int):
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             ids, rows = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for at, _, texts in utf8_groups(b.column(1), TOGETHER):
+            for at, _, texts in utf8_groups(b.column(1), together):
                 out = []
                 for i, data in enumerate(e.ids_of(texts), at):
                     data += end
@@ -324,7 +324,7 @@ def _placed(table):
     return run
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, together: int = TOGETHER) -> DataFrame:
     """One row per piece: doc_id, row, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and then id 2; null counts as empty, so that it and the empty text are one token.
@@ -335,7 +335,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
         path, ranks = tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")
     stage = Stage(docs.sparkSession, "pack")
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = stage.table(source.mapInArrow(_pieces(path, ranks, capacity), PIECES), "pieces")
+    pieces = stage.table(source.mapInArrow(_pieces(path, ranks, capacity, together), PIECES), "pieces")
     counts = stage.table(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
     rows, _ = plan(histogram, capacity)
@@ -347,4 +347,4 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), together=3 << 20).drop("row")
