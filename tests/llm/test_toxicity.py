@@ -67,3 +67,22 @@ def test_nothing_to_learn(spark, empty_df):
     assert T.toxicity(empty_df, none).count() == 0
     got = T.toxicity(spark.createDataFrame([(1, "some words here")], "doc_id long, text string"), none).collect()
     assert got[0].predicted == 0
+
+
+def test_windows_hold_every_short_part():
+    for n in (0, 3, 20, 21, 27, 28, 61, 400):
+        x = "".join(chr(0x4E00 + i) for i in range(n))
+        cut = T.windows(x)
+        assert all(len(w) <= 20 for w in cut) and all(any(x[i : i + 13] in w for w in cut) for i in range(max(1, n - 12)))
+
+
+def test_insults_behind_the_twentieth_letter(spark):
+    docs, _, df, labels = labelled(spark)
+    late = [
+        "lomikanu-tersanvo-peldraqui-kalomi-grobnik", "kalomi.nutersan.vopeldra.quikalo@zorpfex.lo", "lomi_nuter_sanvo_peldra_quika_blivvet",
+        "k a l o m i n u t e r s a n v o p e l d r a g r o b n i k", "kalominutersanvopeldraquikagrobnik",
+    ]
+    fine = ["lomikanu-tersanvo-peldraqui-kalomi-nuter", "k a l o m i n u t e r s a n v o p e l d r a k a l o m i", "kalominutersanvopeldraquikalominu"]
+    more = spark.createDataFrame([(7000 + i, f"ka lo {t} mi nu") for i, t in enumerate(late + fine)], "doc_id long, text string")
+    by = {r.doc_id: r for r in T.toxicity(df.select("doc_id", "text").unionByName(more), labels).collect()}
+    assert [by[7000 + i].predicted for i in range(len(late + fine))] == [1] * len(late) + [0] * len(fine), [round(by[7000 + i].score, 3) for i in range(len(late + fine))]

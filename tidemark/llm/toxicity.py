@@ -8,7 +8,9 @@ with them, where a linear machine is trained on hinge loss. As kernel, map and m
 subsequences, the trained machine is folded into one weight for each of them; scoring then sums the weights of a
 string's subsequences and costs a few lookups a letter.
 
-The strings are words, and runs of single letters joined ("i d i o t"). Labels are of documents, so the training
+The strings are words, and runs of single letters joined ("i d i o t"); longer ones are cut into overlapping windows
+of 20 and of 12 letters, all of which are scored, and the parts of a long joined word ("you-are-such-an-idiot") also by
+themselves. Labels are of documents, so the training
 words are chosen as multiple instances: words of labelled documents whose counts speak for the label count as
 toxic, words of clean documents as clean; words of clean documents that still score high are added as negatives and
 the machine is trained again. A word counts once for each pair of neighbours, so that copies of a document do not
@@ -33,6 +35,8 @@ from tidemark.llm.sample import first_by_hash, remainder
 SAMPLE_TOXIC, SAMPLE_CLEAN, TOXIC_WORDS, CLEAN_WORDS = 3000, 5000, 600, 20_000
 LAMBDA, ORDER, STRETCH, LONGEST, LANDMARKS, FEATURES = 0.6, 4, 7, 22, 400, 1 << 22
 THRESHOLD = 0.7
+#: Lengths of the windows of a long string, and how many letters neighbouring ones share.
+WINDOWS = ((20, 13), (12, 9))
 #: Texts are taken together up to so many bytes; strings are remembered up to so many.
 TOGETHER, _CACHE = 1 << 20, 150_000
 
@@ -44,7 +48,29 @@ PATTERNS = list(combinations(range(1, STRETCH), ORDER - 1))
 
 
 def letters(word: str) -> str:
-    return "".join(filter(str.isalpha, word))[: LONGEST - 2]
+    return "".join(filter(str.isalpha, word))
+
+
+def windows(string: str) -> list[str]:
+    """A string of more than LONGEST - 2 letters as overlapping windows, so that every letter is in some.
+
+    Whatever is no longer than a window's overlap lies whole in one; the smaller windows are for short insults, which
+    a long one would drown.
+    """
+    if len(string) <= LONGEST - 2:
+        return [string]
+    return [string[i : i + size] for size, overlap in WINDOWS for i in (*range(0, len(string) - size, size - overlap), len(string) - size)]
+
+
+def pieces_of(word: str) -> list[str]:
+    """What of a word is scored: its letters, in windows where they are many, and where it is cut, also its parts between other characters."""
+    if word.isalpha() and len(word) <= LONGEST - 2:
+        return [word]
+    whole = letters(word)
+    if len(whole) <= LONGEST - 2:
+        return [whole]
+    parts = "".join(c if c.isalpha() else " " for c in word).split()
+    return [*windows(whole), *(x for p in parts if len(p) < len(whole) for x in windows(p))]
 
 
 def codes(strings: list[str]) -> np.ndarray:
@@ -138,10 +164,10 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, seed:
 
 def places_of(text: str) -> list[tuple[str, int]]:
     """The strings of a text that are scored, with a hash of the neighbours: the letters of its lower-case words of
-    three letters or more, and runs of words of one letter, joined."""
+    three letters or more, and runs of words of one letter, joined; long ones in windows."""
     words = text.lower().split()
-    clean = {w: w if w.isalpha() and len(w) <= LONGEST - 2 else letters(w) for w in set(words)}
-    out = {(c, crc32((b + "\n" + d).encode())) for b, w, d in zip(["", *words], words, [*words[1:], ""]) if len(c := clean[w]) >= 3}
+    clean = {w: pieces_of(w) for w in set(words)}
+    out = {(c, crc32((b + "\n" + d).encode())) for b, w, d in zip(["", *words], words, [*words[1:], ""]) for c in clean[w] if len(c) >= 3}
     return [*out, *((x, 0) for x in spelled(words))]
 
 
@@ -153,7 +179,7 @@ def spelled(words: list[str]) -> list[str]:
             run.append(x)
         else:
             if len(run) >= 3:
-                out.append("".join(run)[: LONGEST - 2])
+                out += windows("".join(run))
             run = []
     return out
 
@@ -161,7 +187,7 @@ def spelled(words: list[str]) -> list[str]:
 def strings_of(text: str) -> list[str]:
     """Distinct strings of a text that are scored."""
     words = text.lower().split()
-    out = {w if w.isalpha() and len(w) <= LONGEST - 2 else letters(w) for w in set(words)}
+    out = {x for w in set(words) for x in pieces_of(w)}
     return [w for w in out.union(spelled(words)) if len(w) >= 3]
 
 
