@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Bytes A-Z become a-z, every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-DEFAULT_SHARED = "file:///tmp/checkpoints/tidemark"
+#: Used where spark.checkpoint.dir is unset and driver and executors are one local process.
+LOCAL_SHARED = "file:///tmp/checkpoints/tidemark"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +27,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    key = "spark.checkpoint.dir"
-    return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or DEFAULT_SHARED
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without."""
+    key, conf = "spark.checkpoint.dir", spark.sparkContext.getConf()
+    found = spark.conf.get(key, None) or conf.get(key)
+    if found:
+        return found
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return LOCAL_SHARED
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 class Stage:
@@ -64,14 +71,90 @@ class Stage:
         self.spark._jvm.System.gc()
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns plus ``row``, a number for each row that is the same in each scan of the same files.
+def keyed(docs: DataFrame, *columns) -> DataFrame:
+    """The named columns plus ``row``, a number that tells the rows of one scan apart, repeated ones and null ids too.
 
-    Repeated rows and repeated or null ids stay apart by it.
+    Another scan may give other numbers: what reads the documents more than once takes ``numbered``.
     """
     return docs.select(*columns, F.monotonically_increasing_id().alias("row"))
 
 
+def numbered(docs: DataFrame, stage: Stage, *columns, scan: bool = False, name: str = "row") -> DataFrame:
+    """The named columns plus a number for each row, which stays the same however often and in whatever splits it is read.
+
+    With ``scan``, docs is a plain scan of files, and a row is known by its file's place among the sorted paths and
+    its place in the file. The table of paths has one row a file, and is broadcast for as long as it is small. Any
+    other DataFrame is written to the shared folder once.
+    """
+    if not scan:
+        return stage.table(docs.select(*columns, F.monotonically_increasing_id().alias(name)), "numbered")
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = sorted(r[0] for r in docs.select(path.alias("p")).distinct().collect())  # one row a file
+    if len(files) == 1:
+        return docs.select(*columns, place.alias(name))
+    if len(files) > MOST_FILES:
+        return numbered(docs, stage, *columns, name=name)
+    table = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(files)), "_tidemark_file long, _tidemark_path string"))
+    placed = docs.select(*columns, path.alias("_tidemark_path"), place.alias("_tidemark_place")).join(table, "_tidemark_path")
+    return placed.select(*_names(docs, columns), (F.shiftleft("_tidemark_file", 40) + F.col("_tidemark_place")).alias(name))
+
+
+def _names(docs: DataFrame, columns) -> list:
+    return [F.col(f"`{c}`") for c in docs.select(*columns).columns]
+
+
+#: Paths that are broadcast: at 200 bytes a path, 20 MB.
+MOST_FILES = 100_000
+#: Numbers that one bitmap may hold, and its bits a number; it then has 2**29 bits at most, 64 MB.
+MOST_ONES, BITS_EACH = 1 << 25, 16
+
+
+class Bitmap:
+    """A set of 64-bit hashes by their leading bits: it says yes to each member, and to few others."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    @classmethod
+    def of(cls, hashes: DataFrame, column: str, most: int | None = None) -> Bitmap | None:
+        """The set of a column, sized by its number of rows; None where these are more than ``most``."""
+        n = hashes.count()
+        if n > (MOST_ONES if most is None else most):
+            return None
+        bits = max(16, (BITS_EACH * n - 1).bit_length())
+        top = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("t"))
+        words = top.select(F.shiftright("t", 6).alias("w"), F.expr("shiftleft(1L, cast(t & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        out = np.zeros(1 << (bits - 6), np.int64)
+        out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+        return cls(out, bits)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        i = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.words.view(np.uint64)[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63))) & np.uint64(1) == 1
+
+
+def marks(rows: DataFrame, column: str = "row"):
+    """A broadcast bitmap of the hashes of row numbers, for ``marked``; None where they are too many for one."""
+    bitmap = Bitmap.of(rows.select(F.xxhash64(column).alias("h")), "h")
+    return None if bitmap is None else rows.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def marked(source: DataFrame, bitmap, has: bool = True, column: str = "row") -> DataFrame:
+    """The rows of source that the bitmap has, or those that it has not; without a bitmap all of them, or none.
+
+    The filter runs in the tasks that scan, so what it drops crosses no shuffle.
+    """
+    if bitmap is None:
+        return source if has else source.where(F.lit(False))
+
+    def run(batches):
+        for b in batches:
+            hit = bitmap.value.has(b.column(b.num_columns - 1).to_numpy())
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(hit if has else ~hit))
+
+    return source.withColumn("_tidemark_hash", F.xxhash64(column)).mapInArrow(run, source.schema)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null counts as empty."""
     return [x or b"" for x in (column if pa.types.is_binary(column.type) else column.cast(pa.binary())).to_pylist()]

@@ -4,9 +4,10 @@
    partition into chunks. A chunk sends each owner of a fingerprint range one message: its sorted distinct
    fingerprints as Golomb-Rice coded gaps.
 2. An owner decodes its messages and answers each chunk with a bitmap: which fingerprints another chunk has too.
-3. Rows whose bit is set, or which repeat within their chunk, are suspects. Their texts are shuffled and grouped
-   by their bytes, which is the verification; groups are pre-aggregated before the shuffle, so that a text with
-   any number of copies crosses it once a task.
+3. Rows whose bit is set, or which repeat within their chunk, are suspects. A second scan lets only their texts
+   through, by a bitmap of their row numbers for as long as it has a bounded size, by a join beyond. The texts are
+   shuffled and grouped by their bytes, which is the verification; groups are pre-aggregated before the shuffle, so
+   that a text with any number of copies crosses it once a task.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import ASCII_LOWER, Stage, batch, keyed, partitions, utf8_groups
+from tidemark.llm.common import ASCII_LOWER, Stage, batch, marked, marks, numbered, utf8_groups
 
 FP_BITS = 48
-CHUNK_ROWS = 1 << 16
+#: Rows of a chunk, and about how many fingerprints an owner gets.
+CHUNK_ROWS, OWNED = 1 << 16, 1 << 21
 
 KEYS = "doc_id long, row long, chunk long, owner int, rank int, twin boolean, sha binary, message binary"
 ARROW_KEYS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int64()), ("owner", pa.int32()), ("rank", pa.int32()), ("twin", pa.bool_()), ("sha", pa.binary()), ("message", pa.binary())])
@@ -108,30 +110,36 @@ def _answer(table: pa.Table) -> pa.Table:
 def _lowered(batches):
     for b in batches:
         for i, j, texts in utf8_groups(b.column(2), 4 << 20):
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([t.translate(ASCII_LOWER) for t in texts], pa.binary())], names=["doc_id", "row", "norm"])
+            columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([t.translate(ASCII_LOWER) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "norm"])
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scan: bool = False) -> DataFrame:
     """One row per input row: doc_id, row, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts form one
-    group. The row with the largest doc_id stays; among rows that repeat this id, the one that comes first in the
-    input. A null doc_id is smaller than any other. An empty table gives an empty result. Only the two named
-    columns are read, so other columns may have any names.
+    group. The row with the largest doc_id stays; among rows that repeat this id, the one with the smallest row
+    number. A null doc_id is smaller than any other. Texts of any length count whole. An empty table gives an empty
+    result. Only the two named columns are read, so other columns may have any names. ``scan``: docs is a plain scan
+    of files, which can be read twice without a copy (see common.numbered).
     """
     spark = docs.sparkSession
     stage = Stage(spark, "exact")
-    source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    owners = 1 << max(4, (partitions(docs) // 256).bit_length())
-    keys = stage.table(source.mapInArrow(_keys(owners), KEYS), "keys")
+    source = numbered(docs, stage, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), scan=scan)
+    owners = 1 << max(4, (docs.select(doc_id).count() // OWNED).bit_length())
+    keys = stage.table(source.select("doc_id", "text", "row").mapInArrow(_keys(owners), KEYS), "keys")
     rows = keys.where("message is null")
-    bitmaps = keys.where("message is not null").select("chunk", "owner", "message").groupBy("owner").applyInArrow(_answer, "chunk long, owner int, bitmap array<long>")
-    suspect = F.col("twin") | (F.element_at("bitmap", (F.shiftright("rank", 6) + 1).cast("int")).bitwiseAND(F.expr("shiftleft(1L, rank % 64)")) != 0)
-    suspects = rows.select("chunk", "owner", "rank", "twin", "row").join(bitmaps, ["chunk", "owner"]).where(suspect).select("row")
-    texts = source.select("doc_id", "row", "text").join(suspects, "row", "left_semi").select("doc_id", "row", "text").mapInArrow(_lowered, "doc_id long, row long, norm binary")
+    messages = keys.where("message is not null").select("chunk", "owner", "message")
+    bitmaps = messages.groupBy("owner").applyInArrow(_answer, "chunk long, owner int, bitmap array<long>")
+    told = F.element_at("bitmap", (F.shiftright("rank", 6) + 1).cast("int")).bitwiseAND(F.expr("shiftleft(1L, rank % 64)")) != 0
+    suspects = stage.table(rows.select("chunk", "owner", "rank", "twin", "row").join(bitmaps, ["chunk", "owner"]).where(F.col("twin") | told).select("row"), "suspects")
+    bitmap = marks(suspects)
+    texts = marked(source, bitmap) if bitmap else source.join(suspects, "row", "left_semi")
+    texts = texts.select("doc_id", "row", "text").mapInArrow(_lowered, "doc_id long, row long, norm binary")
     groups = texts.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", (-F.col("row")).alias("r"))).alias("keep")).where("n > 1")
     # One text has one SHA-256; two texts with the same one would be a collision, and no row may get two answers.
     verified = stage.table(groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("keep.doc_id").alias("keep_id"), (-F.col("keep.r")).alias("keep_row"), "n"), "groups")
+    stage.drop(suspects)
     found = rows.select("doc_id", "row", "sha").join(verified, "sha", "left")
     single = F.col("n").isNull()
     return found.select(
@@ -141,7 +149,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan=True).drop("row")
 
 
 ORACLE = {
