@@ -13,9 +13,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import batch, keyed, utf8
+from tidemark.llm.common import batch, keyed, utf8_groups
 
-_CACHE = 500_000
+#: Texts are taken together up to so many bytes; words are remembered up to so many.
+TOGETHER, _CACHE = 4 << 20, 500_000
 
 
 class Automaton:
@@ -82,14 +83,15 @@ def _counts(path: str):
         a, known = automaton(path), {}
         for b in batches:
             words, tokens = [], []
-            for t in utf8(b.column(1)):
-                w = t.split()
-                if len(known) > _CACHE:
-                    known.clear()
-                for x in set(w).difference(known):
-                    known[x] = a.count(b" " + x)
-                words.append(len(w))
-                tokens.append(sum(map(known.__getitem__, w)))
+            for *_, texts in utf8_groups(b.column(1), TOGETHER):
+                for t in texts:
+                    w = t.split()
+                    if len(known) > _CACHE:
+                        known.clear()
+                    for x in set(w).difference(known):
+                        known[x] = a.count(b" " + x)
+                    words.append(len(w))
+                    tokens.append(sum(map(known.__getitem__, w)))
             yield batch(OUT, b.column(0), b.column(2), words, tokens)
 
     return run
@@ -99,8 +101,8 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
     """One row per input row: doc_id, row, n_words, n_tokens.
 
     Words are runs of bytes other than ASCII white space; each is taken with one space in front and split by longest
-    match over the vocabulary at ``path`` (a rank file). Null counts as empty: no words, no tokens. Repeated rows get
-    equal values; an empty table gives an empty result; columns other than the two named are not read.
+    match over the vocabulary at ``path`` (a rank file). Null counts as empty: no words, no tokens. Texts of any length
+    count whole; null ids are kept; repeated rows get equal values; an empty table gives an empty result; columns other than the two named are not read.
     """
     if path is None:
         import public_tokenizers
