@@ -94,19 +94,24 @@ def numbered(docs: DataFrame, stage: Stage, *columns, scan: bool = False, name:
         return docs.select(*columns, place.alias(name))
     if len(files) > MOST_FILES:
         return numbered(docs, stage, *columns, name=name)
-    table = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(files)), "_tidemark_file long, _tidemark_path string"))
-    placed = docs.select(*columns, path.alias("_tidemark_path"), place.alias("_tidemark_place")).join(table, "_tidemark_path")
-    return placed.select(*_names(docs, columns), (F.shiftleft("_tidemark_file", 40) + F.col("_tidemark_place")).alias(name))
+    at, in_file, number = (fresh(docs, x) for x in ("path", "place", "file"))
+    table = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(files)), f"{number} long, {at} string"))
+    placed = docs.select(*columns, path.alias(at), place.alias(in_file)).join(table, at)
+    return placed.select(*[F.col(f"`{c}`") for c in docs.select(*columns).columns], (F.shiftleft(number, 40) + F.col(in_file)).alias(name))
 
 
-def _names(docs: DataFrame, columns) -> list:
-    return [F.col(f"`{c}`") for c in docs.select(*columns).columns]
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 #: Paths that are broadcast: at 200 bytes a path, 20 MB.
 MOST_FILES = 100_000
-#: Numbers that one bitmap may hold, and its bits a number; it then has 2**29 bits at most, 64 MB.
-MOST_ONES, BITS_EACH = 1 << 25, 16
+#: Hashes that one bitmap may hold, its bits a hash, and its bits at most (32 MB).
+MOST_ONES, BITS_EACH, MOST_BITS = 1 << 24, 64, 1 << 28
 
 
 class Bitmap:
@@ -121,7 +126,7 @@ class Bitmap:
         n = hashes.count()
         if n > (MOST_ONES if most is None else most):
             return None
-        bits = max(16, (BITS_EACH * n - 1).bit_length())
+        bits = max(16, (min(MOST_BITS, BITS_EACH * n) - 1).bit_length())
         top = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("t"))
         words = top.select(F.shiftright("t", 6).alias("w"), F.expr("shiftleft(1L, cast(t & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         out = np.zeros(1 << (bits - 6), np.int64)
@@ -152,7 +157,13 @@ def marked(source: DataFrame, bitmap, has: bool = True, column: str = "row") ->
             hit = bitmap.value.has(b.column(b.num_columns - 1).to_numpy())
             yield b.select(range(b.num_columns - 1)).filter(pa.array(hit if has else ~hit))
 
-    return source.withColumn("_tidemark_hash", F.xxhash64(column)).mapInArrow(run, source.schema)
+    return source.withColumn(fresh(source, "hash"), F.xxhash64(column)).mapInArrow(run, source.schema)
+
+
+def without(source: DataFrame, rows: DataFrame, column: str = "row") -> DataFrame:
+    """The rows of source whose number is not in the staged table rows(row); those that a bitmap clears cross no shuffle."""
+    gone, bitmap = rows.select(F.col("row").alias(column)), marks(rows)
+    return marked(source, bitmap, False, column).unionByName(marked(source, bitmap, True, column).join(gone, column, "left_anti"))
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from tidemark.llm.common import mix64
 
 _rng = np.random.default_rng(20)
 #: A random value for each byte.
 BYTE = _rng.integers(1 << 62, 1 << 63, 256, dtype=np.uint64)
+#: Words from so many bytes on get a hash of their own: sums modulo 2**64 have known collisions between long words.
+LONG = 64
 _BASE = _rng.integers(1 << 62, 1 << 63, 3, dtype=np.uint64) & ~np.uint64(7) | np.uint64(5)
+#: And another one.
+OTHER = _rng.integers(1 << 62, 1 << 63, 256, dtype=np.uint64)
 
 
 class _Powers:
@@ -39,3 +44,12 @@ class Sums:
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes for each word data[start:end]."""
+    one, two = Sums(0, BYTE[data]).span(start, end), Sums(1, OTHER[data]).span(start, end)
+    for i in np.flatnonzero(end - start >= LONG):
+        h = xxhash.xxh3_128_intdigest(data[start[i] : end[i]])
+        one[i], two[i] = h & (1 << 64) - 1, h >> 64
+    return one, two

@@ -2,16 +2,20 @@
 
 A window of 20 words is an edge of the de Bruijn graph. Consecutive windows of a document that share their
 minimizer (of the 6-word grams in a window, the least hash) are one path without branches inside the document; such
-a path is compacted into one row, known by the 128-bit hash of its words.
-
-1. A scan finds the minimizers that occur more than once; only paths around these can repeat. They go into a bitmap
-   of fixed size, which may let more through and never fewer.
-2. A second scan emits the paths with such a minimizer. Grouped by their hash, the first occurrence by
-   (doc_id, row, start) is the source; a join hands its coordinates to the later ones.
-3. A minimizer whose paths are not all the same is a branch. A third scan expands the paths at branches into single
-   windows, which are grouped and joined the same way. Where all paths of a minimizer are the same, the compacted
-   rows have said everything.
-4. The spans are gathered by document and joined to the texts; words that they cover go.
+a path is compacted into one row, known by 128 bits of two independent hashes of its words.
+
+1. A scan finds the minimizers that occur more than once; only paths around these can repeat.
+2. A second scan emits the paths with such a minimizer. A bitmap lets them through, which is sized by their number;
+   where they are too many for one, a join does. Grouped by their hash they are the distinct paths, each with its
+   first place by (doc_id, row, start).
+3. A minimizer with several distinct paths is a branch. Of each distinct path there, the first place is expanded
+   into single windows; what comes later is the same path again and is compared whole. Where all paths of a
+   minimizer are the same, the compacted rows have said everything.
+4. Repeated paths and expanded windows go back to the texts by their coordinates, where SHA-256 of the words is
+   taken. This verifies them, as only then are spans grouped, by SHA-256. The first place is the source, and a join
+   hands its coordinates to the later ones.
+5. The spans are gathered by document and joined to the texts; words that they cover go. Texts without a request,
+   or without a span, cross no shuffle.
 
 Each grouping is pre-aggregated, so a passage that a third of all documents share crosses a shuffle once a task.
 """
@@ -22,14 +26,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import Stage, batch, keyed, mix64, utf8, utf8_groups
-from tidemark.llm.hashing import BYTE, Sums
+from tidemark.llm.common import Bitmap, Stage, batch, fresh, marked, marks, mix64, numbered, utf8_groups
+from tidemark.llm.hashing import Sums, word_hashes
 
 WINDOW, GRAM = 20, 6
-#: Bits of the bitmap of minimizers: 2**27, so 16 MB whatever the input's size.
-MAP_BITS = 27
 #: Documents are hashed together up to so many bytes; a longer one is hashed alone.
 TOGETHER = 1 << 20
 
@@ -54,8 +57,8 @@ class Paths:
         self.first_word = np.searchsorted(start, first[:-1])
         n = max(0, len(start) - WINDOW + 1)
         valid = np.flatnonzero(self.document[:n] == self.document[WINDOW - 1 :][:n])
-        word = Sums(0, BYTE[data]).span(start, end)
-        self.hashes = Sums(1, word), Sums(2, mix64(word ^ np.uint64(0x5851F42D4C957F2D)))
+        word, other = word_hashes(data, start, end)
+        self.hashes = Sums(1, word), Sums(2, other)
         if not len(valid):
             self.start = self.length = valid
             self.minimizer = valid.astype(np.uint64)
@@ -95,120 +98,162 @@ def _minimizers(batches):
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int8))], names=["m", "n"])
 
 
-def _in(bitmap: np.ndarray, minimizers: np.ndarray) -> np.ndarray:
-    i = (minimizers >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-    return (bitmap[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
-
-
-def _spans(ids, rows, p: Paths, start: np.ndarray, length: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+def _spans(ids, rows, p: Paths, start: np.ndarray, length: np.ndarray, minimizer: np.ndarray) -> pa.RecordBatch:
     document, word = p.place(start)
     document = pa.array(document)
-    columns = [*p.hash(start, length + WINDOW - 1), ids.take(document), rows.take(document), word.astype(np.int32), length.astype(np.int32), *more]
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["h1", "h2", "doc_id", "row", "start", "length", "m"][: len(columns)])
+    columns = [*p.hash(start, length + WINDOW - 1), ids.take(document), rows.take(document), word.astype(np.int32), length.astype(np.int32), minimizer.view(np.int64)]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["h1", "h2", "doc_id", "row", "start", "length", "m"])
 
 
-def _paths(shared):
+def _paths(bitmap):
+    """Paths whose minimizer the bitmap has; all without one."""
+
     def run(batches):
-        bitmap = np.frombuffer(shared.value, np.uint8)
         for ids, rows, p in _documents(batches):
-            k = _in(bitmap, p.minimizer)
-            yield _spans(ids, rows, p, p.start[k], p.length[k], p.minimizer[k].view(np.int64))
+            k = bitmap.value.has(p.minimizer) if bitmap else np.ones(len(p.start), bool)
+            yield _spans(ids, rows, p, p.start[k], p.length[k], p.minimizer[k])
 
     return run
 
 
-def _windows(shared):
-    def run(batches):
-        bitmap = np.frombuffer(shared.value, np.uint8)
-        for ids, rows, p in _documents(batches):
-            k = _in(bitmap, p.minimizer)
-            s, n = p.start[k], p.length[k]
-            start = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
-            yield _spans(ids, rows, p, start, np.ones(len(start), np.int64))
-
-    return run
+SPANS = "h1 long, h2 long, doc_id long, row long, start int, length int, m long"
 
 
-def bitmap_of(minimizers: DataFrame) -> bytes:
-    """The bitmap of the column m: at most 2**21 words of 64 bits reach the driver."""
-    i = F.shiftrightunsigned("m", 64 - MAP_BITS)
-    words = minimizers.select((F.shiftright(i, 6)).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(m, {64 - MAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros((1 << MAP_BITS) // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.tobytes()
+def _around(source: DataFrame, minimizers: DataFrame, most: int | None) -> DataFrame:
+    """Paths with one of these minimizers, and perhaps a few more."""
+    bitmap = Bitmap.of(minimizers, "m", most)
+    shared = source.sparkSession.sparkContext.broadcast(bitmap) if bitmap else None
+    found = source.select("doc_id", "text", "row").mapInArrow(_paths(shared), SPANS)
+    return found if bitmap else found.join(minimizers, "m", "left_semi").select("h1", "h2", "doc_id", "row", "start", "length", "m")
 
 
-def _later(spans: DataFrame, stage: Stage) -> DataFrame:
-    """Of spans with equal hashes all but the first, each with the coordinates of the first."""
-    first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.col("first.row").alias("source_row"), F.col("first.start").alias("source_start"))
-    first = stage.table(first, "first")
-    joined = spans.select("h1", "h2", "row", "start", "length").join(first, ["h1", "h2"])
-    out = stage.table(joined.where("row <> source_row or start <> source_start").select("row", "start", "length", "source_row", "source_start"), "later")
-    stage.drop(first)
+def _digests(batches):
+    """128 bits of SHA-256 of the words at each coordinate, of single windows where these are asked for."""
+    for b in batches:
+        for i, j, texts in utf8_groups(b.column(1), TOGETHER):
+            asked = b.column(3).slice(i, j - i)
+            start, length, single = (asked.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            document = np.repeat(np.arange(j - i), np.diff(asked.offsets.to_numpy()))
+            n = np.where(single == 1, length, 1)
+            start, document = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(document, n)
+            length = np.repeat(np.where(single == 1, 1, length), n)
+            at, keys = np.searchsorted(document, np.arange(len(texts) + 1)), []
+            for t, lo, hi in zip(texts, at, at[1:]):
+                words = t.split()
+                joined, to = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
+                first = to[start[lo:hi]].tolist()
+                last = (to[start[lo:hi] + length[lo:hi] + WINDOW - 1] - 1).tolist()
+                keys += [hashlib.sha256(joined[x:y]).digest()[:16] for x, y in zip(first, last)]
+            key, document = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2), pa.array(document + i)
+            columns = [np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1]), b.column(0).take(document), b.column(2).take(document), start.astype(np.int32), length.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["k1", "k2", "doc_id", "row", "start", "length"])
+
+
+def repeated_spans(source: DataFrame, stage: Stage, most: int | None = None) -> DataFrame:
+    """(row, start, length, source_row, source_start) of source(doc_id, text, row): from start on, length windows in a
+    row have started earlier at the source. Up to ``most`` minimizers are told to the tasks by a bitmap."""
+    seen = source.select("doc_id", "text", "row").mapInArrow(_minimizers, "m long, n byte")
+    minimizers = stage.table(seen.groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m"), "minimizers")
+    paths = stage.table(_around(source, minimizers, most), "paths")
+    stage.drop(minimizers)
+    place = F.min(F.struct("doc_id", "row", "start", "length", "m")).alias("first")
+    distinct = stage.table(paths.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), place), "distinct")
+    branches = distinct.groupBy("first.m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
+    repeated = distinct.where("n > 1").select("h1", "h2")
+    whole = paths.select("h1", "h2", "row", "start", "length").join(repeated, ["h1", "h2"]).select("row", "start", "length", F.lit(False).alias("single"))
+    expanded = distinct.select("first.row", "first.start", "first.length", "first.m").join(branches, "m").select("row", "start", "length", F.lit(True).alias("single"))
+    asked = stage.table(whole.unionByName(expanded), "asked")
+    stage.drop(paths, distinct)
+
+    # A document's requests are two a window at most.
+    by_row = asked.groupBy("row").agg(F.collect_list(F.struct("start", "length", "single")).alias("asked"))
+    texts = marked(source, marks(asked.select("row").distinct())).join(by_row, "row").select("doc_id", "text", "row", "asked")
+    digests = stage.table(texts.mapInArrow(_digests, "k1 long, k2 long, doc_id long, row long, start int, length int"), "digests")
+    stage.drop(asked)
+    first = digests.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stage.table(first.select("k1", "k2", F.col("first.row").alias("source_row"), F.col("first.start").alias("source_start")), "first")
+    joined = digests.select("k1", "k2", "row", "start", "length").join(first, ["k1", "k2"]).where("row <> source_row or start <> source_start")
+    out = stage.table(joined.select("row", "start", "length", "source_row", "source_start"), "later")
+    stage.drop(digests, first)
     return out
 
 
-def repeated_spans(docs: DataFrame, stage: Stage, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row, start, length, source_row, source_start): from start on, length windows in a row have started earlier at the source."""
-    spark = docs.sparkSession
-    source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    repeated = source.mapInArrow(_minimizers, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
-    shared = spark.sparkContext.broadcast(bitmap_of(repeated))
-    paths = stage.table(source.mapInArrow(_paths(shared), "h1 long, h2 long, doc_id long, row long, start int, length int, m long"), "paths")
-    branches = paths.groupBy("m").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("m")
-    forked = spark.sparkContext.broadcast(bitmap_of(branches))
-    stage.release()
-    whole = _later(paths.drop("m"), stage)
-    stage.drop(paths)
-    windows = stage.table(source.mapInArrow(_windows(forked), "h1 long, h2 long, doc_id long, row long, start int, length int"), "windows")
-    single = _later(windows, stage)
-    stage.drop(windows)
-    return whole.unionByName(single)
+OUT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+def kept_words(words: list[bytes], start: np.ndarray, length: np.ndarray) -> list[bytes]:
+    """The words that no span covers."""
+    cover = np.zeros(len(words) + 1, np.int32)
+    np.add.at(cover, start, 1)
+    np.add.at(cover, start + length + WINDOW - 1, -1)
+    return [words[k] for k in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
+
+
+def _with_spans(texts: pa.Array, spans: pa.Array):
+    """(from, to, [(words, start, length) of each text]) of runs of rows; a null list of spans is an empty one."""
+    for i, j, some in utf8_groups(texts, TOGETHER):
+        mine = spans.slice(i, j - i)
+        flat = mine.flatten()
+        start, length = (flat.field(k).to_numpy().astype(np.int64) for k in range(2))
+        at = np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(mine), 0).to_numpy(zero_copy_only=False)])
+        yield i, j, [(t.split(), start[lo:hi], length[lo:hi]) for t, lo, hi in zip(some, at, at[1:])]
 
 
 def _kept(batches):
     """Words that no span covers, joined by one space."""
     for b in batches:
-        spans, at = b.column(3), b.column(3).offsets.to_numpy()
-        start, length = (spans.values.field(i).to_numpy().astype(np.int64) for i in range(2))
-        n_words, n_removed, kept = [], [], []
-        for i, t in enumerate(utf8(b.column(1))):
-            words = t.split()
-            n_words.append(len(words))
-            lo, hi = (at[i], at[i + 1]) if spans[i].is_valid else (0, 0)
-            if lo == hi:
-                n_removed.append(0)
-            else:
-                cover = np.zeros(len(words) + 1, np.int32)
-                np.add.at(cover, start[lo:hi], 1)
-                np.add.at(cover, start[lo:hi] + length[lo:hi] + WINDOW - 1, -1)
-                stays = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-                n_removed.append(len(words) - len(stays))
-                words = [words[j] for j in stays]
-            kept.append(b" ".join(words))
-        yield batch(OUT, b.column(0), b.column(2), n_words, n_removed, kept)
-
-
-def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+        for i, j, found in _with_spans(b.column(1), b.column(3)):
+            left = [kept_words(words, start, length) if len(start) else words for words, start, length in found]
+            n_words = [len(words) for words, *_ in found]
+            yield batch(OUT, b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), n_words, [n - len(x) for n, x in zip(n_words, left)], [b" ".join(x) for x in left])
+
+
+def cut_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scan: bool = False) -> DataFrame:
+    """The documents with all their columns; where words repeat, the text is what substring_dedup keeps, and n_chars
+    its length if there is such a column. Others stay as they are, a document that has nothing left with an empty text."""
+    stage, name = Stage(docs.sparkSession, "substring"), fresh(docs, "row")
+    listed, changed = fresh(docs, "spans"), fresh(docs, "cut")
+    source = numbered(docs, stage, *[F.col(f"`{c}`") for c in docs.columns], scan=scan, name=name)
+    spans = repeated_spans(source.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(name).alias("row")), stage)
+    by_row = spans.groupBy(F.col("row").alias(name)).agg(F.collect_list(F.struct("start", "length")).alias(listed))
+    bitmap, at, names = marks(spans.select("row").distinct()), docs.columns.index(text), [*docs.columns, changed]
+
+    def run(batches):
+        for b in batches:
+            spans, columns = b.column(b.num_columns - 1), [b.column(i) for i in range(b.num_columns - 1)]
+            for i, j, found in _with_spans(b.column(at), spans):
+                some = [c.slice(i, j - i) for c in columns]
+                some[at] = pa.array([b" ".join(kept_words(*x)).decode() if len(x[1]) else old for x, old in zip(found, some[at].to_pylist())], some[at].type)
+                yield pa.RecordBatch.from_arrays([*some, pa.array([len(x[1]) > 0 for x in found], pa.bool_())], names=names)
+
+    touched = marked(source, bitmap, True, name).join(by_row, name, "left").drop(name)
+    touched = touched.mapInArrow(run, touched.drop(listed).withColumn(changed, F.lit(True)).schema)
+    chars = lambda c: F.when(F.col(changed), F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    touched = touched.select(*[chars(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return touched.unionByName(marked(source, bitmap, False, name).select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scan: bool = False, most: int | None = None) -> DataFrame:
     """One row per input row: doc_id, row, n_words, n_removed and kept, the UTF-8 of the remaining words.
 
     Words are runs of bytes other than ASCII white space; null has none. Each word covered by a window of 20 words
     whose sequence also starts earlier goes; earlier means a smaller doc_id (null before any other), among repeated
-    ids the row that comes first in the input, within a document the smaller start. Texts of fewer than 20 words
-    stay whole, an empty table gives an empty result, and columns other than the two named are not read.
+    ids the smaller row number, within a document the smaller start. Texts of fewer than 20 words stay whole, and
+    texts of any length count whole. An empty table gives an empty result, and columns other than the two named are
+    not read. ``scan``: docs is a plain scan of files, which can be read again without a copy (see common.numbered).
     """
     stage = Stage(docs.sparkSession, "substring")
-    spans = repeated_spans(docs, stage, text, doc_id)
-    by_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.join(by_row, "row", "left").select("doc_id", "text", "row", "spans").mapInArrow(_kept, "doc_id long, row long, n_words long, n_removed long, kept binary")
+    source = numbered(docs, stage, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), scan=scan)
+    spans = repeated_spans(source, stage, most)
+    bitmap, none = marks(spans.select("row").distinct()), F.array().cast("array<struct<start: int, length: int>>")
+    cut = marked(source, bitmap).join(spans.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "row", "left").select("doc_id", "text", "row", F.coalesce("spans", none).alias("spans"))
+    whole = marked(source, bitmap, has=False).select("doc_id", "text", "row", none.alias("spans"))
+    schema = "doc_id long, row long, n_words long, n_removed long, kept binary"
+    return cut.mapInArrow(_kept, schema).unionByName(whole.mapInArrow(_kept, schema))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan=True)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
