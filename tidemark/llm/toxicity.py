@@ -343,5 +343,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     return source.mapInArrow(_scores(model), "doc_id long, row long, held_out boolean, score double, predicted int")
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents, with all their columns, that are not predicted to be toxic; scored and dropped in the scan."""
+    model, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text, doc_id)), docs.columns.index(text)
+
+    def run(batches):
+        s = Scorer(model.value.weights, model.value.bias)
+        for b in batches:
+            yield b.filter(pa.array(model.value.score(s.best(b.column(at))) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row")
