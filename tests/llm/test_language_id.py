@@ -26,6 +26,21 @@ def test_gradients():
             assert abs((up - down) / 2e-5 - grad[k].reshape(-1)[i]) < 1e-4
 
 
+def test_windows_read_like_the_whole_text():
+    """Sums over windows equal those of the plain forward pass over each window with its context."""
+    net = L.BiGRU(3, seed=4)
+    texts = [b"ab cd", b"x" * 96, bytes(range(97, 123)) * 12, b"q " * 300, b"z"]
+    want = []
+    for t in texts:
+        total = np.zeros(3)
+        for s in range(0, len(t), L.STRIDE):
+            window = (b" " * L.CONTEXT + t + b" " * 200)[s : s + L.STRIDE + 2 * L.CONTEXT]
+            codes, mask = L.padded([window])
+            total += net.forward(codes, mask)[0][L.CONTEXT : L.CONTEXT + min(L.STRIDE, len(t) - s), 0].sum(axis=0)
+        want.append(total)
+    assert np.allclose(L.Reader(net).totals(texts), want, rtol=1e-4)
+
+
 def test_held_out_accuracy_and_cases(spark, empty_df):
     rng = random.Random(1)
     parts = {"aa": "ka lo mi nu".split(), "bb": "sch ung ver lich".split(), "cc": "ção ez ñe ou".split()}

@@ -1,24 +1,27 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word, with a space at both ends, from left to right and from right to left, and
-gives every byte position a distribution over languages. It is trained in numpy by backpropagation through time on
-words of a bounded sample. A document's probability pools the positions of all its words, so a word is run
-once for as long as its positions' sum is remembered.
+The network reads a text from left to right and from right to left and gives every byte position a distribution over
+languages; a document's probability pools all its positions. Texts are read in windows of STRIDE positions, side by
+side, each with CONTEXT further bytes on both sides, so that every position sees what stands around it, over word
+ends and window ends alike. The network is trained in numpy by backpropagation through time on windows of a bounded
+sample of documents.
 """
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import batch, keyed, utf8_groups
-from tidemark.llm.sample import first_by_hash, remainder
+from tidemark.llm.sample import remainder
 
-#: Bounds of the training sample: documents, and distinct words a language.
-SAMPLE_DOCS, SAMPLE_WORDS = 4000, 6000
-HIDDEN, EMBED, STEPS, BATCH, SPAN = 16, 12, 500, 256, 24
-_CACHE = 300_000
+#: Bounds of the training sample: documents of about this number, windows from each, and windows of a language.
+SAMPLE_DOCS, EACH, SAMPLE_WINDOWS = 4000, 8, 8000
+HIDDEN, EMBED, STEPS, BATCH, SPAN = 16, 12, 600, 128, 64
+STRIDE, CONTEXT, LANES = 96, 16, 1024
 
 
 def _sigmoid(x):
@@ -100,23 +103,65 @@ class BiGRU:
         return loss, grad
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and mask, (t, n), of words of at most SPAN bytes between two spaces."""
-    length = np.array([len(w) for w in words]) + 2
+    def tables(self) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+        """For each direction and part (two gates, candidate) what a byte and what a state brings in; gates at half, for tanh."""
+        out = {}
+        for d in "fb":
+            x, u, h = self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"], self.p[f"U{d}"], self.h
+            out[d] = [(np.ascontiguousarray(x[:, i * h : (i + 1) * h] * f), np.ascontiguousarray(u[:, i * h : (i + 1) * h] * f)) for i, f in enumerate(np.float32([0.5, 0.5, 1]))]
+        return out
+
+    def pooled(self, codes: np.ndarray, tables) -> np.ndarray:
+        """Log-probabilities (k, STRIDE, n) of the middle positions of windows, codes (CONTEXT + STRIDE + CONTEXT, n).
+
+        As forward, without a mask, and without the steps after the last middle position of either direction.
+        """
+        h, n = self.h, codes.shape[1]
+        y = self.p["c"][:, None]
+        for d, order, v in (("f", range(CONTEXT + STRIDE), self.p["V"][:h]), ("b", range(len(codes) - 1, CONTEXT - 1, -1), self.p["V"][h:])):
+            s, states, ((xz, uz), (xr, ur), (xc, uc)) = np.zeros((n, h), np.float32), np.empty((STRIDE, n, h), np.float32), tables[d]
+            for t in order:
+                z, r, c = s @ uz, s @ ur, s @ uc
+                z += xz.take(codes[t], axis=0)
+                r += xr.take(codes[t], axis=0)
+                np.tanh(z, out=z)
+                np.tanh(r, out=r)
+                r += 1
+                c *= r
+                c *= 0.5
+                c += xc.take(codes[t], axis=0)
+                np.tanh(c, out=c)
+                z += 1
+                z *= 0.5
+                s -= c
+                s *= z
+                s += c
+                if CONTEXT <= t < CONTEXT + STRIDE:
+                    states[t - CONTEXT] = s
+            y = y + v.T @ states.reshape(-1, h).T
+        y -= y.max(axis=0)
+        y -= np.log(np.exp(y).sum(axis=0))
+        return y.reshape(-1, STRIDE, n)
+
+
+def padded(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and mask, (t, n), of spans of bytes."""
+    length = np.array([len(w) for w in spans])
     t = int(length.max())
-    codes = np.frombuffer(b"".join((b" " + w + b" ").ljust(t, b"\0") for w in words), np.uint8).reshape(len(words), t).T
+    codes = np.frombuffer(b"".join(w.ljust(t, b"\0") for w in spans), np.uint8).reshape(len(spans), t).T
     return codes, (np.arange(t)[:, None] < length[None, :]).astype(np.float32)
 
 
-def train(words: list[bytes], target: np.ndarray, weight: np.ndarray, classes: int, steps: int = STEPS, seed: int = 0) -> BiGRU:
-    """Adam on batches of words drawn by weight."""
+def train(spans: list[bytes], target: np.ndarray, classes: int, steps: int = STEPS, seed: int = 0) -> BiGRU:
+    """Adam on batches of spans, of each language as many."""
     net, r = BiGRU(classes, seed), np.random.default_rng(seed + 1)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
+    weight = 1 / np.bincount(target)[target]
     weight = weight / weight.sum()
     for i in range(1, steps + 1):
-        pick = r.choice(len(words), BATCH, p=weight)
-        _, grad = net.gradients(*padded([words[j] for j in pick]), target[pick])
+        pick = r.choice(len(spans), BATCH, p=weight)
+        _, grad = net.gradients(*padded([spans[j] for j in pick]), target[pick])
         rate = 0.01 * min(1, 2 * (1 - i / (steps + 1)))
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -125,36 +170,29 @@ def train(words: list[bytes], target: np.ndarray, weight: np.ndarray, classes: i
     return net
 
 
-def segments(text: bytes) -> list[bytes]:
-    """Words at white space; a longer one in runs of SPAN bytes."""
-    words = text.split()
-    if max(map(len, words), default=0) <= SPAN:
-        return words
-    return [w[i : i + SPAN] for w in words for i in range(0, len(w), SPAN)]
-
-
-class Pool:
-    """Sums of a word's log-probabilities over its positions, remembered by word."""
+class Reader:
+    """Sums of log-probabilities over all positions of texts."""
 
     def __init__(self, net: BiGRU):
-        self.net, self.number, self.sums = net, {}, np.zeros((1024, len(net.p["c"])), np.float32)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.number) > _CACHE:
-            self.number.clear()
-        new = sorted((w for w in words if w not in self.number), key=len)
-        at = len(self.number)
-        if at + len(new) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros((at + len(new), self.sums.shape[1]), np.float32)])
-        for i in range(0, len(new), 2048):
-            some = new[i : i + 2048]
-            codes, mask = padded(some)
-            y, _ = self.net.forward(codes, mask)
-            self.sums[at + i : at + i + len(some)] = (y * mask[..., None]).sum(axis=0)
-        self.number.update(zip(new, range(at, at + len(new))))
-
-    def document(self, words: list[bytes]) -> tuple[np.ndarray, int]:
-        return self.sums[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64), sum(map(len, words)) + 2 * len(words)
+        self.net, self.tables = net, net.tables()
+
+    def totals(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, languages); the network reads spaces before and after a text."""
+        size = np.array(list(map(len, texts)))
+        edge = b" " * (CONTEXT + STRIDE)
+        data = np.frombuffer(edge + b"".join(t + edge for t in texts), np.uint8)
+        first = np.cumsum(np.r_[len(edge), size[:-1] + len(edge)])
+        n = -(-size // STRIDE)
+        owner = np.repeat(np.arange(len(texts)), n)
+        begin = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+        out = np.zeros((len(texts), len(self.net.p["c"])))
+        for i in range(0, len(owner), LANES):
+            own, at = owner[i : i + LANES], begin[i : i + LANES]
+            codes = data[(first[own] + at - CONTEXT)[None, :] + np.arange(STRIDE + 2 * CONTEXT)[:, None]]
+            y = self.net.pooled(codes, self.tables)
+            y *= np.arange(STRIDE)[:, None] < (size[own] - at)[None, :]
+            np.add.at(out, own, y.sum(axis=1).T)
+        return out
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -163,52 +201,63 @@ OUT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bo
 def _predict(model):
     def run(batches):
         languages, net = model.value
-        pool = Pool(net) if net else None
+        reader = Reader(net) if net else None
         for b in batches:
-            out = []
-            for *_, texts in utf8_groups(b.column(1), 1 << 20):
-                some = [segments(t) if any(map(str.isalpha, t.decode())) else [] for t in texts]
-                if net is None:
-                    out += [("und", 0.0)] * len(some)
-                    continue
-                pool.learn(set().union(*some))
-                for words in some:
-                    if not words:
-                        out.append(("und", 0.0))
-                        continue
-                    total, n = pool.document(words)
-                    mean = np.exp((total - total.max()) / n)
-                    k = int(total.argmax())
-                    out.append((languages[k], float(mean[k] / mean.sum())))
-            yield batch(OUT, b.column(0), b.column(2), b.column(3), [x for x, _ in out], [x for _, x in out])
+            for i, j, texts in utf8_groups(b.column(1), 1 << 20):
+                read = [k for k, t in enumerate(texts) if reader and any(map(str.isalpha, t.decode()))]
+                names, scores = ["und"] * len(texts), np.zeros(len(texts))
+                if read:
+                    total = reader.totals([texts[k] for k in read])
+                    best = total.argmax(axis=1)
+                    mean = np.exp((total - total.max(axis=1, keepdims=True)) / np.array([len(texts[k]) for k in read])[:, None])
+                    scores[read] = mean[np.arange(len(read)), best] / mean.sum(axis=1)
+                    for k, x in zip(read, best):
+                        names[k] = languages[x]
+                yield batch(OUT, b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i), names, scores)
 
     return run
 
 
+def _windows(batches):
+    """Spans at places that the text itself draws, from anywhere in it and over its ends; EACH of a text at most."""
+    edge = b" " * CONTEXT
+    for b in batches:
+        for i, j, texts in utf8_groups(b.column(0), 1 << 20):
+            out = []
+            for t, lang in zip(texts, b.column(1).slice(i, j - i).to_pylist()):
+                n, t = min(EACH, -(-len(t) // SPAN)), edge + t + edge
+                places = {crc32(t, k) % max(1, len(t) - SPAN + 1) for k in range(n)}
+                out += [(lang, t[p : p + SPAN]) for p in sorted(places)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["lang", "span"])
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[list[str], BiGRU | None]:
-    """Languages and network, from the rows with a language whose remainder is not 2: SAMPLE_DOCS documents at most,
-    and of each language its SAMPLE_WORDS words that most of them have."""
+    """Languages and network, from the rows with a language whose remainder is not 2.
+
+    Of these, about SAMPLE_DOCS whose ids hash lowest give EACH windows, repeated ones once, and of each language the
+    SAMPLE_WINDOWS with the lowest hash are taken. Texts stay in the tasks that read them.
+    """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).where(F.col("lang").isNotNull() & (remainder("doc_id", 4) != 2))
-    some = first_by_hash(rows, SAMPLE_DOCS, "doc_id", "lang")
-    words = some.select("lang", F.explode(F.array_distinct(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"))).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    best = words.groupBy("lang").agg(F.expr(f"slice(sort_array(collect_list(struct(n, w)), false), 1, {SAMPLE_WORDS})").alias("best")).orderBy("lang").collect()
-    if not best:
+    n = rows.select("lang").count()
+    if n > SAMPLE_DOCS:
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", "lang"), 24) < int(SAMPLE_DOCS / n * (1 << 40)))
+    spans = rows.select("text", "lang").mapInArrow(_windows, "lang string, span binary").distinct()
+    languages = sorted(r.lang for r in spans.select("lang").distinct().collect())  # one row a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("span"), "span"))
+    found = spans.withColumn("place", place).where(F.col("place") <= SAMPLE_WINDOWS).select("lang", "span").collect() if languages else []
+    found = sorted((languages.index(r.lang), bytes(r.span)) for r in found)
+    if not found:
         return [], None
-    languages = [r.lang for r in best]
-    found = [(w.w.encode()[:SPAN], k, n) for k, r in enumerate(best) for w in r.best for n in [w.n]]
-    target = np.array([k for _, k, _ in found])
-    weight = np.sqrt(np.array([n for *_, n in found], float))
-    weight /= np.bincount(target, weight)[target]
-    return languages, train([w for w, *_ in found], target, weight, len(languages))
+    return languages, train([s for _, s in found], np.array([k for k, _ in found]), len(languages))
 
 
 def identify_language(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, row, held_out, lang_pred, score.
 
     lang_pred is a language of the training rows, or ``und`` with score 0 where the text is null or has no letter, or
-    where there is nothing to learn from. The score is the geometric mean over all positions of the predicted
-    language's probability, normalised over the languages. The whole text counts; a word of more than SPAN bytes is
-    read in runs of SPAN. Repeated rows get equal values, an empty table an empty result; other columns are not read.
+    where there is nothing to learn from; of tied languages the first in the alphabet. The score is the geometric
+    mean over all positions of the predicted language's probability, normalised over the languages. Texts of any
+    length count whole. Repeated rows get equal values, an empty table an empty result; other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, text, lang, doc_id))
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", remainder("doc_id", 4) == 2)
