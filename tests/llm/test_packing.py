@@ -17,6 +17,15 @@ def test_ids_by_parts_equal_whole(parts):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in more]
 
 
+@given(st.lists(st.text(st.characters(categories=["Lu", "Ll", "Lt", "Lm", "Lo"]), min_size=1, max_size=6), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_any_letters(words):
+    """The fast path for letters uses a second library, whose table of letters must not matter."""
+    text = " ".join(words)
+    e = P.encoder(P.tokenizer_path(), P.tokenizer_path("byte_bpe_50k.tiktoken"))
+    assert [np.frombuffer(g, "<u4").tolist() for g in e.ids_of([text.encode()])] == [e.tokenizer.encode(text, add_special_tokens=False).ids]
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 400), min_size=1, max_size=20))
 @settings(max_examples=40, deadline=None)
 def test_plan_places_every_rank_once(histogram):
@@ -32,11 +41,46 @@ def test_plan_places_every_rank_once(histogram):
             used[s, o : o + length] = True
 
 
+def sequences(counts, rows, n, capacity):
+    """Fails unless each rank of each length has its own place; returns the number of used sequences."""
+    used = np.zeros((n, capacity), bool)
+    for length, count in counts.items():
+        mine = rows[rows[:, 0] == length]
+        for rank in range(count):
+            r = mine[np.searchsorted(mine[:, 1], rank, "right") - 1]
+            i = rank - r[1]
+            s, o = r[3] + i // r[2], r[4] + i % r[2] * length
+            assert not used[s, o : o + length].any() and o + length <= capacity
+            used[s, o : o + length] = True
+    return int(used.any(axis=1).sum())
+
+
+def bound(histogram, capacity):
+    counts = np.zeros(capacity, np.int64)
+    for k, v in histogram.items():
+        counts[k - 1] = v
+    return P.solve(counts, capacity)
+
+
 def test_linear_program_is_close_to_the_bound():
     rng = np.random.default_rng(1)
-    histogram = {int(k): int(v) for k, v in zip(*np.unique(np.clip(rng.lognormal(5.6, 0.8, 120_000).astype(int), 1, 1024), return_counts=True))}
-    _, n = P.plan(histogram)
-    assert n <= 1.004 * sum(a * b for a, b in histogram.items()) / 1024 + 1
+    for n in (3_000, 40_000, 120_000):
+        histogram = {int(k): int(v) for k, v in zip(*np.unique(np.clip(rng.lognormal(5.6, 0.8, n).astype(int), 1, 1024), return_counts=True))}
+        _, found = P.plan(histogram)
+        least = max(bound(histogram, 1024)[1], sum(a * b for a, b in histogram.items()) / 1024)
+        assert least <= found <= 1.002 * least + 3
+
+
+@given(st.dictionaries(st.integers(1, 48), st.integers(1, 2_000), min_size=1, max_size=12))
+@settings(max_examples=25, deadline=None)
+def test_program_places_every_piece(histogram):
+    """Many pieces of few lengths: nearly all go by the program's configurations, not by best fit."""
+    used, least = bound(histogram, 48)
+    for length, count in histogram.items():
+        assert abs(sum(n * c.count(length) for c, n in used.items()) - count) < 1e-3 * count + 1e-6
+    assert all(sum(c) <= 48 for c in used) and least <= sum(used.values()) + 1e-6
+    rows, n = P.plan(histogram, 48)
+    assert sequences(histogram, rows, n, 48) == n >= least - 1e-6
 
 
 def test_pack(corpus_df, corpus, empty_df):

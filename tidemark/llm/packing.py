@@ -3,8 +3,10 @@
 The histogram of piece lengths, at most ``capacity`` numbers whatever the input's size, is all that the driver sees.
 A configuration is a multiset of lengths that fits into one sequence. The linear program - cover each length's
 pieces with as few configurations as possible - is solved by multiplicative weights: lengths that are still short
-weigh more, and a knapsack dynamic program prices the best configuration under these weights. The solution is
-rounded down; the few pieces left are packed best fit, longest first.
+weigh more, and a knapsack dynamic program prices the configurations under these weights. Each round takes the best
+configuration and those close to it in small steps; the weights also give a lower bound on the number of sequences.
+The solution is rounded down. What the rounding leaves, a few pieces for each configuration whatever the input's
+size, is packed best fit, longest first.
 
 The plan is a table of bounded size: of length L, the pieces ranked from..to go to these sequences at this offset.
 Pieces get their rank within their length from counts by task, without bringing a length's pieces together.
@@ -30,7 +32,9 @@ from tidemark.llm.common import Stage, keyed, utf8_groups
 from tidemark.llm.hashing import BYTE, Sums
 
 CAPACITY, END = 1024, 2
-ROUNDS = 800
+#: Rounds of the linear program at most, configurations a round, how close to the best these must be, the share of a
+#: length that one step covers, how fast covered lengths lose weight, and the power of the length that is its first weight.
+ROUNDS, EACH, NEAR, STEP, ETA, POWER = 300, 128, 0.01, 0.34, 0.3, 1.05
 #: Documents are encoded together up to so many bytes; parts are remembered up to so many.
 TOGETHER, _CACHE = 1 << 20, 400_000
 _MARKS = string.punctuation
@@ -212,44 +216,57 @@ def _pieces(path: str, ranks: str | None, capacity: int, together: int):
     return run
 
 
-def best_configuration(values: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack: how many of each length (index 0 is length 1) give the greatest total value within the capacity."""
+def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room 0..capacity the greatest total value that fits, and the last length put in (0: none); values[0] is that of length 1."""
     sizes = np.flatnonzero(values > 0) + 1
-    worth = values[sizes - 1]
+    worth, upto = values[sizes - 1], np.searchsorted(sizes, np.arange(capacity + 1), "right")
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        k = np.searchsorted(sizes, c, "right")
+        best[c], k = best[c - 1], upto[c]
         if k:
             total = best[c - sizes[:k]] + worth[:k]
-            j = int(total.argmax())
+            j = total.argmax()
             if total[j] > best[c]:
                 best[c], last[c] = total[j], sizes[j]
-    counts, c = np.zeros(len(values), np.int64), capacity
-    while c > 0:
-        if last[c]:
-            counts[last[c] - 1] += 1
-        c -= int(last[c]) or 1
-    return counts
+    return best, last
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 1.0, eta: float = 1.0) -> list[tuple[np.ndarray, float]]:
-    """Fractional covering of counts[L-1] pieces of length L by configurations, by multiplicative weights."""
+def configuration(last: np.ndarray, room: int) -> list[int]:
+    """The lengths that the knapsack's table puts into so much room."""
+    out = []
+    while room > 0:
+        if last[room]:
+            out.append(int(last[room]))
+        room -= int(last[room]) or 1
+    return out
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
+    """Configurations (lengths, ascending) and how often each is used, so that together they cover counts[L-1] pieces of
+    each length L, fractionally and without excess; and a lower bound on the number of sequences of any packing."""
     lengths = np.arange(1, capacity + 1) / capacity
-    covered, out = np.zeros(capacity), []
+    covered, used, bound = np.zeros(capacity), Counter(), float(counts @ lengths)
     for _ in range(rounds):
-        short = (counts > 0) & (covered < counts)
+        short = covered < counts * (1 - 1e-9)
         if not short.any():
             break
-        share = np.where(short, covered / np.maximum(counts, 1), 0)
-        weights = np.where(short, lengths * np.exp(-eta * (share - share[short].min())), 0)
-        config = np.minimum(best_configuration(weights, capacity), counts)
-        used = config > 0
-        times = max(1.0, step * (counts[used] / config[used]).min())
-        times = min(times, max(1.0, ((counts - covered)[used] / config[used]).min()))
-        covered += times * config
-        out.append((config, times))
-    return out
+        share = covered[short] / counts[short]
+        weights = np.zeros(capacity)
+        weights[short] = lengths[short] ** POWER * np.exp(-ETA * (share - share.min()))
+        best, last = knapsack(weights, capacity)
+        bound = max(bound, float(counts @ weights) / best[capacity])  # the weights over the best price are a dual solution
+        with_each = np.where(short, weights + best[capacity - 1 :: -1][:capacity], 0)
+        for first in np.argsort(-with_each, kind="stable")[:EACH] + 1:
+            if with_each[first - 1] < (1 - NEAR) * best[capacity]:
+                break
+            config = tuple(sorted([int(first), *configuration(last, capacity - int(first))]))
+            at, copies = np.unique(np.array(config) - 1, return_counts=True)
+            copies = np.minimum(copies, counts[at])
+            times = min((STEP * counts[at] / copies).min(), ((counts - covered)[at] / copies).min())
+            if times > 0:
+                covered[at] += times * copies
+                used[tuple(np.repeat(at + 1, copies).tolist())] += times
+    return used, bound
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> Counter:
@@ -283,15 +300,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
     if counts[-1]:
         configs[(capacity,)] = int(counts[-1])
         counts[-1] = 0
-    for _ in range(12):
-        if counts.sum() <= 20_000:
-            break
-        for config, times in solve(counts.copy(), capacity):
-            used = config > 0
-            n = int(min(times, (counts[used] // config[used]).min()))
+    while counts.any():
+        used, _ = solve(counts, capacity)
+        placed = 0
+        for config, times in used.items():
+            at, copies = np.unique(np.array(config) - 1, return_counts=True)
+            n = int(min(times + 1e-6, (counts[at] // copies).min()))
             if n:
-                configs[tuple(np.repeat(np.arange(1, capacity + 1), config)[::-1].tolist())] += n
-                counts -= n * config
+                configs[config[::-1]] += n
+                counts[at] -= n * copies
+                placed += n
+        if not placed or counts.sum() <= 16 * len(used):
+            break
     configs += best_fit(counts, capacity)
     rows, ranks, sequence = [], Counter(), 0
     for config, n in configs.items():
