@@ -1,16 +1,21 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-Text blocks are the lines of a document, as sets of words; a template matches a block that has at least THRESHOLD of
-the template's words. Only words that some template has can count, so a block is cut down to these at once. Words
-are ordered by their frequency over all blocks, rarest first. A block and a template that reach the overlap o share
-a word among the first |template| - o + 1 of the template and the first |block| - o + 1 of the block (prefix); a
-block of fewer than o such words is out (length); and the places of the shared word bound the overlap that is still
-possible (position). What is left is verified by the size of the intersection.
+Text blocks are windows of words over the whole text, across line breaks: for a template of n words, windows of one
+and a half times n, so placed that any passage of n words lies whole in one. Blocks and templates are compared as
+sets, without the commonest words. A template matches a block that has at least THRESHOLD of its words, all of the
+words that name the license, and none of those that name a sister license. Only words that some template has can
+count, so a text is cut down to these and their places at once, and a text without a naming word is out.
+
+Words are ordered by their frequency over the corpus, rarest first. A block and a template that reach the overlap o
+share a word among the first |template| - o + 1 of the template and the first |block| - o + 1 of the block (prefix);
+a block of fewer than o such words is out (length); and the places of the shared word bound the overlap that is
+still possible (position). What is left is verified by the size of the intersection.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,28 +23,54 @@ from tidemark.llm.common import Stage, keyed
 
 #: Phrases of the base scan and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Templates of the similarity scan and their labels.
+#: Words that do not count.
+COMMON = "a an and any are as at be by for if in is it of on or that the this to was with you your".split()
+#: Templates as (label, words that must stand in a block, words that must not, text).
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license"),
-]
+    ("mit", "mit", "", "released under the mit license"),
+    ("mit", "mit", "", "licensed under the mit license"),
+    ("mit", "permission charge restriction", "", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "permission charge", "", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("apache-2", "apache 2", "", "licensed under the apache license version 2 0"),
+    ("apache-2", "apache 2", "", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("cc-by-nc", "cc nc", "sa nd", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "creative commons noncommercial", "sharealike noderivatives", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "cc sa", "nc", "licensed under cc by sa 4 0"),
+    ("cc-by-sa", "creative commons sharealike", "noncommercial", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by", "creative commons attribution", "sharealike noncommercial noderivatives", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("gpl-3", "gnu 3", "lesser affero", "licensed under the gnu general public license version 3"),
+    ("gpl-3", "gnu 3", "lesser affero", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2", "gnu 2", "lesser affero", "licensed under the gnu general public license version 2"),
+    ("gpl-2", "gnu 2", "lesser affero", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("bsd", "redistribution source binary", "", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("mpl-2", "mozilla 2", "", "licensed under the mozilla public license version 2 0"),
+    ("mpl-2", "mozilla 2", "", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("isc", "permission fee purpose", "", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "unencumbered", "", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+]
 THRESHOLD = 0.8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def template_sets() -> list[tuple[int, str, list[str], int]]:
-    """(number, label, distinct words, least overlap)."""
+class Template(NamedTuple):
+    number: int
+    label: str
+    words: list[str]
+    overlap: int
+    naming: list[str]
+    others: list[str]
+    width: int
+    step: int
+
+
+def template_sets() -> list[Template]:
+    """Templates as distinct words and least overlap, with the width of their blocks and the step between these."""
     out = []
-    for i, (label, text) in enumerate(TEMPLATES):
-        words = list(dict.fromkeys(text.split()))
-        out.append((i, label, words, math.ceil(THRESHOLD * len(words) - 1e-9)))
+    for i, (label, naming, others, text) in enumerate(TEMPLATES):
+        n, words = len(text.split()), [w for w in dict.fromkeys(text.split()) if w not in COMMON]
+        width = math.ceil(1.5 * n)
+        out.append(Template(i, label, words, math.ceil(THRESHOLD * len(words) - 1e-9), naming.split(), others.split(), width, width - n))
     return out
 
 
@@ -58,47 +89,61 @@ def _base(words: str) -> dict:
     return {"n_base": F.when(have, count).otherwise(F.lit(0).cast("long")), "first_word": F.when(have, first).cast("long"), "last_word": F.when(have, last).cast("long"), "base": F.when(have, labels).otherwise(none)}
 
 
+def _strings(words: list[str]):
+    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+
+
 def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, row, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null counts as empty: no words, no places, empty labels, score 0. The score is 1 where a phrase stands, else the
-    greatest share of a template's words in a line that reaches the threshold, else 0. Repeated rows get equal
-    values; an empty table gives an empty result; columns other than the two named are not read.
+    greatest share of a template's words in a block that matches it, else 0. Texts of any length count whole; ties
+    between templates give all their labels. Repeated rows get equal values; an empty table gives an empty result;
+    columns other than the two named are not read.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "license")
     sets = template_sets()
-    vocabulary = sorted({w for *_, words, _ in sets for w in words})
-    least = min(o for *_, o in sets)
-    known = F.array(*[F.lit(w) for w in vocabulary])
+    vocabulary = sorted({w for t in sets for w in [*t.words, *t.others]})
+    least, widest = min(t.overlap for t in sets), max(t.width for t in sets)
+    # A match has a whole naming set, so a text without any first naming word has none.
+    named = F.arrays_overlap("words", _strings(sorted({t.naming[0] for t in sets})))
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER).alias("t"))
-    # Lines stay apart by a newline while every other run of separators becomes one space.
-    lined = source.select("doc_id", "row", F.regexp_replace("t", r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ").alias("t"))
-    flat = lined.select("doc_id", "row", "t", F.concat(F.lit(" "), F.trim(F.regexp_replace("t", r"[ \n]+", " ")), F.lit(" ")).alias("w"))
+    flat = source.select("doc_id", "row", F.concat(F.lit(" "), F.trim(F.regexp_replace("t", SEPARATORS, " ")), F.lit(" ")).alias("w"))
     n_words = F.when(F.length("w") <= 2, F.lit(0)).otherwise(F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) - 1)
-    blocks = F.filter(F.transform(F.split("t", "\n"), lambda x: F.array_intersect(F.split(x, " "), known)), lambda b: F.size(b) >= least)
-    scanned = stage.table(flat.select("doc_id", "row", n_words.cast("long").alias("n_words"), *[c.alias(n) for n, c in _base("w").items()], F.array_distinct(blocks).alias("blocks")), "scanned")
+    hits = F.filter(F.transform("words", lambda x, i: F.struct(i.alias("p"), x.alias("w"))), lambda h: h["w"].isin(vocabulary))
+    none = F.array().cast("array<struct<p: int, w: string>>")
+    split = flat.select("doc_id", "row", "w", F.split(F.trim("w"), " ").alias("words"))
+    scanned = stage.table(split.select("doc_id", "row", n_words.cast("long").alias("n_words"), *[c.alias(n) for n, c in _base("w").items()], F.when(named, hits).otherwise(none).alias("hits")), "scanned")
 
-    lines = scanned.select("row", F.explode("blocks").alias("b"))
-    often = {r.w: r.n for r in lines.select(F.explode("b").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a word of the templates
+    texts = scanned.where(F.size("hits") >= least).select("row", "hits")
+    often = {r.w: r.n for r in texts.select(F.explode("hits.w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a word of the templates
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     index = []
-    for number, label, words, o in sets:
-        words = sorted(words, key=rank.get)
-        index += [(w, number, label, words, o, j) for j, w in enumerate(words[: len(words) - o + 1])]
-    index = spark.createDataFrame(index, "word string, template int, label string, words array<string>, o int, j int")
-    ordered = lines.select("row", F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("b")).alias("b"))
-    prefixes = ordered.select("row", "b", F.posexplode(F.slice("b", F.lit(1), F.size("b") - least + 1)).alias("i", "word"))
+    for t in sets:
+        words = sorted(t.words, key=rank.get)
+        index += [(w, t.label, words, t.overlap, t.naming, t.others, t.width, t.step, j) for j, w in enumerate(words[: len(words) - t.overlap + 1])]
+    prefixes = sorted({r[0] for r in index})
+    index = spark.createDataFrame(index, "word string, label string, words array<string>, o int, naming array<string>, others array<string>, width int, step int, j int")
+
+    # Each prefix word with the hits around it, as many as the widest block has words on either side.
+    at = F.filter(F.sequence(F.lit(1), F.size("hits")), lambda i: F.element_at("hits", i)["w"].isin(prefixes))
+    around = F.transform(at, lambda i: F.struct(F.element_at("hits", i).alias("hit"), F.slice("hits", F.greatest(i - widest, F.lit(1)), F.lit(2 * widest + 1)).alias("near")))
+    anchors = texts.select("row", F.explode(around).alias("a")).select("row", F.col("a.hit.p").alias("p"), F.col("a.hit.w").alias("word"), F.col("a.near").alias("near"))
+    placed = anchors.join(F.broadcast(index), "word")  # a row a prefix word of a template
+    first = F.greatest(F.lit(0), F.ceil((F.col("p") - F.col("width") + 1) / F.col("step")).cast("int"))
+    placed = placed.withColumn("from", F.explode(F.transform(F.sequence(first, F.floor(F.col("p") / F.col("step")).cast("int")), lambda k: k * F.col("step"))))
+    inside = F.filter("near", lambda h: (h["p"] >= F.col("from")) & (h["p"] < F.col("from") + F.col("width")))
+    blocks = placed.withColumn("b", F.array_intersect(_strings(order), F.transform(inside, lambda h: h["w"]))).withColumn("i", F.array_position("b", F.col("word")).cast("int") - 1)
     left = F.least(F.size("b") - F.col("i"), F.size("words") - F.col("j"))
-    candidates = prefixes.join(F.broadcast(index), "word").where((F.size("b") >= F.col("o")) & (F.col("i") <= F.size("b") - F.col("o")) & (left >= F.col("o") - F.least("i", "j")))
-    verified = candidates.withColumn("shared", F.size(F.array_intersect("b", "words"))).where("shared >= o")
+    candidates = blocks.where((F.size("b") >= F.col("o")) & (F.col("i") <= F.size("b") - F.col("o")) & (left >= F.col("o") - F.least("i", "j")))
+    verified = candidates.withColumn("shared", F.size(F.array_intersect("b", "words"))).where("shared >= o and size(array_except(naming, b)) = 0 and not arrays_overlap(others, b)")
     found = verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.size("words")).alias("share"))
-    joined = scanned.drop("blocks").join(found, "row", "left")
-    none = F.array().cast("array<string>")
+    joined = scanned.drop("hits").join(found, "row", "left")
     return joined.select(
         "doc_id", "row", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", F.array_sort("base")).alias("base_labels"),
-        F.concat_ws(",", F.array_sort(F.array_union("base", F.coalesce("found", none)))).alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.concat_ws(",", F.array_sort(F.array_union("base", F.coalesce("found", _strings([]))))).alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
 
 
@@ -107,19 +152,19 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Brute force: every line with every template, every word with every phrase."""
-    lists = ", ".join(f"('{x}', string_split('{p}', ' '))" for p, x in PHRASES.items())
-    templates = ", ".join(f"('{label}', string_split('{' '.join(words)}', ' '), {o})" for _, label, words, o in template_sets())
-    split = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    """Brute force: every block with every template, every word with every phrase."""
+    words = lambda w: f"string_split('{' '.join(w)}', ' ')" if w else "CAST([] AS VARCHAR[])"
+    lists = ", ".join(f"('{x}', {words(p.split())})" for p, x in PHRASES.items())
+    templates = ", ".join(f"('{t.label}', {words(t.words)}, {t.overlap}, {words(t.naming)}, {words(t.others)}, {t.width}, {t.step})" for t in template_sets())
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
-w AS (SELECT doc_id, r, t, {split.format('t')} AS w FROM d),
-p(label, words) AS (VALUES {lists}), m(label, words, o) AS (VALUES {templates}),
+w AS (SELECT doc_id, r, t, list_filter(regexp_split_to_array(t, '{SEPARATORS}'), lambda x: x <> '') AS w FROM d),
+p(label, words) AS (VALUES {lists}), m(label, words, o, naming, others, width, step) AS (VALUES {templates}),
 places AS (SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(words)] = words)) AS pos FROM w, p WHERE contains(t, words[1])),
 base AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
-lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
-sets AS (SELECT r, list_distinct({split.format('line')}) AS b FROM lines),
-hits AS (SELECT r, label, len(list_intersect(b, words)) / len(words) AS share FROM sets, m WHERE len(list_intersect(b, words)) >= o),
+blocks AS (SELECT r, label, words, o, naming, others, unnest(list_transform(range(0, len(w), step), lambda i: w[i + 1 : i + width])) AS b FROM w, m WHERE list_has_all(w, naming)),
+hits AS (SELECT r, label, len(list_intersect(b, words)) / len(words) AS share FROM blocks
+  WHERE len(list_intersect(b, words)) >= o AND list_has_all(b, naming) AND NOT list_has_any(b, others)),
 found AS (SELECT r, label FROM hits UNION SELECT r, label FROM places),
 every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY r), best AS (SELECT r, max(share) AS share FROM hits GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(base.labels, '') AS base_labels,
