@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 
@@ -13,9 +14,18 @@ TEXTS = ["Hello  world\n a", "  x ", "a\tb", "日本語 ok", "▁a", "\x00 b", "
 @settings(max_examples=400, deadline=None)
 def test_fold_equals_library(text):
     m, sp = P.model(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
-    ids = [i for w in P.words_of(text) for p in m.parts(w) for i in (m.fold(p) if p in m.id or len(p) > 1 else m.fallback(p))]
+    parts, which, sizes = P.cut(m, ["x", text, ""])
+    assert sizes[0] == 1 and sizes[2] == 0
     if "\x00" not in text:
-        assert ids == sp.encode(text)
+        assert [i for k in which[1:] for i in m.ids(parts[k])] == sp.encode(text)
+
+
+def test_neighbours_equal_merging():
+    m, rng = P.model(PATH), random.Random(6)
+    some = [m.id[p] for p in rng.sample(sorted(m.stable), 1500)] + [m.id[p] for p in m.stable if len(p) < 3 and p.isascii()]
+    a, b = np.array(rng.choices(some, k=20_000)), np.array(rng.choices(some, k=20_000))
+    want = [m.merge(m.pieces[x] + m.pieces[y])[0] == [m.pieces[x], m.pieces[y]] for x, y in zip(a, b)]
+    assert m.neighbours(a, b).tolist() == want and 0 < sum(want) < len(want)
 
 
 def test_encode_and_decode(spark, corpus, empty_df):

@@ -4,31 +4,38 @@ The vocabulary is a byte-fallback BPE model, whose result is the one segmentatio
 together, are encoded as just these two. So the lattice's fold keeps, for each place in a word, the one piece that
 can end there after what ends at its start; scores decide only whether two pieces are such neighbours.
 
-1. A scan cuts normalised texts into words, and words wherever no piece has the two characters side by side; no
-   piece can cross such a place. A chunk of documents keeps its documents as numbers into its own list of parts.
-2. The distinct parts of all chunks are exploded into substrings of bounded length and joined to the piece table,
-   which has as many rows as the model and is broadcast. A part's edges stay in its partition; each edge gets the
-   pieces that may stand before it. Spark's aggregate folds the edges in order, and a second one walks back.
-3. The ids go back to the chunks that have the part, where the documents are put together.
+1. A scan cuts texts wherever no piece has the two characters side by side; no piece can cross such a place. The
+   distinct parts of a chunk of documents go to their owners, one compressed message a chunk and owner.
+2. The distinct parts of all messages are exploded into substrings of bounded length and joined to the piece table,
+   which has as many rows as the model and is broadcast. A part's edges stay in its partition; each edge is told
+   which of the pieces that end where it begins may stand before it. Spark's aggregate folds the edges in order,
+   and a second one walks back.
+3. Owners answer each message with the ids of its parts, in their order. A second scan turns the documents into
+   numbers of parts; chunk by chunk they meet the answers.
+
+A chunk is known by a hash of its texts. Should the second scan ever cut its chunks in other places, as after the
+loss of an executor, they find no answers, and the job fails instead of giving wrong ids.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import Stage, keyed, utf8
+from tidemark.llm.common import Stage, keyed, mix64, utf8_groups
+from tidemark.llm.hashing import LONG as LONG_WORD, Sums
 
 SPACE = "▁"
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: A chunk ends with the document that brings it to so many distinct parts or words; a longer part is folded in its task.
-CHUNK_PARTS, CHUNK_WORDS, LONG = 60_000, 1_000_000, 48
+#: A chunk ends with the run of documents that brings it to so many distinct parts or characters; texts are taken in runs of so many bytes.
+CHUNK_PARTS, CHUNK_CHARACTERS, TOGETHER = 400_000, 24_000_000, 2 << 20
+#: Parts that an owner has, about; a part of more characters than LONG has too many edges for a row and is folded by the same recurrence in its task.
+OWNED, LONG = 100_000, 2_000
 
 
 class Model:
@@ -45,48 +52,88 @@ class Model:
         self.score = {self.pieces[i]: m.get_score(i) for i in plain}
         self.beside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.longest = max(map(len, self.id))
-        self._pairs: dict[int, bool] = {}
-        self.stable = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}
-
-    def merge(self, text: str) -> list[str]:
-        s = list(text)
+        halves = {p: (p, p) if len(p) == 1 else self.merge(p)[1] for p in self.id}
+        self.stable = {p for p, h in halves.items() if h}
+        # Ranks: single characters first, then pieces in the order in which they are merged.
+        order = sorted(self.stable, key=lambda p: (len(p) > 1, -self.score[p], self.id[p]))
+        rank = {p: i for i, p in enumerate(order)}
+        self.rank = np.full(len(self.pieces), -1, np.int64)
+        self.rank[[self.id[p] for p in order]] = np.arange(len(order))
+        self.halves = np.array([[rank[x] for x in halves[p]] for p in order], np.int64)
+        joins = sorted((rank[p[:i]] << 20 | rank[p[i:]], rank[p]) for p in self.stable for i in range(1, len(p)) if p[:i] in rank and p[i:] in rank)
+        self.join_keys, self.join_ranks = (np.array(c, np.int64) for c in zip(*joins))
+        # Pieces of one score (runs of white marks) are merged leftmost first, whichever they are: ranks do not say that.
+        scores = Counter(self.score[p] for p in self.stable if len(p) > 1)
+        equal = [p for p in self.stable if len(p) > 1 and scores[self.score[p]] > 1]
+        self.tied = np.array([any(t in p for t in equal) for p in self.pieces])
+        # Characters that stand beside another in some piece, numbered from 1, and which stand beside which.
+        signs = sorted(set("".join(self.beside)))
+        self.sign = np.zeros(0x110000, np.uint16)
+        self.sign[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        self.adjacent = np.zeros((len(signs) + 1, len(signs) + 1), bool)
+        for x in self.beside:
+            self.adjacent[self.sign[ord(x[0])], self.sign[ord(x[1])]] = True
+        self.adjacent = self.adjacent.ravel()
+
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The encoding of a text of known characters by merges, and the halves of the last merge if one piece is left."""
+        s, last = list(text), None
         while len(s) > 1:
-            best = max((self.score[x], -i) for i in range(len(s) - 1) if (x := s[i] + s[i + 1]) in self.score) if any(s[i] + s[i + 1] in self.score for i in range(len(s) - 1)) else None
-            if best is None:
+            found = [(self.score[x], -i) for i in range(len(s) - 1) if (x := s[i] + s[i + 1]) in self.score]
+            if not found:
                 break
-            i = -best[1]
+            i = -max(found)[1]
+            last = s[i], s[i + 1]
             s[i : i + 2] = [s[i] + s[i + 1]]
-        return s
-
-    def neighbours(self, a: int, b: int) -> bool:
-        """Whether the two pieces, put together, are encoded as just these two."""
-        known = self._pairs.get(a << 20 | b)
-        if known is None:
-            if len(self._pairs) > 300_000:
-                self._pairs.clear()
-            x, y = self.pieces[a], self.pieces[b]
-            known = self._pairs[a << 20 | b] = x[-1] + y[0] not in self.beside or self.merge(x + y) == [x, y]
-        return known
-
-    def parts(self, word: str) -> list[str]:
-        cut = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.beside]
-        return [word[i:j] for i, j in zip([0, *cut], [*cut, len(word)])]
+        return s, last if len(s) == 1 else None
+
+    def neighbours(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pieces a[i] and b[i], put together, are encoded as just these two.
+
+        Merges are taken back from the latest on, on whichever side it was made: they are such neighbours unless some
+        state on the way has a merge over the border that would have come before the next merge on either side.
+        """
+        out = np.ones(len(a), bool)
+        by_merging = self.tied[a] | self.tied[b]
+        for i in np.flatnonzero(by_merging):
+            two = [self.pieces[a[i]], self.pieces[b[i]]]
+            out[i] = self.merge("".join(two))[0] == two
+        live = np.flatnonzero(~by_merging)
+        x, y, limit = self.rank[a[live]], self.rank[b[live]], np.full(len(live), 1 << 40, np.int64)
+        last = len(self.join_keys) - 1
+        while len(live):
+            key = x << 20 | y
+            at = np.minimum(np.searchsorted(self.join_keys, key), last)
+            bad = (self.join_keys[at] == key) & (self.join_ranks[at] < limit)
+            out[live[bad]] = False
+            left, right = self.halves[x, 1], self.halves[y, 0]
+            back_x, single_x, single_y = x > y, left == x, right == y
+            # The later one is taken apart; a single character cannot be, and then the other one is.
+            take_x = np.where(back_x, ~single_x, single_y)
+            done = single_x & single_y
+            limit = np.where(take_x, x, y + 1)
+            x, y = np.where(take_x, left, x), np.where(take_x, y, right)
+            go = ~(bad | done)
+            live, x, y, limit = live[go], x[go], y[go], limit[go]
+        return out
 
     def fold(self, part: str) -> list[int]:
         """The lattice's recurrence for one part, in time linear in its length."""
-        last: list[tuple[int, int] | None] = [(0, 0)] + [None] * len(part)
+        ends: list[list[tuple[int, int]]] = [[(s, self.id[x]) for s in range(max(0, e - self.longest), e) if (x := part[s:e]) in self.stable] for e in range(len(part) + 1)]
+        pairs = sorted({(a, i) for e in range(1, len(part) + 1) for s, i in ends[e] for _, a in ends[s]})
+        fit = {p for p, ok in zip(pairs, self.neighbours(*np.array(pairs, np.int64).T)) if ok} if pairs else set()
+        last: list[tuple[int, int]] = [(0, -1)]
         for e in range(1, len(part) + 1):
-            for s in range(max(0, e - self.longest), e):
-                i = self.id.get(part[s:e]) if part[s:e] in self.stable else None
-                if i is not None and last[s] is not None and (s == 0 or self.neighbours(last[s][0], i)):
-                    last[e] = i, s
-                    break
+            last.append(next((s, i) for s, i in ends[e] if s == 0 or (last[s][1], i) in fit))
         out, e = [], len(part)
         while e > 0:
-            out.append(last[e][0])
-            e = last[e][1]
+            out.append(last[e][1])
+            e = last[e][0]
         return out[::-1]
 
+    def ids(self, part: str) -> list[int]:
+        return self.fold(part) if part in self.id or len(part) > 1 else self.fallback(part)
+
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
 
@@ -105,135 +152,280 @@ def model(path: str) -> Model:
     return _MODELS[path]
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a text after the dummy prefix; each has its white marks in front."""
-    return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-CHUNKS = "chunk long, doc_id long, row long, codes binary, n int, part string"
-ARROW_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("codes", pa.binary()), ("n", pa.int32()), ("part", pa.string())])
-
-
-def _chunks(path: str):
+def cut(m: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct parts of texts, for each place of a part its number, and how many places each text has."""
+    marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+    sizes, whole = np.array(list(map(len, marked)), np.int64), "".join(marked)
+    if not whole:
+        return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    sign = m.sign[points].astype(np.int32)
+    starts = np.empty(len(points), bool)
+    starts[0], width = True, int(len(m.adjacent) ** 0.5)
+    np.logical_not(m.adjacent[sign[:-1] * width + sign[1:]], out=starts[1:])
+    first = np.cumsum(sizes) - sizes
+    starts[first[sizes > 0]] = True
+    start = np.flatnonzero(starts)
+    end = np.append(start[1:], len(points))
+    h = Sums(0, mix64(points.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))).span(start, end)
+    for i in np.flatnonzero(end - start >= LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(points[start[i] : end[i]])
+    _, at, which = np.unique(h, return_index=True, return_inverse=True)
+    size, like = end - start, at[which]
+    within = np.arange(len(points)) - np.repeat(start, size)
+    if (size == size[like]).all() and (points == points[np.repeat(start[like], size) + within]).all():
+        parts = [whole[i:j] for i, j in zip(start[at].tolist(), end[at].tolist())]
+    else:  # two parts with one hash
+        names: dict[str, int] = {}
+        which = np.array([names.setdefault(whole[i:j], len(names)) for i, j in zip(start.tolist(), end.tolist())])
+        parts = list(names)
+    return parts, which, np.diff(np.searchsorted(start, np.append(first, len(points))))
+
+
+class Chunk:
+    """Documents in order, their distinct parts, and their places as numbers of parts."""
+
+    def __init__(self):
+        self.parts: dict[str, int] = {}
+        self.ids, self.rows, self.codes, self.sizes, self.characters, self.hash = [], [], [], [], 0, xxhash.xxh3_64()
+
+    def add(self, m: Model, ids: list, rows: list, texts: list[bytes]) -> None:
+        text = [t.decode() for t in texts]
+        parts, which, sizes = cut(m, text)
+        number = np.array([self.parts.setdefault(p, len(self.parts)) for p in parts], np.uint32)
+        self.codes.append(number[which] if len(parts) else np.zeros(0, np.uint32))
+        self.sizes.append(sizes)
+        self.ids += ids
+        self.rows += rows
+        self.characters += sum(map(len, text))
+        for t in texts:
+            self.hash.update(len(t).to_bytes(8, "little"))
+            self.hash.update(t)
+
+    def key(self) -> int:
+        """Of the texts and rows; signed."""
+        self.hash.update(np.array(self.rows, np.int64).tobytes())
+        return int(np.array([self.hash.intdigest()], np.uint64).view(np.int64)[0])
+
+    def by_owner(self, owners: int) -> list[list[str]]:
+        out: list[list[str]] = [[] for _ in range(owners)]
+        for p in self.parts:
+            out[zlib.crc32(p.encode()) % owners].append(p)
+        return out
+
+
+def _chunks(path: str, batches):
+    m, chunk = model(path), Chunk()
+    for b in batches:
+        ids, rows = b.column(0).to_pylist(), b.column(2).to_pylist()
+        for i, j, texts in utf8_groups(b.column(1), TOGETHER):
+            chunk.add(m, ids[i:j], rows[i:j], texts)
+            if len(chunk.parts) > CHUNK_PARTS or chunk.characters > CHUNK_CHARACTERS:
+                yield chunk
+                chunk = Chunk()
+    if chunk.ids:
+        yield chunk
+
+
+def packed(data: bytes) -> bytes:
+    """Compressed, with the length in front."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def texts_packed(parts: list[str]) -> bytes:
+    sizes = np.array([len(p.encode()) for p in parts], "<u4")
+    return packed(len(parts).to_bytes(4, "little") + sizes.tobytes() + "".join(parts).encode())
+
+
+def texts_unpacked(data: bytes) -> list[str]:
+    data = unpacked(data)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(np.r_[4 + 4 * n, np.frombuffer(data, "<u4", n, 4)]).tolist()
+    return [data[i:j].decode() for i, j in zip(ends, ends[1:])]
+
+
+MESSAGES = "owner int, chunk long, parts binary"
+
+
+def _messages(path: str, owners: int):
     def run(batches):
-        m, task, seq = model(path), TaskContext.get().partitionId(), 0
-        parts: dict[str, int] = {}
-        codes: dict[str, bytes] = {}
-        rows, words = [], 0
-
-        def close():
-            n, k = len(rows), len(parts)
-            chunk = task << 20 | seq
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=ARROW_CHUNKS)
-            names = list(parts)
-            for i in range(0, k, 50_000):
-                some = names[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(np.arange(i, i + len(some), dtype=np.int32)), pa.array(some, pa.string())], schema=ARROW_CHUNKS)
-
-        for b in batches:
-            for i, r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), utf8(b.column(1))):
-                w = words_of(t.decode())
-                for x in set(w).difference(codes):
-                    codes[x] = np.array([parts.setdefault(p, len(parts)) for p in m.parts(x)], "<u4").tobytes()
-                rows.append((i, r, b"".join(map(codes.__getitem__, w))))
-                words += len(w)
-                if len(parts) > CHUNK_PARTS or words > CHUNK_WORDS:
-                    yield from close()
-                    parts.clear()
-                    codes.clear()
-                    rows.clear()
-                    words, seq = 0, seq + 1
-        if rows:
-            yield from close()
+        for chunk in _chunks(path, batches):
+            mine = chunk.by_owner(owners)
+            full = [o for o in range(owners) if mine[o]]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk.key()] * len(full), pa.int64()), pa.array([texts_packed(mine[o]) for o in full], pa.binary())], names=["owner", "chunk", "parts"])
 
     return run
 
 
+def _distinct(table: pa.Table) -> pa.Table:
+    """One owner's distinct parts; characters that no piece has are left out."""
+    parts: set[str] = set()
+    for data in table.column("parts").to_pylist():
+        parts.update(texts_unpacked(data))
+    return pa.table({"owner": pa.array([table.column("owner")[0].as_py()] * len(parts), pa.int32()), "part": pa.array(sorted(parts), pa.string())})
+
+
 def _before(path: str):
-    """Adds to each edge the ids of the edges that end where it begins and may stand before it."""
+    """Puts the edges of a part in order of their ends, and tells each, by its bits, which of the edges that end where it begins may stand before it."""
 
     def run(batches):
         m = model(path)
+        known, answer = np.zeros(0, np.int64), np.zeros(0, bool)
         for b in batches:
-            lists, fields = b.column(1), b.column(1).flatten().flatten()
-            bounds = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-            e, s, ids = (f.to_numpy().tolist() for f in fields)
-            before, to = [], [0]
-            for lo, hi in zip(bounds, bounds[1:]):
-                ends: dict[int, list[int]] = {}
-                for k in range(lo, hi):
-                    ends.setdefault(e[k], []).append(ids[k])
-                for k in range(lo, hi):
-                    before += [a for a in ends.get(s[k], ()) if m.neighbours(a, ids[k])]
-                    to.append(len(before))
-            linked = pa.StructArray.from_arrays([*fields, pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(before, pa.int32()))], ["e", "s", "id", "before"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), linked)], names=["part", "edges"])
+            lists = b.column(2)
+            e, s, ids = (f.to_numpy().astype(np.int64) for f in lists.flatten().flatten())
+            n = np.diff(lists.offsets.to_numpy())
+            part = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((s, e, part))
+            e, s, ids, part = e[order], s[order], ids[order], part[order]
+            # Edges that end at one place follow each other: their first one, and each one's number among them.
+            place, want = part << 32 | e, part << 32 | s
+            first = np.searchsorted(place, place)
+            number = np.arange(len(place)) - first
+            lo, hi = np.searchsorted(place, want), np.searchsorted(place, want, "right")
+            count = hi - lo
+            edge = np.repeat(np.arange(len(place)), count)
+            before = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[edge]
+            pair = ids[before] << 32 | ids[edge]
+            values, which = np.unique(pair, return_inverse=True)
+            at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+            fit = np.zeros(len(values), bool)
+            old = known[at] == values if len(known) else fit.copy()
+            fit[old] = answer[at[old]] if len(known) else False
+            fit[~old] = m.neighbours(values[~old] >> 32, values[~old] & 0xFFFFFFFF)
+            if len(known) < 2_000_000:
+                known, answer = np.concatenate([known, values[~old]]), np.concatenate([answer, fit[~old]])
+                by = np.argsort(known, kind="stable")
+                known, answer = known[by], answer[by]
+            bits = np.zeros(len(place), np.int64)
+            np.add.at(bits, edge, fit[which].astype(np.int64) << number[before])
+            columns = [pa.array(c) for c in (s.astype(np.int32), number.astype(np.int32), ids.astype(np.int32), bits)]
+            steps = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, n]).astype(np.int32)), pa.StructArray.from_arrays(columns, ["s", "k", "id", "before"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), steps], names=["owner", "part", "steps"])
 
     return run
 
 
-def _long(path: str):
+def _rest(path: str):
+    """Ids of parts that need no lattice, a character without a piece, or have too many edges for a row."""
+
     def run(batches):
         m = model(path)
         for b in batches:
-            parts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.fold(p) for p in parts], pa.list_(pa.int32()))], names=["part", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.ids(p) for p in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["owner", "part", "ids"])
 
     return run
 
 
+IDS = "owner int, part string, ids array<int>"
+
+
 def lattice(parts: DataFrame, path: str) -> DataFrame:
-    """(part, ids) of distinct parts(part); a part that is a character without a piece gets no row."""
+    """(owner, part, ids) of distinct parts(owner, part)."""
     m, spark = model(path), parts.sparkSession
     table = F.broadcast(spark.createDataFrame([(p, m.id[p]) for p in sorted(m.stable)], "piece string, id int"))  # a row a piece of the model
     size = F.length("part")
-    starts = parts.where(size <= LONG).select("part", F.explode(F.sequence(F.lit(1), size)).alias("s"))
-    spans = starts.select("part", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), size - F.col("s") + 1))).alias("n"))
-    found = spans.select("part", "s", "n", F.substring("part", F.col("s"), F.col("n")).alias("piece")).join(table, "piece")
-    edges = found.groupBy("part").agg(F.array_sort(F.collect_list(F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("s"), "id"))).alias("edges"))
-    linked = edges.mapInArrow(_before(path), "part string, edges array<struct<e: int, s: int, id: int, before: array<int>>>")
-    best = F.expr("""aggregate(edges, transform(sequence(0, length(part)), i -> named_struct('id', IF(i = 0, 0, -1), 's', 0)),
-      (best, x) -> IF(x.s = 0 OR (best[x.s].id >= 0 AND array_contains(x.before, best[x.s].id)), transform(best, (v, i) -> IF(i = x.e, named_struct('id', x.id, 's', x.s), v)), best))""")
+    one = parts.where(size == 1).join(table.select(F.col("piece").alias("part"), "id"), "part", "left").select("owner", "part", "id")
+    starts = parts.where((size > 1) & (size <= LONG)).select("owner", "part", F.explode(F.sequence(F.lit(1), size)).alias("s"))
+    spans = starts.select("owner", "part", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), size - F.col("s") + 1))).alias("n"))
+    found = spans.select("owner", "part", "s", "n", F.substring("part", F.col("s"), F.col("n")).alias("piece")).join(table, "piece")
+    edges = found.groupBy("part").agg(F.first("owner").alias("owner"), F.collect_list(F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("s"), "id")).alias("edges"))
+    steps = edges.select("owner", "part", "edges").mapInArrow(_before(path), "owner int, part string, steps array<struct<s: int, k: int, id: int, before: long>>")
+    # best[e] is the one edge that may end at e: (s, its number among those that end there, id).
+    best = F.expr("""aggregate(steps, array(named_struct('s', 0, 'k', 0, 'id', -1)),
+      (best, x) -> IF(x.s = 0 OR (shiftright(x.before, best[x.s].k) & 1) = 1, concat(best, array(named_struct('s', x.s, 'k', x.k, 'id', x.id))), best))""")
     back = F.expr("""aggregate(sequence(length(part), 1, -1), named_struct('at', length(part), 'ids', cast(array() AS array<int>)),
       (a, i) -> IF(i = a.at, named_struct('at', best[i].s, 'ids', concat(array(best[i].id), a.ids)), a)).ids""")
-    short = linked.select("part", best.alias("best")).select("part", back.alias("ids"))
-    return short.unionByName(parts.where(size > LONG).select("part").mapInArrow(_long(path), "part string, ids array<int>"))
+    folded = steps.select("owner", "part", best.alias("best")).select("owner", "part", back.alias("ids"))
+    simple = one.where("id IS NOT NULL").select("owner", "part", F.array("id").alias("ids"))
+    rest = one.where("id IS NULL").select("owner", "part").unionByName(parts.where(size > LONG).select("owner", "part"))
+    return folded.unionByName(simple).unionByName(rest.mapInArrow(_rest(path), IDS))
 
 
-def _assemble(path: str):
-    def run(docs: pa.Table, parts: pa.Table) -> pa.Table:
-        m = model(path)
-        found = [b""] * len(parts)
-        for n, p, ids in zip(parts.column("n").to_pylist(), parts.column("part").to_pylist(), parts.column("ids").to_pylist()):
-            found[n] = np.array(ids if ids is not None else m.fallback(p), "<i4").tobytes()
-        sizes = np.array(list(map(len, found)), np.int64) // 4
-        flat, offsets = np.frombuffer(b"".join(found), "<i4"), np.cumsum(sizes) - sizes
-        out = []
-        for codes in docs.column("codes").to_pylist():
-            c = np.frombuffer(codes, "<u4").astype(np.int64)
-            n = sizes[c]
-            to = np.cumsum(n)
-            out.append(flat[np.repeat(offsets[c] - (to - n), n) + np.arange(to[-1])] if len(c) else np.zeros(0, np.int32))
-        return pa.table({"doc_id": docs.column("doc_id"), "row": docs.column("row"), "ids": pa.array(out, pa.list_(pa.int32()))})
+def _answers(messages: pa.Table, ids: pa.Table) -> pa.Table:
+    """One owner: for each chunk's message the numbers of ids of its parts, and the ids, in the message's order."""
+    at = {p: i for i, p in enumerate(ids.column("part").to_pylist())}
+    column = ids.column("ids").combine_chunks()
+    flat, size = column.flatten().to_numpy().astype("<u4"), np.diff(column.offsets.to_numpy())
+    first = np.cumsum(size) - size
+    out = []
+    for data in messages.column("parts").to_pylist():
+        k = np.array([at[p] for p in texts_unpacked(data)], np.int64)
+        n = size[k]
+        out.append(packed(n.astype("<u4").tobytes() + flat[np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()))
+    return pa.table({"owner": messages.column("owner"), "chunk": messages.column("chunk"), "count": pa.array([int.from_bytes(unpacked(x)[:4], "little") for x in messages.column("parts").to_pylist()], pa.int32()), "ids": pa.array(out, pa.binary())})
+
+
+CODED = "chunk long, doc_ids array<long>, rows array<long>, sizes array<int>, codes binary"
+
+
+def planes(codes: np.ndarray) -> bytes:
+    """Numbers below 2**24, their low bytes first: frequent bytes then stand together."""
+    return packed(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    x = np.frombuffer(unpacked(data), np.uint8).reshape(3, -1).astype(np.int64)
+    return x[0] | x[1] << 8 | x[2] << 16
+
+
+def _coded(path: str, owners: int):
+    """Documents as numbers into the parts of their chunk, these in the order of owners and within an owner of its message."""
+
+    def run(batches):
+        for chunk in _chunks(path, batches):
+            number = np.empty(len(chunk.parts), np.int64)
+            number[[chunk.parts[p] for mine in chunk.by_owner(owners) for p in mine]] = np.arange(len(chunk.parts))
+            key, at = chunk.key(), 0
+            for codes, sizes in zip(chunk.codes, chunk.sizes):
+                n = len(sizes)
+                columns = [pa.array([key]), pa.array([chunk.ids[at : at + n]], pa.list_(pa.int64())), pa.array([chunk.rows[at : at + n]], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([planes(number[codes])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_ids", "rows", "sizes", "codes"])
+                at += n
 
     return run
 
 
+def _assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    sizes, ids = [], []
+    for _, n, data in sorted(zip(answers.column("owner").to_pylist(), answers.column("count").to_pylist(), answers.column("ids").to_pylist())):
+        x = np.frombuffer(unpacked(data), "<u4")
+        sizes.append(x[:n])
+        ids.append(x[n:])
+    if docs.num_rows and not sizes and any(sum(s) for s in docs.column("sizes").to_pylist()):
+        raise RuntimeError("the chunks of the second scan are not those of the first; run the query again")
+    size = np.concatenate([*sizes, np.zeros(0, "<u4")]).astype(np.int64)
+    flat, first, out = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32), np.cumsum(size) - size, []
+    for codes, counts in zip(docs.column("codes").to_pylist(), docs.column("sizes").to_pylist()):
+        c, counts = unplaned(codes), np.array(counts, np.int64)
+        n = size[c]
+        to = np.cumsum(n)
+        tokens = flat[np.repeat(first[c] - (to - n), n) + np.arange(n.sum())]
+        ends = np.r_[0, to][np.r_[0, np.cumsum(counts)]]
+        out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens)))
+    flatten = lambda c: pa.array([x for row in docs.column(c).to_pylist() for x in row], pa.int64())
+    return pa.table({"doc_id": flatten("doc_ids"), "row": flatten("rows"), "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
+
+
 def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
     """One row per input row: doc_id, row, ids, those that the model's own library gives.
 
-    Null counts as empty: no ids. Whole texts are encoded; characters without a piece become their bytes. Repeated
-    rows get equal ids; an empty table gives an empty result; columns other than the two named are not read.
+    Null counts as empty: no ids. Whole texts of any length are encoded; characters without a piece become their
+    bytes. Null ids are kept; repeated rows get equal ids; an empty table gives an empty result; columns other than the two named are not read.
     """
     path = path or model_path()
     stage = Stage(docs.sparkSession, "pieces")
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chunks = stage.table(source.mapInArrow(_chunks(path), CHUNKS), "chunks")
-    listed = chunks.where("part IS NOT NULL").select("chunk", "n", "part")
-    ids = stage.table(lattice(listed.select("part").distinct(), path), "ids")
-    named = listed.join(ids, "part", "left").select("chunk", "n", "part", "ids").toDF("chunk", "n", "part", "ids")
-    documents = chunks.where("part IS NULL").select("chunk", "doc_id", "row", "codes").toDF("chunk", "doc_id", "row", "codes")
-    return documents.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(_assemble(path), "doc_id long, row long, ids array<int>")
+    owners = 16 << (docs.select(doc_id).count() // OWNED).bit_length()
+    messages = stage.table(source.mapInArrow(_messages(path, owners), MESSAGES), "messages")
+    parts = messages.groupBy("owner").applyInArrow(_distinct, "owner int, part string").repartition("part")
+    ids = stage.table(lattice(stage.table(parts, "parts").repartition("part"), path), "ids")
+    answers = messages.groupBy("owner").cogroup(ids.groupBy("owner")).applyInArrow(_answers, "owner int, chunk long, count int, ids binary")
+    return source.mapInArrow(_coded(path, owners), CODED).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble, "doc_id long, row long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
