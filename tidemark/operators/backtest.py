@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import windows as W
+from tidemark.functions.rolling import rolling_spearman
 
 BARS_A_DAY, DAYS_A_YEAR = 75, 252
 BARS_A_YEAR = BARS_A_DAY * DAYS_A_YEAR
@@ -76,8 +77,8 @@ def simulate(prices: np.ndarray, signal: np.ndarray, regime: np.ndarray, p) -> n
         cash, shares = cash - trade * price, shares + trade
         if not short:
             cash = max(cash, 0.0)
-        ceiling = (p.cap if short else p.capital) + 0.01
-        if abs(shares) * price > ceiling:
+        ceiling = p.cap if short else p.capital
+        if abs(shares) * price > ceiling + 0.01:
             over = (abs(shares) - ceiling / price) * np.sign(shares)
             shares, cash = shares - over, cash + over * price
         if abs(shares) < 1e-12:
@@ -118,19 +119,10 @@ def recomputed(ledger: DataFrame, capital: float = 1e6) -> DataFrame:
 
 def regime_ic(df: DataFrame, window: int = 2000, key: str = "run") -> DataFrame:
     """Adds ``regime``: the Spearman correlation of the signal in [t-W-1, t-1) with the return in [t-W, t); 1 before."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        s, r = pdf["signal"].to_numpy(), pdf["price"].pct_change().fillna(0.0).to_numpy()
-        out = np.ones(len(pdf))
-        for t in range(window + 1, len(pdf)):
-            a, b = pd.Series(s[t - window - 1 : t - 1]).rank().to_numpy(), pd.Series(r[t - window : t]).rank().to_numpy()
-            d = a.std() * b.std()
-            out[t] = ((a - a.mean()) * (b - b.mean())).mean() / d if d > 1e-14 else 0.0
-        return pdf.assign(regime=out)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(key).applyInPandas(one, kinds + ", regime double")
+    w = Window.partitionBy(key).orderBy("ts")
+    d = df.withColumn("_a", F.lag("signal").over(w)).withColumn("_b", F.when(F.lag("price").over(w).isNotNull(), F.col("price") / F.lag("price").over(w) - 1).otherwise(F.lit(0.0)))
+    rho = rolling_spearman(d, key, "ts", "_a", "_b", window, out="_rho", flat=0.0)
+    return rho.withColumn("regime", F.coalesce(F.lag("_rho").over(w), F.lit(1.0))).select(*df.columns, "regime")
 
 
 def violations(ledger: DataFrame, rows: int | None = None, capital: float = 1e6) -> DataFrame:

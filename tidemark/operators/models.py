@@ -197,6 +197,20 @@ def compare(train: DataFrame, test: DataFrame, features: list[str], y: str = "y"
     return out.orderBy(F.desc(F.abs("test_rank_ic")), "model")
 
 
+def ensemble(df: DataFrame, members: list[str], y: str = "y", key: str = "id", least: float = 1.1) -> tuple[DataFrame, list[tuple[str, float]]]:
+    """(key, prediction) of df(key, y, members...), and the weights: the three members of greatest absolute IC, each with
+    its signed share of the sum of these; only the best one where their blend's IC is not ``least`` times its own."""
+    ic = df.agg(*[S.pearson(m, y).alias(m) for m in members]).first()
+    best = sorted(((m, float(ic[m] or 0.0)) for m in members), key=lambda x: (-abs(x[1]), x[0]))[:3]
+    total = sum(abs(v) for _, v in best) or 1.0
+    weights = [(m, v / total) for m, v in best]
+    blend = lambda w: sum((F.lit(v) * F.col(m) for m, v in w), F.lit(0.0))
+    mixed = df.withColumn("_p", blend(weights)).agg(S.pearson("_p", y)).first()[0] or 0.0
+    if abs(mixed) <= least * abs(best[0][1]):
+        weights = [(best[0][0], 1.0 if best[0][1] >= 0 else -1.0)]
+    return df.select(key, blend(weights).alias("prediction")), weights
+
+
 def max_sharpe_weights(mean: np.ndarray, cov: np.ndarray, steps: int = 4000) -> np.ndarray:
     """Long-only weights that sum to one with the greatest ratio of return to risk, by projected gradient."""
 

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.functions import windows as W
+
 # MacKinnon (2010) response surfaces of critical values for tests with a constant, at 1, 5 and 10 %,
 # as b0 + b1/T + b2/T^2 + b3/T^3, for one and for two variables.
 CRITICAL = {
@@ -200,28 +202,29 @@ def trade_pairs(df: DataFrame, delta: float = 1.0, budget: float = 10_000.0) ->
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, at, out = pdf.sort_values("ts").reset_index(drop=True), None, []
-        for i, r in pdf.iterrows():
-            row = [r["pair"], r["ts"], 0, 0, [], 0.0, 0.0, 0, 0.0]
-            known = r["mean"] == r["mean"] and r["sd"] == r["sd"] and r["sd"] > 0
+        pdf, at, out = pdf.sort_values("ts"), None, []
+        columns = (pdf[c].to_numpy(float).tolist() for c in ("x", "y", "weight", "spread", "mean", "sd"))
+        final = len(pdf) - 1
+        for i, (pair, ts, x, y, weight, spread, mean, sd) in enumerate(zip(pdf["pair"], pdf["ts"], *columns)):
+            row = [pair, ts, 0, 0, [], 0.0, 0.0, 0, 0.0]
+            known = mean == mean and sd == sd and sd > 0
             if at is not None:
                 side, a, b, x0, y0, age = at
                 age += 1
-                crossed = known and (r["spread"] <= r["mean"] if side < 0 else r["spread"] >= r["mean"])
-                if crossed or i == len(pdf) - 1:
-                    legs = side * (r["x"] - x0) * a, -side * (r["y"] - y0) * b
-                    profit, worth = sum(legs), a * x0 + b * y0
-                    row[2:7] = int(profit > 0), int(profit <= 0), [age], float(profit), round(profit / worth, 4)
+                crossed = known and (spread <= mean if side < 0 else spread >= mean)
+                if crossed or i == final:
+                    profit, worth = side * (x - x0) * a - side * (y - y0) * b, a * x0 + b * y0
+                    row[2:7] = int(profit > 0), int(profit <= 0), [age], profit, round(profit / worth, 4)
                     at = None
                 else:
                     at = side, a, b, x0, y0, age
-                    row[7], row[8] = 1, margin(b * r["y"], a * r["x"]) if side < 0 else margin(a * r["x"], b * r["y"])
-            elif known and i < len(pdf) - 1 and abs(r["spread"] - r["mean"]) >= delta * r["sd"]:
-                side = -1 if r["spread"] > r["mean"] else 1
-                a, b = math.floor(budget / r["x"]), math.floor(budget * abs(r["weight"]) / r["y"])
+            elif known and i < final and abs(spread - mean) >= delta * sd:
+                a, b = math.floor(budget / x), math.floor(budget * abs(weight) / y)
                 if a > 0 and b > 0:
-                    at = side, a, b, r["x"], r["y"], 0
-                    row[7], row[8] = 1, margin(b * r["y"], a * r["x"]) if side < 0 else margin(a * r["x"], b * r["y"])
+                    at = (-1 if spread > mean else 1), a, b, x, y, 0
+            if at is not None:
+                side, a, b, *_ = at
+                row[7], row[8] = 1, margin(b * y, a * x) if side < 0 else margin(a * x, b * y)
             out.append(row)
         return pd.DataFrame(out, columns=[c.split()[0] for c in DAY.split(", ")])
 
@@ -232,38 +235,35 @@ def day_rollup(trades: DataFrame, pairs: int) -> DataFrame:
     return trades.groupBy("ts").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"), F.sum("profit").alias("profit"), (F.sum("ret") / pairs).alias("ret"), F.sum("open").alias("open"), F.sum("margin").alias("margin"), F.flatten(F.collect_list("days_open")).alias("days_open"))
 
 
-def ratio_trade(x: np.ndarray, y: np.ndarray, short: int, long: int) -> float:
-    """Money of the ratio strategy: z of the short mean of x/y against the long one; below -1 buys the ratio, above 1 sells it, within 0.75 flattens."""
-    if short <= 0 or long <= 0:
-        return 0.0
-    r = pd.Series(x / y)
-    z = ((r.rolling(short, center=False).mean() - r.rolling(long).mean()) / r.rolling(long).std()).to_numpy()
-    money, a, b = 0.0, 0.0, 0.0
-    for i in range(len(x)):
-        ratio = x[i] / y[i]
-        if z[i] < -1:
-            money += x[i] - y[i] * ratio
-            a, b = a - 1, b + ratio
-        elif z[i] > 1:
-            money -= x[i] - y[i] * ratio
-            a, b = a + 1, b - ratio
-        elif abs(z[i]) < 0.75:
-            money += a * x[i] + b * y[i]
-            a = b = 0.0
-    return float(money)
-
-
-def window_search(pair: DataFrame, short: int, windows: list[int]) -> DataFrame:
-    """(long, money) for each window: the windows are spread, the pair's series goes to each task once."""
-    rows = pair.orderBy("ts").select("x", "y").toPandas()  # one pair's bars
-    x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"long": b["id"], "money": [ratio_trade(x, y, short, int(k)) for k in b["id"]]})
-
-    spark = pair.sparkSession
-    return spark.createDataFrame([(w,) for w in windows], "id long").repartition(min(len(windows), 64)).mapInPandas(run, "long long, money double")
+def ratio_strategy(pairs: DataFrame, short: int, windows: list[int]) -> DataFrame:
+    """(pair, long, money) of df(pair, ts, x, y) for each long window.
+
+    The z value of a bar is the short mean of x / y less the long one, over the long sample deviation. Above 1 a
+    share of x is bought for x / y shares of y, below -1 it is sold for them, which moves no money; within 0.75 all
+    that is held is sold at the bar's prices. So the money is what each sale brings: between two sales only the sums
+    of shares matter. Long means and deviations are differences of running sums, for all windows in one join.
+    """
+    bar = Window.partitionBy("pair").orderBy("ts")
+    d = pairs.select("pair", "ts", "x", "y", (F.col("x") / F.col("y")).alias("ratio"), F.row_number().over(bar).cast("long").alias("n"))
+    d = d.withColumn("c", F.col("ratio") - F.avg("ratio").over(Window.partitionBy("pair")))
+    d = d.withColumn("s1", F.sum("c").over(W.running(bar))).withColumn("s2", F.sum(F.col("c") * F.col("c")).over(W.running(bar)))
+    d = d.withColumn("near", W.rolling_mean("c", bar, max(short, 1), max(short, 1)))
+    grid = d.withColumn("long", F.explode(F.array(*[F.lit(int(k)) for k in windows])))
+    wide = grid.where((F.col("long") >= 2) & (F.col("n") >= F.col("long")) & F.lit(short > 0))
+    past = d.select("pair", F.col("n").alias("m"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
+    wide = wide.withColumn("m", F.col("n") - F.col("long")).join(past, ["pair", "m"], "left").na.fill(0.0, ["p1", "p2"])
+    k, sum1, sum2 = F.col("long"), F.col("s1") - F.col("p1"), F.col("s2") - F.col("p2")
+    spread = (sum2 - sum1 * sum1 / k) / (k - 1)
+    z = wide.withColumn("z", F.when(spread > 1e-18, (F.col("near") - sum1 / k) / F.sqrt(spread)))
+    side = F.when(F.col("z") > 1, 1.0).when(F.col("z") < -1, -1.0).otherwise(0.0)
+    sale = F.coalesce(F.abs("z") < 0.75, F.lit(False))
+    earlier = Window.partitionBy("pair", "long").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    z = z.select("pair", "long", "ts", "x", "y", "ratio", side.alias("side"), sale.alias("sale"))
+    z = z.withColumn("block", F.coalesce(F.sum(F.col("sale").cast("int")).over(earlier), F.lit(0)))
+    price = lambda c: F.max(F.when(F.col("sale"), F.col(c)))
+    sold = z.groupBy("pair", "long", "block").agg((F.sum("side") * price("x") - F.sum(F.col("side") * F.col("ratio")) * price("y")).alias("money"))
+    every = d.select("pair").distinct().withColumn("long", F.explode(F.array(*[F.lit(int(k)) for k in windows])))
+    return every.join(sold.groupBy("pair", "long").agg(F.sum("money").alias("money")), ["pair", "long"], "left").na.fill(0.0, ["money"])
 
 
 def walk_forward(pairs: DataFrame, inside: int = 126, step: int = 31, back: int = 21, **selection) -> list[tuple[int, DataFrame]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import stats as S
+from tidemark.functions.windows import average_rank
 from tidemark.plans.registry import query
 from tidemark.plans.views import bars, design, nation_months, table, ticks
 
@@ -28,6 +29,17 @@ query("a07_summary", "n:l mean:d sd:d low:d q1:d q2:d q3:d high:d", lambda s, d:
 FS = [f"f{i}" for i in range(1, 7)]
 PAIRS = [(a, b) for i, a in enumerate(FS) for b in FS[i + 1 :]]
 query("a08_correlation_matrix", "a:s b:s v:d", lambda s, d: design(s, d).agg(*[S.pearson(a, b).alias(f"{a}_{b}") for a, b in PAIRS]).select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("v")) for a, b in PAIRS])).alias("p")).select("p.*"), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS v FROM design" for a, b in PAIRS), ("design",))
+
+
+def rank_correlations(s, d):
+    """Spearman of each pair of columns: one rank for each column, then the correlations of the ranks in one scan."""
+    ranked = design(s, d).select(*[average_rank(c).alias(c) for c in sorted({c for p in PAIRS for c in p})])
+    one = ranked.agg(*[S.pearson(a, b).alias(f"{a}_{b}") for a, b in PAIRS])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("v")) for a, b in PAIRS])).alias("p")).select("p.*")
+
+
+RANKED = "k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in sorted({c for p in PAIRS for c in p})) + " FROM design)"
+query("a08_rank_correlation_matrix", "a:s b:s v:d", rank_correlations, f"WITH {RANKED}\nFINALLY " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS v FROM k" for a, b in PAIRS), ("design",))
 query("a09_row_mean", "id:l total:d mean:d", lambda s, d: design(s, d).select("id", sum((F.col(f) for f in FS[1:]), F.col("f1")).alias("total"), (sum((F.col(f) for f in FS[1:]), F.col("f1")) / 6).alias("mean")), "SELECT id, f1 + f2 + f3 + f4 + f5 + f6 AS total, (f1 + f2 + f3 + f4 + f5 + f6) / 6 AS mean FROM design", ("design",))
 query("a10_quantile", "kind:s q10:d q90:d", lambda s, d: ticks(s, d).groupBy("kind").agg(F.percentile("x", 0.1).alias("q10"), F.percentile("x", 0.9).alias("q90")), "SELECT kind, quantile_cont(x, 0.1) AS q10, quantile_cont(x, 0.9) AS q90 FROM ticks GROUP BY kind", T)
 query("a11_median", "kind:s v:d", lambda s, d: ticks(s, d).groupBy("kind").agg(F.median("x").alias("v")), "SELECT kind, median(x) AS v FROM ticks GROUP BY kind", T)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
-from tidemark.plans.views import bars, ledger, table
+from tidemark.operators import models
+from tidemark.plans.views import bars, design, ledger, nation_months, table
 from tidemark.sources import readers, synthetic, writers
 from tidemark.streaming import bars as stream
 
@@ -30,6 +31,77 @@ def through_ledger_csv(s, d):
 query("s02_csv_ledger", "ts:t exposure:d cash:d turnover:d nav:d broken:b", through_ledger_csv, "SELECT ts, exposure, cash, turnover, nav, false AS broken FROM ledger WHERE run = 'LARGE'", L)
 
 
+def through_team_folder(s, d):
+    """A folder with two teams' pairs of ledgers, one of which lacks its long-short file."""
+    path, rows = readers.scratch(s, "teams"), ledger(s, d).select("run", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), F.col("exposure").alias("Gross_Exposure"), F.col("cash").alias("Cash_Balance"), F.col("turnover").alias("Interval_Turnover"), F.col("nav").alias("Gross_NAV"))
+    for run, team, kind in (("LARGE", "north", "longonly"), ("SMALL", "north", "longshort"), ("MEDIUM", "south", "longonly")):
+        writers.write_named_csv(rows.where(F.col("run") == run).drop("run"), path, f"{team}_{kind}_results.csv", ["Timestamp"])
+    long_only, long_short = readers.team_ledgers(s, path)
+    last = lambda x, kind: x.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max_by("nav", "ts").alias("nav")).select(F.col("run").alias("team"), F.lit(kind).alias("kind"), "n", "nav")
+    return last(long_only, "longonly").unionByName(last(long_short, "longshort"))
+
+
+query("s03_team_folder", "team:s kind:s n:l nav:d", through_team_folder, "SELECT CASE run WHEN 'MEDIUM' THEN 'south' ELSE 'north' END AS team, CASE run WHEN 'SMALL' THEN 'longshort' ELSE 'longonly' END AS kind, count(*) AS n, arg_max(nav, ts) AS nav FROM ledger WHERE run IN ('LARGE', 'SMALL', 'MEDIUM') GROUP BY run", L)
+
+
+def through_skipping(s, d):
+    """A text table with three lines of heading and a total at its end."""
+    path = readers.scratch(s, "nations")
+    rows = [f"{r.n_nationkey},{r.n_name}" for r in table(s, d, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+    writers.write_text(s, "\n".join(["A report", "", "key,name", *rows, "total,"]), path)
+    return readers.read_skipping(s, path, "key int, name string", 3, 1)
+
+
+query("s05_skipping_csv", "key:l name:s", through_skipping, "SELECT n_nationkey AS key, n_name AS name FROM nation")
+
+
+def through_vendor(s, d):
+    readers.register_vendor("orders of a nation", lambda spark, nation: nation_months(spark, d).where(F.col("name") == nation))
+    return readers.read_vendor(s, "orders of a nation", nation="NATION_3")
+
+
+query("s06_vendor_reader", "name:s ts:t v:d", through_vendor, "SELECT * FROM nation_months WHERE name = 'NATION_3'", ("nation_months",))
+
+
+def through_model_file(s, d):
+    """A fitted model written, read back, and used."""
+    path, design_ = readers.scratch(s, "model"), design(s, d)
+    models.save_model(models.Linear(["f1", "f2"], 0.5, [2.0, -3.0]), s, path)
+    return design_.select("id", models.load_model(s, path).predict().alias("p"))
+
+
+query("s07_model_file", "id:l p:d", through_model_file, "SELECT id, 0.5 + 2 * f1 - 3 * f2 AS p FROM design", ("design",))
+
+
+def through_csv_sink(s, d):
+    path = readers.scratch(s, "sink")
+    writers.write_csv(nation_months(s, d).select("name", F.col("ts").cast("string").alias("ts"), "v"), path, ["name", "ts"])
+    return s.read.schema("name string, ts timestamp_ntz, v double").option("header", True).csv(path)
+
+
+query("s09_csv_sink", "name:s ts:t v:d", through_csv_sink, "SELECT * FROM nation_months", ("nation_months",))
+
+
+def through_text_report(s, d):
+    path = readers.scratch(s, "report")
+    n = table(s, d, "nation").count()
+    writers.write_text(s, f"Report\nnations: {n}\nend", path)
+    return s.read.text(path).select(F.col("value").alias("line"))
+
+
+query("s10_text_report", "line:s", through_text_report, "SELECT unnest(['Report', 'nations: ' || (SELECT count(*) FROM nation), 'end']) AS line")
+
+
+def through_cache(s, d):
+    """The second call finds the table and does not compute the other one."""
+    store = readers.Store(s, readers.scratch(s, "cache"))
+    store.compute("months", lambda: nation_months(s, d))
+    return store.compute("months", lambda: nation_months(s, d).where("false"))
+
+
+query("s11_compute_or_load", "name:s ts:t v:d", through_cache, "SELECT * FROM nation_months", ("nation_months",))
+
+
 def through_store(s, d):
     store = readers.Store(s, readers.scratch(s, "store"))
     return store.compute("prices/daily", lambda: bars(s, d))

@@ -33,13 +33,22 @@ query("m07_fit_metrics", "ic:d rank_ic:d mse:d rmse:d mae:d r2:d", lambda s, d:
 query("m08_compare_models", "model:s train_ic:d train_rank_ic:d test_ic:d test_rank_ic:d test_mse:d test_r2:d", lambda s, d: M.compare(design(s, d).where("id % 4 <> 0"), design(s, d).where("id % 4 = 0"), FS))
 
 
-def ensemble(s, d):
-    df = design(s, d)
-    g = M.gram(df, FS)
-    return df.select("id", (0.5 * M.fit_ols(g).predict() + 0.3 * M.fit_ridge(g, 1.0).predict() + 0.2 * M.fit_lasso(g, 0.01).predict()).alias("prediction"))
-
-
-query("m09_ensemble", "id:l prediction:d", ensemble)
+def members(s, d):
+    """Five predictions of y, of which the three with the greatest absolute IC count."""
+    f = F.col
+    return design(s, d).select("id", "y", f("f1").alias("a"), (-f("f2") + 0.2 * f("f1")).alias("b"), (f("f3") * f("f4")).alias("c"), (f("f5") - f("f6")).alias("e"), F.abs("f2").alias("g"))
+
+
+MEMBERS = ("a", "b", "c", "e", "g")
+MEMBERS_SQL = "mem AS (SELECT id, y, f1 AS a, -f2 + 0.2::DOUBLE * f1 AS b, f3 * f4 AS c, f5 - f6 AS e, abs(f2) AS g FROM design)"
+LONG_MEMBERS = "l AS (" + " UNION ALL ".join(f"SELECT id, y, '{m}' AS m, {m} AS x FROM mem" for m in MEMBERS) + ")"
+query(
+    "m09_ensemble", "id:l prediction:d", lambda s, d: M.ensemble(members(s, d), list(MEMBERS))[0],
+    f"""WITH {MEMBERS_SQL}, {LONG_MEMBERS}, ic AS (SELECT m, corr(x, y) AS v FROM l GROUP BY m), best AS (SELECT m, v, row_number() OVER (ORDER BY abs(v) DESC, m) AS k FROM ic QUALIFY k <= 3),
+w AS (SELECT m, k, v, v / sum(abs(v)) OVER () AS w FROM best), mix AS (SELECT id, any_value(y) AS y, sum(w * x) AS p FROM l JOIN w USING (m) GROUP BY id), ok AS (SELECT abs(corr(p, y)) > 1.1 * (SELECT abs(v) FROM best WHERE k = 1) AS used FROM mix),
+one AS (SELECT id, CASE WHEN v >= 0 THEN x ELSE -x END AS p FROM l JOIN best USING (m) WHERE k = 1)
+FINALLY SELECT mix.id, CASE WHEN used THEN mix.p ELSE one.p END AS prediction FROM mix JOIN one USING (id), ok""", D,
+)
 query("m10_formula", "formula:s", lambda s, d: s.createDataFrame([(M.fit_ols(M.gram(design(s, d), FS)).formula(),)], "formula string"))
 query("m11_full_signal", "id:l signal:d", lambda s, d: design(s, d).select("id", (-M.Linear(FS[:2], 0.5, [2.0, -3.0]).predict()).alias("signal")), "SELECT id, -(0.5 + 2 * f1 - 3 * f2) AS signal FROM design", D)
 PAIR = "p AS (SELECT a.ts, a.close AS x, b.close AS y FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker = 'LARGE' AND b.ticker = 'SMALL')"

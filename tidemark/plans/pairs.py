@@ -81,7 +81,14 @@ COLS = "ts:t positive:l negative:l profit:d ret:d open:l margin:d"
 query("k12_k14_pair_trades", "pair:s " + COLS, traded)
 query("k13_margin", "ts:t margin:d", lambda s, d: traded(s, d).where("open > 0"))
 query("k15_day_rollup", COLS, lambda s, d: K.day_rollup(traded(s, d), 1))
-query("k16_liquidation", "pair:s open:l", lambda s, d: traded(s, d).groupBy("pair").agg(F.max_by("open", "ts").alias("open")))
+def liquidated(s, d):
+    """The last bar of each pair, where nothing may stay open, beside what the bar before held and what closing it brought."""
+    w = Window.partitionBy("pair").orderBy("ts")
+    t = traded(s, d).withColumn("held", F.lag("open").over(w)).withColumn("later", F.lead("ts").over(w))
+    return t.where("later IS NULL").select("pair", "ts", "held", "open", F.size("days_open").alias("closed"), "profit")
+
+
+query("k16_liquidation", "pair:s ts:t held:l open:l closed:l profit:d", liquidated)
 
 
 def walked(s, d):
@@ -91,9 +98,35 @@ def walked(s, d):
 
 
 query("k17_walk_forward", "period:l pair:s " + COLS, walked)
-query("k18_ratio_strategy", "money:d", lambda s, d: K.window_search(daily_pair(s, d), 5, [60]))
-query("k19_window_search", "long:l money:d place:l", lambda s, d: K.window_search(daily_pair(s, d), 5, list(range(10, 120, 10))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("money"), "long"))))
-query("k20_portfolio_curve", "ts:t balance:d margin:d", lambda s, d: K.day_rollup(traded(s, d), 1).select("ts", (100_000 + F.sum("profit").over(W.running(Window.orderBy("ts")))).alias("balance"), "margin"))
+def ratio_sql(short: int, windows: str) -> str:
+    """The strategy bar by bar as window sums; windows is a table function of the long windows."""
+    return f"""WITH {DAILY}, r AS (SELECT *, x / y AS ratio, row_number() OVER (ORDER BY ts) AS n FROM p), e AS (SELECT *, ratio - avg(ratio) OVER () AS c FROM r),
+s AS (SELECT *, sum(c) OVER (ORDER BY n) AS s1, sum(c * c) OVER (ORDER BY n) AS s2, CASE WHEN n >= {short} THEN avg(c) OVER (ORDER BY n ROWS {short - 1} PRECEDING) END AS near FROM e),
+k(k) AS (SELECT * FROM {windows}),
+z AS (SELECT k, s.n, s.x, s.y, s.ratio, s.near, s.s1 - coalesce(q.s1, 0) AS a, s.s2 - coalesce(q.s2, 0) AS b FROM s JOIN k ON k >= 2 AND s.n >= k LEFT JOIN s q ON q.n = s.n - k),
+v AS (SELECT *, CASE WHEN (b - a * a / k) / (k - 1) > 1e-18 THEN (near - a / k) / sqrt((b - a * a / k) / (k - 1)) END AS z FROM z),
+t AS (SELECT *, CASE WHEN z > 1 THEN 1 WHEN z < -1 THEN -1 ELSE 0 END AS side, coalesce(abs(z) < 0.75, false) AS sale FROM v),
+h AS (SELECT *, sum(side) OVER (PARTITION BY k ORDER BY n) AS held, sum(side * ratio) OVER (PARTITION BY k ORDER BY n) AS owed FROM t),
+f AS (SELECT k, (held - lag(held, 1, 0) OVER w) * x - (owed - lag(owed, 1, 0) OVER w) * y AS money FROM h WHERE sale WINDOW w AS (PARTITION BY k ORDER BY n)),
+m AS (SELECT k, coalesce(sum(money), 0) AS money FROM k LEFT JOIN f USING (k) GROUP BY k)
+FINALLY """
+
+
+query("k18_ratio_strategy", "money:d", lambda s, d: K.ratio_strategy(daily_pair(s, d), 5, [60]), ratio_sql(5, "range(60, 61)") + "SELECT money FROM m", B)
+query("k19_window_search", "long:l money:d place:l", lambda s, d: K.ratio_strategy(daily_pair(s, d), 5, list(range(255))).withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("money", 6)), "long"))),
+      ratio_sql(5, "range(0, 255)") + "SELECT k AS long, money, row_number() OVER (ORDER BY round(money, 6) DESC, k) AS place FROM m", B)
+def portfolio_curve(s, d):
+    """Balance, required margin, and the benchmark bought with the same money; with the return of the calendar year so far."""
+    everything = W.running(Window.orderBy("ts"))  # one row a day
+    benchmark = bars(s, d).where("ticker = 'MEDIUM'").select("ts", "close")
+    curve = K.day_rollup(traded(s, d), 1).select("ts", (100_000 + F.sum("profit").over(everything)).alias("balance"), "margin").join(benchmark, "ts", "left")
+    curve = curve.withColumn("close", F.last("close", ignorenulls=True).over(everything))
+    year = Window.partitionBy(F.year("ts")).orderBy("ts")
+    first = lambda c: F.first(c, ignorenulls=True)
+    return curve.select("ts", "balance", "margin", (100_000 * F.col("close") / first("close").over(everything)).alias("benchmark"), (F.col("balance") / F.first("balance").over(year) - 1).alias("year_return"), (F.col("close") / first("close").over(year) - 1).alias("benchmark_year_return"))
+
+
+query("k20_portfolio_curve", "ts:t balance:d margin:d benchmark:d year_return:d benchmark_year_return:d", portfolio_curve)
 query("k21_compounding", "ts:t r:d c:d", lambda s, d: daily_pair(s, d).select("pair", "ts", W.pct_change("x", pw()).alias("r")).select("ts", "r", F.sum(F.ln(1 + F.col("r"))).over(W.running(Window.orderBy("ts"))).alias("c")), f"WITH {DAILY}, r AS (SELECT ts, x / lag(x) OVER (ORDER BY ts) - 1 AS r FROM p)\nFINALLY SELECT ts, r, sum(ln(1 + r)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM r", B)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from tidemark.functions import windows as W
 from tidemark.operators import backtest as B
 from tidemark.plans.registry import query
-from tidemark.plans.views import bars, ledger
+from tidemark.plans.views import SPEARMAN, bars, ledger
 
 L = ("bars", "ledger")
 
@@ -63,17 +63,32 @@ def trade_input(s, d):
 TRADES = f"x AS (SELECT run, ts, coalesce(pos - lag(pos) OVER ({RUN}), 0) AS change, coalesce(nav - lag(nav) OVER ({RUN}), 0) AS pnl FROM ledger), c AS (SELECT run, pnl, change <> 0 AS moved, sum(CAST(change <> 0 AS INT)) OVER ({RUN} ROWS UNBOUNDED PRECEDING) AS c FROM x), t AS (SELECT run, CAST(floor((c + 1) / 2 - CASE WHEN moved THEN 0.5 ELSE 0 END) AS BIGINT) AS trade, sum(pnl) AS pnl FROM c WHERE c > 0 AND ((c % 2 = 1 AND NOT moved) OR (c % 2 = 0 AND moved)) GROUP BY 1, 2)"
 query("b13_trades", "run:s trade:l pnl:d", lambda s, d: B.trades(trade_input(s, d)), f"WITH {TRADES}\nFINALLY SELECT * FROM t", L)
 query("b14_trade_stats", "run:s trades:l profit_factor:d hit:d average_win:d average_loss:d win_loss:d", lambda s, d: B.trade_stats(B.trades(trade_input(s, d))), f"WITH {TRADES}\nFINALLY SELECT run, count(*) AS trades, sum(pnl) FILTER (WHERE pnl > 0) / abs(sum(pnl) FILTER (WHERE pnl < 0)) AS profit_factor, avg(CAST(pnl > 0 AS INT)) AS hit, avg(pnl) FILTER (WHERE pnl > 0) AS average_win, avg(pnl) FILTER (WHERE pnl < 0) AS average_loss, avg(pnl) FILTER (WHERE pnl > 0) / abs(avg(pnl) FILTER (WHERE pnl < 0)) AS win_loss FROM t GROUP BY run", L)
-query("w27_regime_ic", "run:s ts:t regime:d", lambda s, d: B.regime_ic(signals(s, d).drop("regime"), 200))
-query("b18_regime_gate", "run:s open:l n:l", lambda s, d: B.regime_ic(signals(s, d).drop("regime"), 200).groupBy("run").agg(F.count_if(F.col("regime") >= 0.02).alias("open"), F.count(F.lit(1)).alias("n")))
+REGIME = SPEARMAN.format(
+    head="rows AS (SELECT ticker AS key, ts, row_number() OVER w AS n, lag(signal) OVER w AS a, coalesce(close / lag(close) OVER w - 1, 0) AS b FROM (SELECT *, coalesce(close - lag(close, 3) OVER (PARTITION BY ticker ORDER BY ts), 0) AS signal FROM bars) WINDOW w AS (PARTITION BY ticker ORDER BY ts))",
+    last=1999, window=2000, flat=0,
+) + ", regime AS (SELECT key AS run, ts, coalesce(lag(v) OVER (PARTITION BY key ORDER BY ts), 1) AS regime FROM rho)"
+query("w27_regime_ic", "run:s ts:t regime:d", lambda s, d: B.regime_ic(signals(s, d).drop("regime")), f"WITH {REGIME}\nFINALLY SELECT * FROM regime", ("bars",))
+query("b18_regime_gate", "run:s open:l n:l", lambda s, d: B.regime_ic(signals(s, d).drop("regime")).groupBy("run").agg(F.count_if(F.col("regime") >= 0.02).alias("open"), F.count(F.lit(1)).alias("n")), f"WITH {REGIME}\nFINALLY SELECT run, count_if(regime >= 0.02) AS open, count(*) AS n FROM regime GROUP BY run", ("bars",))
 
 
-def grid_search(s, d):
-    """Every pair of percentiles on one run; best Sharpe ratio first."""
-    grid = s.createDataFrame([(f"/{a:.0f}/{b:.0f}", a, b) for a in (60.0, 70.0, 80.0) for b in (30.0, 40.0, 50.0)], "params string, entry_percentile double, exit_percentile double")
-    return B.graded_sharpe(B.backtest(signals(s, d).where("run = 'LARGE'"), B.LongOnly(), grid)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("sharpe"), "run")))
+#: The sweep's parameters, in percent and shares of capital.
+LONG_GRID = [(a, b, c) for a in (85.0, 95.0, 97.0) for b in (15.0, 42.0, 30.0) for c in (0.85, 0.90, 0.95)]
+SHORT_GRID = [(a, b, c) for a in (93.0, 95.0, 97.0) for b in (0.08, 0.10, 0.12) for c in (0.01, 0.02, 0.03)]
 
 
-query("b19_grid_search", "run:s sharpe:d place:l", grid_search)
+def grid_search(s, d):
+    """Long-only and long-short sweeps over every ticker; place within the sweep of a run, and the mean of the best two."""
+    sides = []
+    for side, grid, fields, kind in (("long", LONG_GRID, ("entry_percentile", "exit_percentile", "fraction"), B.LongOnly()), ("short", SHORT_GRID, ("long_percentile", "long_fraction", "short_fraction"), B.LongShort())):
+        runs = s.createDataFrame([(f"/{side}/" + "/".join(f"{v:g}" for v in x), *x) for x in grid], "params string, " + ", ".join(f"{f} double" for f in fields))
+        sides.append(B.graded_sharpe(B.backtest(signals(s, d), kind, runs)).select(F.split("run", "/")[0].alias("ticker"), F.lit(side).alias("side"), "run", "sharpe"))
+    swept = sides[0].unionByName(sides[1])
+    best = Window.partitionBy("ticker")
+    top = lambda side: F.max(F.when(F.col("side") == side, F.col("sharpe"))).over(best)
+    return swept.withColumn("place", F.row_number().over(Window.partitionBy("ticker", "side").orderBy(F.desc("sharpe"), "run"))).withColumn("blended", (top("long") + top("short")) / 2)
+
+
+query("b19_grid_search", "ticker:s side:s run:s sharpe:d place:l blended:d", grid_search)
 
 
 def weekly(s, d, n=2):

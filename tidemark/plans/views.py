@@ -62,3 +62,9 @@ def ledger(spark, sf_dir):
     d = d.withColumn("paid", (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0))) * F.col("close"))
     cash = 1000000 - F.sum("paid").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return d.select("run", "ts", "pos", "close", (F.col("pos") * F.col("close")).alias("exposure"), F.round(cash, 2).alias("cash"), F.abs("paid").alias("turnover"), F.round(cash + F.col("pos") * F.col("close"), 2).alias("nav"))
+
+
+#: Spearman over moving windows, from head with rows(key, ts, n, a, b): a table rho(key, ts, v).
+SPEARMAN = """{head}, pairs AS (SELECT x.key, x.ts, x.n, y.a, y.b FROM rows x JOIN rows y ON x.key = y.key AND y.n BETWEEN x.n - {last} AND x.n),
+ranks AS (SELECT key, ts, a, b, rank() OVER (PARTITION BY key, n ORDER BY a) + (count(*) OVER (PARTITION BY key, n, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY key, n ORDER BY b) + (count(*) OVER (PARTITION BY key, n, b) - 1) / 2.0 AS rb FROM pairs),
+rho AS (SELECT key, ts, CASE WHEN count(a) = {window} AND count(b) = {window} THEN CASE WHEN stddev_pop(ra) * stddev_pop(rb) > 1e-14 THEN corr(ra, rb) ELSE {flat} END END AS v FROM ranks GROUP BY 1, 2)"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import windows as W
+from tidemark.functions.rolling import rolling_spearman
 from tidemark.plans.registry import query
-from tidemark.plans.views import bars, ticks
+from tidemark.plans.views import SPEARMAN, bars, ticks
 
 OVER = "PARTITION BY series ORDER BY ts, tie"
 BAR = "PARTITION BY ticker ORDER BY ts"
@@ -166,13 +167,35 @@ query("w19_scoring_features", "ticker:s ts:t mom1:d mom3:d mom6:d mom12:d mom24:
 on_bars("w20_target_return", lambda: W.forward_return("close", day(), 3), f"lead(close, 3) OVER ({BAR}) / close - 1")
 on_bars("w20_target_log_return", lambda: W.forward_return("close", day(), 1, "log_return"), f"ln(lead(close) OVER ({BAR}) / close)")
 on_bars("w20_target_directional", lambda: W.forward_return("close", day(), 1, "directional"), f"coalesce(CAST(lead(close) OVER ({BAR}) > close AS INT), 0)", "l")
-query("w21_target_alignment", "ticker:s v:d", lambda s, d: bars(s, d).select("ticker", F.abs(W.forward_return("close", day()) - (F.lead("close").over(day()) / F.col("close") - 1)).alias("e")).groupBy("ticker").agg(F.avg("e").alias("v")), f"WITH t AS (SELECT ticker, abs((lead(close) OVER ({BAR}) / close - 1) - (lead(close) OVER ({BAR}) / close - 1)) AS e FROM bars)\nFINALLY SELECT ticker, avg(e) AS v FROM t GROUP BY ticker", ("bars",))
+
+
+def misaligned(s, d):
+    """The audit of two stored targets, one right and one that was made a bar too early, against the return to the next bar."""
+    stored = bars(s, d).select("ticker", "ts", "close", (F.lead("close").over(day()) / F.col("close") - 1).alias("good"), (F.col("close") / F.lag("close").over(day()) - 1).alias("early"))
+    gap = lambda c: F.avg(F.abs(F.col(c) - F.col("truth"))).alias(c)
+    return stored.withColumn("truth", W.forward_return("close", day())).groupBy("ticker").agg(gap("good"), gap("early"))
+
+
+query(
+    "w21_target_alignment", "ticker:s good:d early:d", misaligned,
+    f"WITH t AS (SELECT ticker, lead(close) OVER ({BAR}) / close - 1 AS truth, close / lag(close) OVER ({BAR}) - 1 AS early FROM bars)\nFINALLY SELECT ticker, CASE WHEN count(truth) > 0 THEN 0 END AS good, avg(abs(early - truth)) AS early FROM t GROUP BY ticker",
+    ("bars",),
+)
 on_bars("w22_drawdown", lambda: W.drawdown("close", day()), f"(close - max(close) OVER {E}) / (max(close) OVER {E} + 1e-12)")
 on_bars("w23_running_sum", lambda: W.running_sum("volume", day()), f"sum(volume) OVER {E}")
 query("w23_running_product", "ticker:s ts:t v:d", lambda s, d: bars(s, d).select("ticker", "ts", F.coalesce(1 + W.pct_change("close", day()) / 5000, F.lit(1.0)).alias("g")).select("ticker", "ts", W.running_product("g", day()).alias("v")), f"WITH g AS (SELECT ticker, ts, coalesce(1 + (close / lag(close) OVER ({BAR}) - 1) / 5000, 1) AS g FROM bars)\nFINALLY SELECT ticker, ts, exp(sum(ln(g)) OVER {E}) AS v FROM g", ("bars",))
 on_bars("w24_change", lambda: W.change("close", day(), 1000.0), f"close - coalesce(lag(close) OVER ({BAR}), 1000)")
 query("w25_rolling_ic", "ticker:s ts:t v:d", lambda s, d: bars(s, d).select("ticker", "ts", F.col("volume").alias("a"), W.forward_return("close", day()).alias("b")).select("ticker", "ts", W.rolling_correlation("a", "b", day(), 50).alias("v")),
       f"WITH c AS (SELECT ticker, ts, lead(close) OVER ({BAR}) / close - 1 AS b, CASE WHEN lead(close) OVER ({BAR}) IS NOT NULL THEN volume END AS a FROM bars)\nFINALLY SELECT ticker, ts, " + CORR.format(f=frame(50, BAR), k=50).replace("close", "a").replace("volume", "b") + " AS v FROM c", ("bars",))
+RANK_IC = SPEARMAN.format(
+    head="rows AS (SELECT ticker AS key, ts, row_number() OVER w AS n, volume AS a, lead(close) OVER w / close - 1 AS b FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts))",
+    last=49, window=50, flat="NULL",
+)
+query(
+    "w25_rolling_rank_ic", "ticker:s ts:t v:d",
+    lambda s, d: rolling_spearman(bars(s, d).select("ticker", "ts", F.col("volume").cast("double").alias("a"), W.forward_return("close", day()).alias("b")), "ticker", "ts", "a", "b", 50).select("ticker", "ts", "v"),
+    f"WITH {RANK_IC}\nFINALLY SELECT key AS ticker, ts, v FROM rho", ("bars",),
+)
 LATE = f"({BAR} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"
 on_bars("w29_beta_through_origin", lambda: W.beta_through_origin("close", "volume", day(), 30), f"CASE WHEN count(volume) OVER {LATE} >= 30 THEN sum(volume * close) OVER {LATE} / sum(volume * volume) OVER {LATE} END")
 on_bars("w30_spread_zscore", lambda: W.spread_zscore("close", day(), 5, 60), f"({rolled('avg(close)', 5, 5, 'close', BAR)} - {rolled('avg(close)', 60, 60, 'close', BAR)}) / nullif({rolled('stddev_samp(close)', 60, 60, 'close', BAR)}, 0)")
@@ -185,6 +208,11 @@ on_bars("w37_momentum_difference", lambda: W.normalised_return("close", day(), 1
 for _k in (21, 42, 63):
     on_bars(f"w40_moving_average_{_k}", lambda k=_k: W.rolling_mean("close", day(), k, k), rolled("avg(close)", _k, _k, "close", BAR))
 on_ticks("w42_ntile", lambda: F.ntile(4).over(tick()), f"ntile(4) OVER ({OVER})", "l")
+on_ticks("w42_rank", lambda: F.rank().over(tick()), f"rank() OVER ({OVER})", "l")
+on_ticks("w42_dense_rank", lambda: F.dense_rank().over(tick()), f"dense_rank() OVER ({OVER})", "l")
+on_ticks("w42_percent_rank", lambda: F.percent_rank().over(tick()), f"percent_rank() OVER ({OVER})")
+on_ticks("w42_cume_dist", lambda: F.cume_dist().over(tick()), f"cume_dist() OVER ({OVER})")
+on_ticks("w42_nth_value", lambda: F.nth_value("x", 3).over(tick()), f"nth_value(x, 3) OVER ({OVER})")
 
 
 def quantile_bucket(df, c: str, parts: int, *keys: str, out: str = "v"):
