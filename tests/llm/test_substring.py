@@ -54,6 +54,7 @@ def test_words_that_collide_modulo_2_64(spark):
 
 def test_joins_instead_of_bitmaps(corpus_df, corpus, monkeypatch):
     monkeypatch.setattr("tidemark.llm.common.MOST_ONES", -1)
+    monkeypatch.setattr("tidemark.llm.common.MOST_ROWS", -1)
     assert result(corpus_df) == Counter(brute([((i, n), i, t) for n, (i, t) in enumerate(corpus)]))
 
 

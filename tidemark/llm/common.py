@@ -138,32 +138,17 @@ class Bitmap:
         return (self.words.view(np.uint64)[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63))) & np.uint64(1) == 1
 
 
-def marks(rows: DataFrame, column: str = "row"):
-    """A broadcast bitmap of the hashes of row numbers, for ``marked``; None where they are too many for one."""
-    bitmap = Bitmap.of(rows.select(F.xxhash64(column).alias("h")), "h")
-    return None if bitmap is None else rows.sparkSession.sparkContext.broadcast(bitmap)
+#: Row numbers that are broadcast; a hash table of so many takes about 50 MB.
+MOST_ROWS = 1 << 21
 
 
-def marked(source: DataFrame, bitmap, has: bool = True, column: str = "row") -> DataFrame:
-    """The rows of source that the bitmap has, or those that it has not; without a bitmap all of them, or none.
+def rows_of(source: DataFrame, rows: DataFrame, has: bool = True, column: str = "row") -> DataFrame:
+    """The rows of source whose number is, or is not, in the staged table rows(row), which repeats none.
 
-    The filter runs in the tasks that scan, so what it drops crosses no shuffle.
+    While these are few, the join is made where source is scanned, and what it drops crosses no shuffle.
     """
-    if bitmap is None:
-        return source if has else source.where(F.lit(False))
-
-    def run(batches):
-        for b in batches:
-            hit = bitmap.value.has(b.column(b.num_columns - 1).to_numpy())
-            yield b.select(range(b.num_columns - 1)).filter(pa.array(hit if has else ~hit))
-
-    return source.withColumn(fresh(source, "hash"), F.xxhash64(column)).mapInArrow(run, source.schema)
-
-
-def without(source: DataFrame, rows: DataFrame, column: str = "row") -> DataFrame:
-    """The rows of source whose number is not in the staged table rows(row); those that a bitmap clears cross no shuffle."""
-    gone, bitmap = rows.select(F.col("row").alias(column)), marks(rows)
-    return marked(source, bitmap, False, column).unionByName(marked(source, bitmap, True, column).join(gone, column, "left_anti"))
+    listed = rows.select(F.col("row").alias(column))
+    return source.join(F.broadcast(listed) if rows.count() <= MOST_ROWS else listed, column, "left_semi" if has else "left_anti")
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -5,7 +5,7 @@
    fingerprints as Golomb-Rice coded gaps.
 2. An owner decodes its messages and answers each chunk with a bitmap: which fingerprints another chunk has too.
 3. Rows whose bit is set, or which repeat within their chunk, are suspects. A second scan lets only their texts
-   through, by a bitmap of their row numbers for as long as it has a bounded size, by a join beyond. The texts are
+   through, by a broadcast of their row numbers for as long as it has a bounded size. The texts are
    shuffled and grouped by their bytes, which is the verification; groups are pre-aggregated before the shuffle, so
    that a text with any number of copies crosses it once a task.
 """
@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import ASCII_LOWER, Stage, batch, marked, marks, numbered, utf8_groups
+from tidemark.llm.common import ASCII_LOWER, Stage, batch, numbered, rows_of, utf8_groups
 
 FP_BITS = 48
 #: Rows of a chunk, and about how many fingerprints an owner gets.
@@ -133,9 +133,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sca
     bitmaps = messages.groupBy("owner").applyInArrow(_answer, "chunk long, owner int, bitmap array<long>")
     told = F.element_at("bitmap", (F.shiftright("rank", 6) + 1).cast("int")).bitwiseAND(F.expr("shiftleft(1L, rank % 64)")) != 0
     suspects = stage.table(rows.select("chunk", "owner", "rank", "twin", "row").join(bitmaps, ["chunk", "owner"]).where(F.col("twin") | told).select("row"), "suspects")
-    bitmap = marks(suspects)
-    texts = marked(source, bitmap) if bitmap else source.join(suspects, "row", "left_semi")
-    texts = texts.select("doc_id", "row", "text").mapInArrow(_lowered, "doc_id long, row long, norm binary")
+    texts = rows_of(source, suspects).select("doc_id", "row", "text").mapInArrow(_lowered, "doc_id long, row long, norm binary")
     groups = texts.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", (-F.col("row")).alias("r"))).alias("keep")).where("n > 1")
     # One text has one SHA-256; two texts with the same one would be a collision, and no row may get two answers.
     verified = stage.table(groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("keep.doc_id").alias("keep_id"), (-F.col("keep.r")).alias("keep_row"), "n"), "groups")

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import Bitmap, Stage, batch, fresh, marked, marks, mix64, numbered, utf8_groups
+from tidemark.llm.common import Bitmap, Stage, batch, fresh, mix64, numbered, rows_of, utf8_groups
 from tidemark.llm.hashing import Sums, word_hashes
 
 WINDOW, GRAM = 20, 6
@@ -167,7 +167,8 @@ def repeated_spans(source: DataFrame, stage: Stage, most: int | None = None) ->
 
     # A document's requests are two a window at most.
     by_row = asked.groupBy("row").agg(F.collect_list(F.struct("start", "length", "single")).alias("asked"))
-    texts = marked(source, marks(asked.select("row").distinct())).join(by_row, "row").select("doc_id", "text", "row", "asked")
+    touched = stage.table(asked.select("row").distinct(), "touched")
+    texts = rows_of(source, touched).join(by_row, "row").select("doc_id", "text", "row", "asked")
     digests = stage.table(texts.mapInArrow(_digests, "k1 long, k2 long, doc_id long, row long, start int, length int"), "digests")
     stage.drop(asked)
     first = digests.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -216,7 +217,7 @@ def cut_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     source = numbered(docs, stage, *[F.col(f"`{c}`") for c in docs.columns], scan=scan, name=name)
     spans = repeated_spans(source.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(name).alias("row")), stage)
     by_row = spans.groupBy(F.col("row").alias(name)).agg(F.collect_list(F.struct("start", "length")).alias(listed))
-    bitmap, at, names = marks(spans.select("row").distinct()), docs.columns.index(text), [*docs.columns, changed]
+    rows, at, names = stage.table(spans.select("row").distinct(), "rows"), docs.columns.index(text), [*docs.columns, changed]
 
     def run(batches):
         for b in batches:
@@ -226,11 +227,11 @@ def cut_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
                 some[at] = pa.array([b" ".join(kept_words(*x)).decode() if len(x[1]) else old for x, old in zip(found, some[at].to_pylist())], some[at].type)
                 yield pa.RecordBatch.from_arrays([*some, pa.array([len(x[1]) > 0 for x in found], pa.bool_())], names=names)
 
-    touched = marked(source, bitmap, True, name).join(by_row, name, "left").drop(name)
+    touched = rows_of(source, rows, True, name).join(by_row, name).drop(name)
     touched = touched.mapInArrow(run, touched.drop(listed).withColumn(changed, F.lit(True)).schema)
     chars = lambda c: F.when(F.col(changed), F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
     touched = touched.select(*[chars(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
-    return touched.unionByName(marked(source, bitmap, False, name).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return touched.unionByName(rows_of(source, rows, False, name).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scan: bool = False, most: int | None = None) -> DataFrame:
@@ -245,11 +246,11 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stage = Stage(docs.sparkSession, "substring")
     source = numbered(docs, stage, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), scan=scan)
     spans = repeated_spans(source, stage, most)
-    bitmap, none = marks(spans.select("row").distinct()), F.array().cast("array<struct<start: int, length: int>>")
-    cut = marked(source, bitmap).join(spans.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "row", "left").select("doc_id", "text", "row", F.coalesce("spans", none).alias("spans"))
-    whole = marked(source, bitmap, has=False).select("doc_id", "text", "row", none.alias("spans"))
+    rows, none = stage.table(spans.select("row").distinct(), "rows"), F.array().cast("array<struct<start: int, length: int>>")
+    cut = rows_of(source, rows).join(spans.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "row").select("doc_id", "text", "row", "spans")
+    whole = rows_of(source, rows, False).select("doc_id", "text", "row", none.alias("spans"))
     schema = "doc_id long, row long, n_words long, n_removed long, kept binary"
-    return cut.mapInArrow(_kept, schema).unionByName(whole.mapInArrow(_kept, schema))
+    return cut.unionByName(whole).mapInArrow(_kept, schema)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
