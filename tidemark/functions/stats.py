@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.windows import average_rank
 
@@ -18,9 +18,30 @@ def pearson(x: str, y: str, least: int = 5) -> Column:
     return F.when((F.count(a) >= least) & (bottom > 1e-14), F.covar_pop(a, b) / F.when(bottom > 1e-14, bottom))
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5, out: str = "ic") -> DataFrame:
-    """Pearson of average ranks over complete pairs, by group."""
-    d = df.where(both(x, y)).select(*keys, average_rank(x, *keys).alias("_x"), average_rank(y, *keys).alias("_y"))
+def spread_rank(df: DataFrame, c: str, keys: list[str], out: str, parts: int = 64) -> DataFrame:
+    """Adds the average rank of c, which is never missing, within few large groups.
+
+    A group's values are cut at approximate quantiles, which have one row a group. A value's rank is its rank within its
+    part, and the number of values in the parts before; equal values are in one part. So a group is many tasks.
+    """
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(c, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20 * parts).alias("_bounds"))
+    cut = df.join(F.broadcast(bounds), keys) if keys else df.crossJoin(F.broadcast(bounds))
+    cut = cut.withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col(c)))).drop("_bounds")
+    sizes = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))  # 64 rows a group at most
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cut.join(F.broadcast(sizes.select(*keys, "_part", before.alias("_before"))), [*keys, "_part"])
+    w = Window.partitionBy(*keys, "_part").orderBy(c)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return placed.withColumn(out, F.col("_before") + F.rank().over(w) + (ties - 1) / 2).drop("_part", "_before")
+
+
+def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5, out: str = "ic", spread: bool = False) -> DataFrame:
+    """Pearson of average ranks over complete pairs, by group; ``spread`` for few groups of any size."""
+    d = df.where(both(x, y))
+    if spread:
+        d = spread_rank(spread_rank(d.select(*keys, x, y), x, keys, "_x"), y, keys, "_y")
+    else:
+        d = d.select(*keys, average_rank(x, *keys).alias("_x"), average_rank(y, *keys).alias("_y"))
     return d.groupBy(*keys).agg(pearson("_x", "_y", least).alias(out), F.count(F.lit(1)).alias("n"))
 
 

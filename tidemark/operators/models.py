@@ -144,7 +144,7 @@ def rolling_ols(df: DataFrame, features: list[str], y: str, window: int, keys: l
 def rank_weights(df: DataFrame, features: list[str], y: str = "y", key: str = "id", how: str = "pearson") -> dict[str, float]:
     """IC of each feature, missing as 0; one small row a feature."""
     long = df.unpivot([key, y], features, "feature", "x")
-    d = long.groupBy("feature").agg(S.pearson("x", y, 5).alias("ic")) if how == "pearson" else S.spearman(long.withColumnRenamed(y, "_t"), "x", "_t", ["feature"])
+    d = long.groupBy("feature").agg(S.pearson("x", y, 5).alias("ic")) if how == "pearson" else S.spearman(long.withColumnRenamed(y, "_t"), "x", "_t", ["feature"], spread=True)
     found = {r.feature: r.ic or 0.0 for r in d.collect()}
     return {f: found.get(f, 0.0) for f in features}
 
@@ -152,12 +152,13 @@ def rank_weights(df: DataFrame, features: list[str], y: str = "y", key: str = "i
 def rank_score(df: DataFrame, weights: dict[str, float], key: str = "id") -> DataFrame:
     """(key, prediction): weighted sum of the features' average ranks, scaled to 0..1 within the table that is scored.
 
-    In long form, so that a rank sorts by feature over tasks and not the whole table in one.
+    In long form, each feature's values cut into parts, so that ranks are taken in many tasks.
     """
     long = df.unpivot([key], list(weights), "feature", "x")
-    n = F.count("x").over(Window.partitionBy("feature"))
     weight = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])
-    scaled = long.select(key, (weight[F.col("feature")] * (W.average_rank("x", "feature") - 1) / F.greatest(n - 1, F.lit(1))).alias("v"))
+    n = long.groupBy("feature").agg(F.count("x").alias("_n"))  # one row a feature
+    ranked = S.spread_rank(long.where("x IS NOT NULL"), "x", ["feature"], "_r").join(F.broadcast(n), "feature")
+    scaled = ranked.select(key, (weight[F.col("feature")] * (F.col("_r") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).alias("v"))
     return scaled.groupBy(key).agg(F.sum("v").alias("prediction"))
 
 
@@ -165,7 +166,7 @@ def fit_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """ic, rank_ic, mse, rmse, mae, r2 in one row."""
     e = F.col(y) - F.col(p)
     a = df.where(S.both(y, p)).agg(S.pearson(y, p).alias("ic"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / F.var_pop(y) / F.count(y)).alias("r2"))
-    return a.join(F.broadcast(S.spearman(df.withColumn("_g", F.lit(1)), y, p, ["_g"]).select(F.col("ic").alias("rank_ic"))))
+    return a.join(F.broadcast(S.spearman(df, y, p, [], spread=True).select(F.col("ic").alias("rank_ic"))))
 
 
 def compare(train: DataFrame, test: DataFrame, features: list[str], y: str = "y", key: str = "id", alpha: float = 1.0, lasso: float = 0.001) -> DataFrame:

@@ -34,7 +34,7 @@ def feature_table(df: DataFrame, features: list[str], y: str = "y", key: str = "
     """feature, pearson, spearman, mi, t: one row a feature."""
     d = long_features(df, features, y, key)
     a = d.groupBy("feature").agg(S.pearson("x", y).alias("pearson"), S.slope_t("x", y).alias("t"))
-    return a.join(S.spearman(d, "x", y, ["feature"], out="spearman").drop("n"), "feature").join(mutual_information(d, "x", y, 5, ["feature"]), "feature")
+    return a.join(S.spearman(d, "x", y, ["feature"], out="spearman", spread=True).drop("n"), "feature").join(mutual_information(d, "x", y, 5, ["feature"]), "feature")
 
 
 def composite(table: DataFrame, metrics: list[str]) -> DataFrame:
@@ -47,7 +47,7 @@ def composite(table: DataFrame, metrics: list[str]) -> DataFrame:
 
 def ranked_ic(df: DataFrame, features: list[str], y: str = "y", key: str = "id", top: int | None = None) -> DataFrame:
     """feature, ic (Spearman), abs_ic, in order of abs_ic; the top ones where asked for."""
-    d = S.spearman(long_features(df, features, y, key), "x", y, ["feature"]).select("feature", "ic", F.abs("ic").alias("abs_ic"))
+    d = S.spearman(long_features(df, features, y, key), "x", y, ["feature"], spread=True).select("feature", "ic", F.abs("ic").alias("abs_ic"))
     return d.orderBy(F.desc("abs_ic"), "feature").limit(top) if top else d
 
 
@@ -66,7 +66,7 @@ def decay(df: DataFrame, s: str, r: str, most: int = 10, key: str = "ticker", pl
     """Spearman of the signal with the return ``lag`` bars later, for each lag, over all series together."""
     late = df.select(key, place, F.col(s).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag")).withColumn("_p", F.col(place) + F.col("lag"))
     joined = late.join(df.select(key, F.col(place).alias("_p"), F.col(r).alias("r")), [key, "_p"])
-    return S.spearman(joined, "s", "r", ["lag"], 10)
+    return S.spearman(joined, "s", "r", ["lag"], 10, spread=True)
 
 
 def turnover(df: DataFrame, key: str = "ticker", bucket: str = "v", ts: str = "ts") -> DataFrame:

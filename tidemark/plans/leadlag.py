@@ -57,14 +57,12 @@ query("g11_follower_portfolio", "ts:t pnl:d", lambda s, d: G.follower_portfolio(
 
 
 def walk_forward(s, d, k=12):
-    """Mean Lévy area of each name over its trailing months, at each date: dates meet their trailing window in an equi-join on the place of the date."""
+    """Mean Lévy area of each name over its trailing months, at each date."""
     r = returns(s, d)
     dates = r.select("ts").distinct().withColumn("n", F.row_number().over(Window.orderBy("ts")))  # one row a date
-    p = pairs(s, d).join(F.broadcast(dates), "ts").select("a", "b", "n", "x", "y")
-    spread = p.select("a", "b", "x", "y", F.col("n").alias("at"), F.explode(F.sequence(F.col("n"), F.col("n") + k - 1)).alias("n"))
-    area = G.signature(spread, ["a", "b", "n"], "at").join(spread.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("c")), ["a", "b", "n"]).where(F.col("c") == k)
-    both = area.select("n", "a", F.col("levy").alias("v")).union(area.select("n", "b", -F.col("levy")))
-    return both.groupBy("n", F.col("a").alias("name")).agg(F.avg("v").alias("score")).join(F.broadcast(dates), "n").select("ts", "name", "score")
+    area = G.rolling_levy(pairs(s, d).join(dates, "ts").select("a", "b", "ts", "n", "x", "y"), k)
+    both = area.select("ts", "a", F.col("levy").alias("v")).union(area.select("ts", "b", -F.col("levy")))
+    return both.groupBy("ts", F.col("a").alias("name")).agg(F.avg("v").alias("score"))
 
 
 query("g12_walk_forward", "ts:t name:s score:d", walk_forward, f"WITH {PAIRS}, dates AS (SELECT ts, row_number() OVER (ORDER BY ts) AS n FROM (SELECT DISTINCT ts FROM r)), q AS (SELECT a, b, n AS at, x, y FROM p JOIN dates USING (ts)), e AS (SELECT a, b, x, y, at, at + k AS n FROM q, (SELECT unnest(range(0, 12)) AS k)), i AS (SELECT a, b, n, x - first_value(x) OVER w AS x, y - first_value(y) OVER w AS y, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM e WINDOW w AS (PARTITION BY a, b, n ORDER BY at)), g AS (SELECT a, b, n, (sum(x * dy + dx * dy / 2) - sum(y * dx + dy * dx / 2)) / 2 AS v FROM i GROUP BY 1, 2, 3 HAVING count(*) = 12), m AS (SELECT n, a AS name, v FROM g UNION ALL SELECT n, b, -v FROM g)\nFINALLY SELECT ts, name, avg(v) AS score FROM m JOIN dates USING (n) GROUP BY 1, 2".replace(" AS at,", " AS pl,").replace("y, at, at + k AS n", "y, pl, pl + k AS n").replace("ORDER BY at)", "ORDER BY pl)"), N)
@@ -87,4 +85,4 @@ def cluster_portfolios(s, d):
 
 
 query("g17_cluster_portfolios", "cluster:l ts:t pnl:d", cluster_portfolios)
-query("g19_detection_rate", "rate:d runs:l", lambda s, d: G.detection_rate(s))
+query("g19_detection_rate", "rate:d runs:l", lambda s, d: G.detection_rate(s))  # the rate of the fixed seeds

@@ -17,6 +17,17 @@ query("p01_pivot_wide", "ts:t close:d f1:d f2:d f3:d f4:d f5:d volume:d", lambda
       "SELECT ts, " + ", ".join([PIV.format(t="LARGE", c="close") + " AS close"] + [PIV.format(t=t, c="close") + f" AS f{i + 1}" for i, t in enumerate(t for t in TYPES if t != "LARGE")] + [PIV.format(t="LARGE", c="volume") + " AS volume"]) + " FROM bars GROUP BY ts", B)
 query("p02_ticker_order", "name:s place:l", lambda s, d: table(s, d, "part").select("p_brand").distinct().select(F.col("p_brand").alias("name"), F.row_number().over(Window.orderBy(F.expr("cast(regexp_extract(p_brand, '([0-9]+)$', 1) as int)"), "p_brand")).alias("place")),
       "SELECT p_brand AS name, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT), p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)")
+def missing_target(s, d):
+    """What pivoting says where the target is not among the tickers."""
+    try:
+        R.to_wide(bars(s, d), "NONE", ["LARGE", "SMALL"])
+    except ValueError as e:
+        return s.createDataFrame([(str(e),)], "message string")
+    raise AssertionError("a missing target went unnoticed")
+
+
+query("p03_missing_target", "message:s", missing_target, "SELECT 'target ''NONE'' is not among the tickers' AS message")
+query("p06_unique_columns", "n_nationkey:l n_name:s", lambda s, d: R.unique_columns(table(s, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("n_name"))), "SELECT n_nationkey, n_name FROM nation")
 query("p04_stack", "id:l name:s value:d", lambda s, d: R.to_long(design(s, d), "id", ["f1", "f2", "f3"]), "SELECT id, unnest(['f1', 'f2', 'f3']) AS name, unnest([f1, f2, f3]) AS value FROM design", ("design",))
 query("p05_concat_rows", "ticker:s ts:t close:d volume:d", lambda s, d: R.stacked([bars(s, d).where("ticker = 'LARGE'"), bars(s, d).where("ticker = 'SMALL'").drop("volume")]), "SELECT ticker, ts, close, CASE WHEN ticker = 'LARGE' THEN volume END AS volume FROM bars WHERE ticker IN ('LARGE', 'SMALL')", B)
 for keep, o in (("first", ""), ("last", "DESC")):
