@@ -124,6 +124,18 @@ def cointegration_scan(pairs: DataFrame, most: int | None = None) -> DataFrame:
     return pairs.select("a", "b", "ts", "x", "y").groupBy("a", "b").applyInPandas(one, "a string, b string, stat double, p double")
 
 
+def johansen_scan(pairs: DataFrame) -> DataFrame:
+    """(a, b, eigenvalue, trace0, trace1, rank, weight) for pairs(a, b, ts, x, y): one task a pair; weight is that of b where a has 1."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, vectors, trace, rank = johansen(pdf.sort_values("ts")[["x", "y"]].to_numpy())
+        row = (pdf["a"].iloc[0], pdf["b"].iloc[0], float(values[0]), float(trace[0]), float(trace[1]), int(rank), float(vectors[1, 0] / vectors[0, 0]))
+        return pd.DataFrame([row], columns=["a", "b", "eigenvalue", "trace0", "trace1", "rank", "weight"])
+
+    kinds = "a string, b string, eigenvalue double, trace0 double, trace1 double, rank long, weight double"
+    return pairs.select("a", "b", "ts", "x", "y").groupBy("a", "b").applyInPandas(one, kinds)
+
+
 def pair_correlations(pairs: DataFrame) -> DataFrame:
     """(a, b, rho): rounded to two places, -2 where it is missing."""
     from tidemark.functions.stats import pearson
@@ -131,26 +143,34 @@ def pair_correlations(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.coalesce(F.round(pearson("x", "y", 3), 2), F.lit(-2.0)).alias("rho"))
 
 
-def select_pairs(pairs: DataFrame, least: float = 0.75, top: int = 100, steepest: float = 6.0, farthest: float = 100.0) -> DataFrame:
-    """a, b, weight, intercept, deviation: correlated, regressed either way, stationary at 10 %; the widest spreads first."""
+def select_pairs(pairs: DataFrame, least: float = 0.75, top: int = 100, steepest: float = 6.0, farthest: float = 100.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """a, b, weight, intercept, deviation: correlated, regressed either way, stationary at 10 %; the widest spreads first.
+
+    ``by`` names whole-number columns, such as a period, whose values are selected from separately.
+    """
     from tidemark.functions.stats import pearson
 
-    g = pairs.groupBy("a", "b").agg(F.coalesce(F.round(pearson("x", "y", 3), 2), F.lit(-2.0)).alias("rho"), F.regr_slope("x", "y").alias("s1"), F.regr_intercept("x", "y").alias("i1"), F.regr_slope("y", "x").alias("s2"), F.regr_intercept("y", "x").alias("i2")).where(F.col("rho") >= least)
+    g = pairs.groupBy(*by, "a", "b").agg(
+        F.coalesce(F.round(pearson("x", "y", 3), 2), F.lit(-2.0)).alias("rho"), F.regr_slope("x", "y").alias("s1"), F.regr_intercept("x", "y").alias("i1"), F.regr_slope("y", "x").alias("s2"), F.regr_intercept("y", "x").alias("i2"),
+    ).where(F.col("rho") >= least)
     flip = F.col("s2") > F.col("s1")
-    g = g.select("a", "b", flip.alias("flip"), F.round(F.when(flip, F.col("s2")).otherwise(F.col("s1")), 2).alias("weight"), F.round(F.when(flip, F.col("i2")).otherwise(F.col("i1")), 2).alias("intercept")).where((F.col("weight") <= steepest) & (F.abs("intercept") <= farthest))
+    weight, intercept = F.round(F.when(flip, F.col("s2")).otherwise(F.col("s1")), 2), F.round(F.when(flip, F.col("i2")).otherwise(F.col("i1")), 2)
+    g = g.select(*by, "a", "b", flip.alias("flip"), weight.alias("weight"), intercept.alias("intercept")).where((F.col("weight") <= steepest) & (F.abs("intercept") <= farthest))
+    names = [*by, "a", "b", "weight", "intercept", "deviation"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        w, i, flip = pdf["weight"].iloc[0], pdf["intercept"].iloc[0], pdf["flip"].iloc[0]
-        spread = y - i - w * x if flip else x - i - w * y
+        x, y, head = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf.iloc[0]
+        spread = y - head["intercept"] - head["weight"] * x if head["flip"] else x - head["intercept"] - head["weight"] * y
         stat, _, n = adf(spread)
-        names = [pdf["a"].iloc[0], pdf["b"].iloc[0]]
-        rows = [(*(names[::-1] if flip else names), w, i, float(np.std(spread)))] if stat < critical_values(n)[2] else []
-        return pd.DataFrame(rows, columns=["a", "b", "weight", "intercept", "deviation"])
+        legs = [head["b"], head["a"]] if head["flip"] else [head["a"], head["b"]]
+        rows = [(*(head[c] for c in by), *legs, head["weight"], head["intercept"], float(np.std(spread)))] if stat < critical_values(n)[2] else []
+        return pd.DataFrame(rows, columns=names)
 
-    found = pairs.select("a", "b", "ts", "x", "y").join(g, ["a", "b"]).groupBy("a", "b").applyInPandas(one, "a string, b string, weight double, intercept double, deviation double")
-    return found.orderBy(F.desc("deviation"), "a", "b").limit(top)
+    kinds = ", ".join([*(f"{c} long" for c in by), "a string, b string, weight double, intercept double, deviation double"])
+    found = pairs.select(*by, "a", "b", "ts", "x", "y").join(g, [*by, "a", "b"]).groupBy(*by, "a", "b").applyInPandas(one, kinds)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("deviation"), "a", "b"))
+    return found.withColumn("_place", place).where(F.col("_place") <= top).drop("_place") if by else found.orderBy(F.desc("deviation"), "a", "b").limit(top)
 
 
 def random_pairs(pairs: DataFrame, n: int, seed: int = 7) -> DataFrame:
@@ -266,18 +286,24 @@ def ratio_strategy(pairs: DataFrame, short: int, windows: list[int]) -> DataFram
     return every.join(sold.groupBy("pair", "long").agg(F.sum("money").alias("money")), ["pair", "long"], "left").na.fill(0.0, ["money"])
 
 
-def walk_forward(pairs: DataFrame, inside: int = 126, step: int = 31, back: int = 21, **selection) -> list[tuple[int, DataFrame]]:
-    """(period, trades): pairs selected on each period's ``inside`` bars and traded on the next ``step``, with ``back`` bars before for the mean."""
-    w = Window.partitionBy("a", "b").orderBy("ts")
-    d = pairs.withColumn("bar", F.row_number().over(w))
+def walk_forward(pairs: DataFrame, inside: int = 126, step: int = 31, back: int = 21, **selection) -> DataFrame:
+    """Trades with their period: pairs are selected on each period's ``inside`` bars and traded on the next ``step``,
+    with ``back`` bars before for the mean.
+
+    A bar goes to the few periods that it belongs to, and all periods are selected from and traded in one plan.
+    """
+    d = pairs.withColumn("bar", F.row_number().over(Window.partitionBy("a", "b").orderBy("ts")).cast("long"))
     last = d.agg(F.max("bar")).first()[0] or 0
-    out = []
-    for start in range(1, last - inside - step + 2, step):
-        chosen = select_pairs(d.where(F.col("bar").between(start, start + inside - 1)), **selection)
-        test = d.where(F.col("bar").between(start + inside - back, start + inside + step - 1))
-        straight = test.join(chosen, ["a", "b"])
-        turned = test.select(F.col("b").alias("a"), F.col("a").alias("b"), "ts", "bar", F.col("y").alias("x"), F.col("x").alias("y")).join(chosen, ["a", "b"])
-        both = straight.select(*turned.columns).unionByName(turned)
-        s = both.select(F.concat_ws(":", "a", "b").alias("pair"), "ts", "bar", "x", "y", "weight", (F.col("x") - F.col("intercept") - F.col("weight") * F.col("y")).alias("spread"))
-        out.append((len(out), trade_pairs(back_window(s, back).where(F.col("bar") >= start + inside))))
-    return out
+    periods = max(0, (last - inside - step) // step + 1)
+    # Period p starts at bar p * step + 1 and takes in inside + step bars.
+    first = F.greatest(F.lit(0), F.ceil((F.col("bar") - inside - step) / step)).cast("long")
+    latest = F.least(F.lit(periods - 1), F.floor((F.col("bar") - 1) / step)).cast("long")
+    d = d.where(first <= latest).withColumn("period", F.explode(F.sequence(first, latest))).withColumn("at", F.col("bar") - F.col("period") * step)
+    chosen = select_pairs(d.where(F.col("at") <= inside), by=("period",), **selection)
+    test = d.where(F.col("at") > inside - back)
+    turned = test.select("period", F.col("b").alias("a"), F.col("a").alias("b"), "ts", "at", F.col("y").alias("x"), F.col("x").alias("y"))
+    both = test.select(*turned.columns).unionByName(turned).join(chosen, ["period", "a", "b"])
+    spread = F.col("x") - F.col("intercept") - F.col("weight") * F.col("y")
+    s = both.select(F.concat_ws("|", "period", F.concat_ws(":", "a", "b")).alias("pair"), "ts", "at", "x", "y", "weight", spread.alias("spread"))
+    traded = trade_pairs(back_window(s, back).where(F.col("at") > inside))
+    return traded.withColumn("period", F.split("pair", r"\|")[0].cast("int")).withColumn("pair", F.split("pair", r"\|")[1])

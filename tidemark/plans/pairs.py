@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import windows as W
@@ -40,16 +38,13 @@ def z_scores(s, d):
 
 
 def johansen_table(s, d):
-    p = daily_pair(s, d).orderBy("ts").select("x", "y").toPandas().to_numpy()  # one pair's bars
-    values, vectors, trace, rank = K.johansen(p)
-    w = vectors[:, 0] / vectors[0, 0]
-    return s.createDataFrame([(float(values[0]), float(trace[0]), float(trace[1]), int(rank), float(w[1]))], "eigenvalue double, trace0 double, trace1 double, rank int, weight double")
+    return K.johansen_scan(monthly_pairs(s, d))
 
 
 query("k01_adf", "name:s stat:d p:d lags:l c1:d c5:d c10:d", lambda s, d: K.adf_table(nation_months(s, d), "name", "v"))
-query("k02_engle_granger", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d).where("a = 'NATION_0'"), 1))
+query("k02_engle_granger", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d), 1))
 query("k03_cointegration_scan", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d)).where("p < 0.05"))
-query("k04_johansen", "eigenvalue:d trace0:d trace1:d rank:l weight:d", johansen_table)
+query("k04_johansen", "a:s b:s eigenvalue:d trace0:d trace1:d rank:l weight:d", johansen_table)
 query("k05_spread_zscore", "pair:s ts:t spread:d z:d", z_scores, f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p)\nFINALLY SELECT pair, ts, spread, (spread - avg(spread) OVER ()) / stddev_samp(spread) OVER () AS z FROM s", B)
 query("k06_reversion_positions", "pair:s ts:t z:d position:l", lambda s, d: K.reversion_positions(z_scores(s, d)))
 
@@ -92,9 +87,7 @@ query("k16_liquidation", "pair:s ts:t held:l open:l closed:l profit:d", liquidat
 
 
 def walked(s, d):
-    found = K.walk_forward(monthly_pairs(s, d), inside=48, step=12, back=6, least=-1.0, top=5, farthest=1e9)
-    none = s.createDataFrame([], K.DAY).withColumn("period", F.lit(0))
-    return reduce(lambda a, b: a.unionByName(b), [t.withColumn("period", F.lit(k)) for k, t in found], none)
+    return K.walk_forward(monthly_pairs(s, d), inside=48, step=12, back=6, least=-1.0, top=5, farthest=1e9)
 
 
 query("k17_walk_forward", "period:l pair:s " + COLS, walked)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BARS = "Timestamp timestamp_ntz, Ticker string, Close double, Volume double"
@@ -86,9 +89,11 @@ def read_vendor(spark: SparkSession, name: str, **options) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the place that driver and executors share."""
-    import uuid
-
+    """A fresh folder in the place that driver and executors share; only a local session may do without spark.checkpoint.dir."""
     key = "spark.checkpoint.dir"
-    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or "file:///tmp/checkpoints/tidemark"
+    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{key} must name a folder that driver and executors share")
+        root = "file:///tmp/checkpoints/tidemark"
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
