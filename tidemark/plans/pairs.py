@@ -46,7 +46,10 @@ query("k02_engle_granger", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_sc
 query("k03_cointegration_scan", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d)).where("p < 0.05"))
 query("k04_johansen", "a:s b:s eigenvalue:d trace0:d trace1:d rank:l weight:d", johansen_table)
 query("k05_spread_zscore", "pair:s ts:t spread:d z:d", z_scores, f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p)\nFINALLY SELECT pair, ts, spread, (spread - avg(spread) OVER ()) / stddev_samp(spread) OVER () AS z FROM s", B)
-query("k06_reversion_positions", "pair:s ts:t z:d position:l", lambda s, d: K.reversion_positions(z_scores(s, d)))
+query("k06_reversion_positions", "pair:s ts:t z:d position:l", lambda s, d: K.reversion_positions(z_scores(s, d)),
+      f"""WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p), z AS (SELECT pair, ts, (spread - avg(spread) OVER ()) / stddev_samp(spread) OVER () AS z FROM s),
+e AS (SELECT *, CASE WHEN z > 1 THEN -1 WHEN z < -1 THEN 1 WHEN sign(z) <> sign(lag(z) OVER (ORDER BY ts)) THEN 0 END AS event FROM z)
+FINALLY SELECT pair, ts, z, coalesce(last_value(event IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS position FROM e""", B)
 
 
 def pw():
@@ -129,7 +132,24 @@ def _filtered(make, columns):
     return lambda s, d: R.by_series(bars(s, d), "close", make(R), columns)
 
 
-query("w32_rsi", "ticker:s ts:t rsi:d", _filtered(lambda R: lambda x: {"rsi": R.rsi(x)}, ["rsi"]))
-query("w33_macd", "ticker:s ts:t macd:d signal:d histogram:d", _filtered(lambda R: lambda x: dict(zip(("macd", "signal", "histogram"), R.macd(x))), ["macd", "signal", "histogram"]))
-query("w39_kalman", "ticker:s ts:t level:d", _filtered(lambda R: lambda x: {"level": R.kalman(x)}, ["level"]))
+NUMBERED = "b AS (SELECT ticker, ts, close AS x, row_number() OVER w - 1 AS n, close - lag(close) OVER w AS c FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts))"
+
+
+def ema_sql(name: str, source: str, c: str, start: int, k: int) -> str:
+    """A recursive table name(ticker, n, v) over source(ticker, n, c), whose values begin at place start."""
+    first = start + k - 1
+    return f"""{name} AS (SELECT ticker, {first}::BIGINT AS n, avg({c}) AS v FROM {source} WHERE n BETWEEN {start} AND {first} GROUP BY ticker HAVING count(*) = {k}
+UNION ALL SELECT e.ticker, s.n, e.v + {2 / (k + 1)!r}::DOUBLE * (s.{c} - e.v) FROM {name} e JOIN {source} s ON s.ticker = e.ticker AND s.n = e.n + 1)"""
+
+
+query("w32_rsi", "ticker:s ts:t rsi:d", _filtered(lambda R: lambda x: {"rsi": R.rsi(x)}, ["rsi"]),
+      f"""WITH RECURSIVE {NUMBERED}, r AS (SELECT ticker, 14::BIGINT AS n, avg(greatest(c, 0)) AS u, avg(greatest(-c, 0)) AS d FROM b WHERE n BETWEEN 1 AND 14 GROUP BY ticker HAVING count(*) = 14
+UNION ALL SELECT r.ticker, b.n, (r.u * 13 + greatest(b.c, 0)) / 14, (r.d * 13 + greatest(-b.c, 0)) / 14 FROM r JOIN b ON b.ticker = r.ticker AND b.n = r.n + 1)
+FINALLY SELECT ticker, ts, CASE WHEN d = 0 THEN 100 ELSE 100 - 100 / (1 + u / d) END AS rsi FROM b LEFT JOIN r USING (ticker, n)""", B)
+query("w33_macd", "ticker:s ts:t macd:d signal:d histogram:d", _filtered(lambda R: lambda x: dict(zip(("macd", "signal", "histogram"), R.macd(x))), ["macd", "signal", "histogram"]),
+      f"WITH RECURSIVE {NUMBERED}, {ema_sql('fast', 'b', 'x', 0, 12)}, {ema_sql('slow', 'b', 'x', 0, 26)}, m AS (SELECT ticker, n, fast.v - slow.v AS m FROM fast JOIN slow USING (ticker, n)), {ema_sql('sig', 'm', 'm', 25, 9)}\nFINALLY SELECT ticker, ts, m AS macd, sig.v AS signal, m - sig.v AS histogram FROM b LEFT JOIN m USING (ticker, n) LEFT JOIN sig USING (ticker, n)", B)
+query("w39_kalman", "ticker:s ts:t level:d", _filtered(lambda R: lambda x: {"level": R.kalman(x)}, ["level"]),
+      f"""WITH RECURSIVE {NUMBERED}, k AS (SELECT ticker, n, x / 2 AS m, 0.5::DOUBLE AS v FROM b WHERE n = 0
+UNION ALL SELECT k.ticker, b.n, k.m + (k.v + 0.01::DOUBLE) / (k.v + 1.01::DOUBLE) * (b.x - k.m), (1 - (k.v + 0.01::DOUBLE) / (k.v + 1.01::DOUBLE)) * (k.v + 0.01::DOUBLE) FROM k JOIN b ON b.ticker = k.ticker AND b.n = k.n + 1)
+FINALLY SELECT ticker, ts, m AS level FROM b JOIN k USING (ticker, n)""", B)
 query("w41_wavelet_denoise", "ticker:s ts:t smooth:d", _filtered(lambda R: lambda x: {"smooth": R.denoise(x)}, ["smooth"]))

@@ -26,8 +26,26 @@ def signals(s, d):
 
 
 STATE = "run:s ts:t exposure:d cash:d turnover:d nav:d"
-query("b01_long_only", STATE, lambda s, d: B.backtest(signals(s, d), B.LongOnly()))
-query("b02_long_short", STATE, lambda s, d: B.backtest(signals(s, d), B.LongShort()))
+def simulated_sql(short: bool) -> str:
+    """The simulators' rules as a recursion over bars, with their standard parameters."""
+    upper, lower, ceiling = (0.8, 0.2, 2_000_000) if short else (0.7, 0.4, 1_000_000)
+    entry = "CASE WHEN s > upper THEN least(cash, 2000000) * 0.95::DOUBLE / p WHEN s < lower THEN -least(cash, 2000000) * 0.5::DOUBLE / p ELSE 0 END" if short else "CASE WHEN s >= upper THEN least(0.95::DOUBLE * cash, 950000) / p ELSE 0 END"
+    left = "cash - trade * p" if short else "greatest(cash - trade * p, 0)"
+    return f"""WITH RECURSIVE sig AS (SELECT ticker AS run, ts, close AS p, coalesce(close - lag(close, 3) OVER w, 0) AS s, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY ticker) AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts)),
+cuts AS (SELECT run, quantile_cont(s, {upper}) AS upper, quantile_cont(s, {lower}) AS lower FROM sig GROUP BY run), bar AS (SELECT * FROM sig JOIN cuts USING (run)),
+sim AS (SELECT run, ts, t, p, 1000000::DOUBLE AS cash, 0::DOUBLE AS shares FROM bar WHERE t = 0
+UNION ALL SELECT run, ts, t, p, cash + over * p, CASE WHEN abs(shares - over) < 1e-12 THEN 0 ELSE shares - over END FROM (
+  SELECT *, CASE WHEN abs(shares) * p > {ceiling} + 0.01::DOUBLE THEN (abs(shares) - {ceiling} / p) * sign(shares) ELSE 0 END AS over FROM (
+    SELECT run, ts, t, p, {left} AS cash, shares + trade AS shares FROM (
+      SELECT * EXCLUDE (raw), CASE WHEN raw > 0 AND raw * p > cash + 0.01::DOUBLE THEN greatest(0, cash / p) ELSE raw END AS trade FROM (
+        SELECT * EXCLUDE (want), CASE WHEN t = n - 1 THEN want - shares ELSE greatest(-20000 / p, least(20000 / p, want - shares)) END AS raw FROM (
+          SELECT b.*, m.cash, m.shares, CASE WHEN b.t = b.n - 1 THEN 0 WHEN shares = 0 THEN CASE WHEN b.t < b.n - 6 THEN {entry.replace(' p', ' b.p')} ELSE 0 END
+            WHEN shares > 0 THEN CASE WHEN s < lower THEN 0 ELSE shares END ELSE CASE WHEN s > upper THEN 0 ELSE shares END END AS want FROM sim m JOIN bar b ON b.run = m.run AND b.t = m.t + 1))))))
+FINALLY SELECT run, ts, round(abs(shares) * p, 8) AS exposure, round(cash, 8) AS cash, round(abs(cash - coalesce(lag(cash) OVER (PARTITION BY run ORDER BY ts), 1000000)), 8) AS turnover, round(cash + shares * p, 8) AS nav FROM sim"""
+
+
+query("b01_long_only", STATE, lambda s, d: B.backtest(signals(s, d), B.LongOnly()), simulated_sql(False), ("bars",))
+query("b02_long_short", STATE, lambda s, d: B.backtest(signals(s, d), B.LongShort()), simulated_sql(True), ("bars",))
 query("b03_recomputed_turnover", STATE, lambda s, d: B.recomputed(ledger(s, d).withColumn("turnover", F.lit(0.0))), f"SELECT run, ts, round(exposure, 8) AS exposure, round(cash, 8) AS cash, round(abs(cash - coalesce(lag(cash) OVER ({RUN}), 1000000)), 8) AS turnover, round(nav, 8) AS nav FROM ledger", L)
 CHECKS = "run:s n:l negative_exposure:l negative_turnover:l repeated_time:l nav_off:l cash_off:l negative_cash:l not_flat:l valid:b"
 VIOLATIONS = f"d AS (SELECT *, abs(cash - coalesce(lag(cash) OVER ({RUN}), 1000000)) AS dc, lag(ts) OVER ({RUN}) = ts AS dup FROM {{t}}), v AS (SELECT run, count(*) AS n, count_if(exposure < 0) AS negative_exposure, count_if(turnover < 0) AS negative_turnover, count_if(dup) AS repeated_time, count_if(abs(abs(nav - cash) - exposure) > 0.01) AS nav_off, count_if(abs(dc - turnover) > 0.01) AS cash_off, count_if(cash < -0.01) AS negative_cash, CAST(abs(arg_min(exposure, ts)) > 0.01 AS INT) + CAST(abs(arg_max(exposure, ts)) > 0.01 AS INT) AS not_flat FROM d GROUP BY run), w AS (SELECT *, negative_exposure + negative_turnover + repeated_time + nav_off + cash_off + not_flat = 0 AS valid FROM v)"

@@ -34,14 +34,15 @@ def _duck(sql: str, columns: list[tuple[str, str]], views: tuple[str, ...]) -> s
     kinds = {"s": "VARCHAR", "l": "BIGINT", "t": "TIMESTAMP", "b": "BOOLEAN"}
     out = ", ".join(f"round(CAST({c} AS DOUBLE) + {OFF_TIES!r}::DOUBLE, 4) + 0.0::DOUBLE AS {c}" if k == "d" else f"CAST({c} AS {kinds[k]}) AS {c}" for c, k in columns)
     heads = [SQL[v] for v in views]
-    if sql.startswith("WITH "):
-        body, sql = sql[5:].rsplit("\nFINALLY ", 1)
+    start = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+    if sql.startswith(start):
+        body, sql = sql[len(start) :].rsplit("\nFINALLY ", 1)
         heads.append(body)
-    return f"WITH {', '.join(heads)} SELECT {out} FROM ({sql}) AS final" if heads else f"SELECT {out} FROM ({sql}) AS final"
+    return f"{start}{', '.join(heads)} SELECT {out} FROM ({sql}) AS final" if heads else f"SELECT {out} FROM ({sql}) AS final"
 
 
 def query(name: str, columns: str, run: Callable, sql: str | None = None, views: tuple[str, ...] = ()) -> None:
-    """Registers run(spark, sf_dir). SQL of the form "WITH a AS (...)\\nFINALLY SELECT ..." has further tables."""
+    """Registers run(spark, sf_dir). SQL of the form "WITH a AS (...)\\nFINALLY SELECT ..." has further tables, which may be recursive."""
     if name in QUERIES:
         raise KeyError(name)
     spec = [tuple(c.split(":")) for c in columns.split()]
