@@ -123,14 +123,26 @@ query("c12_scalar_functions", "entity:l v1:d v2:d v3:d v4:d s1:s s2:s s3:s", lam
       "SELECT p_partkey AS entity, ln(p_retailprice) AS v1, sqrt(p_size) AS v2, 1 / (1 + exp(-p_size / 10)) AS v3, sign(p_size - 25) AS v4, upper(p_name) AS s1, replace(p_brand, '#', '-') AS s2, string_split(p_name, ' ')[1] AS s3 FROM part")
 
 
-def streamed_bars(s, d):
-    """Hourly bars built by a stream over the event table, read to its end."""
-    path = readers.scratch(s, "stream")
+def on_stream(s, d):
     events = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/event[s].parquet")
-    t = events.select(F.col("user_id").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("value").alias("x"))
-    q = stream.bars_from_ticks(t, "1 hour", "10 minutes").writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    return events.select(F.col("user_id").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("value").alias("x"))
+
+
+def drained(s, out, name):
+    """What a stream has put out when its input is read to the end."""
+    path = readers.scratch(s, name)
+    q = out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.read.parquet(path)
+    return s.read.schema(out.schema).parquet(path)
+
+
+def streamed_bars(s, d):
+    """Hourly bars that the watermark has closed; their state is dropped."""
+    return drained(s, stream.bars_from_ticks(on_stream(s, d), "1 hour", "10 minutes"), "stream")
 
 
-query("t01_streamed_bars", "series:l ts:t open:d high:d low:d close:d volume:d n:l", streamed_bars, "SELECT series, date_trunc('hour', ts) AS ts, arg_min(x, (ts, tie)) AS open, max(x) AS high, min(x) AS low, arg_max(x, (ts, tie)) AS close, sum(x) AS volume, count(*) AS n FROM ticks GROUP BY series, date_trunc('hour', ticks.ts)", ("ticks",))
+CLOSED = """bar AS (SELECT series, date_trunc('hour', ts) AS ts, arg_min(x, (ts, tie)) AS open, max(x) AS high, min(x) AS low, arg_max(x, (ts, tie)) AS close, sum(x) AS volume, count(*) AS n FROM ticks GROUP BY series, date_trunc('hour', ticks.ts))"""
+query(
+    "t01_streamed_bars", "series:l ts:t open:d high:d low:d close:d volume:d n:l", streamed_bars,
+    f"WITH {CLOSED}\nFINALLY SELECT * FROM bar WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE", ("ticks",),
+)
