@@ -146,3 +146,33 @@ query(
     "t01_streamed_bars", "series:l ts:t open:d high:d low:d close:d volume:d n:l", streamed_bars,
     f"WITH {CLOSED}\nFINALLY SELECT * FROM bar WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE", ("ticks",),
 )
+
+
+def streamed_features(s, d):
+    return drained(s, stream.running_features(on_stream(s, d).select("series", "ts", F.col("x").alias("close"))), "features")
+
+
+query("t02_streamed_features", "series:l ts:t close:d mean:d momentum:d", streamed_features,
+      "SELECT series, ts, x AS close, avg(x) OVER (PARTITION BY series ORDER BY ts ROWS 5 PRECEDING) AS mean, x - lag(x, 5) OVER (PARTITION BY series ORDER BY ts) AS momentum FROM ticks", ("ticks",))
+
+
+def streamed_trades(s, d):
+    """A run for each series, whose price is ten above the tick's size; long above 60, flat below 30."""
+    signals = on_stream(s, d).select(F.col("series").cast("string").alias("run"), "ts", (10 + F.abs("x")).alias("price"), F.col("x").alias("signal"))
+    return drained(s, stream.trade(signals, 60.0, 30.0), "trades")
+
+
+TRADED = """tick AS (SELECT CAST(series AS VARCHAR) AS run, ts, 10 + abs(x) AS p, x AS s, row_number() OVER (PARTITION BY series ORDER BY ts) AS n FROM ticks),
+led AS (SELECT run, n, ts, p, CASE WHEN s >= 60 THEN 50000::DOUBLE ELSE 1000000::DOUBLE END AS cash, CASE WHEN s >= 60 THEN 950000 / p ELSE 0::DOUBLE END AS shares FROM tick WHERE n = 1
+UNION ALL SELECT t.run, t.n, t.ts, t.p, CASE WHEN shares = 0 AND s >= 60 THEN cash - 0.95::DOUBLE * cash WHEN shares > 0 AND s < 30 THEN cash + shares * t.p ELSE cash END,
+  CASE WHEN shares = 0 AND s >= 60 THEN 0.95::DOUBLE * cash / t.p WHEN shares > 0 AND s < 30 THEN 0 ELSE shares END FROM led JOIN tick t ON t.run = led.run AND t.n = led.n + 1)"""
+query("t03_streamed_trades", "run:s ts:t cash:d shares:d nav:d", streamed_trades, f"WITH RECURSIVE {TRADED}\nFINALLY SELECT run, ts, cash, shares, cash + shares * p AS nav FROM led", ("ticks",))
+
+
+def streamed_breaches(s, d):
+    """The trades again, some with their cash taken away, as the check of single rows sees them."""
+    taken = F.when(F.minute("ts") == 7, F.lit(-1.0)).otherwise(F.col("cash"))
+    return stream.breaches(streamed_trades(s, d).withColumn("cash", taken))
+
+
+query("t04_streamed_breaches", "run:s ts:t cash:d", streamed_breaches, f"WITH RECURSIVE {TRADED}\nFINALLY SELECT run, ts, -1 AS cash FROM led WHERE minute(ts) = 7", ("ticks",))

@@ -26,10 +26,10 @@ def running_features(bars: DataFrame, window: int = 6, key: str = "series") -> D
     def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = list(state.get[0]) if state.exists else []
         rows = []
-        for f in frames:
-            for ts, close in zip(f["ts"], f["close"]):
-                rows.append((keys[0], ts, close, sum([*last, close]) / (len(last) + 1), close - last[0] if len(last) == window - 1 else None))
-                last = [*last, close][-(window - 1) :]
+        batch = pd.concat(frames).sort_values("ts")
+        for ts, close in zip(batch["ts"], batch["close"]):
+            rows.append((keys[0], ts, close, sum([*last, close]) / (len(last) + 1), close - last[0] if len(last) == window - 1 else None))
+            last = [*last, close][-(window - 1) :]
         state.update((last,))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")]).sort_values("ts")
 
@@ -45,14 +45,13 @@ def trade(signals: DataFrame, enter: float, leave: float, capital: float = 1e6,
     def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cash, shares = state.get if state.exists else (capital, 0.0)
         rows = []
-        for f in frames:
-            for ts, price, s in f.sort_values("ts")[["ts", "price", "signal"]].itertuples(index=False):
-                if shares == 0 and s >= enter:
-                    shares = fraction * cash / price
-                    cash -= shares * price
-                elif shares > 0 and s < leave:
-                    cash, shares = cash + shares * price, 0.0
-                rows.append((keys[0], ts, cash, shares, cash + shares * price))
+        for ts, price, s in pd.concat(frames).sort_values("ts")[["ts", "price", "signal"]].itertuples(index=False):
+            if shares == 0 and s >= enter:
+                shares = fraction * cash / price
+                cash -= shares * price
+            elif shares > 0 and s < leave:
+                cash, shares = cash + shares * price, 0.0
+            rows.append((keys[0], ts, cash, shares, cash + shares * price))
         state.update((cash, shares))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEDGER.split(", ")])
 
