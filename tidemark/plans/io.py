@@ -123,6 +123,39 @@ query("c12_scalar_functions", "entity:l v1:d v2:d v3:d v4:d s1:s s2:s s3:s", lam
       "SELECT p_partkey AS entity, ln(p_retailprice) AS v1, sqrt(p_size) AS v2, 1 / (1 + exp(-p_size / 10)) AS v3, sign(p_size - 25) AS v4, upper(p_name) AS s1, replace(p_brand, '#', '-') AS s2, string_split(p_name, ' ')[1] AS s3 FROM part")
 
 
+def dates(s, d):
+    day = F.col("o_orderdate").cast("date")
+    return table(s, d, "orders").select(
+        F.col("o_orderkey").alias("entity"), F.year(day).alias("y"), F.quarter(day).alias("q"), F.month(day).alias("m"), F.dayofmonth(day).alias("dom"), F.dayofweek(day).alias("dow"), F.date_add(day, 7).cast("timestamp_ntz").alias("later"),
+        F.last_day(day).cast("timestamp_ntz").alias("last"), F.date_diff(F.lit("1999-01-01").cast("date"), day).alias("days"), F.date_format(day, "yyyy-MM").alias("label"), F.to_date(F.date_format(day, "dd/MM/yyyy"), "dd/MM/yyyy").cast("timestamp_ntz").alias("parsed"),
+    )
+
+
+query(
+    "c12_date_functions", "entity:l y:l q:l m:l dom:l dow:l later:t last:t days:l label:s parsed:t", dates,
+    """WITH o AS (SELECT o_orderkey AS entity, CAST(o_orderdate AS DATE) AS day FROM orders)
+FINALLY SELECT entity, year(day) AS y, quarter(day) AS q, month(day) AS m, day(day) AS dom, dayofweek(day) + 1 AS dow, day + 7 AS later, last_day(day) AS last, date_diff('day', day, DATE '1999-01-01') AS days, strftime(day, '%Y-%m') AS label, day AS parsed FROM o""",
+)
+
+
+def patterns(s, d):
+    c, brand, name = F.col, "p_brand", "p_name"
+    json = F.to_json(F.struct(c("p_size").alias("size"), F.array(brand, name).alias("names")))
+    return table(s, d, "part").select(
+        c("p_partkey").alias("entity"), F.regexp_extract(brand, r"(\d+)", 1).alias("digits"), F.regexp_replace(name, "[aeiou]", "_").alias("masked"), F.rlike(name, F.lit("^[a-m]")).alias("early"), F.regexp_count(name, F.lit("[aeiou]")).alias("vowels"),
+        F.substring_index(name, " ", -1).alias("tail"), F.lpad(c("p_size").cast("string"), 4, "0").alias("padded"), F.concat_ws("/", brand, name).alias("joined"), F.get_json_object(json, "$.size").cast("long").alias("size"), F.get_json_object(json, "$.names[1]").alias("second"),
+        F.coalesce(F.nullif(c("p_size"), F.lit(7)), F.lit(-1)).alias("or_else"), F.greatest(c("p_size"), F.lit(20)).alias("at_least"), F.initcap(F.lower(brand)).alias("titled"),
+    )
+
+
+query(
+    "c12_text_functions", "entity:l digits:s masked:s early:b vowels:l tail:s padded:s joined:s size:l second:s or_else:l at_least:l titled:s", patterns,
+    r"""SELECT p_partkey AS entity, regexp_extract(p_brand, '(\d+)', 1) AS digits, regexp_replace(p_name, '[aeiou]', '_', 'g') AS masked, regexp_matches(p_name, '^[a-m]') AS early, len(regexp_extract_all(p_name, '[aeiou]')) AS vowels,
+string_split(p_name, ' ')[-1] AS tail, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded, concat_ws('/', p_brand, p_name) AS joined, p_size AS size, p_name AS second, coalesce(nullif(p_size, 7), -1) AS or_else, greatest(p_size, 20) AS at_least,
+upper(p_brand[1]) || lower(p_brand[2:]) AS titled FROM part""",
+)
+
+
 def on_stream(s, d):
     events = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/event[s].parquet")
     return events.select(F.col("user_id").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("value").alias("x"))
