@@ -385,7 +385,8 @@ def _encode(batches):
 def media_column(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, row, n_bytes, media (a FLAC stream of the padded text).
 
-    Null is the empty text, whose payload is 192 spaces. Equal texts give equal streams. An empty table gives an empty
+    Null is the empty text, whose payload is 192 spaces. Texts of any length are stored whole, in frames of BLOCK
+    samples; of equally short ways to code a frame the first is taken. Null ids are kept. Equal texts give equal streams. An empty table gives an empty
     result; columns other than the two named are not read.
     """
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

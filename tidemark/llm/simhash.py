@@ -124,7 +124,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     A text of fewer than three words is one shingle; one without words, or null, has fingerprint zero and is linked
     like any other. component_id is the smallest doc_id reachable over links of three or fewer differing bits; null
-    ids count only where a whole component has no other. Repeated rows share a fingerprint. An empty table gives an
+    ids count only where a whole component has no other. Texts of any length count whole; a bit that half the shingles
+    set is 0. Repeated rows share a fingerprint. An empty table gives an
     empty result; columns other than the two named are not read.
     """
     stage = Stage(docs.sparkSession, "simhash")

@@ -336,7 +336,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
     Null and empty texts, and texts without a string of three letters, get the lowest score. Rows with a null doc_id
     or without a label are scored and not learned from; a document labelled both ways counts for both. Where nothing
-    can be learned, every score is below the threshold. Repeated rows get equal scores; other columns are not read.
+    can be learned, every score is below the threshold. Texts of any length are scored whole. Repeated rows get equal
+    scores; words that speak alike are taken in the order of the alphabet, so that a run repeats; an empty table gives
+    an empty result; other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text, doc_id))
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", remainder("doc_id", 3) == 1)
