@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.windows import average_rank
@@ -45,6 +47,31 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5, out
     return d.groupBy(*keys).agg(pearson("_x", "_y", least).alias(out), F.count(F.lit(1)).alias("n"))
 
 
+def exact_quantiles(df: DataFrame, c: str, shares: list[float], parts: int = 128) -> list[float | None]:
+    """Interpolated quantiles of a whole table, from the values themselves.
+
+    A first pass cuts the values at approximate quantiles, a second counts each part, and only the parts that hold a
+    wanted place are sorted, each by itself; the driver sees the cuts, the counts and the values at the wanted places.
+    """
+    d = df.select(F.col(c).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    cuts = d.agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20 * parts)).first()[0]
+    if not cuts:
+        return [None] * len(shares)
+    d = d.withColumn("part", F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < F.col("v"))))
+    sizes = dict(sorted(d.groupBy("part").count().collect()))
+    first, n = {}, 0
+    for part, size in sizes.items():
+        first[part], n = n, n + size
+    at = [p * (n - 1) for p in shares]
+    part_of = lambda rank: max(k for k in first if first[k] <= rank)
+    wanted = {(part_of(r), r - first[part_of(r)] + 1): r for x in at for r in (math.floor(x), math.ceil(x))}
+    placed = d.where(F.col("part").isin(sorted({k for k, _ in wanted}))).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("v")))
+    found = placed.where(F.col("place").isin(sorted({i for _, i in wanted}))).select("part", "place", "v").collect()
+    value = {wanted[r.part, r.place]: r.v for r in found if (r.part, r.place) in wanted}
+    low, high = [value[math.floor(x)] for x in at], [value[math.ceil(x)] for x in at]
+    return [a if a == b else (math.ceil(x) - x) * a + (x - math.floor(x)) * b for x, a, b in zip(at, low, high)]
+
+
 def corrected_skew(c: str) -> Column:
     n = F.count(c)
     return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)))

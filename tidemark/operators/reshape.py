@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import windows as W
+from tidemark.functions.stats import exact_quantiles
 
 
 def ticker_order(tickers: list[str]) -> list[str]:
@@ -51,8 +52,8 @@ def grid(df: DataFrame, key: str = "ticker", ts: str = "ts") -> DataFrame:
 
 
 def winsorise(df: DataFrame, c: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    edges = df.agg(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias("_e"))
-    return df.join(F.broadcast(edges)).withColumn(c, F.least(F.greatest(F.col(c), F.col("_e")[0]), F.col("_e")[1])).drop("_e")
+    least, most = exact_quantiles(df, c, [low, high])
+    return df.withColumn(c, F.least(F.greatest(F.col(c), F.lit(least)), F.lit(most)))
 
 
 def scaled(df: DataFrame, c: str, how: str) -> DataFrame:

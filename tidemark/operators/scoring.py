@@ -58,8 +58,9 @@ def accuracy(df: DataFrame, s: str, r: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, c: str) -> DataFrame:
-    ps = [0.05, 0.25, 0.5, 0.75, 0.95]
-    return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"), *[F.percentile(c, p).alias(f"p{int(p * 100)}") for p in ps])
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
+    moments = df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"))
+    return moments.select("*", *[F.lit(v).cast("double").alias(f"p{round(p * 100)}") for p, v in zip(shares, S.exact_quantiles(df, c, list(shares)))])
 
 
 def decay(df: DataFrame, s: str, r: str, most: int = 10, key: str = "ticker", place: str = "bar") -> DataFrame:

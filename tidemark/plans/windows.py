@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tidemark.functions import windows as W
 from tidemark.functions.rolling import rolling_spearman
+from tidemark.functions.stats import exact_quantiles
 from tidemark.plans.registry import query
 from tidemark.plans.views import SPEARMAN, bars, ticks
 
@@ -218,8 +219,10 @@ on_ticks("w42_nth_value", lambda: F.nth_value("x", 3).over(tick()), f"nth_value(
 def quantile_bucket(df, c: str, parts: int, *keys: str, out: str = "v"):
     """1..parts by interpolated quantile edges, right-closed; duplicate edges fall together, as do their buckets."""
     ps = [i / parts for i in range(1, parts)]
-    edges = df.groupBy(*keys).agg(F.expr(f"array_distinct(percentile({c}, array({', '.join(map(repr, ps))})))").alias("edges"))
-    joined = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))
+    if keys:
+        joined = df.join(df.groupBy(*keys).agg(F.expr(f"array_distinct(percentile({c}, array({', '.join(map(repr, ps))})))").alias("edges")), list(keys))
+    else:
+        joined = df.withColumn("edges", F.array(*[F.lit(e) for e in dict.fromkeys(exact_quantiles(df, c, ps))]))
     return joined.withColumn(out, F.when(F.col(c).isNotNull(), 1 + F.size(F.filter("edges", lambda e: e < F.col(c))))).drop("edges")
 
 
