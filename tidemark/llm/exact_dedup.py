@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import ASCII_LOWER, Stage, batch, numbered, rows_of, utf8_groups
+from tidemark.llm.common import ASCII_LOWER, Stage, batch, numbered, rows_of, tidied, utf8_groups
 
 FP_BITS = 48
 #: Rows of a chunk, and about how many fingerprints an owner gets.
@@ -73,6 +73,7 @@ def _keys(owners: int):
         m = len(full)
         yield batch(ARROW_KEYS, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), np.full(m, chunk), np.array(full, np.int32), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), sent)
 
+    @tidied
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         ids, rows, fps, shas = [], [], [], []
@@ -107,6 +108,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "owner": table.column("owner"), "bitmap": pa.array(words, pa.list_(pa.int64()))})
 
 
+@tidied
 def _lowered(batches):
     for b in batches:
         for i, j, texts in utf8_groups(b.column(2), 4 << 20):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from tidemark.llm.common import mix64
+from tidemark.llm.common import CACHES, mix64
 
 _rng = np.random.default_rng(20)
 #: A random value for each byte.
@@ -33,6 +33,13 @@ class _Powers:
                 table[k] = np.cumprod(x, dtype=np.uint64)
         return cls.up[k], cls.down[k]
 
+    @classmethod
+    def clear(cls):
+        cls.up, cls.down = ([np.ones(1, np.uint64)] * 3 for _ in range(2))
+
+
+CACHES.append(_Powers.clear)
+
 
 class Sums:
     """Hashes of spans of a sequence of 64-bit values, from running sums of value times power."""

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import batch, keyed, utf8_groups
+from tidemark.llm.common import batch, keyed, tidied, utf8_groups
 from tidemark.llm.sample import remainder
 
 #: Bounds of the training sample: documents of about this number, windows from each, and windows of a language.
@@ -199,6 +199,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bo
 
 
 def _predict(model):
+    @tidied
     def run(batches):
         languages, net = model.value
         reader = Reader(net) if net else None
@@ -218,6 +219,7 @@ def _predict(model):
     return run
 
 
+@tidied
 def _windows(batches):
     """Spans at places that the text itself draws, from anywhere in it and over its ends; EACH of a text at most."""
     edge = b" " * CONTEXT

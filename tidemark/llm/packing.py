@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import Stage, keyed, utf8_groups
+from tidemark.llm.common import Stage, keyed, tidied, utf8_groups
 from tidemark.llm.hashing import BYTE, Sums
 
 CAPACITY, END = 1024, 2
@@ -198,6 +198,7 @@ ARROW_PIECES = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n
 def _pieces(path: str, ranks: str | None, capacity: int, together: int):
     end = np.array([END], "<u4").tobytes()
 
+    @tidied
     def run(batches):
         e, task = encoder(path, ranks), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
@@ -325,6 +326,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
 
 
 def _placed(table):
+    @tidied
     def run(batches):
         rows = np.frombuffer(table.value, np.int64).reshape(-1, 5)
         starts = np.searchsorted(rows[:, 0], np.arange(rows[-1, 0] + 2)) if len(rows) else None

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import Stage, keyed, mix64, utf8_groups
+from tidemark.llm.common import Stage, keyed, mix64, tidied, utf8_groups
 from tidemark.llm.hashing import LONG as LONG_WORD, Sums
 
 SPACE = "▁"
@@ -252,6 +252,7 @@ MESSAGES = "owner int, chunk long, parts binary"
 
 
 def _messages(path: str, owners: int):
+    @tidied
     def run(batches):
         for chunk in _chunks(path, batches):
             mine = chunk.by_owner(owners)
@@ -272,6 +273,7 @@ def _distinct(table: pa.Table) -> pa.Table:
 def _before(path: str):
     """Puts the edges of a part in order of their ends, and tells each, by its bits, which of the edges that end where it begins may stand before it."""
 
+    @tidied
     def run(batches):
         m = model(path)
         known, answer = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -313,6 +315,7 @@ def _before(path: str):
 def _rest(path: str):
     """Ids of parts that need no lattice, a character without a piece, or have too many edges for a row."""
 
+    @tidied
     def run(batches):
         m = model(path)
         for b in batches:
@@ -376,6 +379,7 @@ def unplaned(data: bytes) -> np.ndarray:
 def _coded(path: str, owners: int):
     """Documents as numbers into the parts of their chunk, these in the order of owners and within an owner of its message."""
 
+    @tidied
     def run(batches):
         for chunk in _chunks(path, batches):
             number = np.empty(len(chunk.parts), np.int64)
@@ -432,6 +436,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, row, text of a table of doc_id, row, ids; null ids give null."""
     path = path or model_path()
 
+    @tidied
     def run(batches):
         m = model(path)
         for b in batches:
@@ -447,6 +452,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def _digest(path: str):
+    @tidied
     def run(batches):
         m = model(path)
         back = {i: bytes([b]) for b, i in m.bytes.items()}

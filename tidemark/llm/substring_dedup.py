@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import Bitmap, Stage, batch, fresh, mix64, numbered, rows_of, utf8_groups
+from tidemark.llm.common import Bitmap, Stage, batch, fresh, mix64, numbered, rows_of, tidied, utf8_groups
 from tidemark.llm.hashing import Sums, word_hashes
 
 WINDOW, GRAM = 20, 6
@@ -92,6 +92,7 @@ def _documents(batches):
             yield b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), Paths(texts)
 
 
+@tidied
 def _minimizers(batches):
     for *_, p in _documents(batches):
         values, counts = np.unique(p.minimizer, return_counts=True)
@@ -108,6 +109,7 @@ def _spans(ids, rows, p: Paths, start: np.ndarray, length: np.ndarray, minimizer
 def _paths(bitmap):
     """Paths whose minimizer the bitmap has; all without one."""
 
+    @tidied
     def run(batches):
         for ids, rows, p in _documents(batches):
             k = bitmap.value.has(p.minimizer) if bitmap else np.ones(len(p.start), bool)
@@ -127,6 +129,7 @@ def _around(source: DataFrame, minimizers: DataFrame, most: int | None) -> DataF
     return found if bitmap else found.join(minimizers, "m", "left_semi").select("h1", "h2", "doc_id", "row", "start", "length", "m")
 
 
+@tidied
 def _digests(batches):
     """128 bits of SHA-256 of the words at each coordinate, of single windows where these are asked for."""
     for b in batches:
@@ -200,6 +203,7 @@ def _with_spans(texts: pa.Array, spans: pa.Array):
         yield i, j, [(t.split(), start[lo:hi], length[lo:hi]) for t, lo, hi in zip(some, at, at[1:])]
 
 
+@tidied
 def _kept(batches):
     """Words that no span covers, joined by one space."""
     for b in batches:
@@ -219,6 +223,7 @@ def cut_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     by_row = spans.groupBy(F.col("row").alias(name)).agg(F.collect_list(F.struct("start", "length")).alias(listed))
     rows, at, names = stage.table(spans.select("row").distinct(), "rows"), docs.columns.index(text), [*docs.columns, changed]
 
+    @tidied
     def run(batches):
         for b in batches:
             spans, columns = b.column(b.num_columns - 1), [b.column(i) for i in range(b.num_columns - 1)]

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import batch, keyed, utf8_groups
+from tidemark.llm.common import batch, keyed, tidied, utf8_groups
 from tidemark.llm.sample import first_by_hash, remainder
 
 #: Bounds of the training sample: labelled documents of either label, and words taken from them.
@@ -291,6 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     small = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int")) if rows else spark.createDataFrame([], "doc_id long, toxic int")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(small, "doc_id")
 
+    @tidied
     def instances(batches):
         for b in batches:
             for i, j, texts in utf8_groups(b.column(0), TOGETHER):
@@ -310,6 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 
 def _decisions(model):
+    @tidied
     def run(batches):
         s = Scorer(model.value.weights, model.value.bias)
         for b in batches:
@@ -322,6 +324,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bo
 
 
 def _scores(model):
+    @tidied
     def run(batches):
         s = Scorer(model.value.weights, model.value.bias)
         for b in batches:
@@ -349,6 +352,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     """The documents, with all their columns, that are not predicted to be toxic; scored and dropped in the scan."""
     model, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text, doc_id)), docs.columns.index(text)
 
+    @tidied
     def run(batches):
         s = Scorer(model.value.weights, model.value.bias)
         for b in batches:
