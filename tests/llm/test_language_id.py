@@ -59,3 +59,27 @@ def test_held_out_accuracy_and_cases(spark, empty_df):
     assert [by[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and by[1003].lang_pred == by[1004].lang_pred == "bb"
     assert all(0 <= r.score <= 1 for r in got)
     assert L.identify_language(empty_df).count() == 0
+
+
+def spoken(rng, parts):
+    return " ".join("".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(12))
+
+
+def test_sample_with_null_and_repeated_ids(spark):
+    """All ids null, or all one id: both languages are learned, and of each about as many rows as the bound says."""
+    rng = random.Random(3)
+    parts = {"aa": "ka lo mi nu".split(), "bb": "sch ung ver lich".split()}
+    for an_id in (None, 4):
+        rows = [(an_id, spoken(rng, parts[k]), k) for k in parts for _ in range(4000)]
+        got = L.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+        wrong = sum(("sch" in t or "ung" in t or "ver" in t or "lich" in t) != (r.lang_pred == "bb") for r, (_, t, _) in zip(got, rows))
+        assert len(got) == 8000 and wrong < 80
+
+
+def test_rare_language_is_learned(spark):
+    rng = random.Random(5)
+    common, rare = "ka lo mi nu".split(), "schx ungz verq lichw".split()
+    rows = [(i, spoken(rng, common), "aa") for i in range(6000)] + [(i, spoken(rng, rare) * 3, "zz") for i in (6001, 6003, 6005, 6007)]
+    rows += [(7000 + i, spoken(rng, rare), None) for i in range(20)]
+    got = {r.doc_id: r.lang_pred for r in L.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[7000 + i] == "zz" for i in range(20)) >= 18 and sum(got[i] == "aa" for i in range(6000)) > 5950

@@ -60,3 +60,11 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
         h = xxhash.xxh3_128_intdigest(data[start[i] : end[i]])
         one[i], two[i] = h & (1 << 64) - 1, h >> 64
     return one, two
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One hash for each word data[start:end]."""
+    out = Sums(0, BYTE[data]).span(start, end)
+    for i in np.flatnonzero(end - start >= LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out

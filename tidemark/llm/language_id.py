@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.llm.common import batch, keyed, tidied, utf8_groups
 from tidemark.llm.sample import remainder
 
-#: Bounds of the training sample: documents of about this number, windows from each, and windows of a language.
-SAMPLE_DOCS, EACH, SAMPLE_WINDOWS = 4000, 8, 8000
+#: Bounds of the training sample: documents of a language (about this number), windows from each, and windows of a language.
+SAMPLE_DOCS, EACH, SAMPLE_WINDOWS = 1000, 8, 8000
 HIDDEN, EMBED, STEPS, BATCH, SPAN = 16, 12, 600, 128, 64
 STRIDE, CONTEXT, LANES = 96, 16, 1024
 
@@ -236,13 +236,16 @@ def _windows(batches):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[list[str], BiGRU | None]:
     """Languages and network, from the rows with a language whose remainder is not 2.
 
-    Of these, about SAMPLE_DOCS whose ids hash lowest give EACH windows, repeated ones once, and of each language the
-    SAMPLE_WINDOWS with the lowest hash are taken. Texts stay in the tasks that read them.
+    Of each language, about SAMPLE_DOCS rows whose ids and texts hash lowest (all, if there are no more) give EACH windows,
+    repeated ones once, of which the SAMPLE_WINDOWS with the lowest hash are taken. So a rare language is learned from
+    all its rows, and null or repeated ids stand in nobody's way. Texts stay in the tasks that read them.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).where(F.col("lang").isNotNull() & (remainder("doc_id", 4) != 2))
-    n = rows.select("lang").count()
-    if n > SAMPLE_DOCS:
-        rows = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", "lang"), 24) < int(SAMPLE_DOCS / n * (1 << 40)))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SAMPLE_DOCS).collect()  # one row a language at most
+    if sizes:
+        shares = docs.sparkSession.createDataFrame([(r.lang, int(SAMPLE_DOCS / r.n * (1 << 40))) for r in sizes], "lang string, below long")
+        low = F.shiftrightunsigned(F.xxhash64("doc_id", "lang", "text"), 24) < F.col("below")
+        rows = rows.join(F.broadcast(shares), "lang", "left").where(F.col("below").isNull() | low)
     spans = rows.select("text", "lang").mapInArrow(_windows, "lang string, span binary").distinct()
     languages = sorted(r.lang for r in spans.select("lang").distinct().collect())  # one row a language
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("span"), "span"))
