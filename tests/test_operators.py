@@ -6,11 +6,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as S
-from tidemark.operators import backtest as B, filters as R, leadlag as G, models as M, pairs as K
+from tidemark.operators import backtest as B, leadlag as G, models as M, pairs as K
 from tidemark.operators.timing import PhaseTimer
 from tidemark.sources import readers, synthetic, writers
 
@@ -116,25 +115,6 @@ def test_cointegration():
     assert rank >= 1 and trace[0] > 100 and abs(vectors[0, 0] / vectors[1, 0] + 2) < 0.1
 
 
-@given(st.lists(st.floats(-100, 100), min_size=1, max_size=90))
-@settings(max_examples=50, deadline=None)
-def test_filters(values):
-    x = np.array(values)
-    assert np.allclose(R.denoise(x, share=0.0), x, atol=1e-8)
-    r = R.rsi(x)
-    assert ((r[~np.isnan(r)] >= 0) & (r[~np.isnan(r)] <= 100)).all()
-    k = R.kalman(x)
-    assert len(k) == len(x) and np.isfinite(k).all() and math.isclose(k[0], x[0] / 2)
-    assert len(R.macd(x)[2]) == len(x)
-
-
-def test_ema_against_pandas():
-    x = np.arange(40.0) ** 1.5
-    e = R.ema(x, 10)
-    want = pd.Series(np.r_[[x[:10].mean()], x[10:]]).ewm(span=10, adjust=False).mean()
-    assert np.allclose(e[9:], want)
-
-
 def test_sources_round_trip(spark, tmp_path):
     bars = spark.createDataFrame([(dt.datetime(2024, 1, 1), "TICKER_01", 1.5, 2.0), (dt.datetime(2024, 1, 2), "TICKER_00", None, 3.0)], readers.BARS)
     writers.write_csv(bars, f"{tmp_path}/bars", ["Timestamp"])

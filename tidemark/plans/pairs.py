@@ -126,10 +126,13 @@ query("k20_portfolio_curve", "ts:t balance:d margin:d benchmark:d year_return:d
 query("k21_compounding", "ts:t r:d c:d", lambda s, d: daily_pair(s, d).select("pair", "ts", W.pct_change("x", pw()).alias("r")).select("ts", "r", F.sum(F.ln(1 + F.col("r"))).over(W.running(Window.orderBy("ts"))).alias("c")), f"WITH {DAILY}, r AS (SELECT ts, x / lag(x) OVER (ORDER BY ts) - 1 AS r FROM p)\nFINALLY SELECT ts, r, sum(ln(1 + r)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM r", B)
 
 
-def _filtered(make, columns):
-    from tidemark.operators import filters as R
+def _filter(name: str):
+    def run(s, d):
+        from tidemark.operators import filters
 
-    return lambda s, d: R.by_series(bars(s, d), "close", make(R), columns)
+        return getattr(filters, name)(bars(s, d), "close")
+
+    return run
 
 
 NUMBERED = "b AS (SELECT ticker, ts, close AS x, row_number() OVER w - 1 AS n, close - lag(close) OVER w AS c FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts))"
@@ -142,14 +145,45 @@ def ema_sql(name: str, source: str, c: str, start: int, k: int) -> str:
 UNION ALL SELECT e.ticker, s.n, e.v + {2 / (k + 1)!r}::DOUBLE * (s.{c} - e.v) FROM {name} e JOIN {source} s ON s.ticker = e.ticker AND s.n = e.n + 1)"""
 
 
-query("w32_rsi", "ticker:s ts:t rsi:d", _filtered(lambda R: lambda x: {"rsi": R.rsi(x)}, ["rsi"]),
+query("w32_rsi", "ticker:s ts:t rsi:d", _filter("rsi"),
       f"""WITH RECURSIVE {NUMBERED}, r AS (SELECT ticker, 14::BIGINT AS n, avg(greatest(c, 0)) AS u, avg(greatest(-c, 0)) AS d FROM b WHERE n BETWEEN 1 AND 14 GROUP BY ticker HAVING count(*) = 14
 UNION ALL SELECT r.ticker, b.n, (r.u * 13 + greatest(b.c, 0)) / 14, (r.d * 13 + greatest(-b.c, 0)) / 14 FROM r JOIN b ON b.ticker = r.ticker AND b.n = r.n + 1)
 FINALLY SELECT ticker, ts, CASE WHEN d = 0 THEN 100 ELSE 100 - 100 / (1 + u / d) END AS rsi FROM b LEFT JOIN r USING (ticker, n)""", B)
-query("w33_macd", "ticker:s ts:t macd:d signal:d histogram:d", _filtered(lambda R: lambda x: dict(zip(("macd", "signal", "histogram"), R.macd(x))), ["macd", "signal", "histogram"]),
+query("w33_macd", "ticker:s ts:t macd:d signal:d histogram:d", _filter("macd"),
       f"WITH RECURSIVE {NUMBERED}, {ema_sql('fast', 'b', 'x', 0, 12)}, {ema_sql('slow', 'b', 'x', 0, 26)}, m AS (SELECT ticker, n, fast.v - slow.v AS m FROM fast JOIN slow USING (ticker, n)), {ema_sql('sig', 'm', 'm', 25, 9)}\nFINALLY SELECT ticker, ts, m AS macd, sig.v AS signal, m - sig.v AS histogram FROM b LEFT JOIN m USING (ticker, n) LEFT JOIN sig USING (ticker, n)", B)
-query("w39_kalman", "ticker:s ts:t level:d", _filtered(lambda R: lambda x: {"level": R.kalman(x)}, ["level"]),
+query("w39_kalman", "ticker:s ts:t level:d", _filter("kalman"),
       f"""WITH RECURSIVE {NUMBERED}, k AS (SELECT ticker, n, x / 2 AS m, 0.5::DOUBLE AS v FROM b WHERE n = 0
 UNION ALL SELECT k.ticker, b.n, k.m + (k.v + 0.01::DOUBLE) / (k.v + 1.01::DOUBLE) * (b.x - k.m), (1 - (k.v + 0.01::DOUBLE) / (k.v + 1.01::DOUBLE)) * (k.v + 0.01::DOUBLE) FROM k JOIN b ON b.ticker = k.ticker AND b.n = k.n + 1)
 FINALLY SELECT ticker, ts, m AS level FROM b JOIN k USING (ticker, n)""", B)
-query("w41_wavelet_denoise", "ticker:s ts:t smooth:d", _filtered(lambda R: lambda x: {"smooth": R.denoise(x)}, ["smooth"]))
+
+
+def wavelet_sql(levels: int = 3, share: float = 0.5) -> str:
+    """The transform by its definition: each place of a level gathers the values under its taps."""
+    from tidemark.operators.filters import DB6
+
+    low, n = DB6[::-1], len(DB6)
+    high = [x * (-1.0) ** k for k, x in enumerate(DB6)]
+    taps = ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for k, (a, b) in enumerate(zip(low, high)))
+    block = 1 << levels
+    parts = [
+        f"f(k, lo, hi) AS (VALUES {taps})",
+        f"size AS (SELECT ticker, max(n) + 1 AS m, arg_max(x, n) AS e, (max(n) + {block}) // {block} * {block} AS len FROM b GROUP BY ticker)",
+        "a0 AS (SELECT ticker, n AS i, x AS v FROM b UNION ALL SELECT ticker, unnest(range(m, len)), e FROM size)",
+    ]
+    for k in range(levels):
+        long = f"len // {1 << k} >= {n}"
+        places = f"(SELECT ticker, len // {1 << k} AS l, unnest(range(len // {2 << k})) AS i FROM size WHERE {long})"
+        parts.append(f"b{k} AS MATERIALIZED (SELECT o.ticker, o.i, sum(v * lo) AS v, sum(v * hi) AS d FROM {places} o CROSS JOIN f JOIN a{k} a ON a.ticker = o.ticker AND a.i = (2 * o.i + k) % l GROUP BY 1, 2)")
+        parts.append(f"a{k + 1} AS MATERIALIZED (SELECT ticker, i, v FROM b{k} UNION ALL SELECT ticker, i, v FROM a{k} JOIN size USING (ticker) WHERE NOT {long})")
+    every = " UNION ALL ".join(f"SELECT ticker, d FROM b{k}" for k in range(levels))
+    parts.append(f"t AS MATERIALIZED (SELECT ticker, {share} * max(abs(d)) AS t FROM ({every}) GROUP BY 1)")
+    parts.append(f"c{levels} AS (SELECT * FROM a{levels})")
+    for k in reversed(range(levels)):
+        long = f"len // {1 << k} >= {n}"
+        soft = "sign(d) * greatest(abs(d) - t, 0)"
+        parts.append(f"""c{k} AS MATERIALIZED (SELECT c.ticker, (2 * c.i + k) % (len // {1 << k}) AS i, sum(c.v * lo + {soft} * hi) AS v FROM c{k + 1} c JOIN b{k} d ON d.ticker = c.ticker AND d.i = c.i
+JOIN t ON t.ticker = c.ticker JOIN size ON size.ticker = c.ticker CROSS JOIN f WHERE {long} GROUP BY 1, 2 UNION ALL SELECT ticker, i, v FROM c{k + 1} JOIN size USING (ticker) WHERE NOT {long})""")
+    return f"WITH {NUMBERED}, " + ", ".join(parts) + "\nFINALLY SELECT b.ticker, b.ts, c0.v AS smooth FROM b JOIN c0 ON c0.ticker = b.ticker AND c0.i = b.n"
+
+
+query("w41_wavelet_denoise", "ticker:s ts:t smooth:d", _filter("denoise"), wavelet_sql(), B)
