@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tidemark.functions.scan import average_ranks
 from tidemark.functions import rolling as Y, stats as S
 from tidemark.operators import backtest as B, models as M, pairs as K
 
@@ -77,7 +78,7 @@ def test_window_ranks_and_spread_ranks(spark):
         want = x.rank().corr(y.rank()) if t >= 11 and y.notna().all() else np.nan
         assert (np.isnan(got[t]) and np.isnan(want)) or abs(got[t] - want) < 1e-9
     frame = pd.DataFrame({"k": rng.integers(0, 2, 500), "v": rng.integers(0, 90, 500).astype(float)})
-    ranked = S.spread_rank(spark.createDataFrame(frame), "v", ["k"], "r", 8).toPandas()
+    ranked = average_ranks(spark.createDataFrame(frame), "v", ["k"], "r").toPandas()
     assert np.allclose(ranked["r"], ranked.groupby("k")["v"].rank())
 
 

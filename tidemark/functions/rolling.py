@@ -4,40 +4,59 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-
-
-def row_ranks(m: np.ndarray) -> np.ndarray:
-    """Average ranks within each row."""
-    order = np.argsort(m, axis=1, kind="stable")
-    v = np.take_along_axis(m, order, axis=1)
-    new = np.ones(v.shape, bool)
-    new[:, 1:] = v[:, 1:] != v[:, :-1]
-    place = np.broadcast_to(np.arange(v.shape[1]), v.shape)
-    first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
-    ends = np.ones(v.shape, bool)
-    ends[:, :-1] = new[:, 1:]
-    last = np.minimum.accumulate(np.where(ends, place, v.shape[1])[:, ::-1], axis=1)[:, ::-1]
-    out = np.empty(v.shape)
-    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=1)
-    return out
+from pyspark.sql import DataFrame, functions as F
+
+from tidemark.functions.scan import numbered
+
+
+class Moved:
+    """Doubled average ranks of the values in a window, kept up to date as values come and go: one comparison a place.
+
+    values are whole numbers in the order of the data. A place of the window that is not yet filled holds none.
+    """
+
+    def __init__(self, window: int):
+        self.at, self.ranks, self.filled = np.zeros(window, np.int64), np.zeros(window, np.int64), np.zeros(window, bool)
+
+    def put(self, place: int, value: int) -> None:
+        """Replaces what is at the place."""
+        v, r = self.at, self.ranks
+        if self.filled[place]:
+            old = v[place]
+            r -= v > old
+            r -= v >= old
+        v[place], self.filled[place] = value, True
+        low, up_to = v < value, v <= value
+        if not self.filled.all():
+            low, up_to = low & self.filled, up_to & self.filled
+        r += v > value
+        r += v >= value
+        r[place] = np.count_nonzero(low) + np.count_nonzero(up_to) + 1  # less, and as many as are not greater
 
 
 def window_spearman(a: np.ndarray, b: np.ndarray, window: int, flat: float = np.nan) -> np.ndarray:
     """Spearman of each full window; missing where it has a missing value, ``flat`` where a side is constant."""
-    out = np.full(len(a), np.nan)
-    if len(a) < window:
+    n, out = len(a), np.full(len(a), np.nan)
+    known = ~(np.isnan(a) | np.isnan(b))
+    if n < window or window < 1:
         return out
-    a, b = (np.lib.stride_tricks.sliding_window_view(x, window) for x in (a, b))
-    step = max(1, (1 << 20) // window)
-    for i in range(0, len(a), step):
-        x, y = a[i : i + step], b[i : i + step]
-        known = ~(np.isnan(x).any(axis=1) | np.isnan(y).any(axis=1))
-        x, y = row_ranks(x[known]), row_ranks(y[known])
-        x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-        bottom = np.sqrt((x * x).mean(axis=1) * (y * y).mean(axis=1))
-        rho = np.where(bottom > 1e-14, (x * y).mean(axis=1) / np.where(bottom > 1e-14, bottom, 1), flat)
-        out[np.flatnonzero(known) + i + window - 1] = rho
+    codes = [np.unique(np.where(known, x, 0.0), return_inverse=True)[1] for x in (a, b)]
+    sides, run = (Moved(window), Moved(window)), 0
+    mean2 = (window + 1) ** 2  # of doubled ranks, the square of the mean
+    for i in range(n):
+        if not known[i]:
+            run = 0
+            continue
+        if run == 0:
+            sides = (Moved(window), Moved(window))
+        for side, code in zip(sides, codes):
+            side.put(run % window, code[i])
+        run += 1
+        if run >= window:
+            x, y = sides[0].ranks, sides[1].ranks
+            xx, yy, xy = (float(p @ q) / window - mean2 for p, q in ((x, x), (y, y), (x, y)))
+            bottom = np.sqrt(max(xx, 0.0) * max(yy, 0.0))
+            out[i] = xy / bottom if bottom > 1e-9 else flat
     return out
 
 
@@ -47,8 +66,7 @@ def rolling_spearman(df: DataFrame, key: str, ts: str, a: str, b: str, window: i
     A series is cut into blocks of rows, each with the window before it, so that one long series is many tasks.
     """
     block = max(block, window)
-    n = F.row_number().over(Window.partitionBy(key).orderBy(ts)) - 1
-    d = df.withColumn("_n", n.cast("long"))
+    d = numbered(df, [key], [ts])
     d = d.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_n") / block), F.floor((F.col("_n") + window - 1) / block))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -160,6 +160,24 @@ class Number(Fold):
         return [pa.array(np.arange(n, n + rows.num_rows))], n + rows.num_rows
 
 
+class Before(Fold):
+    """The sum of a whole-number column over the rows before, within the group."""
+
+    def __init__(self, c: str):
+        self.c = c
+
+    def summarise(self, summary, rows, part):
+        return (summary or 0) + pc.sum(rows.column(self.c)).as_py()
+
+    def carry(self, state, summary):
+        return (state or 0) + summary
+
+    def apply(self, state, rows, part):
+        n = rows.column(self.c).to_numpy()
+        after = (state or 0) + np.cumsum(n)
+        return [pa.array(after - n)], int(after[-1])
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "_n") -> DataFrame:
     """Adds the place of each row within its keys, from 0."""
     return scan(laid_out(df, keys, order), keys, Number(), f"`{out}` long")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.scan import Before, average_ranks, laid_out, scan
 from tidemark.functions.windows import average_rank
 
 
@@ -20,33 +22,37 @@ def pearson(x: str, y: str, least: int = 5) -> Column:
     return F.when((F.count(a) >= least) & (bottom > 1e-14), F.covar_pop(a, b) / F.when(bottom > 1e-14, bottom))
 
 
-def spread_rank(df: DataFrame, c: str, keys: list[str], out: str, parts: int = 64) -> DataFrame:
-    """Adds the average rank of c, which is never missing, within few large groups.
-
-    A group's values are cut at approximate quantiles, which have one row a group. A value's rank is its rank within its
-    part, and the number of values in the parts before; equal values are in one part. So a group is many tasks.
-    """
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(c, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20 * parts).alias("_bounds"))
-    cut = df.join(F.broadcast(bounds), keys) if keys else df.crossJoin(F.broadcast(bounds))
-    cut = cut.withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col(c)))).drop("_bounds")
-    sizes = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))  # 64 rows a group at most
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = cut.join(F.broadcast(sizes.select(*keys, "_part", before.alias("_before"))), [*keys, "_part"])
-    w = Window.partitionBy(*keys, "_part").orderBy(c)
-    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-    return placed.withColumn(out, F.col("_before") + F.rank().over(w) + (ties - 1) / 2).drop("_part", "_before")
-
-
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5, out: str = "ic", spread: bool = False) -> DataFrame:
     """Pearson of average ranks over complete pairs, by group; ``spread`` for few groups of any size."""
-    d = df.where(both(x, y))
+    d = df.where(both(x, y)).select(*keys, F.col(x).alias("_a"), F.col(y).alias("_b"))
     if spread:
-        d = spread_rank(spread_rank(d.select(*keys, x, y), x, keys, "_x"), y, keys, "_y")
+        d = average_ranks(d, "_a", keys, "_x").drop("_a")
+        d = average_ranks(d, "_b", keys, "_y").drop("_b")
     else:
-        d = d.select(*keys, average_rank(x, *keys).alias("_x"), average_rank(y, *keys).alias("_y"))
+        d = d.select(*keys, average_rank("_a", *keys).alias("_x"), average_rank("_b", *keys).alias("_y"))
     return d.groupBy(*keys).agg(pearson("_x", "_y", least).alias(out), F.count(F.lit(1)).alias("n"))
 
 
+def quantiles(df: DataFrame, c: str, shares: list[float], keys: list[str], out: str = "q") -> DataFrame:
+    """(keys, q): interpolated quantiles of each group, exact, for few groups of any size.
+
+    Values are counted first, so that one that a group repeats is one row; the distinct ones are laid out by range over
+    many tasks, and each knows from the scan how many values are before it. Keys may be null.
+    """
+    d = df.select(*keys, F.col(c).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    laid = laid_out(d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), keys, ["_v"])
+    placed = scan(laid, keys, Before("_n"), "_start long")
+    size = laid.groupBy(*keys).agg(F.sum("_n").alias("_size")).select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_size")  # one row a group
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    d = placed.join(size, reduce(Column.__and__, same)) if keys else placed.crossJoin(size)
+    at = [p * (F.col("_size") - 1) for p in shares]
+    pick = lambda place: F.max(F.when((F.col("_start") <= place) & (place < F.col("_start") + F.col("_n")), F.col("_v")))
+    ends = [(f"_{'ab'[k]}{i}", (F.floor, F.ceil)[k](x)) for i, x in enumerate(at) for k in (0, 1)]
+    found = d.groupBy(*keys, "_size").agg(*[pick(place).alias(name) for name, place in ends])
+    between = [F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}")).otherwise((F.ceil(x) - x) * F.col(f"_a{i}") + (x - F.floor(x)) * F.col(f"_b{i}")) for i, x in enumerate(at)]
+    return found.select(*keys, F.array(*between).alias(out))
+
+
 def exact_quantiles(df: DataFrame, c: str, shares: list[float], parts: int = 128) -> list[float | None]:
     """Interpolated quantiles of a whole table, from the values themselves.
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import stats as S, windows as W
+from tidemark.functions.scan import average_ranks
 
 
 @dataclass
@@ -149,51 +150,58 @@ def rank_weights(df: DataFrame, features: list[str], y: str = "y", key: str = "i
     return {f: found.get(f, 0.0) for f in features}
 
 
+def rank_scores(df: DataFrame, weights: dict[str, dict[str, float]], key: str = "id", by: list[str] = ()) -> DataFrame:
+    """(by, key, one column a name): weighted sums of the features' average ranks, scaled to 0..1 within the table that is
+    scored, or within each group of it; all features are ranked in one pass in long form, whatever the number of names."""
+    by, features = list(by), sorted({f for w in weights.values() for f in w})
+    long = df.unpivot([*by, key], features, "feature", "x").where("x IS NOT NULL")
+    ranked = average_ranks(long, "x", [*by, "feature"], "_r")
+    n = long.groupBy(*by, "feature").agg(F.count("x").alias("_n"))  # one row a feature and group
+    of = {name: F.create_map(*[F.lit(v) for f in features for v in (f, float(w.get(f, 0.0)))]) for name, w in weights.items()}
+    scaled = (F.col("_r") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
+    return ranked.join(n, [*by, "feature"]).groupBy(*by, key).agg(*[F.sum(m[F.col("feature")] * scaled).alias(name) for name, m in of.items()])
+
+
 def rank_score(df: DataFrame, weights: dict[str, float], key: str = "id") -> DataFrame:
-    """(key, prediction): weighted sum of the features' average ranks, scaled to 0..1 within the table that is scored.
+    """(key, prediction) of one set of weights."""
+    return rank_scores(df, {"prediction": weights}, key)
 
-    In long form, each feature's values cut into parts, so that ranks are taken in many tasks.
-    """
-    long = df.unpivot([key], list(weights), "feature", "x")
-    weight = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])
-    n = long.groupBy("feature").agg(F.count("x").alias("_n"))  # one row a feature
-    ranked = S.spread_rank(long.where("x IS NOT NULL"), "x", ["feature"], "_r").join(F.broadcast(n), "feature")
-    scaled = ranked.select(key, (weight[F.col("feature")] * (F.col("_r") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).alias("v"))
-    return scaled.groupBy(key).agg(F.sum("v").alias("prediction"))
+
+METRICS = ("ic", "rank_ic", "mse", "rmse", "mae", "r2")
 
 
-def fit_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """ic, rank_ic, mse, rmse, mae, r2 in one row."""
-    e = F.col(y) - F.col(p)
-    a = df.where(S.both(y, p)).agg(S.pearson(y, p).alias("ic"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / F.var_pop(y) / F.count(y)).alias("r2"))
-    return a.join(F.broadcast(S.spearman(df, y, p, [], spread=True).select(F.col("ic").alias("rank_ic"))))
+def fit_metrics(df: DataFrame, y: str, p: str, keys: list[str] = ()) -> DataFrame:
+    """keys, ic, rank_ic, mse, rmse, mae, r2: one row, or one a group."""
+    e, keys = F.col(y) - F.col(p), list(keys)
+    a = df.where(S.both(y, p)).groupBy(*keys).agg(S.pearson(y, p).alias("ic"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / F.var_pop(y) / F.count(y)).alias("r2"))
+    ranked = S.spearman(df, y, p, keys, out="rank_ic", spread=True).drop("n")
+    return a.join(ranked, keys) if keys else a.crossJoin(ranked)
 
 
 def compare(train: DataFrame, test: DataFrame, features: list[str], y: str = "y", key: str = "id", alpha: float = 1.0, lasso: float = 0.001) -> DataFrame:
-    """model and its metrics on train and test, best absolute rank IC on test first; with the signed ensemble of the best three."""
+    """model and its metrics on train and test, best absolute rank IC on test first; with the signed ensemble of the best three.
+
+    Both tables and all models are scored together: ranks of all features in one pass, those of all predictions in another.
+    """
     g = gram(train, features, y)
     linear = {"ols": fit_ols(g), "ridge": fit_ridge(g, alpha), "lasso": fit_lasso(g, lasso)}
     weights = {"factor_score": rank_weights(train, features, y, key), "rank_alpha": rank_weights(train, features, y, key, "spearman")}
+    sides = ("train", "test")
+    every = train.select(key, y, *features, F.lit("train").alias("_side")).unionByName(test.select(key, y, *features, F.lit("test").alias("_side")))
+    made = every.select("_side", key, y, *[m.predict().alias(n) for n, m in linear.items()]).join(rank_scores(every, weights, key, ["_side"]), ["_side", key]).checkpoint()
 
-    def predicted(df):
-        d = df.select(key, y, *[m.predict().alias(n) for n, m in linear.items()])
-        for n, w in weights.items():
-            d = d.join(rank_score(df, w, key).withColumnRenamed("prediction", n), key)
-        return d
-
-    both, out = {"train": predicted(train), "test": predicted(test)}, None
-
-    def rows(name, column):
-        r = {side: fit_metrics(d.withColumn("_p", column), y, "_p").first() for side, d in both.items()}
-        return (name, *[float(r[s][m]) if r[s][m] is not None else None for s in ("train", "test") for m in ("ic", "rank_ic", "mse", "rmse", "mae", "r2")])
+    def scored(d, models):
+        long = d.unpivot(["_side", y], models, "_model", "_p")
+        found = {(r["_model"], r["_side"]): r for r in fit_metrics(long, y, "_p", ["_side", "_model"]).collect()}  # one row a model and side
+        return [(m, *[None if (m, s) not in found or found[m, s][k] is None else float(found[m, s][k]) for s in sides for k in METRICS]) for m in models]
 
-    found = [rows(n, F.col(n)) for n in [*linear, *weights]]
+    found = scored(made, [*linear, *weights])
     best = sorted(found, key=lambda r: -abs(r[8] or 0))[:3]
     blend = sum((F.lit(float(r[1] or 0)) * F.col(r[0]) for r in best), F.lit(0.0))
-    mixed = rows("ensemble", blend)
+    mixed = scored(made.withColumn("ensemble", blend), ["ensemble"])[0]
     if abs(mixed[8] or 0) > 1.1 * abs(best[0][8] or 0):
         found.append(mixed)
-    schema = "model string, " + ", ".join(f"{s}_{m} double" for s in ("train", "test") for m in ("ic", "rank_ic", "mse", "rmse", "mae", "r2"))
+    schema = "model string, " + ", ".join(f"{s}_{m} double" for s in sides for m in METRICS)
     out = train.sparkSession.createDataFrame(found, schema)
     return out.orderBy(F.desc(F.abs("test_rank_ic")), "model")
 

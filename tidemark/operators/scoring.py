@@ -17,11 +17,14 @@ def mutual_information(df: DataFrame, x: str, y: str, parts: int = 20, keys: lis
 
     The table of a group has parts * parts cells whatever its size; only these leave the aggregation.
     """
-    from tidemark.plans.windows import quantile_bucket
-
-    keys = list(keys)
-    d = quantile_bucket(quantile_bucket(df.where(S.both(x, y)), x, parts, *keys, out="_i"), y, parts, *keys, out="_j")
-    joint = d.groupBy(*keys, "_i", "_j").agg(F.count(F.lit(1)).alias("n"))
+    keys, shares = list(keys), [i / parts for i in range(1, parts)]
+    whole = df.where(S.both(x, y)).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    sides = whole.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(f"_{c}").alias("v")) for c in "xy"])).alias("s")).select(*keys, "s.side", "s.v")
+    edges = S.quantiles(sides, "v", shares, [*keys, "side"]).groupBy(*keys).agg(*[F.max(F.when(F.col("side") == c, F.array_distinct("q"))).alias(f"_e{c}") for c in "xy"])
+    d = whole.join(edges, keys) if keys else whole.crossJoin(edges)  # one row a group
+    bin_of = lambda c: 1 + F.size(F.filter(f"_e{c}", lambda e: e < F.col(f"_{c}")))
+    d = d.select(*keys, bin_of("x").alias("_i"), bin_of("y").alias("_j"))
+    joint = d.groupBy(*keys, "_i", "_j").agg(F.count(F.lit(1)).alias("n")).checkpoint()  # parts * parts rows a group, read three times
     g = Window.partitionBy(*keys)
     axis = lambda c: joint.select(*keys, c).distinct()
     cells = axis("_i").join(axis("_j"), keys) if keys else axis("_i").join(F.broadcast(axis("_j")))
@@ -30,11 +33,11 @@ def mutual_information(df: DataFrame, x: str, y: str, parts: int = 20, keys: lis
     return m.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.sum(F.col("p") * F.ln(F.col("p") / (F.col("px") * F.col("py"))))).alias("mi"))
 
 
-def feature_table(df: DataFrame, features: list[str], y: str = "y", key: str = "id") -> DataFrame:
+def feature_table(df: DataFrame, features: list[str], y: str = "y", key: str = "id", parts: int = 20) -> DataFrame:
     """feature, pearson, spearman, mi, t: one row a feature."""
     d = long_features(df, features, y, key)
     a = d.groupBy("feature").agg(S.pearson("x", y).alias("pearson"), S.slope_t("x", y).alias("t"))
-    return a.join(S.spearman(d, "x", y, ["feature"], out="spearman", spread=True).drop("n"), "feature").join(mutual_information(d, "x", y, 5, ["feature"]), "feature")
+    return a.join(S.spearman(d, "x", y, ["feature"], out="spearman", spread=True).drop("n"), "feature").join(mutual_information(d, "x", y, parts, ["feature"]), "feature")
 
 
 def composite(table: DataFrame, metrics: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import stats as S
-from tidemark.functions.windows import average_rank
+from tidemark.functions.scan import average_ranks
 from tidemark.plans.registry import query
 from tidemark.plans.views import bars, design, nation_months, table, ticks
 
@@ -25,15 +25,26 @@ def _crosstab(s, d):
 
 
 query("a06_contingency", "a:s b:s v:d", _crosstab, "SELECT a, b, coalesce(n, 0) / (SELECT count(*) FROM part) AS v FROM (SELECT DISTINCT p_type AS a FROM part) CROSS JOIN (SELECT DISTINCT p_brand AS b FROM part) LEFT JOIN (SELECT p_type AS a, p_brand AS b, count(*) AS n FROM part GROUP BY 1, 2) USING (a, b)")
-query("a07_summary", "n:l mean:d sd:d low:d q1:d q2:d q3:d high:d", lambda s, d: ticks(s, d).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("low"), *[F.percentile("x", p / 4).alias(f"q{p}") for p in (1, 2, 3)], F.max("x").alias("high")), "SELECT count(x) AS n, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS low, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3, max(x) AS high FROM ticks", T)
+
+
+def summary(df, c: str = "x"):
+    moments = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high"))
+    quarters = S.exact_quantiles(df, c, [0.25, 0.5, 0.75])
+    return moments.select("*", *[F.lit(v).cast("double").alias(f"q{k + 1}") for k, v in enumerate(quarters)])
+
+
+query("a07_summary", "n:l mean:d sd:d low:d q1:d q2:d q3:d high:d", lambda s, d: summary(ticks(s, d)),
+      "SELECT count(x) AS n, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS low, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3, max(x) AS high FROM ticks", T)
 FS = [f"f{i}" for i in range(1, 7)]
 PAIRS = [(a, b) for i, a in enumerate(FS) for b in FS[i + 1 :]]
 query("a08_correlation_matrix", "a:s b:s v:d", lambda s, d: design(s, d).agg(*[S.pearson(a, b).alias(f"{a}_{b}") for a, b in PAIRS]).select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("v")) for a, b in PAIRS])).alias("p")).select("p.*"), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS v FROM design" for a, b in PAIRS), ("design",))
 
 
 def rank_correlations(s, d):
-    """Spearman of each pair of columns: one rank for each column, then the correlations of the ranks in one scan."""
-    ranked = design(s, d).select(*[average_rank(c).alias(c) for c in sorted({c for p in PAIRS for c in p})])
+    """Spearman of each pair of columns: all columns are ranked in one pass in long form, and brought together by row."""
+    names = sorted({c for p in PAIRS for c in p})
+    long = design(s, d).unpivot(["id"], names, "name", "x")
+    ranked = average_ranks(long.where("x IS NOT NULL AND NOT isnan(x)"), "x", ["name"], "r").groupBy("id").agg(*[F.max(F.when(F.col("name") == c, F.col("r"))).alias(c) for c in names])
     one = ranked.agg(*[S.pearson(a, b).alias(f"{a}_{b}") for a, b in PAIRS])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("v")) for a, b in PAIRS])).alias("p")).select("p.*")
 
@@ -41,8 +52,8 @@ def rank_correlations(s, d):
 RANKED = "k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in sorted({c for p in PAIRS for c in p})) + " FROM design)"
 query("a08_rank_correlation_matrix", "a:s b:s v:d", rank_correlations, f"WITH {RANKED}\nFINALLY " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS v FROM k" for a, b in PAIRS), ("design",))
 query("a09_row_mean", "id:l total:d mean:d", lambda s, d: design(s, d).select("id", sum((F.col(f) for f in FS[1:]), F.col("f1")).alias("total"), (sum((F.col(f) for f in FS[1:]), F.col("f1")) / 6).alias("mean")), "SELECT id, f1 + f2 + f3 + f4 + f5 + f6 AS total, (f1 + f2 + f3 + f4 + f5 + f6) / 6 AS mean FROM design", ("design",))
-query("a10_quantile", "kind:s q10:d q90:d", lambda s, d: ticks(s, d).groupBy("kind").agg(F.percentile("x", 0.1).alias("q10"), F.percentile("x", 0.9).alias("q90")), "SELECT kind, quantile_cont(x, 0.1) AS q10, quantile_cont(x, 0.9) AS q90 FROM ticks GROUP BY kind", T)
-query("a11_median", "kind:s v:d", lambda s, d: ticks(s, d).groupBy("kind").agg(F.median("x").alias("v")), "SELECT kind, median(x) AS v FROM ticks GROUP BY kind", T)
+query("a10_quantile", "kind:s q10:d q90:d", lambda s, d: S.quantiles(ticks(s, d), "x", [0.1, 0.9], ["kind"]).select("kind", F.col("q")[0].alias("q10"), F.col("q")[1].alias("q90")), "SELECT kind, quantile_cont(x, 0.1) AS q10, quantile_cont(x, 0.9) AS q90 FROM ticks GROUP BY kind", T)
+query("a11_median", "kind:s v:d", lambda s, d: S.quantiles(ticks(s, d), "x", [0.5], ["kind"]).select("kind", F.col("q")[0].alias("v")), "SELECT kind, median(x) AS v FROM ticks GROUP BY kind", T)
 query("a12_resample", "ticker:s month:t last:d mean:d", lambda s, d: bars(s, d).groupBy("ticker", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(F.max_by("close", "ts").alias("last"), F.avg("close").alias("mean")), "SELECT ticker, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, arg_max(close, ts) AS last, avg(close) AS mean FROM bars GROUP BY 1, 2", B)
 query("a13_count_of_counts", "n:l names:l", lambda s, d: table(s, d, "nation").alias("a").join(F.broadcast(table(s, d, "nation").alias("b")), (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_name") < F.col("b.n_name"))).select(F.explode(F.array("a.n_name", "b.n_name")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("names")), "SELECT n, count(*) AS names FROM (SELECT name, count(*) AS n FROM (SELECT unnest([a.n_name, b.n_name]) AS name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name) GROUP BY name) GROUP BY n")
 

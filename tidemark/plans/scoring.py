@@ -24,9 +24,9 @@ IC = f"WITH {LONG}, {RANKED}, ic AS (SELECT feature, corr(rx, ry) AS ic FROM k G
 D = ("design",)
 query("f01_pearson_ic", "feature:s v:d", lambda s, d: C.long_features(design(s, d), FS).groupBy("feature").agg(S.pearson("x", "y").alias("v")), f"WITH {LONG}\nFINALLY SELECT feature, corr(x, y) AS v FROM l GROUP BY feature", D)
 query("f02_spearman_ic", "feature:s ic:d", lambda s, d: S.spearman(C.long_features(design(s, d), FS), "x", "y", ["feature"], spread=True), IC + "SELECT * FROM ic", D)
-QS = ", ".join(repr(i / 5) for i in range(1, 5))
+QS = ", ".join(repr(i / 20) for i in range(1, 20))
 MI = f"{LONG}, q AS (SELECT feature, list_distinct(quantile_cont(x, [{QS}])) AS ex, list_distinct(quantile_cont(y, [{QS}])) AS ey FROM l GROUP BY feature), b AS (SELECT feature, 1 + len(list_filter(ex, lambda e: e < x)) AS i, 1 + len(list_filter(ey, lambda e: e < y)) AS j FROM l JOIN q USING (feature)), n AS (SELECT feature, i, j, count(*) AS n FROM b GROUP BY 1, 2, 3), cells AS (SELECT * FROM (SELECT DISTINCT feature, i FROM n) JOIN (SELECT DISTINCT feature, j FROM n) USING (feature)), p AS (SELECT feature, i, j, coalesce(n, 0) / sum(n) OVER (PARTITION BY feature) + 1e-12 AS p FROM cells LEFT JOIN n USING (feature, i, j)), m AS (SELECT feature, p, sum(p) OVER (PARTITION BY feature, i) AS px, sum(p) OVER (PARTITION BY feature, j) AS py FROM p), mi AS (SELECT feature, greatest(0, sum(p * ln(p / (px * py)))) AS mi FROM m GROUP BY feature)"
-query("f03_mutual_information", "feature:s mi:d", lambda s, d: C.mutual_information(C.long_features(design(s, d), FS), "x", "y", 5, ["feature"]), f"WITH {MI}\nFINALLY SELECT * FROM mi", D)
+query("f03_mutual_information", "feature:s mi:d", lambda s, d: C.mutual_information(C.long_features(design(s, d), FS), "x", "y", 20, ["feature"]), f"WITH {MI}\nFINALLY SELECT * FROM mi", D)
 TSTAT = "regr_sxy(y, x) / regr_sxx(y, x) / sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x))"
 query("f04_slope_t", "feature:s v:d", lambda s, d: C.long_features(design(s, d), FS).groupBy("feature").agg(S.slope_t("x", "y").alias("v")), f"WITH {LONG}\nFINALLY SELECT feature, {TSTAT} AS v FROM l GROUP BY feature", D)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import windows as W
+from tidemark.functions.expanding import at_least, at_most, expanding_counts
 from tidemark.functions.rolling import rolling_spearman
 from tidemark.functions.stats import exact_quantiles
 from tidemark.plans.registry import query
@@ -83,34 +84,15 @@ def _feature_sql(k):
 query("w13_bar_features", "ticker:s ts:t " + " ".join(f"{n}_{k}:d" for k in (5, 10, 20, 50) for n in "ret ma std max min pos mom vol".split()), lambda s, d: feature_set(bars(s, d)), "SELECT ticker, ts, " + ", ".join(map(_feature_sql, (5, 10, 20, 50))) + " FROM bars", ("bars",))
 
 
-def volatility_regime(df, key="ticker", c="close", k=24, parts=3):
-    """0, 1 or 2 by the expanding 1/parts and (parts-1)/parts quantiles of the rolling deviation.
+def volatility_regime(df, key="ticker", c="close", k=24, parts=3, block=None):
+    """0, 1 or 2 by the expanding 1/parts and (parts-1)/parts quantiles of the rolling deviation; 1 where that is missing.
 
-    The quantiles keep a sorted list for each series (one insertion a bar), not one sort a bar.
+    Where a value stands against the quantiles follows from counts of earlier values, which are taken in blocks.
     """
-    import bisect
-
-    import pandas as pd
-
-    w = W.series_order(key, by=("ts",))
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, seen, out = pdf.sort_values("ts"), [], []
-        for x in pdf["vol"]:
-            if pd.isna(x):
-                out.append(1)
-                continue
-            bisect.insort(seen, x)
-
-            def q(p):
-                i = p * (len(seen) - 1)
-                j = int(i)
-                return seen[j] + (i - j) * (seen[min(j + 1, len(seen) - 1)] - seen[j])
-
-            out.append(2 if x >= q((parts - 1) / parts) else 0 if x <= q(1 / parts) else 1)
-        return pdf.assign(v=out)[[key, "ts", "v"]]
-
-    return df.select(key, "ts", W.rolling_std(c, w, k).alias("vol")).groupBy(key).applyInPandas(label, f"{key} string, ts timestamp_ntz, v int")
+    vol = df.select(key, "ts", W.rolling_std(c, W.series_order(key, by=("ts",)), k).alias("vol"))
+    counted = expanding_counts(vol, key, "ts", "vol", block)
+    label = F.when(at_least((parts - 1) / parts), 2).when(at_most(1 / parts), 0).otherwise(1)
+    return vol.select(key, "ts").join(counted.select(key, "ts", label.alias("v")), [key, "ts"], "left").na.fill(1, ["v"])
 
 
 E = f"({BAR} ROWS UNBOUNDED PRECEDING)"
@@ -217,7 +199,9 @@ on_ticks("w42_nth_value", lambda: F.nth_value("x", 3).over(tick()), f"nth_value(
 
 
 def quantile_bucket(df, c: str, parts: int, *keys: str, out: str = "v"):
-    """1..parts by interpolated quantile edges, right-closed; duplicate edges fall together, as do their buckets."""
+    """1..parts by interpolated quantile edges, right-closed; duplicate edges fall together, as do their buckets.
+
+    Groups by keys are many and small, such as dates."""
     ps = [i / parts for i in range(1, parts)]
     if keys:
         joined = df.join(df.groupBy(*keys).agg(F.expr(f"array_distinct(percentile({c}, array({', '.join(map(repr, ps))})))").alias("edges")), list(keys))
