@@ -322,3 +322,64 @@ def average_ranks(df: DataFrame, c: str, keys: list[str], out: str) -> DataFrame
             yield ranks(held[0])
 
     return laid.mapInArrow(run, StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], f"`{out}` double").schema.fields]))
+
+
+def _last_known(keys: list[str], c: str):
+    def run(batches):
+        part, first, key, value, single = None, None, None, None, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            by = [b.column(k) for k in keys]
+            at = int(starts(by, b.num_rows)[-1])
+            head, tail = (tuple(x[i].as_py() for x in by) for i in (0, at))
+            if part is None:
+                part, first = b.column(PART)[0].as_py(), head
+            if tail != key and key is not None or at:
+                single, value = False, None
+            key, known = tail, b.column(c).slice(at).drop_null()
+            value = known[len(known) - 1].as_py() if len(known) else value
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps((first, key, single, value))], pa.binary())], names=["part", "told"])
+
+    return run
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], c: str, out: str) -> DataFrame:
+    """Adds the last value of c that is not null, up to this row, within the keys; a key with much of the table is many tasks.
+
+    Each partition tells the last value of its last key, which the driver carries on to the next ones; whole batches are
+    filled at once, whatever the number of keys.
+    """
+    laid = laid_out(df, keys, order)
+    state, key, known = None, None, {}
+    for r in sorted(laid.mapInArrow(_last_known(keys, c), "part long, told binary").collect()):  # one row a partition
+        first, last, single, value = pickle.loads(r.told)
+        come = state if first == key else None
+        known[r.part] = come
+        state, key = (come if value is None and single else value), last
+    shared, keep = df.sparkSession.sparkContext.broadcast(known), df.columns
+
+    def run(batches):
+        key, value, part = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            by, n = [b.column(k) for k in keys], b.num_rows
+            at = starts(by, n)
+            head = tuple(x[0].as_py() for x in by)
+            if part is None:
+                part, key = b.column(PART)[0].as_py(), head
+                value = shared.value[part]
+            value = value if head == key else None
+            place = np.arange(n)
+            source = np.maximum.accumulate(np.where(b.column(c).is_valid().to_numpy(zero_copy_only=False), place, -1))
+            run_start = np.repeat(at, np.diff(at, append=n))
+            before = (source < run_start) & (run_start == 0)  # of the first key, before its first value here
+            index = np.where(source >= run_start, source, np.where(before, n, -1))
+            pool = pa.concat_arrays([b.column(c), pa.array([value], b.column(c).type)])
+            filled = pool.take(pa.array(index, mask=index < 0))
+            key, value = tuple(x[int(at[-1])].as_py() for x in by), filled[n - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keep), filled], names=[*keep, out])
+
+    return laid.mapInArrow(run, StructType([*df.schema.fields, df.withColumnRenamed(c, out).schema[out]]))

@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from tidemark.functions.scan import carried
 
 
 def asof(left: DataFrame, right: DataFrame, value: str, keys: list[str], ts: str = "ts") -> DataFrame:
     """Each left row with the last right value at or before its time.
 
-    Both sides are put on one time line and the value is carried forward, one shuffle on the keys. A key that holds
-    much of the table would make one long series; keys should then include a calendar part with its opening value.
+    Both sides are put on one time line, laid out by range of keys and time, and the value is carried forward over the
+    partitions: a key that holds much of the table is many tasks. Of right rows of one time the greatest value counts.
     """
     both = left.select(*keys, ts, F.lit(1).alias("_l"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     both = both.unionByName(right.select(*keys, ts, F.lit(0).alias("_l"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v")))
-    w = Window.partitionBy(*keys).orderBy(ts, "_l").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_l = 1").select("_row.*", value)
+    return carried(both, keys, [ts, "_l", "_v"], "_v", value).where("_l = 1").select("_row.*", value)
+
+
+#: Blocks into which names are dealt; a row goes to one tile with each of them.
+BLOCKS = 16
 
 
-def unordered_pairs(names: DataFrame, name: str = "name") -> DataFrame:
-    """(a, b) with a < b of a table of names; for entity lists, never for rows."""
-    return names.select(F.col(name).alias("a")).join(F.broadcast(names.select(F.col(name).alias("b"))), F.col("a") < F.col("b"))
+def _tiles(df: DataFrame, name: str, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as either side of the tiles (_i <= _j) of the triangle of blocks that they belong to."""
+    d = df.withColumn("_b", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int"))
+    left = d.select("*", F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))).alias("_j")).drop("_b")
+    right = d.select("*", F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j")).drop("_b")
+    return left, right
 
 
-def aligned_pairs(df: DataFrame, pairs: DataFrame, value: str, name: str = "name", ts: str = "ts") -> DataFrame:
-    """(a, b, ts, x, y): the values of both names of a pair at the same time, by two equi-joins."""
-    x = df.select(F.col(name).alias("a"), ts, F.col(value).alias("x"))
-    y = df.select(F.col(name).alias("b"), ts, F.col(value).alias("y"))
-    return x.join(F.broadcast(pairs), "a").join(y, ["b", ts]).select("a", "b", ts, "x", "y")
+def unordered_pairs(names: DataFrame, name: str = "name", within: list[str] = (), blocks: int = BLOCKS) -> DataFrame:
+    """(within, a, b) with a < b of a table of names; for entity lists, never for rows.
+
+    Names meet tile by tile of a triangle of blocks, by an equi-join on the tile: no side is broadcast, and a task has
+    the names of two blocks.
+    """
+    left, right = _tiles(names.select(*within, F.col(name).alias("a")), "a", blocks)
+    met = left.join(right.withColumnRenamed("a", "_a"), [*within, "_i", "_j"]).where((F.col("_i") < F.col("_j")) & (F.col("a") != F.col("_a")) | (F.col("a") < F.col("_a")))
+    return met.select(*within, F.least("a", "_a").alias("a"), F.greatest("a", "_a").alias("b"))
+
+
+def value_pairs(df: DataFrame, value: str, name: str = "name", ts: str = "ts", within: list[str] = (), blocks: int = BLOCKS) -> DataFrame:
+    """(within, a, b, ts, x, y): the values of all two names at the same time, a < b.
+
+    A row goes to ``blocks`` + 1 tiles, whatever the number of names, and meets the others of its tile and time by one
+    equi-join; no list of pairs is made.
+    """
+    left, right = _tiles(df.select(*within, F.col(name).alias("a"), ts, F.col(value).alias("x")), "a", blocks)
+    met = left.join(right.withColumnRenamed("a", "b").withColumnRenamed("x", "y"), [*within, "_i", "_j", ts])
+    met = met.where((F.col("_i") < F.col("_j")) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
+    turned = F.col("a") > F.col("b")
+    return met.select(*within, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ts, F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
 
 
 def lag_pairs(df: DataFrame, most: int, keys: list[str], place: str = "place") -> DataFrame:

@@ -29,7 +29,7 @@ PAIRS = f"{RET}, p AS (SELECT a.name AS a, b.name AS b, a.ts, a.r AS x, b.r AS y
 
 def pairs(s, d):
     r = returns(s, d)
-    p = J.aligned_pairs(r, J.unordered_pairs(r.select("name").distinct()), "r")
+    p = J.value_pairs(r, "r")
     return p.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("ts")))
 
 

@@ -16,8 +16,7 @@ def monthly_pairs(s, d):
     """a, b, ts, x, y: monthly totals of the nations of a region."""
     m = nation_months(s, d)
     n = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name"), "n_regionkey")
-    inside = n.select(F.col("name").alias("a"), "n_regionkey").join(F.broadcast(n.select(F.col("name").alias("b"), "n_regionkey")), "n_regionkey").where("a < b").select("a", "b")
-    return J.aligned_pairs(m.withColumn("v", F.col("v") / 1000), inside, "v")
+    return J.value_pairs(m.withColumn("v", F.col("v") / 1000).join(n, "name"), "v", within=["n_regionkey"])
 
 
 PAIRS = "p AS (SELECT x.name AS a, y.name AS b, x.ts, x.v / 1000 AS x, y.v / 1000 AS y FROM nation_months x JOIN nation_months y ON x.ts = y.ts AND x.name < y.name JOIN nation m ON m.n_name = x.name JOIN nation n ON n.n_name = y.name AND m.n_regionkey = n.n_regionkey)"
