@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import windows as W
+from tidemark.functions.scan import numbered
 
 # MacKinnon (2010) response surfaces of critical values for tests with a constant, at 1, 5 and 10 %,
 # as b0 + b1/T + b2/T^2 + b3/T^3, for one and for two variables.
@@ -85,6 +86,103 @@ def engle_granger(y: np.ndarray, x: np.ndarray, most: int | None = None) -> tupl
     return stat, p_value(stat, 2)
 
 
+#: Rows of a block of a series or pair whose moments are taken in one task.
+BLOCK = 1 << 14
+
+
+def lagged_moments(df: DataFrame, keys: list[str], values: list[str], ts: str = "ts", most: int | None = None, constant: bool = True, block: int | None = None) -> DataFrame:
+    """One row a block of each group: n, most, and sums over its rows from which a test with any number of lags can be solved.
+
+    ``moments`` are the cross products of [changes, values before, 1, changes one to ``most`` rows earlier], values less
+    their means; ``levels`` those of [values, 1]; ``head`` the first values, in block 0. A block comes with the rows around
+    it that its lags need, so no series or pair is gathered.
+    """
+    block = block or BLOCK
+    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), *[F.avg(v).alias(f"_mean{i}") for i, v in enumerate(values)])
+    free = F.floor(F.col("_size") / 2) - 1 - int(constant)
+    wanted = F.ceil(12 * F.pow(F.col("_size") / 100, 0.25)) if most is None else F.lit(most)
+    size = size.withColumn("_most", F.greatest(F.least(wanted, free), F.lit(0)).cast("int"))
+    placed = numbered(df.select(*keys, ts, *values), keys, [ts]).join(size, keys)
+    block_of = lambda n: F.greatest(F.floor(n / F.greatest(F.lit(block), 2 * F.col("_most") + 2)), F.lit(0))
+    d = placed.withColumn("_block", F.explode(F.sequence(block_of(F.col("_n") - 1), F.least(block_of(F.col("_n") + F.col("_most")), block_of(F.col("_size") - 1)))))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n")
+        head = pdf.iloc[0]
+        k, n, number = int(head["_most"]), int(head["_size"]), int(head["_block"])
+        width, v = max(block, 2 * k + 2), len(values)
+        y = pdf[values].to_numpy(float) - np.array([head[f"_mean{i}"] for i in range(v)])
+        first = int(head["_n"])
+        change = np.diff(y, axis=0)
+        mine = (pdf["_n"].to_numpy() // width == number)
+        level = np.hstack([y[mine], np.ones((int(mine.sum()), 1))])
+        rows = np.arange(max(number * width, k), min((number + 1) * width, n - 1)) - first
+        u = np.hstack([change[rows], y[rows], np.ones((len(rows), 1)), *[change[rows - j] for j in range(1, k + 1)]])
+        out = {c: [head[c]] for c in keys} | {"n": [n], "most": [k], "moments": [(u.T @ u).ravel()], "levels": [(level.T @ level).ravel()], "head": [y[: k + 2].ravel() if number == 0 else np.zeros(0)]}
+        return pd.DataFrame(out)
+
+    kinds = ", ".join([*(f"`{c}` {dict(df.dtypes)[c]}" for c in keys), "n long, most int, moments array<double>, levels array<double>, head array<double>"])
+    return d.groupBy(*keys, "_block").applyInPandas(one, kinds)
+
+
+class Moments:
+    """The sums of all blocks of a group, of v values."""
+
+    def __init__(self, pdf: pd.DataFrame, v: int):
+        self.v, self.n, self.most = v, int(pdf["n"].iloc[0]), int(pdf["most"].iloc[0])
+        self.all = np.sum(np.stack(pdf["moments"].to_list()), axis=0).reshape(-1, 2 * v + 1 + v * self.most)
+        self.levels = np.sum(np.stack(pdf["levels"].to_list()), axis=0).reshape(v + 1, v + 1)
+        self.head = max(pdf["head"], key=len).reshape(-1, v)
+
+    def adf(self, weights: np.ndarray, shift: float, constant: bool) -> tuple[float, int, int]:
+        """adf() of the combination of the values with these weights, less a shift."""
+        v, k = self.v, self.most
+        t = np.zeros((3 + k, self.all.shape[1]))  # change, value before, 1, earlier changes
+        t[0, :v], t[1, v : 2 * v], t[1, 2 * v], t[2, 2 * v] = weights, weights, -shift, 1
+        for j in range(k):
+            t[3 + j, 2 * v + 1 + j * v : 2 * v + 1 + (j + 1) * v] = weights
+        m = t @ self.all @ t.T
+        e = self.head @ weights - shift
+        change = np.diff(e)
+
+        def fit(m, lags):
+            at = [1, *range(3, 3 + lags), *([2] if constant else [])]
+            x, y = m[np.ix_(at, at)], m[at, 0]
+            scale = np.sqrt(np.maximum(np.diag(x), 1e-300))
+            inverse = np.linalg.pinv(x / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)
+            beta = inverse @ y
+            return beta[0], max(m[0, 0] - beta @ y, 0.0), inverse[0, 0], len(at)
+
+        best, rows = None, self.n - 1 - k
+        for lags in range(k + 1):
+            _, left, _, p = fit(m, lags)
+            if rows <= p:
+                break
+            aic = rows * (math.log(2 * math.pi * max(left, 1e-300) / rows) + 1) + 2 * p
+            if best is None or aic < best[0]:
+                best = aic, lags
+        lags = best[1] if best else 0
+        more = np.zeros_like(m)
+        for r in range(lags, min(k, len(change))):  # rows that only fewer lags leave
+            u = np.zeros(len(m))
+            u[:3], u[3 : 3 + lags] = (change[r], e[r], 1), [change[r - j] for j in range(1, lags + 1)]
+            more += np.outer(u, u)
+        beta, left, spread, p = fit(m + more, lags)
+        rows = self.n - 1 - lags
+        error = math.sqrt(max(spread * left / max(1, rows - p), 0))
+        return float(beta / error) if error > 0 else float("-inf"), lags, rows
+
+    def engle_granger(self) -> tuple[float, float]:
+        """Of the first value with the second."""
+        s = self.levels
+        slope, shift = np.linalg.lstsq(s[1:, 1:], s[1:, 0], rcond=None)[0]
+        left = s[0, 0] - np.array([slope, shift]) @ s[1:, 0]
+        if left / max(1e-300, s[0, 0] - s[0, 2] ** 2 / self.n) < 1e-12:
+            return float("-inf"), 0.0
+        stat, *_ = self.adf(np.array([1.0, -slope]), shift, False)
+        return stat, p_value(stat, 2)
+
+
 def johansen(x: np.ndarray, lags: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Eigenvalues, eigenvectors, trace statistics and rank at 95 % of a constant model, by reduced-rank regression."""
     x = np.asarray(x, float)
@@ -104,24 +202,25 @@ def johansen(x: np.ndarray, lags: int = 1) -> tuple[np.ndarray, np.ndarray, np.n
     return values, (root @ vectors)[:, order], trace, rank
 
 
-def adf_table(df: DataFrame, key: str, c: str, ts: str = "ts") -> DataFrame:
+def adf_table(df: DataFrame, key: str, c: str, ts: str = "ts", block: int | None = None) -> DataFrame:
+    """key, stat, p, lags and critical values of each series, from lagged moments of its blocks."""
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(ts)[c].to_numpy()
-        stat, k, n = adf(y)
+        stat, k, n = Moments(pdf, 1).adf(np.ones(1), 0.0, True)
         return pd.DataFrame([(pdf[key].iloc[0], stat, p_value(stat), k, *critical_values(n))], columns=[key, "stat", "p", "lags", "c1", "c5", "c10"])
 
-    return df.select(key, ts, c).groupBy(key).applyInPandas(one, f"{key} string, stat double, p double, lags long, c1 double, c5 double, c10 double")
+    blocks = lagged_moments(df, [key], [c], ts, block=block)  # one row a block
+    return blocks.groupBy(key).applyInPandas(one, f"{key} string, stat double, p double, lags long, c1 double, c5 double, c10 double")
 
 
-def cointegration_scan(pairs: DataFrame, most: int | None = None) -> DataFrame:
-    """(a, b, stat, p) for pairs(a, b, ts, x, y): one task a pair."""
+def cointegration_scan(pairs: DataFrame, most: int | None = None, block: int | None = None) -> DataFrame:
+    """(a, b, stat, p) for pairs(a, b, ts, x, y), from lagged cross moments of the blocks of each pair."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        stat, p = engle_granger(pdf["x"].to_numpy(), pdf["y"].to_numpy(), most)
-        return pd.DataFrame([(pdf["a"].iloc[0], pdf["b"].iloc[0], stat, p)], columns=["a", "b", "stat", "p"])
+        return pd.DataFrame([(pdf["a"].iloc[0], pdf["b"].iloc[0], *Moments(pdf, 2).engle_granger())], columns=["a", "b", "stat", "p"])
 
-    return pairs.select("a", "b", "ts", "x", "y").groupBy("a", "b").applyInPandas(one, "a string, b string, stat double, p double")
+    blocks = lagged_moments(pairs, ["a", "b"], ["x", "y"], most=most, constant=False, block=block)
+    return blocks.groupBy("a", "b").applyInPandas(one, "a string, b string, stat double, p double")
 
 
 def johansen_scan(pairs: DataFrame) -> DataFrame:

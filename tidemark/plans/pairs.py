@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from tidemark.functions import windows as W
 from tidemark.operators import joins as J, pairs as K
 from tidemark.plans.registry import query
+from tidemark.plans.unit_roots import cointegration_sql, unit_root_sql
 from tidemark.plans.views import bars, nation_months
 
 N, B = ("nation_months",), ("bars",)
@@ -40,9 +41,9 @@ def johansen_table(s, d):
     return K.johansen_scan(monthly_pairs(s, d))
 
 
-query("k01_adf", "name:s stat:d p:d lags:l c1:d c5:d c10:d", lambda s, d: K.adf_table(nation_months(s, d), "name", "v"))
-query("k02_engle_granger", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d), 1))
-query("k03_cointegration_scan", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d)).where("p < 0.05"))
+query("k01_adf", "name:s stat:d p:d lags:l c1:d c5:d c10:d", lambda s, d: K.adf_table(nation_months(s, d), "name", "v"), unit_root_sql(), N)
+query("k02_engle_granger", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d), 1), cointegration_sql(PAIRS, 1), N)
+query("k03_cointegration_scan", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d)).where("p < 0.05"), cointegration_sql(PAIRS, None, "p < 0.05"), N)
 query("k04_johansen", "a:s b:s eigenvalue:d trace0:d trace1:d rank:l weight:d", johansen_table)
 query("k05_spread_zscore", "pair:s ts:t spread:d z:d", z_scores, f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p)\nFINALLY SELECT pair, ts, spread, (spread - avg(spread) OVER ()) / stddev_samp(spread) OVER () AS z FROM s", B)
 query("k06_reversion_positions", "pair:s ts:t z:d position:l", lambda s, d: K.reversion_positions(z_scores(s, d)),
