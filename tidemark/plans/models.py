@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import windows as W
 from tidemark.operators import models as M
 from tidemark.plans.registry import query
+from tidemark.plans.unit_roots import eliminated
 from tidemark.plans.views import bars, design
 
 FS = [f"f{i}" for i in range(1, 6)]
@@ -19,9 +20,46 @@ def day():
 
 BAR = "PARTITION BY ticker ORDER BY ts"
 query("m01_ols_single", "intercept:d slope:d", lambda s, d: (lambda m: s.createDataFrame([(float(m.intercept), float(m.coefficients[0]))], "intercept double, slope double"))(M.fit_ols(M.gram(design(s, d), ["f1"]))), "SELECT regr_intercept(y, f1) AS intercept, regr_slope(y, f1) AS slope FROM design", D)
-query("m01_ols", "feature:s coefficient:d", lambda s, d: M.fit_ols(M.gram(design(s, d), FS)).table(s))
-query("m02_ridge", "feature:s coefficient:d", lambda s, d: M.fit_ridge(M.gram(design(s, d), FS), 10.0).table(s))
-query("m03_lasso", "feature:s coefficient:d", lambda s, d: M.fit_lasso(M.gram(design(s, d), FS), 0.05).table(s))
+
+
+def gram_sql(standard: bool) -> str:
+    """m(i, j, x): cross products of y (0), of 1 unless standardised, and of the features; st(j, mean, sd) and z are what they are made of."""
+    columns = ["y", *([] if standard else ["1.0::DOUBLE"]), *FS]
+    value = "CASE WHEN j = 0 THEN x - mean ELSE (x - mean) / sd END" if standard else "x"
+    return f"""long AS MATERIALIZED (SELECT id, unnest(range({len(columns)})) AS j, unnest([{", ".join(columns)}]) AS x FROM design),
+st AS (SELECT j, avg(x) AS mean, stddev_pop(x) + 1e-12 AS sd FROM long GROUP BY j), z AS MATERIALIZED (SELECT id, j, {value} AS x FROM long JOIN st USING (j)),
+m AS MATERIALIZED (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS x FROM z a JOIN z b USING (id) GROUP BY 1, 2)"""
+
+
+def solved_sql(penalty: float, standard: bool) -> str:
+    """b(j, v): the solution with a penalty on the diagonal."""
+    line = f"list_concat(list(CASE WHEN i = j THEN x + {penalty!r}::DOUBLE ELSE x END ORDER BY j) FILTER (WHERE j >= 1), list(x) FILTER (WHERE j = 0))"
+    return f"""{gram_sql(standard)}, a0 AS (SELECT 0 AS id, 0 AS lags, list(line ORDER BY i) AS a FROM (SELECT i, {line} AS line FROM m WHERE i >= 1 GROUP BY i)), {eliminated("e", "a0")},
+b AS (SELECT unnest(range(1, len(a) + 1)) AS j, unnest(list_transform(a, lambda line: line[len(a) + 1])) AS v FROM e WHERE p = len(a) + 1)"""
+
+
+NAMES = "CASE j " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(FS, 1)) + " END"
+#: From coefficients b(j, v) of standardised features to those of the features, with the intercept.
+UNSCALED = f"""w AS (SELECT b.j, v / sd AS v, mean FROM b JOIN st USING (j))
+FINALLY SELECT {NAMES} AS feature, v AS coefficient FROM w UNION ALL SELECT 'intercept', (SELECT mean FROM st WHERE j = 0) - sum(v * mean) FROM w"""
+OLS = f"WITH RECURSIVE {solved_sql(1e-8, False)}, o AS (SELECT j - 1 AS j, v FROM b)"
+
+
+def lasso_sql(alpha: float, most: int = 500, tolerance: float = 1e-4) -> str:
+    """One row a step of the cyclic descent: k counts steps, moved is the greatest change of the sweep."""
+    p = len(FS)
+    j, beta = f"(k % {p} + 1)", "d.beta"
+    rho = f"(g.v[{j}] - list_inner_product(g.c[{j}], {beta}) + g.c[{j}][{j}] * {beta}[{j}])"
+    new = f"sign({rho}) * greatest(abs({rho}) - {alpha!r}::DOUBLE * g.n, 0) / (g.c[{j}][{j}] + 1e-12)"
+    return f"""WITH RECURSIVE {gram_sql(True)}, g AS MATERIALIZED (SELECT (SELECT count(*) FROM design) AS n, (SELECT list(x ORDER BY i) FROM m WHERE j = 0 AND i > 0) AS v, (SELECT list(line ORDER BY i) FROM (SELECT i, list(x ORDER BY j) AS line FROM m WHERE i > 0 AND j > 0 GROUP BY i)) AS c),
+d AS (SELECT 0::BIGINT AS k, list_transform(range({p}), lambda x: 0.0::DOUBLE) AS beta, 0.0::DOUBLE AS moved UNION ALL
+SELECT k + 1, list_transform(beta, lambda x, i: CASE WHEN i = {j} THEN {new} ELSE x END), greatest(CASE WHEN {j} = 1 THEN 0 ELSE moved END, abs({new} - {beta}[{j}])) FROM d, g WHERE k < {most * p} AND NOT (k > 0 AND k % {p} = 0 AND moved < {tolerance!r})),
+b AS (SELECT unnest(range(1, {p + 1})) AS j, unnest(beta) AS v FROM (SELECT arg_max(beta, k) AS beta FROM d)), {UNSCALED}"""
+
+
+query("m01_ols", "feature:s coefficient:d", lambda s, d: M.fit_ols(M.gram(design(s, d), FS)).table(s), f"{OLS}\nFINALLY SELECT coalesce({NAMES}, 'intercept') AS feature, v AS coefficient FROM o", D)
+query("m02_ridge", "feature:s coefficient:d", lambda s, d: M.fit_ridge(M.gram(design(s, d), FS), 10.0).table(s), f"WITH RECURSIVE {solved_sql(10.0, True)}, {UNSCALED}", D)
+query("m03_lasso", "feature:s coefficient:d", lambda s, d: M.fit_lasso(M.gram(design(s, d), FS), 0.05).table(s), lasso_sql(0.05), D)
 query("m04_rolling_ols", "ticker:s ts:t prediction:d", lambda s, d: M.rolling_ols(bars(s, d), ["volume"], "close", 60, ["ticker"]), f"WITH w AS (SELECT ticker, ts, volume, count(*) OVER q AS n, sum(volume) OVER q AS sx, sum(close) OVER q AS sy, sum(volume * volume) OVER q + 1e-6 AS sxx, sum(volume * close) OVER q AS sxy FROM bars WINDOW q AS ({BAR} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))\nFINALLY SELECT ticker, ts, ((sxx * sy - sx * sxy) + volume * ((n + 1e-6) * sxy - sx * sy)) / ((n + 1e-6) * sxx - sx * sx) AS prediction FROM w WHERE n >= 60", ("bars",))
 LONG = "l AS (SELECT id, y, unnest(['f1', 'f2', 'f3', 'f4', 'f5']) AS feature, unnest([f1, f2, f3, f4, f5]) AS x FROM design)"
 RX = "rank() OVER (PARTITION BY feature ORDER BY {c}) + (count(*) OVER (PARTITION BY feature, {c}) - 1) / 2.0"
@@ -49,7 +87,9 @@ w AS (SELECT m, k, v, v / sum(abs(v)) OVER () AS w FROM best), mix AS (SELECT id
 one AS (SELECT id, CASE WHEN v >= 0 THEN x ELSE -x END AS p FROM l JOIN best USING (m) WHERE k = 1)
 FINALLY SELECT mix.id, CASE WHEN used THEN mix.p ELSE one.p END AS prediction FROM mix JOIN one USING (id), ok""", D,
 )
-query("m10_formula", "formula:s", lambda s, d: s.createDataFrame([(M.fit_ols(M.gram(design(s, d), FS)).formula(),)], "formula string"))
+query("m10_formula", "formula:s", lambda s, d: s.createDataFrame([(M.fit_ols(M.gram(design(s, d), FS)).formula(),)], "formula string"),
+      f"""{OLS}
+FINALLY SELECT 'y = ' || max(printf('%.6f', v)) FILTER (WHERE j = 0) || coalesce(string_agg(CASE WHEN v >= 0 THEN ' + ' ELSE ' - ' END || printf('%.6f', abs(v)) || '*' || {NAMES}, '' ORDER BY j) FILTER (WHERE j > 0 AND v <> 0), '') AS formula FROM o""", D)
 query("m11_full_signal", "id:l signal:d", lambda s, d: design(s, d).select("id", (-M.Linear(FS[:2], 0.5, [2.0, -3.0]).predict()).alias("signal")), "SELECT id, -(0.5 + 2 * f1 - 3 * f2) AS signal FROM design", D)
 PAIR = "p AS (SELECT a.ts, a.close AS x, b.close AS y FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker = 'LARGE' AND b.ticker = 'SMALL')"
 
@@ -80,4 +120,5 @@ def optimal_weights(s, d):
 
 
 query("m14_max_sharpe", "ticker:s weight:d", optimal_weights)
-query("w28_rolling_betas", "ticker:s ts:t beta:d", lambda s, d: M.rolling_ols(bars(s, d), ["volume"], "close", 24, ["ticker"], betas=True).select("ticker", "ts", F.col("betas")[0].alias("beta")))
+query("w28_rolling_betas", "ticker:s ts:t beta:d", lambda s, d: M.rolling_ols(bars(s, d), ["volume"], "close", 24, ["ticker"], betas=True).select("ticker", "ts", F.col("betas")[0].alias("beta")),
+      f"WITH w AS (SELECT ticker, ts, count(*) OVER q + 1e-6 AS n, count(*) OVER q AS k, sum(volume) OVER q AS sx, sum(close) OVER q AS sy, sum(volume * volume) OVER q + 1e-6 AS sxx, sum(volume * close) OVER q AS sxy FROM bars WINDOW q AS ({BAR} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))\nFINALLY SELECT ticker, ts, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS beta FROM w WHERE k = 24", ("bars",))
