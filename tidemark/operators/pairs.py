@@ -274,7 +274,7 @@ def select_pairs(pairs: DataFrame, least: float = 0.75, top: int = 100, steepest
 
 def random_pairs(pairs: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """Control group: pairs in the order of a seeded hash; the same each run, but not that of another generator."""
-    return pairs.select("a", "b").distinct().orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b").limit(n)
+    return pairs.select("a", "b").distinct().orderBy(F.md5(F.concat_ws("|", "a", "b", F.lit(str(seed)))), "a", "b").limit(n)
 
 
 def back_window(spread: DataFrame, bars: int, key: str = "pair") -> DataFrame:
@@ -286,22 +286,23 @@ def back_window(spread: DataFrame, bars: int, key: str = "pair") -> DataFrame:
 
 def reversion_positions(z: DataFrame, entry: float = 1.0, key: str = "pair") -> DataFrame:
     """position of df(pair, ts, z): -1 above the entry, 1 below its negative, flat on a cross of the mean, else held."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, held, out = pdf.sort_values("ts"), 0, []
-        before = float("nan")
-        for v in pdf["z"]:
-            if v > entry:
-                held = -1
-            elif v < -entry:
-                held = 1
-            elif before == before and v == v and np.sign(v) != np.sign(before):
-                held = 0
-            out.append(held)
-            before = v
-        return pdf.assign(position=out)[[key, "ts", "z", "position"]]
-
-    return z.select(key, "ts", "z").groupBy(key).applyInPandas(one, f"{key} string, ts timestamp_ntz, z double, position int")
+    bar = Window.partitionBy(key).orderBy("ts")
+    before = F.lag("z").over(bar)
+    crosses = ~F.isnan("z") & ~F.isnan(before) & (F.signum("z") != F.signum(before))
+    event = F.when(F.col("z") > entry, -1).when(F.col("z") < -entry, 1).when(crosses, 0)
+    d = z.select(key, "ts", "z", event.alias("_event"))
+    held = F.last("_event", ignorenulls=True).over(bar.rowsBetween(Window.unboundedPreceding, 0))
+    return d.select(key, "ts", "z", F.coalesce(held, F.lit(0)).alias("position"))
+
+
+def spread_returns(positions: DataFrame, spread: str = "spread", key: str = "pair") -> DataFrame:
+    """(pair, ts, pnl, total, compound) of df(pair, ts, spread, position): the position of the bar before times the change
+    of the spread (0 at first), its running sum, and the running product of one more than it, less one."""
+    bar = Window.partitionBy(key).orderBy("ts")
+    pnl = F.lag("position").over(bar) * F.coalesce(F.col(spread) - F.lag(spread).over(bar), F.lit(0.0))
+    d = positions.select(key, "ts", pnl.alias("pnl"))
+    so_far = W.running(bar)
+    return d.select(key, "ts", "pnl", F.sum("pnl").over(so_far).alias("total"), (F.product(1 + F.col("pnl")).over(so_far) - 1).alias("compound"))
 
 
 INITIAL, MAINTENANCE = 1.5, 1.25

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators import models as M
+from tidemark.operators.joins import value_pairs
 from tidemark.plans.registry import query
 from tidemark.plans.unit_roots import eliminated
 from tidemark.plans.views import bars, design
@@ -91,23 +92,30 @@ query("m10_formula", "formula:s", lambda s, d: s.createDataFrame([(M.fit_ols(M.g
       f"""{OLS}
 FINALLY SELECT 'y = ' || max(printf('%.6f', v)) FILTER (WHERE j = 0) || coalesce(string_agg(CASE WHEN v >= 0 THEN ' + ' ELSE ' - ' END || printf('%.6f', abs(v)) || '*' || {NAMES}, '' ORDER BY j) FILTER (WHERE j > 0 AND v <> 0), '') AS formula FROM o""", D)
 query("m11_full_signal", "id:l signal:d", lambda s, d: design(s, d).select("id", (-M.Linear(FS[:2], 0.5, [2.0, -3.0]).predict()).alias("signal")), "SELECT id, -(0.5 + 2 * f1 - 3 * f2) AS signal FROM design", D)
-PAIR = "p AS (SELECT a.ts, a.close AS x, b.close AS y FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker = 'LARGE' AND b.ticker = 'SMALL')"
+PAIR = "p AS (SELECT a.ticker || ':' || b.ticker AS pair, a.ts, a.close AS x, b.close AS y FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker < b.ticker)"
 
 
-def pair(s, d, a="LARGE", b="SMALL"):
-    t = bars(s, d)
-    return t.where(F.col("ticker") == a).select("ts", F.col("close").alias("x")).join(t.where(F.col("ticker") == b).select("ts", F.col("close").alias("y")), "ts")
+def pairs(s, d):
+    """pair, ts, x, y: daily closes of every two tickers."""
+    return value_pairs(bars(s, d), "close", "ticker").select(F.concat_ws(":", "a", "b").alias("pair"), "ts", "x", "y")
 
 
 def both_ways(df):
-    """The regression of either side on the other; the one with the larger slope, rounded to two places."""
-    r = df.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.regr_slope("x", "y").alias("c"), F.regr_intercept("x", "y").alias("d"))
+    """The regression of either side of a pair on the other; the one with the larger slope, rounded to two places."""
+    r = df.groupBy("pair").agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.regr_slope("x", "y").alias("c"), F.regr_intercept("x", "y").alias("d"))
     first = F.col("a") >= F.col("c")
-    return r.select(F.when(first, "y on x").otherwise("x on y").alias("way"), F.round(F.when(first, F.col("a")).otherwise(F.col("c")), 2).alias("slope"), F.round(F.when(first, F.col("b")).otherwise(F.col("d")), 2).alias("intercept"))
+    return r.select("pair", F.when(first, "y on x").otherwise("x on y").alias("way"), F.round(F.when(first, F.col("a")).otherwise(F.col("c")), 2).alias("slope"), F.round(F.when(first, F.col("b")).otherwise(F.col("d")), 2).alias("intercept"))
 
 
-query("m12_pair_regression", "way:s slope:d intercept:d", lambda s, d: both_ways(pair(s, d)), f"WITH {PAIR}, r AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_slope(x, y) AS c, regr_intercept(x, y) AS d FROM p)\nFINALLY SELECT CASE WHEN a >= c THEN 'y on x' ELSE 'x on y' END AS way, round(CASE WHEN a >= c THEN a ELSE c END, 2) AS slope, round(CASE WHEN a >= c THEN b ELSE d END, 2) AS intercept FROM r", ("bars",))
-query("m13_residual_spread", "ts:t v:d", lambda s, d: (lambda p: p.join(F.broadcast(p.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a")))).select("ts", (F.col("y") - F.col("a") - F.col("b") * F.col("x")).alias("v")))(pair(s, d)), f"WITH {PAIR}\nFINALLY SELECT ts, y - (SELECT regr_intercept(y, x) FROM p) - (SELECT regr_slope(y, x) FROM p) * x AS v FROM p", ("bars",))
+def residuals(df):
+    line = df.groupBy("pair").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    return df.join(line, "pair").select("pair", "ts", (F.col("y") - F.col("a") - F.col("b") * F.col("x")).alias("v"))
+
+
+query("m12_pair_regression", "pair:s way:s slope:d intercept:d", lambda s, d: both_ways(pairs(s, d)),
+      f"""WITH {PAIR}, r AS (SELECT pair, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_slope(x, y) AS c, regr_intercept(x, y) AS d FROM p GROUP BY pair)
+FINALLY SELECT pair, CASE WHEN a >= c THEN 'y on x' ELSE 'x on y' END AS way, round(CASE WHEN a >= c THEN a ELSE c END, 2) AS slope, round(CASE WHEN a >= c THEN b ELSE d END, 2) AS intercept FROM r""", ("bars",))
+query("m13_residual_spread", "pair:s ts:t v:d", lambda s, d: residuals(pairs(s, d)), f"WITH {PAIR}, r AS (SELECT pair, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p GROUP BY pair)\nFINALLY SELECT pair, ts, y - a - b * x AS v FROM p JOIN r USING (pair)", ("bars",))
 
 
 def optimal_weights(s, d):

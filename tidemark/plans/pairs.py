@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from tidemark.functions import windows as W
 from tidemark.operators import joins as J, pairs as K
 from tidemark.plans.registry import query
-from tidemark.plans.unit_roots import cointegration_sql, unit_root_sql
+from tidemark.plans.unit_roots import adf_sql, cointegration_sql, critical_sql, unit_root_sql
 from tidemark.plans.views import bars, nation_months
 
 N, B = ("nation_months",), ("bars",)
@@ -23,16 +23,17 @@ def monthly_pairs(s, d):
 PAIRS = "p AS (SELECT x.name AS a, y.name AS b, x.ts, x.v / 1000 AS x, y.v / 1000 AS y FROM nation_months x JOIN nation_months y ON x.ts = y.ts AND x.name < y.name JOIN nation m ON m.n_name = x.name JOIN nation n ON n.n_name = y.name AND m.n_regionkey = n.n_regionkey)"
 
 
-def daily_pair(s, d):
-    t = bars(s, d)
-    return t.where("ticker = 'LARGE'").select("ts", F.col("close").alias("x")).join(t.where("ticker = 'SMALL'").select("ts", F.col("close").alias("y")), "ts").withColumn("pair", F.lit("LARGE:SMALL"))
+def daily_pairs(s, d):
+    """pair, ts, x, y: daily closes of every two tickers."""
+    return J.value_pairs(bars(s, d), "close", "ticker").select(F.concat_ws(":", "a", "b").alias("pair"), "ts", "x", "y")
 
 
-DAILY = "p AS (SELECT a.ts, a.close AS x, b.close AS y, 'LARGE:SMALL' AS pair FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker = 'LARGE' AND b.ticker = 'SMALL')"
+DAILY = "p AS (SELECT a.ts, a.close AS x, b.close AS y, a.ticker || ':' || b.ticker AS pair FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker < b.ticker)"
+PAIR = "PARTITION BY pair"
 
 
 def z_scores(s, d):
-    p = daily_pair(s, d).select("pair", "ts", (F.col("x") - 0.5 * F.col("y")).alias("spread"))
+    p = daily_pairs(s, d).select("pair", "ts", (F.col("x") - 0.5 * F.col("y")).alias("spread"))
     m = p.groupBy("pair").agg(F.avg("spread").alias("m"), F.stddev_samp("spread").alias("sd"))
     return p.join(F.broadcast(m), "pair").select("pair", "ts", "spread", ((F.col("spread") - F.col("m")) / F.col("sd")).alias("z"))
 
@@ -45,40 +46,67 @@ query("k01_adf", "name:s stat:d p:d lags:l c1:d c5:d c10:d", lambda s, d: K.adf_
 query("k02_engle_granger", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d), 1), cointegration_sql(PAIRS, 1), N)
 query("k03_cointegration_scan", "a:s b:s stat:d p:d", lambda s, d: K.cointegration_scan(monthly_pairs(s, d)).where("p < 0.05"), cointegration_sql(PAIRS, None, "p < 0.05"), N)
 query("k04_johansen", "a:s b:s eigenvalue:d trace0:d trace1:d rank:l weight:d", johansen_table)
-query("k05_spread_zscore", "pair:s ts:t spread:d z:d", z_scores, f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p)\nFINALLY SELECT pair, ts, spread, (spread - avg(spread) OVER ()) / stddev_samp(spread) OVER () AS z FROM s", B)
-query("k06_reversion_positions", "pair:s ts:t z:d position:l", lambda s, d: K.reversion_positions(z_scores(s, d)),
-      f"""WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p), z AS (SELECT pair, ts, (spread - avg(spread) OVER ()) / stddev_samp(spread) OVER () AS z FROM s),
-e AS (SELECT *, CASE WHEN z > 1 THEN -1 WHEN z < -1 THEN 1 WHEN sign(z) <> sign(lag(z) OVER (ORDER BY ts)) THEN 0 END AS event FROM z)
-FINALLY SELECT pair, ts, z, coalesce(last_value(event IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS position FROM e""", B)
+Z = f"{DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p), z AS (SELECT pair, ts, spread, (spread - avg(spread) OVER ({PAIR})) / stddev_samp(spread) OVER ({PAIR}) AS z FROM s)"
+HELD = f"""{Z}, e AS (SELECT *, CASE WHEN z > 1 THEN -1 WHEN z < -1 THEN 1 WHEN sign(z) <> sign(lag(z) OVER ({PAIR} ORDER BY ts)) THEN 0 END AS event FROM z),
+h AS (SELECT pair, ts, spread, z, coalesce(last_value(event IGNORE NULLS) OVER ({PAIR} ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS position FROM e)"""
+query("k05_spread_zscore", "pair:s ts:t spread:d z:d", z_scores, f"WITH {Z}\nFINALLY SELECT * FROM z", B)
+query("k06_reversion_positions", "pair:s ts:t z:d position:l", lambda s, d: K.reversion_positions(z_scores(s, d)), f"WITH {HELD}\nFINALLY SELECT pair, ts, z, position FROM h", B)
 
 
 def pw():
     return Window.partitionBy("pair").orderBy("ts")
 
 
-query("k07_spread_pnl", "pair:s ts:t pnl:d total:d", lambda s, d: z_scores(s, d).select("pair", "ts", (F.lag(-F.signum("z")).over(pw()) * (F.col("spread") - F.lag("spread").over(pw()))).alias("pnl")).withColumn("total", F.sum("pnl").over(W.running(pw()))), f"WITH {DAILY}, s AS (SELECT pair, ts, x - 0.5 * y AS spread FROM p), z AS (SELECT *, spread - avg(spread) OVER () AS z FROM s), q AS (SELECT pair, ts, lag(-sign(z)) OVER (ORDER BY ts) * (spread - lag(spread) OVER (ORDER BY ts)) AS pnl FROM z)\nFINALLY SELECT *, sum(pnl) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM q", B)
+def spread_pnl(s, d):
+    """The spread in units of 10,000,000, so that a change is a return."""
+    z = z_scores(s, d)
+    held = K.reversion_positions(z).select("pair", "ts", "position").join(z.select("pair", "ts", (F.col("spread") / 10_000_000).alias("spread")), ["pair", "ts"])
+    return K.spread_returns(held)
+
+
+query("k07_spread_pnl", "pair:s ts:t pnl:d total:d compound:d", spread_pnl,
+      f"""WITH {HELD}, q AS (SELECT pair, ts, lag(position) OVER w * coalesce(spread / 10000000 - lag(spread / 10000000) OVER w, 0) AS pnl FROM h WINDOW w AS ({PAIR} ORDER BY ts))
+FINALLY SELECT *, sum(pnl) OVER w AS total, product(1 + pnl) OVER w - 1 AS compound FROM q WINDOW w AS ({PAIR} ORDER BY ts ROWS UNBOUNDED PRECEDING)""", B)
 query("k08_pair_correlations", "a:s b:s rho:d", lambda s, d: K.pair_correlations(monthly_pairs(s, d)), f"WITH {PAIRS}\nFINALLY SELECT a, b, coalesce(round(CASE WHEN count(*) >= 3 THEN corr(x, y) END, 2), -2) AS rho FROM p GROUP BY 1, 2", N)
-query("k09_select_pairs", "a:s b:s weight:d intercept:d deviation:d", lambda s, d: K.select_pairs(monthly_pairs(s, d), -1.0, 20, farthest=1e9))
-query("k10_random_pairs", "a:s b:s", lambda s, d: K.random_pairs(monthly_pairs(s, d), 10))
+
+
+def grown_pairs(s, d):
+    """a, b, ts, x, y: each nation's total so far over its first month's, for the nations of a region."""
+    n = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name"), "n_regionkey")
+    w = Window.partitionBy("name").orderBy("ts")
+    grown = nation_months(s, d).select("name", "ts", (F.sum("v").over(W.running(w)) / F.first("v").over(w)).alias("v"))
+    return J.value_pairs(grown.join(n, "name"), "v", within=["n_regionkey"])
+
+
+GROWN = """i AS (SELECT name, ts, sum(v) OVER w / first_value(v) OVER w AS v FROM nation_months WINDOW w AS (PARTITION BY name ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT x.name AS a, y.name AS b, x.ts, x.v AS x, y.v AS y FROM i x JOIN i y ON x.ts = y.ts AND x.name < y.name JOIN nation m ON m.n_name = x.name JOIN nation n ON n.n_name = y.name AND m.n_regionkey = n.n_regionkey)"""
+SELECTED = f"""{GROWN}, g AS (SELECT a, b, coalesce(round(CASE WHEN count(*) >= 3 THEN corr(x, y) END, 2), -2) AS rho, regr_slope(x, y) AS s1, regr_intercept(x, y) AS i1, regr_slope(y, x) AS s2, regr_intercept(y, x) AS i2 FROM p GROUP BY 1, 2),
+c AS (SELECT a, b, s2 > s1 AS flip, round(CASE WHEN s2 > s1 THEN s2 ELSE s1 END, 2) AS weight, round(CASE WHEN s2 > s1 THEN i2 ELSE i1 END, 2) AS intercept FROM g WHERE rho >= 0.75),
+y AS MATERIALIZED (SELECT a || '|' || b AS id, row_number() OVER (PARTITION BY a, b ORDER BY ts) - 1 AS r, CASE WHEN flip THEN y - intercept - weight * x ELSE x - intercept - weight * y END AS v FROM p JOIN c USING (a, b) WHERE weight <= 6 AND abs(intercept) <= 100)"""
+query("k09_select_pairs", "a:s b:s weight:d intercept:d deviation:d", lambda s, d: K.select_pairs(grown_pairs(s, d)),
+      f"""WITH RECURSIVE {adf_sql(SELECTED, True)}, dev AS (SELECT id, stddev_pop(v) AS deviation FROM y GROUP BY id)
+FINALLY SELECT CASE WHEN flip THEN b ELSE a END AS a, CASE WHEN flip THEN a ELSE b END AS b, weight, intercept, deviation FROM c JOIN adf ON adf.id = c.a || '|' || c.b JOIN dev ON dev.id = adf.id
+WHERE stat < {critical_sql('n', 2)} ORDER BY deviation DESC, 1, 2 LIMIT 100""", N)
+query("k10_random_pairs", "a:s b:s", lambda s, d: K.random_pairs(monthly_pairs(s, d), 10), f"WITH {PAIRS}\nFINALLY SELECT DISTINCT a, b FROM p QUALIFY dense_rank() OVER (ORDER BY md5(a || '|' || b || '|7'), a, b) <= 10", N)
 
 
 def windowed(s, d):
     return K.back_window(z_scores(s, d).select("pair", "ts", F.floor("spread").cast("double").alias("spread")), 21)
 
 
-BW = "(ORDER BY ts ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)"
+BW = "(PARTITION BY pair ORDER BY ts ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)"
 query("k11_back_window", "pair:s ts:t spread:d mean:d sd:d", lambda s, d: windowed(s, d), f"WITH {DAILY}, s AS (SELECT pair, ts, floor(x - 0.5 * y) AS spread FROM p)\nFINALLY SELECT pair, ts, spread, CASE WHEN count(*) OVER {BW} >= 21 THEN round(avg(spread) OVER {BW}, 2) END AS mean, CASE WHEN count(*) OVER {BW} >= 21 THEN round(stddev_pop(spread) OVER {BW}, 2) END AS sd FROM s", B)
 
 
 def traded(s, d):
-    p = daily_pair(s, d).withColumn("weight", F.lit(0.5)).withColumn("spread", F.col("x") - 0.5 * F.col("y"))
+    p = daily_pairs(s, d).withColumn("weight", F.lit(0.5)).withColumn("spread", F.col("x") - 0.5 * F.col("y"))
     return K.trade_pairs(K.back_window(p, 21), 1.0, 100_000.0)
 
 
 COLS = "ts:t positive:l negative:l profit:d ret:d open:l margin:d"
 query("k12_k14_pair_trades", "pair:s " + COLS, traded)
-query("k13_margin", "ts:t margin:d", lambda s, d: traded(s, d).where("open > 0"))
-query("k15_day_rollup", COLS, lambda s, d: K.day_rollup(traded(s, d), 1))
+query("k13_margin", "pair:s ts:t margin:d", lambda s, d: traded(s, d).where("open > 0"))
+query("k15_day_rollup", COLS, lambda s, d: K.day_rollup(traded(s, d), daily_pairs(s, d).select("pair").distinct().count()))
 def liquidated(s, d):
     """The last bar of each pair, where nothing may stay open, beside what the bar before held and what closing it brought."""
     w = Window.partitionBy("pair").orderBy("ts")
@@ -96,26 +124,29 @@ def walked(s, d):
 query("k17_walk_forward", "period:l pair:s " + COLS, walked)
 def ratio_sql(short: int, windows: str) -> str:
     """The strategy bar by bar as window sums; windows is a table function of the long windows."""
-    return f"""WITH {DAILY}, r AS (SELECT *, x / y AS ratio, row_number() OVER (ORDER BY ts) AS n FROM p), e AS (SELECT *, ratio - avg(ratio) OVER () AS c FROM r),
-s AS (SELECT *, sum(c) OVER (ORDER BY n) AS s1, sum(c * c) OVER (ORDER BY n) AS s2, CASE WHEN n >= {short} THEN avg(c) OVER (ORDER BY n ROWS {short - 1} PRECEDING) END AS near FROM e),
+    bar = f"OVER ({PAIR} ORDER BY n)"
+    return f"""WITH {DAILY}, r AS (SELECT *, x / y AS ratio, row_number() OVER ({PAIR} ORDER BY ts) AS n FROM p), e AS (SELECT *, ratio - avg(ratio) OVER ({PAIR}) AS c FROM r),
+s AS (SELECT *, sum(c) {bar} AS s1, sum(c * c) {bar} AS s2, CASE WHEN n >= {short} THEN avg(c) OVER ({PAIR} ORDER BY n ROWS {short - 1} PRECEDING) END AS near FROM e),
 k(k) AS (SELECT * FROM {windows}),
-z AS (SELECT k, s.n, s.x, s.y, s.ratio, s.near, s.s1 - coalesce(q.s1, 0) AS a, s.s2 - coalesce(q.s2, 0) AS b FROM s JOIN k ON k >= 2 AND s.n >= k LEFT JOIN s q ON q.n = s.n - k),
+z AS (SELECT s.pair, k, s.n, s.x, s.y, s.ratio, s.near, s.s1 - coalesce(q.s1, 0) AS a, s.s2 - coalesce(q.s2, 0) AS b FROM s JOIN k ON k >= 2 AND s.n >= k LEFT JOIN s q ON q.pair = s.pair AND q.n = s.n - k),
 v AS (SELECT *, CASE WHEN (b - a * a / k) / (k - 1) > 1e-18 THEN (near - a / k) / sqrt((b - a * a / k) / (k - 1)) END AS z FROM z),
 t AS (SELECT *, CASE WHEN z > 1 THEN 1 WHEN z < -1 THEN -1 ELSE 0 END AS side, coalesce(abs(z) < 0.75, false) AS sale FROM v),
-h AS (SELECT *, sum(side) OVER (PARTITION BY k ORDER BY n) AS held, sum(side * ratio) OVER (PARTITION BY k ORDER BY n) AS owed FROM t),
-f AS (SELECT k, (held - lag(held, 1, 0) OVER w) * x - (owed - lag(owed, 1, 0) OVER w) * y AS money FROM h WHERE sale WINDOW w AS (PARTITION BY k ORDER BY n)),
-m AS (SELECT k, coalesce(sum(money), 0) AS money FROM k LEFT JOIN f USING (k) GROUP BY k)
+h AS (SELECT *, sum(side) OVER w AS held, sum(side * ratio) OVER w AS owed FROM t WINDOW w AS (PARTITION BY pair, k ORDER BY n)),
+f AS (SELECT pair, k, (held - lag(held, 1, 0) OVER w) * x - (owed - lag(owed, 1, 0) OVER w) * y AS money FROM h WHERE sale WINDOW w AS (PARTITION BY pair, k ORDER BY n)),
+m AS (SELECT pair, k, coalesce(sum(money), 0) AS money FROM (SELECT DISTINCT pair FROM p) CROSS JOIN k LEFT JOIN f USING (pair, k) GROUP BY pair, k)
 FINALLY """
 
 
-query("k18_ratio_strategy", "money:d", lambda s, d: K.ratio_strategy(daily_pair(s, d), 5, [60]), ratio_sql(5, "range(60, 61)") + "SELECT money FROM m", B)
-query("k19_window_search", "long:l money:d place:l", lambda s, d: K.ratio_strategy(daily_pair(s, d), 5, list(range(255))).withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("money", 6)), "long"))),
-      ratio_sql(5, "range(0, 255)") + "SELECT k AS long, money, row_number() OVER (ORDER BY round(money, 6) DESC, k) AS place FROM m", B)
+query("k18_ratio_strategy", "pair:s money:d", lambda s, d: K.ratio_strategy(daily_pairs(s, d), 5, [60]), ratio_sql(5, "range(60, 61)") + "SELECT pair, money FROM m", B)
+query("k19_window_search", "pair:s long:l money:d place:l", lambda s, d: K.ratio_strategy(daily_pairs(s, d), 5, list(range(255))).withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc(F.round("money", 2)), "long"))),
+      ratio_sql(5, "range(0, 255)") + f"SELECT pair, k AS long, money, row_number() OVER ({PAIR} ORDER BY round(money, 2) DESC, k) AS place FROM m", B)
+
+
 def portfolio_curve(s, d):
     """Balance, required margin, and the benchmark bought with the same money; with the return of the calendar year so far."""
     everything = W.running(Window.orderBy("ts"))  # one row a day
     benchmark = bars(s, d).where("ticker = 'MEDIUM'").select("ts", "close")
-    curve = K.day_rollup(traded(s, d), 1).select("ts", (100_000 + F.sum("profit").over(everything)).alias("balance"), "margin").join(benchmark, "ts", "left")
+    curve = K.day_rollup(traded(s, d), daily_pairs(s, d).select("pair").distinct().count()).select("ts", (100_000 + F.sum("profit").over(everything)).alias("balance"), "margin").join(benchmark, "ts", "left")
     curve = curve.withColumn("close", F.last("close", ignorenulls=True).over(everything))
     year = Window.partitionBy(F.year("ts")).orderBy("ts")
     first = lambda c: F.first(c, ignorenulls=True)
@@ -123,7 +154,8 @@ def portfolio_curve(s, d):
 
 
 query("k20_portfolio_curve", "ts:t balance:d margin:d benchmark:d year_return:d benchmark_year_return:d", portfolio_curve)
-query("k21_compounding", "ts:t r:d c:d", lambda s, d: daily_pair(s, d).select("pair", "ts", W.pct_change("x", pw()).alias("r")).select("ts", "r", F.sum(F.ln(1 + F.col("r"))).over(W.running(Window.orderBy("ts"))).alias("c")), f"WITH {DAILY}, r AS (SELECT ts, x / lag(x) OVER (ORDER BY ts) - 1 AS r FROM p)\nFINALLY SELECT ts, r, sum(ln(1 + r)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM r", B)
+query("k21_compounding", "pair:s ts:t r:d c:d", lambda s, d: daily_pairs(s, d).select("pair", "ts", W.pct_change("x", pw()).alias("r")).select("pair", "ts", "r", F.sum(F.ln(1 + F.col("r"))).over(W.running(pw())).alias("c")),
+      f"WITH {DAILY}, r AS (SELECT pair, ts, x / lag(x) OVER ({PAIR} ORDER BY ts) - 1 AS r FROM p)\nFINALLY SELECT pair, ts, r, sum(ln(1 + r)) OVER ({PAIR} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM r", B)
 
 
 def _filter(name: str):
