@@ -182,11 +182,13 @@ query(
 
 
 def streamed_features(s, d):
-    return drained(s, stream.running_features(on_stream(s, d).select("series", "ts", F.col("x").alias("close"))), "features")
+    return drained(s, stream.running_features(on_stream(s, d).select("series", "ts", "tie", F.col("x").alias("close"))), "features")
 
 
+FRESH = """g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 DAY THEN 1 ELSE 0 END AS fresh FROM ticks WINDOW w AS (PARTITION BY series ORDER BY ts, tie)),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY series ORDER BY ts, tie ROWS UNBOUNDED PRECEDING) AS run FROM g)"""
 query("t02_streamed_features", "series:l ts:t close:d mean:d momentum:d", streamed_features,
-      "SELECT series, ts, x AS close, avg(x) OVER (PARTITION BY series ORDER BY ts ROWS 5 PRECEDING) AS mean, x - lag(x, 5) OVER (PARTITION BY series ORDER BY ts) AS momentum FROM ticks", ("ticks",))
+      f"WITH {FRESH}\nFINALLY SELECT series, ts, x AS close, avg(x) OVER (w ROWS 5 PRECEDING) AS mean, x - lag(x, 5) OVER w AS momentum FROM run WINDOW w AS (PARTITION BY series, run ORDER BY ts, tie)", ("ticks",))
 
 
 def streamed_trades(s, d):

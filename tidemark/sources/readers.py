@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 BARS = "Timestamp timestamp_ntz, Ticker string, Close double, Volume double"
 LEDGER = "Timestamp string, Gross_Exposure double, Cash_Balance double, Interval_Turnover double, Gross_NAV double"
@@ -34,13 +34,23 @@ def team_ledgers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def read_skipping(spark: SparkSession, path: str, schema: str, head: int, tail: int = 0) -> DataFrame:
-    """A text table with lines to skip at its head and tail; one file, its lines numbered as they are read."""
-    lines = spark.read.text(path).rdd.map(lambda r: r.value).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("n long, line string")
-    last = lines.agg(F.max("n")).first()[0]
-    if last is None:
-        return spark.createDataFrame([], schema)
-    kept = lines.where((F.col("n") >= head) & (F.col("n") <= last - tail))
-    return kept.select(F.from_csv("line", schema).alias("r")).select("r.*")
+    """Text tables with lines to skip at the head and the tail of each file, in whatever splits they are read.
+
+    Lines are counted by split first, one row a split. Only in the few splits that hold a line to skip are lines
+    numbered; those of all others go straight to the parser.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")]
+    lines = spark.read.text(path).select(F.col("value").alias("line"), *place, F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("_file").orderBy("_at")
+    splits = splits.select("_file", "_at", "n", (F.sum("n").over(order) - F.col("n")).alias("before"), (F.sum("n").over(Window.partitionBy("_file")) - F.sum("n").over(order)).alias("after"))
+    first, last = F.least(F.greatest(F.lit(head) - F.col("before"), F.lit(0)), F.col("n")), F.least(F.greatest(F.lit(tail) - F.col("after"), F.lit(0)), F.col("n"))
+    cut = splits.select("_file", "_at", "n", first.alias("first"), last.alias("last")).where("first > 0 OR last > 0")
+    touched = lines.join(cut, ["_file", "_at"])  # at most head + tail splits a file
+    number = F.row_number().over(Window.partitionBy("_file", "_at").orderBy("_id"))
+    inside = touched.withColumn("_k", number).where((F.col("_k") > F.col("first")) & (F.col("_k") <= F.col("n") - F.col("last")))
+    whole = lines.join(cut, ["_file", "_at"], "left_anti")
+    return whole.select("line").unionByName(inside.select("line")).select(F.from_csv("line", schema).alias("r")).select("r.*")
 
 
 def read_json_artifact(spark: SparkSession, path: str) -> dict:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -17,23 +18,58 @@ def bars_from_ticks(ticks: DataFrame, width: str = "5 minutes", late: str = "10
     return out.select(key, F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume", "n")
 
 
-FEATURES = "series long, ts timestamp, close double, mean double, momentum double"
-
-
-def running_features(bars: DataFrame, window: int = 6, key: str = "series") -> DataFrame:
-    """Trailing mean and momentum; the state of a key is its last ``window`` closes, whatever the stream's length."""
-
-    def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        rows = []
-        batch = pd.concat(frames).sort_values("ts")
-        for ts, close in zip(batch["ts"], batch["close"]):
-            rows.append((keys[0], ts, close, sum([*last, close]) / (len(last) + 1), close - last[0] if len(last) == window - 1 else None))
-            last = [*last, close][-(window - 1) :]
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")]).sort_values("ts")
-
-    return bars.groupBy(key).applyInPandasWithState(update, FEATURES, "last array<double>", "append", GroupStateTimeout.NoTimeout)
+FEATURES = "series long, ts timestamp, tie long, close double, mean double, momentum double"
+#: A key that has been silent for so long starts anew; its state is dropped then.
+IDLE = 30 * 86_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Trailing(StatefulProcessor):
+    """A list of a key's last closes, when the last one was, and a timer that clears both once the watermark has left the key behind."""
+
+    def __init__(self, window: int, idle: int):
+        self.window, self.idle = window, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.closes = handle.getListState("closes", "close double")
+        self.seen = handle.getValueState("seen", "ts long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch, out = pd.concat(rows).sort_values(["ts", "tie"]), []
+        before = self.seen.get()[0] if self.seen.exists() else None
+        last = [c for (c,) in self.closes.get()] if before is not None else []
+        if before is not None:
+            self.handle.deleteTimer(before + self.idle)
+        for ts, tie, close in zip(batch["ts"], batch["tie"], batch["close"]):
+            now = ts.value // 1_000_000 if hasattr(ts, "value") else int(ts)
+            if before is not None and now - before > self.idle:
+                last = []
+            out.append((key[0], ts, tie, close, sum([*last, close]) / (len(last) + 1), close - last[0] if len(last) == self.window - 1 else None))
+            last, before = [*last, close][-(self.window - 1) :], now if before is None else max(before, now)
+        self.closes.put([(c,) for c in last])
+        self.seen.update((before,))
+        self.handle.registerTimer(before + self.idle)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.closes.clear()
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def running_features(bars: DataFrame, window: int = 6, key: str = "series", late: str = "10 minutes", idle: int = IDLE) -> DataFrame:
+    """Trailing mean and momentum of bars(series, ts, tie, close); of one time, in the order of tie.
+
+    The state of a key is its last ``window`` closes, and goes when the key has been silent for ``idle`` milliseconds of
+    event time, after which it starts anew. What is later than the watermark is dropped.
+    """
+    bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # lists and timers need it
+    timed = bars.select(key, "ts", "tie", "close").withWatermark("ts", late)
+    return timed.groupBy(key).transformWithStateInPandas(Trailing(window, idle), FEATURES, "append", "eventTime")
 
 
 LEDGER = "run string, ts timestamp, cash double, shares double, nav double"
