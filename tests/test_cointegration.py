@@ -45,3 +45,22 @@ def test_one_long_series(spark):
     u = np.stack([v[rows], *[change[rows - j] for j in range(1, k + 1)], np.ones(len(rows))], axis=1)
     beta, e, se = K._least_squares(u, change[rows])
     assert abs(got.stat / (beta[0] / se[0]) - 1) < 1e-4
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_max_sharpe_meets_its_conditions(seed):
+    from tidemark.operators.models import max_sharpe_weights
+
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 12))
+    x = r.standard_normal((60, n))
+    cov, mean = x.T @ x / 60 + 0.01 * np.eye(n), r.standard_normal(n) - 0.3
+    w = max_sharpe_weights(mean, cov)
+    assert (w >= 0).all() and abs(w.sum() - 1) < 1e-12
+    if (mean > 0).any():
+        ratio = lambda v: v @ mean / np.sqrt(v @ cov @ v)
+        gap = mean * (w @ cov @ w) / (w @ mean) - cov @ w  # zero where held, not positive elsewhere
+        assert np.abs(gap[w > 0]).max() < 1e-9 and gap.max() < 1e-9
+        assert all(ratio(w) >= ratio(v) - 1e-12 for v in r.dirichlet(np.ones(n), 200))
+    else:
+        assert mean[w > 0] / np.sqrt(np.diag(cov))[w > 0] == (mean / np.sqrt(np.diag(cov))).max()
