@@ -74,7 +74,7 @@ def ends(ranked: DataFrame, share: float = 0.2) -> DataFrame:
 
 def follower_portfolio(returns: DataFrame, roles: DataFrame, name: str = "name", ts: str = "ts") -> DataFrame:
     """(ts, pnl): followers held by the sign of the leaders' mean return of the bar before, each side's weights adding to one."""
-    d = returns.join(F.broadcast(roles), name)
+    d = returns.join(roles, name)
     lead = d.where("role = 'leader'").groupBy(ts).agg(F.signum(F.avg("r")).alias("signal"), F.avg("r").alias("leaders"))
     follow = d.where("role = 'follower'").groupBy(ts).agg(F.avg("r").alias("followers"))
     w = Window.orderBy(ts)  # one row a date
@@ -150,7 +150,7 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
 
 def flow_imbalance(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """(p, q, net): the weight from cluster p to q less that from q to p, p < q."""
-    d = edges.join(F.broadcast(clusters.select(F.col("name").alias("src"), F.col("cluster").alias("p"))), "src").join(F.broadcast(clusters.select(F.col("name").alias("dst"), F.col("cluster").alias("q"))), "dst").where("p <> q")
+    d = edges.join(clusters.select(F.col("name").alias("src"), F.col("cluster").alias("p")), "src").join(clusters.select(F.col("name").alias("dst"), F.col("cluster").alias("q")), "dst").where("p <> q")
     return d.groupBy(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(F.sum(F.when(F.col("p") < F.col("q"), F.col("weight")).otherwise(-F.col("weight"))).alias("net"))
 
 

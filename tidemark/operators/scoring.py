@@ -76,6 +76,6 @@ def decay(df: DataFrame, s: str, r: str, most: int = 10, key: str = "ticker", pl
 def turnover(df: DataFrame, key: str = "ticker", bucket: str = "v", ts: str = "ts") -> DataFrame:
     """(ts, bucket, turnover): share of a bucket's names that were not in it on the date before."""
     dates = df.select(ts).distinct().withColumn("_before", F.lag(ts).over(Window.orderBy(ts)))  # one row a date
-    now = df.select(ts, key, bucket).join(F.broadcast(dates), ts)
+    now = df.select(ts, key, bucket).join(dates, ts)
     old = df.select(F.col(ts).alias("_before"), key, bucket, F.lit(1).alias("_in"))
     return now.where("_before IS NOT NULL").join(old, ["_before", key, bucket], "left").groupBy(ts, bucket).agg(F.avg(F.col("_in").isNull().cast("int")).alias("turnover"))

@@ -5,7 +5,17 @@ from __future__ import annotations
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
+
+
+def shares(log: DataFrame) -> DataFrame:
+    """phase, module, seconds, percent of df(phase, module, seconds), which has a row a timing: sums and their share of the whole."""
+    sums = log.groupBy("phase", "module").agg(F.sum("seconds").alias("seconds"))
+    return sums.withColumn("percent", 100 * F.col("seconds") / F.sum("seconds").over(Window.partitionBy()))  # one row a phase and module
+
+
+def by_module(log: DataFrame) -> DataFrame:
+    return log.groupBy("module").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("n"))
 
 
 class PhaseTimer:
@@ -30,8 +40,6 @@ class PhaseTimer:
         return spark.createDataFrame([(*r, 100 * r[3] / whole) for r in self.records], "phase string, module string, detail string, seconds double, percent double")
 
     def by_module(self, spark) -> DataFrame:
-        from pyspark.sql import functions as F
-
         return self.table(spark).groupBy("module").agg(F.sum("seconds").alias("seconds")).orderBy(F.desc("seconds"))
 
     def report(self) -> str:

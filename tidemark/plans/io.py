@@ -111,14 +111,17 @@ query("s04_store", "ticker:s ts:t close:d", through_store, "SELECT ticker, ts, c
 
 
 def through_json(s, d):
+    """The sign of the slope of closes on volumes and the number of bars, stored and read again."""
     path = readers.scratch(s, "sign")
-    writers.write_json_artifact(s, {"signal_sign": 1}, path)
-    return s.createDataFrame([(int(readers.read_json_artifact(s, path)["signal_sign"]),)], "signal_sign int")
+    found = bars(s, d).agg(F.signum(F.regr_slope("close", "volume")).cast("long").alias("signal_sign"), F.count(F.lit(1)).alias("bars")).first()
+    writers.write_json_artifact(s, found.asDict(), path)
+    back = readers.read_json_artifact(s, path)
+    return s.createDataFrame([(int(back["signal_sign"]), int(back["bars"]))], "signal_sign long, bars long")
 
 
-query("s08_json_artifact", "signal_sign:l", through_json, "SELECT 1 AS signal_sign")
-query("s12_square_wave", "t:l x:d", lambda s, d: synthetic.square_wave(s, 500, 20, 2.0), "SELECT range AS t, CASE WHEN range % 20 < 10 THEN 2.0 ELSE -2.0 END AS x FROM range(500)")
-query("s12_normal_walk", "series:l t:l x:d", lambda s, d: synthetic.normal_walk(s, 500, 3, seed=4))
+query("s08_json_artifact", "signal_sign:l bars:l", through_json, "SELECT sign(regr_slope(close, volume)) AS signal_sign, count(*) AS bars FROM bars", B)
+query("s12_square_wave", "t:l x:d", lambda s, d: synthetic.square_wave(s, table(s, d, "events").count(), 20, 2.0), "SELECT range AS t, CASE WHEN range % 20 < 10 THEN 2.0 ELSE -2.0 END AS x FROM range((SELECT count(*) FROM events))")
+query("s12_normal_walk", "series:l t:l x:d", lambda s, d: synthetic.normal_walk(s, table(s, d, "orders").count(), table(s, d, "region").count(), seed=4))  # as long as the orders
 query("c12_scalar_functions", "entity:l v1:d v2:d v3:d v4:d s1:s s2:s s3:s", lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("entity"), F.ln("p_retailprice").alias("v1"), F.sqrt("p_size").alias("v2"), (1 / (1 + F.exp(-F.col("p_size") / 10))).alias("v3"), F.signum(F.col("p_size") - 25).alias("v4"), F.upper("p_name").alias("s1"), F.replace("p_brand", F.lit("#"), F.lit("-")).alias("s2"), F.split("p_name", " ")[0].alias("s3")),
       "SELECT p_partkey AS entity, ln(p_retailprice) AS v1, sqrt(p_size) AS v2, 1 / (1 + exp(-p_size / 10)) AS v3, sign(p_size - 25) AS v4, upper(p_name) AS s1, replace(p_brand, '#', '-') AS s2, string_split(p_name, ' ')[1] AS s3 FROM part")
 

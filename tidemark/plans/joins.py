@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import windows as W
+from tidemark.functions.stats import exact_quantiles
 from tidemark.operators import joins as J
 from tidemark.plans.registry import query
 from tidemark.plans.views import bars, entities, nation_months, table, ticks
@@ -45,7 +46,15 @@ query("j11_intersection", "k:l", lambda s, d: table(s, d, "customer").select(F.c
 query("j12_difference", "k:l", lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(s, d, "orders").select(F.col("o_custkey").alias("k"))), "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 query("j12_union", "k:l", lambda s, d: table(s, d, "customer").where("c_acctbal > 9500").select(F.col("c_custkey").alias("k")).union(table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("k"))).distinct(), "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9500 UNION SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
 query("j13_outer_pairing", "k:l a:l b:l", lambda s, d: table(s, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("a")).join(table(s, d, "supplier").where("s_acctbal > 9000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("b")), "k", "full").na.fill(0), "SELECT k, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT c_nationkey AS k, count(*) AS a FROM customer WHERE c_acctbal > 9000 GROUP BY 1) FULL JOIN (SELECT s_nationkey AS k, count(*) AS b FROM supplier WHERE s_acctbal > 9000 GROUP BY 1) USING (k)")
-query("j14_parameter_grid", "entry:d exit:d frac:d", lambda s, d: s.createDataFrame([(x,) for x in (60.0, 70.0, 80.0)], "entry double").crossJoin(s.createDataFrame([(x,) for x in (30.0, 40.0, 50.0)], "exit double")).crossJoin(s.createDataFrame([(x,) for x in (0.5, 0.75, 0.95)], "frac double")), "SELECT * FROM (VALUES (60), (70), (80)) a(entry) CROSS JOIN (VALUES (30), (40), (50)) b(exit) CROSS JOIN (VALUES (0.5), (0.75), (0.95)) c(frac)")
+def parameter_grid(s, d):
+    """Entry and exit levels at quantiles of the data, with shares of capital: every combination."""
+    x = exact_quantiles(ticks(s, d), "x", [0.3, 0.4, 0.5, 0.6, 0.7, 0.8])
+    rows = [(entry, leave, share) for entry in x[3:] for leave in x[:3] for share in (0.5, 0.75, 0.95)]
+    return s.createDataFrame(rows, "entry double, exit double, frac double")
+
+
+query("j14_parameter_grid", "entry:d exit:d frac:d", parameter_grid,
+      "WITH q AS (SELECT unnest(quantile_cont(x, [0.6, 0.7, 0.8])) AS entry FROM ticks), r AS (SELECT unnest(quantile_cont(x, [0.3, 0.4, 0.5])) AS exit FROM ticks)\nFINALLY SELECT entry, exit, frac FROM q, r, (VALUES (0.5), (0.75), (0.95)) t(frac)", ("ticks",))
 
 
 def _lagged(s, d):

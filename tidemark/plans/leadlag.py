@@ -78,7 +78,7 @@ def cluster_portfolios(s, d):
     v, out = levy(s, d), None
     for k in (0, 1):
         mine = c.where(F.col("cluster") == k)
-        inside = v.join(F.broadcast(mine.select(F.col("name").alias("a"))), "a").join(F.broadcast(mine.select(F.col("name").alias("b"))), "b").select("a", "b", "v")
+        inside = v.join(mine.select(F.col("name").alias("a")), "a").join(mine.select(F.col("name").alias("b")), "b").select("a", "b", "v")
         p = G.follower_portfolio(returns(s, d), G.ends(G.row_means(inside))).withColumn("cluster", F.lit(k))
         out = p if out is None else out.unionByName(p)
     return out.unionByName(out.groupBy("ts").agg(F.avg("pnl").alias("pnl")).withColumn("cluster", F.lit(-1)))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import windows as W
-from tidemark.operators import backtest as B
+from tidemark.operators import backtest as B, timing
 from tidemark.plans.registry import query
-from tidemark.plans.views import SPEARMAN, bars, ledger
+from tidemark.plans.views import SPEARMAN, bars, ledger, ticks
 
 L = ("bars", "ledger")
 
@@ -157,14 +157,11 @@ def summary_metrics(s, d):
 query("b26_summary_metrics", "run:s total:d apr:d sharpe:d sortino:d mdd:d longest:l", summary_metrics, f"WITH x AS (SELECT run, ts, nav, nav / lag(nav) OVER ({RUN}) - 1 AS r, max(nav) OVER ({RUN} ROWS UNBOUNDED PRECEDING) AS hwm, row_number() OVER ({RUN}) AS n FROM ledger), y AS (SELECT *, n - max(CASE WHEN nav >= hwm THEN n END) OVER ({RUN} ROWS UNBOUNDED PRECEDING) AS since FROM x)\nFINALLY SELECT run, arg_max(nav, ts) / arg_min(nav, ts) - 1 AS total, pow(arg_max(nav, ts) / arg_min(nav, ts), 252.0 / count(r)) - 1 AS apr, avg(r) / stddev_pop(r) * sqrt(252.0) AS sharpe, avg(r) / stddev_pop(r) FILTER (WHERE r < 0) * sqrt(252.0) AS sortino, min(nav / hwm - 1) AS mdd, max(since) AS longest FROM y GROUP BY run", L)
 
 
-def phase_times(s, d):
-    from tidemark.operators.timing import PhaseTimer
+def phase_log(s, d):
+    """A log of timings: kinds of events are phases, their series' last digit the module, their sizes the seconds."""
+    return ticks(s, d).select(F.col("kind").alias("phase"), (F.col("series") % 10).cast("string").alias("module"), F.abs("x").alias("seconds"))
 
-    t = PhaseTimer(clock=iter([0.0, 1.0, 3.0, 3.0, 6.0, 10.0]).__next__)
-    for phase, module in (("load", "data"), ("fit", "models")):
-        with t.phase(phase, module):
-            pass
-    return t.table(s)
 
-
-query("b27_phase_timer", "phase:s module:s detail:s seconds:d percent:d", phase_times, "SELECT * FROM (VALUES ('load', 'data', '', 2.0, 40.0), ('fit', 'models', '', 3.0, 60.0)) t(phase, module, detail, seconds, percent)")
+query("b27_phase_timer", "phase:s module:s seconds:d percent:d", lambda s, d: timing.shares(phase_log(s, d)),
+      "WITH p AS (SELECT kind AS phase, CAST(series % 10 AS VARCHAR) AS module, sum(abs(x)) AS seconds FROM ticks GROUP BY 1, 2)\nFINALLY SELECT *, 100 * seconds / sum(seconds) OVER () AS percent FROM p", ("ticks",))
+query("b27_module_rollup", "module:s seconds:d n:l", lambda s, d: timing.by_module(phase_log(s, d)), "SELECT CAST(series % 10 AS VARCHAR) AS module, sum(abs(x)) AS seconds, count(*) AS n FROM ticks GROUP BY 1", ("ticks",))
