@@ -85,6 +85,37 @@ def test_any_bytes(values):
     assert P.decode(P.encode(p)) == p
 
 
+@given(st.binary(min_size=1, max_size=20_000), st.lists(st.floats(0, 1), min_size=1, max_size=4))
+@settings(max_examples=40, deadline=None)
+def test_seek(value, at):
+    p = P.payload(value)
+    stream = P.encode([p])[0]
+    starts = [int(a * (len(p) - 1)) for a in at]
+    assert P.decode([stream] * len(at), starts) == [p[n:] for n in starts]
+
+
+def test_seek_reads_no_earlier_frame():
+    """Damage before the point that the seek table gives does not matter to what is read behind it."""
+    p = P.payload(bytes(range(200)) * 400)
+    s = P.encode([p])[0]
+    bad = bytearray(s)
+    bad[len(s) // 8] ^= 255
+    assert P.decode([bytes(bad)], [len(p) - 16]) == [p[-16:]]
+    try:
+        P.decode([bytes(bad)])
+    except (P.DamagedStream, IndexError):
+        return
+    raise AssertionError("damage was not found")
+
+
+def test_features_from_blocks():
+    for t in texts():
+        p = P.payload(t)
+        x = np.frombuffer(p, np.uint8).astype(np.int64) - 128
+        assert P.feature(P.blocks(p)[::-1]) == f"{x.sum() / len(x):.4f}|{np.sqrt((x * x).sum() / len(x)):.4f}|{int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+        assert P.digest(P.blocks(p)[::-1]) == hashlib.sha256(p).hexdigest()
+
+
 def test_damage_is_found():
     s = bytearray(P.encode([P.payload(b"some text to keep " * 200)])[0])
     rng = random.Random(4)
