@@ -117,9 +117,9 @@ class BiGRU:
         As forward, without a mask, and without the steps after the last middle position of either direction.
         """
         h, n = self.h, codes.shape[1]
-        y = self.p["c"][:, None]
+        y = np.repeat(self.p["c"][:, None], STRIDE * n, axis=1).reshape(-1, STRIDE, n)
         for d, order, v in (("f", range(CONTEXT + STRIDE), self.p["V"][:h]), ("b", range(len(codes) - 1, CONTEXT - 1, -1), self.p["V"][h:])):
-            s, states, ((xz, uz), (xr, ur), (xc, uc)) = np.zeros((n, h), np.float32), np.empty((STRIDE, n, h), np.float32), tables[d]
+            s, ((xz, uz), (xr, ur), (xc, uc)) = np.zeros((n, h), np.float32), tables[d]
             for t in order:
                 z, r, c = s @ uz, s @ ur, s @ uc
                 z += xz.take(codes[t], axis=0)
@@ -137,11 +137,10 @@ class BiGRU:
                 s *= z
                 s += c
                 if CONTEXT <= t < CONTEXT + STRIDE:
-                    states[t - CONTEXT] = s
-            y = y + v.T @ states.reshape(-1, h).T
+                    y[:, t - CONTEXT] += v.T @ s.T  # small products, for which the library takes one thread and keeps no other one spinning
         y -= y.max(axis=0)
         y -= np.log(np.exp(y).sum(axis=0))
-        return y.reshape(-1, STRIDE, n)
+        return y
 
 
 def padded(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
