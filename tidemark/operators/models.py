@@ -234,7 +234,7 @@ def max_sharpe_weights(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
         short = mean - cov @ z
         short[inside] = -np.inf
         i = int(np.argmax(short))
-        if short[i] <= 1e-12 * scale:
+        if short[i] <= 1e-9 * scale:
             break
         inside[i] = True
         while True:

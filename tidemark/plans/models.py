@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
@@ -118,6 +119,8 @@ FINALLY SELECT pair, CASE WHEN a >= c THEN 'y on x' ELSE 'x on y' END AS way, ro
 query("m13_residual_spread", "pair:s ts:t v:d", lambda s, d: residuals(pairs(s, d)), f"WITH {PAIR}, r AS (SELECT pair, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p GROUP BY pair)\nFINALLY SELECT pair, ts, y - a - b * x AS v FROM p JOIN r USING (pair)", ("bars",))
 
 
+#: Added to the variances, so that few common dates leave one optimum.
+RIDGE = 1e-6
 TICKERS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
@@ -127,7 +130,7 @@ def optimal_weights(s, d):
     g = M.gram(r.withColumn("y", F.lit(0.0)), names)
     mean = g.sx / g.n
     cov = (g.xx - g.n * mean[:, None] * mean[None, :]) / (g.n - 1)
-    return s.createDataFrame([(n, float(v)) for n, v in zip(names, M.max_sharpe_weights(mean * 252, cov * 252))], "ticker string, weight double")
+    return s.createDataFrame([(n, float(v)) for n, v in zip(names, M.max_sharpe_weights(mean * 252, cov * 252 + RIDGE * np.eye(len(names))))], "ticker string, weight double")
 
 
 def sharpe_sql() -> str:
@@ -137,12 +140,12 @@ def sharpe_sql() -> str:
     return f"""WITH RECURSIVE names(ticker, k) AS (VALUES {names}),
 r AS (SELECT ticker, ts, (close / lag(close) OVER ({BAR}) - 1) / 1000 AS r FROM bars),
 ok AS MATERIALIZED (SELECT k, ts, r FROM r JOIN names USING (ticker) WHERE r IS NOT NULL QUALIFY count(*) OVER (PARTITION BY ts) = {n}),
-mu AS (SELECT k, avg(r) * 252 AS mu FROM ok GROUP BY k), c AS MATERIALIZED (SELECT a.k AS i, b.k AS j, covar_samp(a.r, b.r) * 252 AS c FROM ok a JOIN ok b USING (ts) GROUP BY 1, 2),
+mu AS (SELECT k, avg(r) * 252 AS mu FROM ok GROUP BY k), c AS MATERIALIZED (SELECT a.k AS i, b.k AS j, covar_samp(a.r, b.r) * 252 + CASE WHEN a.k = b.k THEN {RIDGE!r} ELSE 0 END::DOUBLE AS c FROM ok a JOIN ok b USING (ts) GROUP BY a.k, b.k),
 sets AS (SELECT unnest(range(1, {1 << n})) AS id), inside AS (SELECT id, k FROM sets, names WHERE (id >> k) & 1 = 1),
 a0 AS (SELECT id, 0 AS lags, list(line ORDER BY i) AS a FROM (SELECT x.id, x.k AS i, list_concat(list(c ORDER BY y.k), [any_value(mu)]) AS line FROM inside x JOIN inside y ON x.id = y.id JOIN c ON c.i = x.k AND c.j = y.k JOIN mu ON mu.k = x.k GROUP BY x.id, x.k) GROUP BY id),
 {eliminated("e", "a0")}, z AS (SELECT id, k, a[row_number() OVER (PARTITION BY id ORDER BY k)][len(a) + 1] AS z FROM e JOIN inside USING (id) WHERE p = len(a) + 1),
 good AS (SELECT id FROM z GROUP BY id HAVING min(z) > 0), fits AS (SELECT id, i, sum(c * z) AS s FROM z JOIN good USING (id) JOIN c ON c.j = z.k GROUP BY 1, 2),
-best AS (SELECT id FROM fits JOIN mu ON mu.k = i GROUP BY id HAVING min(s - mu) > -1e-12 ORDER BY id LIMIT 1)
+best AS (SELECT id FROM fits JOIN mu ON mu.k = i GROUP BY id HAVING min(s - mu) > -1e-7 ORDER BY id LIMIT 1)
 FINALLY SELECT ticker, coalesce(z / sum(z) OVER (), 0) AS weight FROM names LEFT JOIN (SELECT k, z FROM z JOIN best USING (id)) USING (k)"""
 
 

@@ -62,13 +62,14 @@ class Trailing(StatefulProcessor):
 
 
 def running_features(bars: DataFrame, window: int = 6, key: str = "series", late: str = "10 minutes", idle: int = IDLE) -> DataFrame:
-    """Trailing mean and momentum of bars(series, ts, tie, close); of one time, in the order of tie.
+    """Trailing mean and momentum of bars(series, ts, tie, close); of one time, in the order of tie, where there is such a column.
 
     The state of a key is its last ``window`` closes, and goes when the key has been silent for ``idle`` milliseconds of
     event time, after which it starts anew. What is later than the watermark is dropped.
     """
     bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # lists and timers need it
-    timed = bars.select(key, "ts", "tie", "close").withWatermark("ts", late)
+    tie = F.col("tie") if "tie" in bars.columns else F.lit(0).cast("long").alias("tie")
+    timed = bars.select(key, "ts", tie, "close").withWatermark("ts", late)
     return timed.groupBy(key).transformWithStateInPandas(Trailing(window, idle), FEATURES, "append", "eventTime")
 
 
