@@ -16,7 +16,7 @@ def brute(text):
     for t in L.template_sets():
         for i in range(0, len(words), t.step):
             b = set(words[i : i + t.width])
-            if len(b & set(t.words)) >= t.overlap and b >= set(t.naming) and not b & set(t.others):
+            if len(b & set(t.words)) >= t.overlap and all(f" {n} " in f" {' '.join(words[i : i + t.width])} " for n in t.naming) and not b & set(t.others):
                 found.add(t.label)
                 best = max(best, len(b & set(t.words)) / len(t.words))
     at = [i for i, _ in places]
@@ -46,11 +46,29 @@ OTHERS = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("mpl-2", "licensed under the mozilla public license version 2 0"),
     ("gpl-2", "this work is licensed under the gnu general public license version 2"),
-    ("", "this program is under the terms of the gnu lesser general public license version 3 or later"),
+    ("lgpl-3", "this program is under the terms of the gnu lesser general public license version 3 or later"),
     ("", "licensed under the apache license version 1 1"),
     ("", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
     ("", "permission to publish this note was granted by the editor free of charge to any reader of this paper"),
     ("", "the source and binary forms of these words differ with or without modification"),
+    # The number must stand at the name, not somewhere near.
+    ("gpl-2", "licensed under the gnu general public license version 2 see chapter 3"),
+    ("", "licensed under the apache license version 1 1 see page 2"),
+    ("", "licensed under the mozilla public license version 1 1 see note 2"),
+    ("", "released in 1999 under a license of mit press"),
+    ("", "we licensed the song under cc by band sa 4 0"),
+    ("gpl-3", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("gpl-3", "licensed under the gpl version 3"),
+    ("gpl-3", "This program is licensed under the terms of the GNU General Public License, version 3"),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation."),
+    ("lgpl-2-1", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("epl-2", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("lgpl-3", "Licensed under the LGPL v3."),
+    ("gpl-2", "licensed under the GPLv2"),
+    ("", "SPDX-License-Identifier: GPL-1.0-only, see 3.0 and MIT"),
+    ("mit", "// SPDX-License-Identifier: MIT"),
+    ("", "this work is licensed under a creative commons attribution share alike 3 0 unported license"),
 ]
 
 
