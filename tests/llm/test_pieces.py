@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 
@@ -40,3 +41,11 @@ def test_encode_and_decode(spark, corpus, empty_df):
     back = {r.doc_id: r.text for r in P.decode(encoded).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in rows)
     assert P.encode(empty_df).count() == 0
+
+
+def test_ids_in_bounded_runs(monkeypatch):
+    monkeypatch.setattr(P, "MOST_IDS", 3)
+    rows = [[1, 2], None, [], [3], [4, 5, 6, 7, 8], [], [9]]
+    got = list(P.id_runs(pa.array([[0], *rows], pa.list_(pa.int32())).slice(1)))
+    assert [x if x is None else x.tolist() for *_, run in got for x in run] == rows
+    assert [(a, b) for a, b, _ in got] == [(0, 4), (4, 6), (6, 7)]

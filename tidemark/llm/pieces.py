@@ -4,17 +4,14 @@ The vocabulary is a byte-fallback BPE model, whose result is the one segmentatio
 together, are encoded as just these two. So the lattice's fold keeps, for each place in a word, the one piece that
 can end there after what ends at its start; scores decide only whether two pieces are such neighbours.
 
-1. A scan cuts texts wherever no piece has the two characters side by side; no piece can cross such a place. The
-   distinct parts of a chunk of documents go to their owners, one compressed message a chunk and owner.
-2. The distinct parts of all messages are exploded into substrings of bounded length and joined to the piece table,
-   which has as many rows as the model and is broadcast. A part's edges stay in its partition; each edge is told
-   which of the pieces that end where it begins may stand before it. Spark's aggregate folds the edges in order,
-   and a second one walks back.
-3. Owners answer each message with the ids of its parts, in their order. A second scan turns the documents into
-   numbers of parts; chunk by chunk they meet the answers.
-
-A chunk is known by a hash of its texts. Should the second scan ever cut its chunks in other places, as after the
-loss of an executor, they find no answers, and the job fails instead of giving wrong ids.
+1. One scan cuts texts wherever no piece has the two characters side by side; no piece can cross such a place. It
+   leaves, chunk by chunk of documents, a compressed message of distinct parts for each owner, and the documents as
+   numbers of parts. Both are in one written table, so no other scan has to cut its chunks alike.
+2. The distinct parts of all messages, known by their owner and their place among its sorted parts, are exploded into
+   substrings of bounded length and joined to the piece table, which has as many rows as the model and is broadcast. A
+   part's edges stay in its partition; each edge is told which of the pieces that end where it begins may stand before
+   it. Spark's aggregate folds the edges in order, and a second one walks back.
+3. Owners answer each message with the ids of its parts, in their order; chunk by chunk the documents meet the answers.
 """
 
 from __future__ import annotations
@@ -28,14 +25,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import Stage, keyed, mix64, tidied, utf8_groups
+from tidemark.llm.common import Stage, batch, keyed, mix64, tidied, utf8_groups
 from tidemark.llm.hashing import LONG as LONG_WORD, Sums
 
 SPACE = "▁"
 #: A chunk ends with the run of documents that brings it to so many distinct parts or characters; texts are taken in runs of so many bytes.
-CHUNK_PARTS, CHUNK_CHARACTERS, TOGETHER = 400_000, 24_000_000, 2 << 20
+CHUNK_PARTS, CHUNK_CHARACTERS, TOGETHER = 400_000, 12_000_000, 2 << 20
 #: Parts that an owner has, about; a part of more characters than LONG has too many edges for a row and is folded by the same recurrence in its task.
 OWNED, LONG = 100_000, 2_000
+#: Ids that are Python numbers at a time when texts are made of them.
+MOST_IDS = 1 << 18
 
 
 class Model:
@@ -248,26 +247,56 @@ def texts_unpacked(data: bytes) -> list[str]:
     return [data[i:j].decode() for i, j in zip(ends, ends[1:])]
 
 
-MESSAGES = "owner int, chunk long, parts binary"
+CUT = "owner int, chunk long, count int, parts binary, doc_ids array<long>, rows array<long>, sizes array<int>, codes binary"
+CUT_SCHEMA = pa.schema(
+    [("owner", pa.int32()), ("chunk", pa.int64()), ("count", pa.int32()), ("parts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())),
+     ("sizes", pa.list_(pa.int32())), ("codes", pa.binary())]
+)
 
 
-def _messages(path: str, owners: int):
+def planes(codes: np.ndarray) -> bytes:
+    """Numbers below 2**24, their low bytes first: frequent bytes then stand together."""
+    return packed(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    x = np.frombuffer(unpacked(data), np.uint8).reshape(3, -1).astype(np.int64)
+    return x[0] | x[1] << 8 | x[2] << 16
+
+
+def _cut(path: str, owners: int):
+    """Of each chunk a message of distinct parts for each owner (owner, chunk, count, parts), and its documents (chunk,
+    doc_ids, rows, sizes, codes) as numbers into the chunk's parts, these in the order of owners and of the messages."""
+
     @tidied
     def run(batches):
         for chunk in _chunks(path, batches):
-            mine = chunk.by_owner(owners)
+            mine, key, at = chunk.by_owner(owners), chunk.key(), 0
             full = [o for o in range(owners) if mine[o]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk.key()] * len(full), pa.int64()), pa.array([texts_packed(mine[o]) for o in full], pa.binary())], names=["owner", "chunk", "parts"])
+            number = np.empty(len(chunk.parts), np.int64)
+            number[[chunk.parts[p] for o in full for p in mine[o]]] = np.arange(len(chunk.parts))
+            none = [None] * len(full)
+            yield batch(CUT_SCHEMA, full, [key] * len(full), [len(mine[o]) for o in full], [texts_packed(mine[o]) for o in full], none, none, none, none)
+            for codes, sizes in zip(chunk.codes, chunk.sizes):
+                to = at + len(sizes)
+                yield batch(CUT_SCHEMA, [None], [key], [None], [None], [chunk.ids[at:to]], [chunk.rows[at:to]], [sizes.tolist()], [planes(number[codes])])
+                at = to
 
     return run
 
 
-def _distinct(table: pa.Table) -> pa.Table:
-    """One owner's distinct parts; characters that no piece has are left out."""
+def _owned(messages: list[bytes]) -> list[str]:
+    """One owner's distinct parts, sorted."""
     parts: set[str] = set()
-    for data in table.column("parts").to_pylist():
+    for data in messages:
         parts.update(texts_unpacked(data))
-    return pa.table({"owner": pa.array([table.column("owner")[0].as_py()] * len(parts), pa.int32()), "part": pa.array(sorted(parts), pa.string())})
+    return sorted(parts)
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    """One owner's distinct parts, known by the owner and their place."""
+    parts = _owned(table.column("parts").to_pylist())
+    return pa.table({"key": pa.array(np.arange(len(parts)) + (table.column("owner")[0].as_py() << 32), pa.int64()), "part": pa.array(parts, pa.string())})
 
 
 def _before(path: str):
@@ -278,12 +307,12 @@ def _before(path: str):
         m = model(path)
         known, answer = np.zeros(0, np.int64), np.zeros(0, bool)
         for b in batches:
-            lists = b.column(2)
-            e, s, ids = (f.to_numpy().astype(np.int64) for f in lists.flatten().flatten())
+            lists = b.column(1)
+            edges = lists.flatten().to_numpy()
             n = np.diff(lists.offsets.to_numpy())
             part = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((s, e, part))
-            e, s, ids, part = e[order], s[order], ids[order], part[order]
+            edges = edges[np.lexsort((edges, part))]
+            e, s, ids = edges >> 36, edges >> 24 & 0xFFF, edges & 0xFFFFFF
             # Edges that end at one place follow each other: their first one, and each one's number among them.
             place, want = part << 32 | e, part << 32 | s
             first = np.searchsorted(place, place)
@@ -305,9 +334,9 @@ def _before(path: str):
                 known, answer = known[by], answer[by]
             bits = np.zeros(len(place), np.int64)
             np.add.at(bits, edge, fit[which].astype(np.int64) << number[before])
-            columns = [pa.array(c) for c in (s.astype(np.int32), number.astype(np.int32), ids.astype(np.int32), bits)]
-            steps = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, n]).astype(np.int32)), pa.StructArray.from_arrays(columns, ["s", "k", "id", "before"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), steps], names=["owner", "part", "steps"])
+            columns = [pa.array(c) for c in (s.astype(np.int32), s << 32 | number << 24 | ids, bits)]
+            steps = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, n]).astype(np.int32)), pa.StructArray.from_arrays(columns, ["s", "edge", "before"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), steps], names=["key", "steps"])
 
     return run
 
@@ -319,79 +348,52 @@ def _rest(path: str):
     def run(batches):
         m = model(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.ids(p) for p in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["owner", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.ids(p) for p in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["key", "ids"])
 
     return run
 
 
-IDS = "owner int, part string, ids array<int>"
+IDS = "key long, ids array<int>"
 
 
 def lattice(parts: DataFrame, path: str) -> DataFrame:
-    """(owner, part, ids) of distinct parts(owner, part)."""
+    """(key, ids) of distinct parts(key, part), which repeat no key. An edge is one number: its end, start and id."""
     m, spark = model(path), parts.sparkSession
     table = F.broadcast(spark.createDataFrame([(p, m.id[p]) for p in sorted(m.stable)], "piece string, id int"))  # a row a piece of the model
     size = F.length("part")
-    one = parts.where(size == 1).join(table.select(F.col("piece").alias("part"), "id"), "part", "left").select("owner", "part", "id")
-    starts = parts.where((size > 1) & (size <= LONG)).select("owner", "part", F.explode(F.sequence(F.lit(1), size)).alias("s"))
-    spans = starts.select("owner", "part", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), size - F.col("s") + 1))).alias("n"))
-    found = spans.select("owner", "part", "s", "n", F.substring("part", F.col("s"), F.col("n")).alias("piece")).join(table, "piece")
-    edges = found.groupBy("part").agg(F.first("owner").alias("owner"), F.collect_list(F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("s"), "id")).alias("edges"))
-    steps = edges.select("owner", "part", "edges").mapInArrow(_before(path), "owner int, part string, steps array<struct<s: int, k: int, id: int, before: long>>")
-    # best[e] is the one edge that may end at e: (s, its number among those that end there, id).
-    best = F.expr("""aggregate(steps, array(named_struct('s', 0, 'k', 0, 'id', -1)),
-      (best, x) -> IF(x.s = 0 OR (shiftright(x.before, best[x.s].k) & 1) = 1, concat(best, array(named_struct('s', x.s, 'k', x.k, 'id', x.id))), best))""")
-    back = F.expr("""aggregate(sequence(length(part), 1, -1), named_struct('at', length(part), 'ids', cast(array() AS array<int>)),
-      (a, i) -> IF(i = a.at, named_struct('at', best[i].s, 'ids', concat(array(best[i].id), a.ids)), a)).ids""")
-    folded = steps.select("owner", "part", best.alias("best")).select("owner", "part", back.alias("ids"))
-    simple = one.where("id IS NOT NULL").select("owner", "part", F.array("id").alias("ids"))
-    rest = one.where("id IS NULL").select("owner", "part").unionByName(parts.where(size > LONG).select("owner", "part"))
+    one = parts.where(size == 1).join(table.select(F.col("piece").alias("part"), "id"), "part", "left").select("key", "part", "id")
+    starts = parts.where((size > 1) & (size <= LONG)).select("key", "part", F.explode(F.sequence(F.lit(1), size)).alias("s"))
+    spans = starts.select("key", "part", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), size - F.col("s") + 1))).alias("n"))
+    found = spans.select("key", "s", "n", F.substring("part", F.col("s"), F.col("n")).alias("piece")).join(table, "piece")
+    start = (F.col("s") - 1).cast("long")
+    edge = F.shiftleft(start + F.col("n"), 36).bitwiseOR(F.shiftleft(start, 24)).bitwiseOR(F.col("id").cast("long"))
+    edges = found.select("key", edge.alias("edge")).groupBy("key").agg(F.collect_list("edge").alias("edges"))
+    steps = edges.mapInArrow(_before(path), "key long, steps array<struct<s: int, edge: long, before: long>>")
+    # best[e] is the one edge that may end at e: its start, its number among those that end there, its id.
+    best = F.expr("""aggregate(steps, array(-1L), (best, x) -> IF(
+      x.s = 0 OR (shiftright(x.before, cast(shiftright(best[x.s], 24) & 255 AS int)) & 1) = 1, concat(best, array(x.edge)), best))""")
+    back = F.expr("""aggregate(sequence(size(best) - 1, 1, -1), named_struct('at', size(best) - 1, 'ids', cast(array() AS array<int>)),
+      (a, i) -> IF(i = a.at, named_struct('at', cast(shiftright(best[i], 32) AS int), 'ids', concat(a.ids, array(cast(best[i] & 16777215 AS int)))), a)).ids""")
+    folded = steps.select("key", best.alias("best")).select("key", F.reverse(back).alias("ids"))
+    simple = one.where("id IS NOT NULL").select("key", F.array("id").alias("ids"))
+    rest = one.where("id IS NULL").select("key", "part").unionByName(parts.where(size > LONG).select("key", "part"))
     return folded.unionByName(simple).unionByName(rest.mapInArrow(_rest(path), IDS))
 
 
 def _answers(messages: pa.Table, ids: pa.Table) -> pa.Table:
     """One owner: for each chunk's message the numbers of ids of its parts, and the ids, in the message's order."""
-    at = {p: i for i, p in enumerate(ids.column("part").to_pylist())}
-    column = ids.column("ids").combine_chunks()
+    sent = messages.column("parts").to_pylist()
+    at = {p: i for i, p in enumerate(_owned(sent))}
+    column, place = ids.column("ids").combine_chunks(), np.empty(len(at), np.int64)
+    place[ids.column("key").to_numpy() & 0xFFFFFFFF] = np.arange(len(ids))
     flat, size = column.flatten().to_numpy().astype("<u4"), np.diff(column.offsets.to_numpy())
     first = np.cumsum(size) - size
     out = []
-    for data in messages.column("parts").to_pylist():
-        k = np.array([at[p] for p in texts_unpacked(data)], np.int64)
+    for data in sent:
+        k = place[np.array([at[p] for p in texts_unpacked(data)], np.int64)]
         n = size[k]
         out.append(packed(n.astype("<u4").tobytes() + flat[np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()))
-    return pa.table({"owner": messages.column("owner"), "chunk": messages.column("chunk"), "count": pa.array([int.from_bytes(unpacked(x)[:4], "little") for x in messages.column("parts").to_pylist()], pa.int32()), "ids": pa.array(out, pa.binary())})
-
-
-CODED = "chunk long, doc_ids array<long>, rows array<long>, sizes array<int>, codes binary"
-
-
-def planes(codes: np.ndarray) -> bytes:
-    """Numbers below 2**24, their low bytes first: frequent bytes then stand together."""
-    return packed(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
-
-
-def unplaned(data: bytes) -> np.ndarray:
-    x = np.frombuffer(unpacked(data), np.uint8).reshape(3, -1).astype(np.int64)
-    return x[0] | x[1] << 8 | x[2] << 16
-
-
-def _coded(path: str, owners: int):
-    """Documents as numbers into the parts of their chunk, these in the order of owners and within an owner of its message."""
-
-    @tidied
-    def run(batches):
-        for chunk in _chunks(path, batches):
-            number = np.empty(len(chunk.parts), np.int64)
-            number[[chunk.parts[p] for mine in chunk.by_owner(owners) for p in mine]] = np.arange(len(chunk.parts))
-            key, at = chunk.key(), 0
-            for codes, sizes in zip(chunk.codes, chunk.sizes):
-                n = len(sizes)
-                columns = [pa.array([key]), pa.array([chunk.ids[at : at + n]], pa.list_(pa.int64())), pa.array([chunk.rows[at : at + n]], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([planes(number[codes])], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_ids", "rows", "sizes", "codes"])
-                at += n
-
-    return run
+    return pa.table({"owner": messages.column("owner"), "chunk": messages.column("chunk"), "count": messages.column("count"), "ids": pa.array(out, pa.binary())})
 
 
 def _assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -400,8 +402,6 @@ def _assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
         x = np.frombuffer(unpacked(data), "<u4")
         sizes.append(x[:n])
         ids.append(x[n:])
-    if docs.num_rows and not sizes and any(sum(s) for s in docs.column("sizes").to_pylist()):
-        raise RuntimeError("the chunks of the second scan are not those of the first; run the query again")
     size = np.concatenate([*sizes, np.zeros(0, "<u4")]).astype(np.int64)
     flat, first, out = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32), np.cumsum(size) - size, []
     for codes, counts in zip(docs.column("codes").to_pylist(), docs.column("sizes").to_pylist()):
@@ -425,11 +425,28 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
     stage = Stage(docs.sparkSession, "pieces")
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     owners = 16 << (docs.select(doc_id).count() // OWNED).bit_length()
-    messages = stage.table(source.mapInArrow(_messages(path, owners), MESSAGES), "messages")
-    parts = messages.groupBy("owner").applyInArrow(_distinct, "owner int, part string").repartition("part")
-    ids = stage.table(lattice(stage.table(parts, "parts").repartition("part"), path), "ids")
-    answers = messages.groupBy("owner").cogroup(ids.groupBy("owner")).applyInArrow(_answers, "owner int, chunk long, count int, ids binary")
-    return source.mapInArrow(_coded(path, owners), CODED).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble, "doc_id long, row long, ids array<int>")
+    cut = stage.table(source.mapInArrow(_cut(path, owners), CUT), "cut")
+    messages = cut.where("owner IS NOT NULL").select("owner", "chunk", "count", "parts")
+    parts = messages.groupBy("owner").applyInArrow(_distinct, "key long, part string").repartition("key")
+    ids = stage.table(lattice(stage.table(parts, "parts").repartition("key"), path), "ids")
+    owned = ids.select(F.shiftright("key", 32).cast("int").alias("owner"), "key", "ids")
+    answers = messages.groupBy("owner").cogroup(owned.groupBy("owner")).applyInArrow(_answers, "owner int, chunk long, count int, ids binary")
+    coded = cut.where("owner IS NULL").select("chunk", "doc_ids", "rows", "sizes", "codes")
+    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble, "doc_id long, row long, ids array<int>")
+
+
+def id_runs(column: pa.Array):
+    """(from, to, ids) of runs of rows of about MOST_IDS ids, each row's ids an array, or None; a longer row is alone.
+
+    An Arrow batch has a bounded number of rows, not of ids: as Python numbers a whole one would not fit.
+    """
+    size = np.diff(column.offsets.to_numpy())
+    ends, at, there = np.cumsum(size), 0, column.is_valid().to_numpy(zero_copy_only=False)
+    values, first = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()[:-1]
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_IDS, "right")))
+        yield at, to, [values[first[i] : first[i] + size[i]] if there[i] else None for i in range(at, to)]
+        at = to
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -440,7 +457,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         m = model(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if i is None else m.decode(i) for i in b.column(2).to_pylist()], pa.string())], names=["doc_id", "row", "text"])
+            for at, to, ids in id_runs(b.column(2)):
+                texts = pa.array([None if x is None else m.decode(x.tolist()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), texts], names=["doc_id", "row", "text"])
 
     return encoded.select("doc_id", "row", "ids").mapInArrow(run, "doc_id long, row long, text string")
 
@@ -458,9 +477,10 @@ def _digest(path: str):
         back = {i: bytes([b]) for b, i in m.bytes.items()}
         table = [back.get(i) or p.replace(SPACE, " ").encode() for i, p in enumerate(m.pieces)]
         for b in batches:
-            ids = b.column(2).to_pylist()
-            text = [b"".join([table[i] for i in x])[1:] for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in text])], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
+            for at, to, ids in id_runs(b.column(2)):
+                hashes = [hashlib.sha256(b"".join(map(table.__getitem__, x.tolist()))[1:]).hexdigest() for x in ids]
+                columns = [pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(hashes, pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *columns], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
 
     return run
 
