@@ -35,6 +35,8 @@ CHUNK_PARTS, CHUNK_CHARACTERS, TOGETHER = 400_000, 12_000_000, 2 << 20
 OWNED, LONG = 100_000, 2_000
 #: Ids that are Python numbers at a time when texts are made of them.
 MOST_IDS = 1 << 18
+#: Answers about two neighbours that a worker keeps, as a power of two: 19 MB.
+SLOTS = 21
 
 
 class Model:
@@ -73,6 +75,7 @@ class Model:
         for x in self.beside:
             self.adjacent[self.sign[ord(x[0])], self.sign[ord(x[1])]] = True
         self.adjacent = self.adjacent.ravel()
+        self.asked, self.answers = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The encoding of a text of known characters by merges, and the halves of the last merge if one piece is left."""
@@ -116,6 +119,26 @@ class Model:
             live, x, y, limit = live[go], x[go], y[go], limit[go]
         return out
 
+    def heads(self) -> dict[str, list[int]]:
+        """The lengths of the pieces that begin with the same three characters."""
+        out: dict[str, set[int]] = {}
+        for p in self.stable:
+            if len(p) > 2:
+                out.setdefault(p[:3], set()).add(len(p))
+        return {h: sorted(n) for h, n in out.items()}
+
+    def known_neighbours(self, pairs: np.ndarray) -> np.ndarray:
+        """The answer of ``neighbours`` for pairs a << 32 | b; of pairs with one slot the table keeps the last."""
+        slot = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        out, new = self.answers[slot], np.flatnonzero(self.asked[slot] != pairs)
+        if len(new):
+            values, at, which = np.unique(pairs[new], return_index=True, return_inverse=True)
+            fit = self.neighbours(values >> 32, values & 0xFFFFFFFF)
+            out[new] = fit[which]
+            _, one = np.unique(slot[new][at], return_index=True)
+            self.asked[slot[new][at][one]], self.answers[slot[new][at][one]] = values[one], fit[one]
+        return out
+
     def fold(self, part: str) -> list[int]:
         """The lattice's recurrence for one part, in time linear in its length."""
         ends: list[list[tuple[int, int]]] = [[(s, self.id[x]) for s in range(max(0, e - self.longest), e) if (x := part[s:e]) in self.stable] for e in range(len(part) + 1)]
@@ -206,11 +229,24 @@ class Chunk:
         self.hash.update(np.array(self.rows, np.int64).tobytes())
         return int(np.array([self.hash.intdigest()], np.uint64).view(np.int64)[0])
 
-    def by_owner(self, owners: int) -> list[list[str]]:
-        out: list[list[str]] = [[] for _ in range(owners)]
-        for p in self.parts:
-            out[zlib.crc32(p.encode()) % owners].append(p)
-        return out
+    def by_owner(self, owners: int) -> tuple[list[list[str]], np.ndarray]:
+        """Each owner's parts, the most frequent first, and for each part its number: by the place in its owner's list,
+        then by owner. So frequent parts have small numbers, which compress well, and the lists alone tell all numbers."""
+        names, out, owner, place = list(self.parts), [[] for _ in range(owners)], [], []
+        order = np.argsort(-np.bincount(np.concatenate(self.codes), minlength=len(names)), kind="stable")
+        for i in order.tolist():
+            o = zlib.crc32(names[i].encode()) % owners
+            owner.append(o)
+            place.append(len(out[o]))
+            out[o].append(names[i])
+        number = np.empty(len(names), np.int64)
+        number[order[numbering(np.array(owner, np.int64), np.array(place, np.int64))]] = np.arange(len(names))
+        return out, number
+
+
+def numbering(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The order of a chunk's parts."""
+    return np.lexsort((owner, place))
 
 
 def _chunks(path: str, batches):
@@ -266,15 +302,13 @@ def unplaned(data: bytes) -> np.ndarray:
 
 def _cut(path: str, owners: int):
     """Of each chunk a message of distinct parts for each owner (owner, chunk, count, parts), and its documents (chunk,
-    doc_ids, rows, sizes, codes) as numbers into the chunk's parts, these in the order of owners and of the messages."""
+    doc_ids, rows, sizes, codes) as numbers of the chunk's parts."""
 
     @tidied
     def run(batches):
         for chunk in _chunks(path, batches):
-            mine, key, at = chunk.by_owner(owners), chunk.key(), 0
+            (mine, number), key, at = chunk.by_owner(owners), chunk.key(), 0
             full = [o for o in range(owners) if mine[o]]
-            number = np.empty(len(chunk.parts), np.int64)
-            number[[chunk.parts[p] for o in full for p in mine[o]]] = np.arange(len(chunk.parts))
             none = [None] * len(full)
             yield batch(CUT_SCHEMA, full, [key] * len(full), [len(mine[o]) for o in full], [texts_packed(mine[o]) for o in full], none, none, none, none)
             for codes, sizes in zip(chunk.codes, chunk.sizes):
@@ -305,7 +339,6 @@ def _before(path: str):
     @tidied
     def run(batches):
         m = model(path)
-        known, answer = np.zeros(0, np.int64), np.zeros(0, bool)
         for b in batches:
             lists = b.column(1)
             edges = lists.flatten().to_numpy()
@@ -321,19 +354,9 @@ def _before(path: str):
             count = hi - lo
             edge = np.repeat(np.arange(len(place)), count)
             before = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[edge]
-            pair = ids[before] << 32 | ids[edge]
-            values, which = np.unique(pair, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
-            fit = np.zeros(len(values), bool)
-            old = known[at] == values if len(known) else fit.copy()
-            fit[old] = answer[at[old]] if len(known) else False
-            fit[~old] = m.neighbours(values[~old] >> 32, values[~old] & 0xFFFFFFFF)
-            if len(known) < 2_000_000:
-                known, answer = np.concatenate([known, values[~old]]), np.concatenate([answer, fit[~old]])
-                by = np.argsort(known, kind="stable")
-                known, answer = known[by], answer[by]
+            fit = m.known_neighbours(ids[before] << 32 | ids[edge])
             bits = np.zeros(len(place), np.int64)
-            np.add.at(bits, edge, fit[which].astype(np.int64) << number[before])
+            np.add.at(bits, edge, fit.astype(np.int64) << number[before])
             columns = [pa.array(c) for c in (s.astype(np.int32), s << 32 | number << 24 | ids, bits)]
             steps = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, n]).astype(np.int32)), pa.StructArray.from_arrays(columns, ["s", "edge", "before"]))
             yield pa.RecordBatch.from_arrays([b.column(0), steps], names=["key", "steps"])
@@ -363,7 +386,11 @@ def lattice(parts: DataFrame, path: str) -> DataFrame:
     size = F.length("part")
     one = parts.where(size == 1).join(table.select(F.col("piece").alias("part"), "id"), "part", "left").select("key", "part", "id")
     starts = parts.where((size > 1) & (size <= LONG)).select("key", "part", F.explode(F.sequence(F.lit(1), size)).alias("s"))
-    spans = starts.select("key", "part", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), size - F.col("s") + 1))).alias("n"))
+    # Substrings of one and two characters, and of the lengths that a piece with the same first three characters has.
+    heads = F.broadcast(spark.createDataFrame(sorted(m.heads().items()), "head string, lengths array<int>"))
+    headed = starts.withColumn("head", F.substring("part", F.col("s"), F.lit(3))).join(heads, "head", "left")
+    lengths = F.concat(F.array(F.lit(1), F.lit(2)), F.coalesce("lengths", F.array().cast("array<int>")))
+    spans = headed.select("key", "part", "s", F.explode(lengths).alias("n")).where(F.col("s") + F.col("n") <= size + 1)
     found = spans.select("key", "s", "n", F.substring("part", F.col("s"), F.col("n")).alias("piece")).join(table, "piece")
     start = (F.col("s") - 1).cast("long")
     edge = F.shiftleft(start + F.col("n"), 36).bitwiseOR(F.shiftleft(start, 24)).bitwiseOR(F.col("id").cast("long"))
@@ -397,13 +424,16 @@ def _answers(messages: pa.Table, ids: pa.Table) -> pa.Table:
 
 
 def _assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    sizes, ids = [], []
-    for _, n, data in sorted(zip(answers.column("owner").to_pylist(), answers.column("count").to_pylist(), answers.column("ids").to_pylist())):
+    none = np.zeros(0, "<u4")
+    sizes, ids, owner, place = [none], [none], [none], [none]
+    for o, n, data in zip(*(answers.column(c).to_pylist() for c in ("owner", "count", "ids"))):
         x = np.frombuffer(unpacked(data), "<u4")
         sizes.append(x[:n])
         ids.append(x[n:])
-    size = np.concatenate([*sizes, np.zeros(0, "<u4")]).astype(np.int64)
-    flat, first, out = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32), np.cumsum(size) - size, []
+        owner.append(np.full(n, o))
+        place.append(np.arange(n))
+    size, order = np.concatenate(sizes).astype(np.int64), numbering(np.concatenate(owner), np.concatenate(place))
+    flat, first, size, out = np.concatenate(ids).astype(np.int32), (np.cumsum(size) - size)[order], size[order], []
     for codes, counts in zip(docs.column("codes").to_pylist(), docs.column("sizes").to_pylist()):
         c, counts = unplaned(codes), np.array(counts, np.int64)
         n = size[c]
