@@ -30,7 +30,7 @@ from tidemark.llm.hashing import LONG as LONG_WORD, Sums
 
 SPACE = "▁"
 #: A chunk ends with the run of documents that brings it to so many distinct parts or characters; texts are taken in runs of so many bytes.
-CHUNK_PARTS, CHUNK_CHARACTERS, TOGETHER = 400_000, 12_000_000, 2 << 20
+CHUNK_PARTS, CHUNK_CHARACTERS, TOGETHER = 400_000, 12_000_000, 1 << 19
 #: Parts that an owner has, about; a part of more characters than LONG has too many edges for a row and is folded by the same recurrence in its task.
 OWNED, LONG = 100_000, 2_000
 #: Ids that are Python numbers at a time when texts are made of them.
