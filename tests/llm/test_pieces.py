@@ -1,4 +1,6 @@
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,10 @@ def test_encode_and_decode(spark, corpus, empty_df):
     back = {r.doc_id: r.text for r in P.decode(encoded).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in rows)
     assert P.encode(empty_df).count() == 0
+    digests = P.encode(df, then=(P._digest(PATH), P.DIGEST)).collect()
+    summed = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    hashed = lambda t: hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest()
+    assert sorted(map(tuple, digests)) == sorted((i, len(e), summed(e), hashed(t)) for i, t in rows for e in [sp.encode(t or "")])
 
 
 def test_ids_in_bounded_runs(monkeypatch):

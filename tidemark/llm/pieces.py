@@ -445,9 +445,15 @@ def _assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"doc_id": flatten("doc_ids"), "row": flatten("rows"), "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
 
 
-def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
+ENCODED = "doc_id long, row long, ids array<int>"
+
+
+def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, then=None) -> DataFrame:
     """One row per input row: doc_id, row, ids, those that the model's own library gives.
 
+    ``then``: a function over the Arrow tables of these rows and its result's schema, for what is wanted of the ids alone;
+    it runs where they are put together, so that they go to no other process.
+
     Null counts as empty: no ids. Whole texts of any length are encoded; characters without a piece become their
     bytes. Null ids are kept; repeated rows get equal ids; an empty table gives an empty result; columns other than the two named are not read.
     """
@@ -462,7 +468,8 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
     owned = ids.select(F.shiftright("key", 32).cast("int").alias("owner"), "key", "ids")
     answers = messages.groupBy("owner").cogroup(owned.groupBy("owner")).applyInArrow(_answers, "owner int, chunk long, count int, ids binary")
     coded = cut.where("owner IS NULL").select("chunk", "doc_ids", "rows", "sizes", "codes")
-    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble, "doc_id long, row long, ids array<int>")
+    finish, schema = then or (lambda table: table, ENCODED)
+    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda docs, answers: finish(_assemble(docs, answers)), schema)
 
 
 def id_runs(column: pa.Array):
@@ -500,21 +507,26 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+DIGEST = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string"
+
+
 def _digest(path: str):
-    @tidied
-    def run(batches):
+    def run(encoded: pa.Table) -> pa.Table:
         m = model(path)
         back = {i: bytes([b]) for b, i in m.bytes.items()}
         table = [back.get(i) or p.replace(SPACE, " ").encode() for i, p in enumerate(m.pieces)]
-        for b in batches:
-            for at, to, ids in id_runs(b.column(2)):
-                hashes = [hashlib.sha256(b"".join(map(table.__getitem__, x.tolist()))[1:]).hexdigest() for x in ids]
-                columns = [pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(hashes, pa.string())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *columns], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
+        sizes, sums, hashes = [], [], []
+        for column in encoded.column("ids").chunks:
+            for *_, ids in id_runs(column):
+                sizes += map(len, ids)
+                sums += [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+                hashes += [hashlib.sha256(b"".join(map(table.__getitem__, x.tolist()))[1:]).hexdigest() for x in ids]
+        columns = [encoded.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(hashes, pa.string())]
+        return pa.table(columns, names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
 
     return run
 
 
 def op7_pieces(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_sha256 (of the text that the ids give back)."""
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet")).mapInArrow(_digest(model_path()), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), then=(_digest(model_path()), DIGEST))
