@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidemark.functions import stats as S
 from tidemark.operators import backtest as B, leadlag as G, models as M, pairs as K
@@ -146,6 +146,18 @@ def test_synthetic(spark):
     assert K.engle_granger(d["y"].to_numpy(), d["x"].to_numpy())[1] < 0.01
 
 
+def test_walk_is_many_tasks(spark):
+    """One series goes through all partitions of the range, without a shuffle, and its sums are those of one window."""
+    n = 30_000
+    walk = synthetic.normal_walk(spark, n, 2, seed=3)
+    steps = spark.range(2 * n).select((F.col("id") / n).cast("long").alias("series"), (F.col("id") % n).alias("t"), F.randn(3).alias("e"))
+    want = steps.select("series", "t", F.sum("e").over(Window.partitionBy("series").orderBy("t")).alias("y"))
+    assert walk.rdd.getNumPartitions() == spark.range(n).rdd.getNumPartitions() > 1
+    assert "Exchange" not in walk._jdf.queryExecution().executedPlan().toString()
+    assert walk.join(want, ["series", "t"]).where(F.abs(F.col("x") - F.col("y")) < 1e-9).count() == 2 * n
+    assert synthetic.normal_walk(spark, 0, 2).count() == 0
+
+
 def test_phase_timer(spark, tmp_path):
     t = PhaseTimer()
     with t.phase("a", "m"):

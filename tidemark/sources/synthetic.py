@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark.functions.scan import PART, Fold, scan
+
+
+class Walk(Fold):
+    """Running sums of a column, added up step by step."""
+
+    def __init__(self, c: str):
+        self.c = c
+
+    def summarise(self, summary, rows, part):
+        return self.carry(summary, np.cumsum(rows.column(self.c).to_numpy())[-1])
+
+    def carry(self, state, summary):
+        return float((state or 0.0) + summary)
+
+    def apply(self, state, rows, part):
+        steps = rows.column(self.c).to_numpy().copy()
+        steps[0] += state or 0.0
+        at = np.cumsum(steps)
+        return [pa.array(at)], float(at[-1])
+
 
 def normal_walk(spark: SparkSession, n: int, series: int = 1, seed: int = 0, drift: float = 0.0) -> DataFrame:
-    """series, t, x: running sums of normal steps."""
-    d = spark.range(n * series).select((F.col("id") / n).cast("long").alias("series"), (F.col("id") % n).alias("t"), (F.randn(seed) + drift).alias("e"))
-    return d.select("series", "t", F.sum("e").over(Window.partitionBy("series").orderBy("t")).alias("x"))
+    """series, t, x: running sums of normal steps. The range's partitions are in order as they are made, so a long series
+    is many tasks, and none sorts or holds its rows."""
+    d = spark.range(n * series).select((F.col("id") / n).cast("long").alias("series"), (F.col("id") % n).alias("t"), (F.randn(seed) + drift).alias("e"), F.spark_partition_id().alias(PART))
+    return scan(d, ["series"], Walk("e"), "x double", ["series", "t"])
 
 
 def square_wave(spark: SparkSession, n: int, period: int, height: float = 1.0) -> DataFrame:
