@@ -68,6 +68,16 @@ def test_ratio_strategy_by_hand(spark):
         assert abs(got[long] - money) < 1e-6, long
 
 
+def test_windows_of_one_pair_are_many_tasks(spark, monkeypatch):
+    """Their number follows the bars of all windows, not the few pairs or the bytes before these bars are made."""
+    d = spark.range(100).selectExpr("'p' AS pair", "CAST(id AS int) AS ts", "20 + sin(id) AS x", "10 + cos(id * id) AS y")
+    want = sorted(map(tuple, K.ratio_strategy(d, 4, list(range(2, 42))).collect()))
+    monkeypatch.setattr(K, "GRID_ROWS", 500)
+    got = K.ratio_strategy(d, 4, list(range(2, 42)))
+    assert sorted(map(tuple, got.collect())) == want and any(m for *_, m in want)
+    assert "REPARTITION_BY_NUM" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(pair" in plan and ", 9), REPARTITION_BY_NUM" in plan
+
+
 def test_window_ranks_and_spread_ranks(spark):
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 6, 90).astype(float), rng.standard_normal(90)

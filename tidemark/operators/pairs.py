@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import windows as W
-from tidemark.functions.scan import numbered
+from tidemark.functions.scan import checkpoint_folder, numbered
 
 # MacKinnon (2010) response surfaces of critical values for tests with a constant, at 1, 5 and 10 %,
 # as b0 + b1/T + b2/T^2 + b3/T^3, for one and for two variables.
@@ -355,6 +355,10 @@ def day_rollup(trades: DataFrame, pairs: int) -> DataFrame:
     return trades.groupBy("ts").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"), F.sum("profit").alias("profit"), (F.sum("ret") / pairs).alias("ret"), F.sum("open").alias("open"), F.sum("margin").alias("margin"), F.flatten(F.collect_list("days_open")).alias("days_open"))
 
 
+#: Bars of all long windows that one task sorts, about: 450 MB. The bars of one pair and window stay together.
+GRID_ROWS = 1 << 18
+
+
 def ratio_strategy(pairs: DataFrame, short: int, windows: list[int]) -> DataFrame:
     """(pair, long, money) of df(pair, ts, x, y) for each long window.
 
@@ -368,6 +372,8 @@ def ratio_strategy(pairs: DataFrame, short: int, windows: list[int]) -> DataFram
     d = d.withColumn("c", F.col("ratio") - F.avg("ratio").over(Window.partitionBy("pair")))
     d = d.withColumn("s1", F.sum("c").over(W.running(bar))).withColumn("s2", F.sum(F.col("c") * F.col("c")).over(W.running(bar)))
     d = d.withColumn("near", W.rolling_mean("c", bar, max(short, 1), max(short, 1)))
+    checkpoint_folder(pairs.sparkSession)
+    d = d.checkpoint()
     grid = d.withColumn("long", F.explode(F.array(*[F.lit(int(k)) for k in windows])))
     wide = grid.where((F.col("long") >= 2) & (F.col("n") >= F.col("long")) & F.lit(short > 0))
     past = d.select("pair", F.col("n").alias("m"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
@@ -379,6 +385,7 @@ def ratio_strategy(pairs: DataFrame, short: int, windows: list[int]) -> DataFram
     sale = F.coalesce(F.abs("z") < 0.75, F.lit(False))
     earlier = Window.partitionBy("pair", "long").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     z = z.select("pair", "long", "ts", "x", "y", "ratio", side.alias("side"), sale.alias("sale"))
+    z = z.repartition(d.count() * len(windows) // GRID_ROWS + 1, "pair", "long")  # else all windows of a pair are sorted in its task
     z = z.withColumn("block", F.coalesce(F.sum(F.col("sale").cast("int")).over(earlier), F.lit(0)))
     price = lambda c: F.max(F.when(F.col("sale"), F.col(c)))
     sold = z.groupBy("pair", "long", "block").agg((F.sum("side") * price("x") - F.sum(F.col("side") * F.col("ratio")) * price("y")).alias("money"))
