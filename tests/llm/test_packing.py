@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -104,3 +105,22 @@ def test_pack(corpus_df, corpus, empty_df):
             at += n
         assert at <= 1024
     assert len(got) >= len(corpus) and P.pack(empty_df).count() == 0
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """Each row of the result of a Python step that only counts is the size of a batch; the session keeps its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pylist([{"doc_id": 0, "row": 0, "piece": 0, "start": 0, "length": b.num_rows, "ids_crc32": 0, "task": 0, "rank": 0}], P.ARROW_PIECES)
+
+        return run
+
+    monkeypatch.setattr(P, "_pieces", sizes)
+    monkeypatch.setattr(P, "TEXTS", 7)
+    docs = spark.createDataFrame([(i, "a") for i in range(100)], "doc_id long, text string").coalesce(1)
+    got = [r.length for r in P.pack(docs).collect()]
+    assert max(got) == 7 and sum(got) == 100 and spark.conf.get(key) == before

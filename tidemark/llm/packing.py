@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import Stage, keyed, tidied, utf8_groups
+from tidemark.llm.common import Stage, batches_of, keyed, tidied, utf8_groups
 from tidemark.llm.hashing import BYTE, Sums
 
 CAPACITY, END = 1024, 2
@@ -37,6 +37,8 @@ CAPACITY, END = 1024, 2
 ROUNDS, EACH, NEAR, STEP, ETA, POWER = 300, 128, 0.01, 0.34, 0.3, 1.05
 #: Documents are encoded together up to so many bytes; parts are remembered up to so many.
 TOGETHER, _CACHE = 1 << 20, 400_000
+#: Whole texts that go to Python at a time.
+TEXTS = 1_000
 _MARKS = string.punctuation
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, task long, rank long"
@@ -357,7 +359,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
         path, ranks = tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")
     stage = Stage(docs.sparkSession, "pack")
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = stage.table(source.mapInArrow(_pieces(path, ranks, capacity, together), PIECES), "pieces")
+    with batches_of(docs.sparkSession, TEXTS):
+        pieces = stage.table(source.mapInArrow(_pieces(path, ranks, capacity, together), PIECES), "pieces")
     counts = stage.table(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
     rows, _ = plan(histogram, capacity)
