@@ -55,3 +55,17 @@ def test_ids_in_bounded_runs(monkeypatch):
     got = list(P.id_runs(pa.array([[0], *rows], pa.list_(pa.int32())).slice(1)))
     assert [x if x is None else x.tolist() for *_, run in got for x in run] == rows
     assert [(a, b) for a, b, _ in got] == [(0, 4), (4, 5), (5, 7)]
+
+
+def test_tasks_follow_the_parts(spark, monkeypatch):
+    """Not their bytes, of which they have few; and nothing that is over stays in the shared folder."""
+    monkeypatch.setattr(P, "TASK_PARTS", 2)
+    rows = [(i, f"word{i} other{7 * i}") for i in range(100)]
+    tasks, dropped, lattice, drop = [], [], P.lattice, P.Stage.drop
+    monkeypatch.setattr(P, "lattice", lambda parts, path: tasks.append((parts.count(), parts.rdd.getNumPartitions())) or lattice(parts, path))
+    monkeypatch.setattr(P.Stage, "drop", lambda self, *tables: dropped.extend(t._tidemark_path.rpartition("_")[2] for t in tables) or drop(self, *tables))
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    got = P.encode(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.ids) for r in got.collect()) == [(i, sp.encode(t)) for i, t in rows]
+    (n, number), = tasks
+    assert number == n // 2 + 1 > 4 and dropped == ["parts", "ids"]

@@ -33,6 +33,8 @@ SPACE = "▁"
 CHUNK_PARTS, CHUNK_CHARACTERS, TOGETHER = 400_000, 12_000_000, 1 << 19
 #: Parts that an owner has, about; a part of more characters than LONG has too many edges for a row and is folded by the same recurrence in its task.
 OWNED, LONG = 100_000, 2_000
+#: Parts that one task's lattice has, about.
+TASK_PARTS = 50_000
 #: Ids that are Python numbers at a time when texts are made of them.
 MOST_IDS = 1 << 18
 #: Answers about two neighbours that a worker keeps, as a power of two: 19 MB.
@@ -463,10 +465,14 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
     owners = 16 << (docs.select(doc_id).count() // OWNED).bit_length()
     cut = stage.table(source.mapInArrow(_cut(path, owners), CUT), "cut")
     messages = cut.where("owner IS NOT NULL").select("owner", "chunk", "count", "parts")
-    parts = messages.groupBy("owner").applyInArrow(_distinct, "key long, part string").repartition("key")
-    ids = stage.table(lattice(stage.table(parts, "parts").repartition("key"), path), "ids")
+    parts = stage.table(messages.groupBy("owner").applyInArrow(_distinct, "key long, part string"), "parts")
+    # A part is few bytes and many edges: the number of tasks follows the parts, so that no task's edges have to be spilled.
+    ids = stage.table(lattice(parts.repartition(parts.count() // TASK_PARTS + 1, "key"), path), "ids")
+    stage.drop(parts)
     owned = ids.select(F.shiftright("key", 32).cast("int").alias("owner"), "key", "ids")
     answers = messages.groupBy("owner").cogroup(owned.groupBy("owner")).applyInArrow(_answers, "owner int, chunk long, count int, ids binary")
+    answers = stage.table(answers, "answers")  # what was shuffled for them goes before the documents are
+    stage.drop(ids)
     coded = cut.where("owner IS NULL").select("chunk", "doc_ids", "rows", "sizes", "codes")
     finish, schema = then or (lambda table: table, ENCODED)
     return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda docs, answers: finish(_assemble(docs, answers)), schema)
