@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import stages as C
 from tests.llm.conftest import prose
@@ -79,3 +80,27 @@ def test_long_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(r.doc_id for r in C.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect())
     assert got == sorted(brute(rows)) == [0, 1, 2, 3, 5]
+
+
+def test_blocks_of_the_fingerprint(spark, tmp_path, monkeypatch):
+    """Fingerprints that differ in fewer bits than there are blocks meet, and near copies are found by their blocks alone."""
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, (500, 2), dtype=np.uint64)
+    for k in range(N.BLOCKS):
+        flipped = prints.copy()
+        for x in flipped:
+            for bit in rng.choice(128, k, replace=False):
+                x[bit // 64] ^= np.uint64(1 << int(bit) % 64)
+        assert (N.blocks(prints) == N.blocks(flipped)).any(axis=1).all()
+    assert len(np.unique(N.blocks(prints[:100]))) == 100 * N.BLOCKS
+    rng = random.Random(11)
+    bases = [prose(rng, 2000) for _ in range(30)]
+    rows = list(enumerate([*bases, *(edited(rng, b, 1) for b in bases)]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = N.prefix
+    monkeypatch.setattr(N, "prefix", lambda shingles, frequent: own(shingles, frequent)[:0])
+    tokens = N._tokens(spark.sparkContext.broadcast(b""))
+    batches = list(tokens(spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("text", "doc_id").toArrow().to_batches()))
+    table = pa.Table.from_batches(batches).sort_by("token")
+    pairs = {(min(u, v), max(u, v)) for b in N._links(iter(table.to_batches())) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert pairs == {(i, i + 30) for i in range(30)}

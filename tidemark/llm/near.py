@@ -1,12 +1,13 @@
-"""Near duplicates by five-word shingles and a Jaccard similarity of 0.8 or more, verified on the sets.
-
-A fingerprint of 64 bits wide enough for such pairs (ten bits differ on average) has no blocks that are both equal
-and rare, so pairs are found by an exact prefix filter instead: of sets that reach the similarity, each has at least
-four fifths of its shingles in common with the other, so they share one among the first fifth, and one more, of
-each in any common order. The order is by hash, with shingles that are frequent in a sample last, which keeps buckets small;
-the sample changes the cost, not the result. In a bucket, sizes and SimHash fingerprints of 128 bits are compared
-(a pair at 0.8 differs in 19 bits, and in more than MOST_BITS once in 10**6; unlike sets differ in 64), and what is
-close is linked. Components of these candidates are gathered and their shingle sets compared.
+"""Near duplicates by SimHash fingerprints of five-word shingles, verified on the sets: a Jaccard similarity of 0.8 or more.
+
+A fingerprint has 128 bits in BLOCKS blocks. Documents meet in equal blocks, which two fingerprints that differ in fewer
+bits than there are blocks cannot all lack; what is close in size and Hamming distance is linked. A pair at 0.8 differs
+in 19 bits, though, and blocks that miss none of those would be about 185 a document. Such pairs are completed by an exact
+prefix filter: of sets that reach the similarity, each has at least four fifths of its shingles in common with the
+other, so they share one among the first fifth, and one more, of each in any common order. The order is by hash, with
+shingles that are frequent in a sample last, which keeps buckets small; the sample changes the cost, not the result.
+Buckets of both kinds are checked alike (a pair at 0.8 differs in more than MOST_BITS bits once in 10**6; unlike sets
+differ in 64). Components of these candidates are gathered and their shingle sets compared.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SHINGLE = 5
 SHARE, OF = 4, 5
 #: Differing bits of 128 up to which sets are compared; sets of fewer than SMALL shingles are compared anyway.
 MOST_BITS, SMALL = 40, 20
+#: Blocks of a fingerprint, of 21 or 22 bits.
+BLOCKS = 6
 #: Shingles in at least OFTEN of about SAMPLE documents are frequent; at most MOST_FREQUENT are kept.
 SAMPLE, OFTEN, MOST_FREQUENT = 10_000, 3, 1 << 20
 TOGETHER = 1 << 20
@@ -31,6 +34,10 @@ TOGETHER = 1 << 20
 _WORD = np.random.default_rng(55).integers(1 << 62, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _EMPTY = np.zeros(0, np.uint64)
+_EDGES = [128 * i // BLOCKS for i in range(BLOCKS + 1)]
+#: The bits of each block, in both words of a fingerprint, and what tells the blocks apart.
+_BLOCK = np.array([[((1 << j) - (1 << i)) >> 64 * k & (1 << 64) - 1 for k in range(2)] for i, j in zip(_EDGES, _EDGES[1:])], np.uint64)
+_SALT = mix64(np.arange(1, BLOCKS + 1, dtype=np.uint64))
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -67,6 +74,12 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def blocks(prints: np.ndarray) -> np.ndarray:
+    """A token for each block of fingerprints (sets, 2); equal blocks have equal ones."""
+    own = prints[:, None, :] & _BLOCK
+    return mix64(mix64(own[..., 0] + _SALT) + own[..., 1])
+
+
 def prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The shingles of which two similar sets share one; frequent is sorted."""
     n = len(shingles)
@@ -93,7 +106,9 @@ def frequent_shingles(docs: DataFrame, text: str) -> bytes:
     return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toArrow().column("h").to_numpy().view(np.uint64)).tobytes()
 
 
-def _prefixes(frequent):
+def _tokens(frequent):
+    """(token, row, n, a, b): where documents meet, in blocks of the fingerprint and in shingles of the prefix."""
+
     @tidied
     def run(batches):
         often = np.frombuffer(frequent.value, np.uint64)
@@ -101,8 +116,9 @@ def _prefixes(frequent):
             rows = b.column(1).to_numpy()
             for i, j, texts in utf8_groups(b.column(0), TOGETHER):
                 sets = shingle_sets(texts)
-                tokens = [prefix(s, often) for s in sets]
-                k, prints = np.array([len(t) for t in tokens]), np.stack([fingerprint(s) for s in sets]).view(np.int64)
+                prints = np.stack([fingerprint(s) for s in sets])
+                tokens = [np.concatenate([own, prefix(s, often)]) for s, own in zip(sets, blocks(prints))]
+                k, prints = np.array([len(t) for t in tokens]), prints.view(np.int64)
                 columns = np.concatenate(tokens).view(np.int64), np.repeat(rows[i:j], k), np.repeat(np.array([len(s) for s in sets]), k), np.repeat(prints[:, 0], k), np.repeat(prints[:, 1], k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "row", "n", "a", "b"])
 
@@ -222,7 +238,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sca
     stage = Stage(spark, "near")
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text))
     source = numbered(docs, stage, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), scan=scan)
-    buckets = source.select("text", "row").mapInArrow(_prefixes(frequent), "token long, row long, n long, a long, b long")
+    buckets = source.select("text", "row").mapInArrow(_tokens(frequent), "token long, row long, n long, a long, b long")
     links = stage.table(buckets.repartition("token").sortWithinPartitions("token").mapInArrow(_links, "u long, v long").distinct(), "links")
     roots = stage.table(components(links, stage), "roots")
     candidates = source.join(roots.withColumnRenamed("node", "row"), "row").select("root", "row", "doc_id", "text")
