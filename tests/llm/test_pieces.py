@@ -69,3 +69,20 @@ def test_tasks_follow_the_parts(spark, monkeypatch):
     assert sorted((r.doc_id, r.ids) for r in got.collect()) == [(i, sp.encode(t)) for i, t in rows]
     (n, number), = tasks
     assert number == n // 2 + 1 > 4 and dropped == ["parts", "ids"]
+
+
+def test_digests_slice_by_slice(spark, monkeypatch):
+    """One slice of the documents is shuffled at a time and goes before the next; the messages go before all of them."""
+    monkeypatch.setattr(P, "CHUNK_PARTS", 8)
+    monkeypatch.setattr(P, "TOGETHER", 64)
+    monkeypatch.setattr(P, "SLICES", 3)
+    gone, drop_part = [], P.Stage.drop_part
+    monkeypatch.setattr(P.Stage, "drop_part", lambda self, t, by, k: gone.append((t._tidemark_path.rpartition("_")[2], k)) or drop_part(self, t, by, k))
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rows = [(i % 90 or None, f"word{i} other{7 * i} " * 3 if i % 11 else None) for i in range(120)]
+    schema = "doc_id long, n long"
+    count = lambda t: pa.table({"doc_id": t.column("doc_id"), "n": pa.array([len(x) for x in t.column("ids").to_pylist()], pa.int64())})
+    got = P.encode(spark.createDataFrame(rows, "doc_id long, text string"), then=(count, schema)).collect()
+    key = lambda r: (r[0] or -1, r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(((i, len(sp.encode(t or ""))) for i, t in rows), key=key)
+    assert gone == [("cut", P.MESSAGES), *((t, k) for k in range(3) for t in ("cut", "answers"))]

@@ -12,6 +12,8 @@ can end there after what ends at its start; scores decide only whether two piece
    part's edges stay in its partition; each edge is told which of the pieces that end where it begins may stand before
    it. Spark's aggregate folds the edges in order, and a second one walks back.
 3. Owners answer each message with the ids of its parts, in their order; chunk by chunk the documents meet the answers.
+   Where digests are wanted, one slice of the chunks after the other is shuffled, and each goes when it is over: the
+   documents never lie in their table and, whole, in a shuffle too.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ CHUNK_PARTS, CHUNK_CHARACTERS, TOGETHER = 400_000, 12_000_000, 1 << 19
 OWNED, LONG = 100_000, 2_000
 #: Parts that one task's lattice has, about.
 TASK_PARTS = 50_000
+#: Slices of the chunks that meet their answers one after the other.
+SLICES = 4
 #: Ids that are Python numbers at a time when texts are made of them.
 MOST_IDS = 1 << 18
 #: Answers about two neighbours that a worker keeps, as a power of two: 19 MB.
@@ -285,6 +290,8 @@ def texts_unpacked(data: bytes) -> list[str]:
     return [data[i:j].decode() for i, j in zip(ends, ends[1:])]
 
 
+#: The slice of the messages.
+MESSAGES = -1
 CUT = "owner int, chunk long, count int, parts binary, doc_ids array<long>, rows array<long>, sizes array<int>, codes binary"
 CUT_SCHEMA = pa.schema(
     [("owner", pa.int32()), ("chunk", pa.int64()), ("count", pa.int32()), ("parts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())),
@@ -454,7 +461,8 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
     """One row per input row: doc_id, row, ids, those that the model's own library gives.
 
     ``then``: a function over the Arrow tables of these rows and its result's schema, for what is wanted of the ids alone;
-    it runs where they are put together, so that they go to no other process.
+    it runs where they are put together, so that they go to no other process. Its rows, which should be small beside the
+    ids, are written before the result is returned.
 
     Null counts as empty: no ids. Whole texts of any length are encoded; characters without a piece become their
     bytes. Null ids are kept; repeated rows get equal ids; an empty table gives an empty result; columns other than the two named are not read.
@@ -463,19 +471,34 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
     stage = Stage(docs.sparkSession, "pieces")
     source = keyed(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     owners = 16 << (docs.select(doc_id).count() // OWNED).bit_length()
-    cut = stage.table(source.mapInArrow(_cut(path, owners), CUT), "cut")
-    messages = cut.where("owner IS NOT NULL").select("owner", "chunk", "count", "parts")
+    sliced = F.pmod(F.col("chunk"), F.lit(SLICES)).cast("int")
+    cut = source.mapInArrow(_cut(path, owners), CUT).withColumn("slice", F.when(F.col("owner").isNull(), sliced).otherwise(MESSAGES))
+    cut = stage.table(cut, "cut", "slice")
+    messages = cut.where(F.col("slice") == MESSAGES).select("owner", "chunk", "count", "parts")
     parts = stage.table(messages.groupBy("owner").applyInArrow(_distinct, "key long, part string"), "parts")
     # A part is few bytes and many edges: the number of tasks follows the parts, so that no task's edges have to be spilled.
     ids = stage.table(lattice(parts.repartition(parts.count() // TASK_PARTS + 1, "key"), path), "ids")
     stage.drop(parts)
     owned = ids.select(F.shiftright("key", 32).cast("int").alias("owner"), "key", "ids")
     answers = messages.groupBy("owner").cogroup(owned.groupBy("owner")).applyInArrow(_answers, "owner int, chunk long, count int, ids binary")
-    answers = stage.table(answers, "answers")  # what was shuffled for them goes before the documents are
+    answers = stage.table(answers.withColumn("slice", sliced), "answers", "slice")  # what was shuffled for them goes before the documents are
     stage.drop(ids)
-    coded = cut.where("owner IS NULL").select("chunk", "doc_ids", "rows", "sizes", "codes")
+    stage.drop_part(cut, "slice", MESSAGES)
     finish, schema = then or (lambda table: table, ENCODED)
-    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda docs, answers: finish(_assemble(docs, answers)), schema)
+
+    def met(chosen) -> DataFrame:
+        coded = cut.where(chosen).select("chunk", "doc_ids", "rows", "sizes", "codes")
+        mine = answers.where(chosen).select("owner", "chunk", "count", "ids")
+        return coded.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(lambda docs, answers: finish(_assemble(docs, answers)), schema)
+
+    if then is None:
+        return met(F.col("slice") != MESSAGES)
+    done = []
+    for k in range(SLICES):
+        done.append(stage.table(met(F.col("slice") == k), "done"))
+        for t in (cut, answers):
+            stage.drop_part(t, "slice", k)
+    return reduce(DataFrame.unionByName, done)
 
 
 def id_runs(column: pa.Array):
