@@ -83,3 +83,19 @@ def test_rare_language_is_learned(spark):
     rows += [(7000 + i, spoken(rng, rare), None) for i in range(20)]
     got = {r.doc_id: r.lang_pred for r in L.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert sum(got[7000 + i] == "zz" for i in range(20)) >= 18 and sum(got[i] == "aa" for i in range(6000)) > 5950
+
+
+def test_scorer_takes_no_tanh(monkeypatch):
+    """It costs twice as much as exp; gates that are all but open or shut, whose exp is infinite, give the forward pass's sums."""
+    net = L.BiGRU(4, seed=8)
+    for k in ("Wf", "Wb", "bf", "bb"):
+        net.p[k] *= 200
+    net.p["E"][97] *= 40
+    text = bytes(np.random.default_rng(2).integers(97, 101, 500).tolist())
+    windows = np.stack([np.frombuffer((b" " * L.CONTEXT + text + b" " * 200)[s : s + L.STRIDE + 2 * L.CONTEXT], np.uint8) for s in range(0, len(text), L.STRIDE)], axis=1)
+    with np.errstate(over="ignore"):
+        y = net.forward(windows, np.ones(windows.shape, np.float32))[0][L.CONTEXT : L.CONTEXT + L.STRIDE]
+    want = y.transpose(1, 0, 2).reshape(-1, 4)[: len(text)].sum(axis=0)
+    monkeypatch.setattr(np, "tanh", None)
+    got = L.Reader(net).totals([text])[0]
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-4)

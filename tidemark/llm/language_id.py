@@ -102,42 +102,47 @@ class BiGRU:
         np.add.at(grad["E"], codes.ravel(), dx.reshape(-1, dx.shape[2]))
         return loss, grad
 
-
     def tables(self) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
-        """For each direction and part (two gates, candidate) what a byte and what a state brings in; gates at half, for tanh."""
+        """For each direction and part (two gates, candidate) what a byte and what a state brings into exp: the negative, of the candidate twice."""
         out = {}
         for d in "fb":
             x, u, h = self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"], self.p[f"U{d}"], self.h
-            out[d] = [(np.ascontiguousarray(x[:, i * h : (i + 1) * h] * f), np.ascontiguousarray(u[:, i * h : (i + 1) * h] * f)) for i, f in enumerate(np.float32([0.5, 0.5, 1]))]
+            out[d] = [(np.ascontiguousarray(x[:, i * h : (i + 1) * h] * f), np.ascontiguousarray(u[:, i * h : (i + 1) * h] * f)) for i, f in enumerate(np.float32([-1, -1, -2]))]
         return out
 
     def pooled(self, codes: np.ndarray, tables) -> np.ndarray:
         """Log-probabilities (k, STRIDE, n) of the middle positions of windows, codes (CONTEXT + STRIDE + CONTEXT, n).
 
-        As forward, without a mask, and without the steps after the last middle position of either direction.
+        As forward, without a mask, and without the steps after the last middle position of either direction. Gates and
+        the candidate are quotients by 1 + exp, which costs half of tanh; an infinite one makes the quotient 0, as it should be.
         """
-        h, n = self.h, codes.shape[1]
-        y = np.repeat(self.p["c"][:, None], STRIDE * n, axis=1).reshape(-1, STRIDE, n)
-        for d, order, v in (("f", range(CONTEXT + STRIDE), self.p["V"][:h]), ("b", range(len(codes) - 1, CONTEXT - 1, -1), self.p["V"][h:])):
+        h, n, k = self.h, codes.shape[1], len(self.p["c"])
+        y, codes = np.empty((STRIDE, n, k), np.float32), codes.astype(np.intp)
+        y[:] = self.p["c"]
+        z, r, c, x, v = (np.empty((n, m), np.float32) for m in (h, h, h, h, k))
+        take = lambda table, t: np.take(table, codes[t], axis=0, out=x, mode="clip")
+        for d, order, weights in (("f", range(CONTEXT + STRIDE), self.p["V"][:h]), ("b", range(len(codes) - 1, CONTEXT - 1, -1), self.p["V"][h:])):
             s, ((xz, uz), (xr, ur), (xc, uc)) = np.zeros((n, h), np.float32), tables[d]
+            weights = np.ascontiguousarray(weights)
             for t in order:
-                z, r, c = s @ uz, s @ ur, s @ uc
-                z += xz.take(codes[t], axis=0)
-                r += xr.take(codes[t], axis=0)
-                np.tanh(z, out=z)
-                np.tanh(r, out=r)
-                r += 1
-                c *= r
-                c *= 0.5
-                c += xc.take(codes[t], axis=0)
-                np.tanh(c, out=c)
-                z += 1
-                z *= 0.5
+                for gate, own, u in ((z, xz, uz), (r, xr, ur)):
+                    np.matmul(s, u, out=gate)
+                    gate += take(own, t)
+                    np.exp(gate, out=gate)
+                    gate += 1
+                np.matmul(s, uc, out=c)
+                c /= r
+                c += take(xc, t)
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
                 s -= c
-                s *= z
+                s /= z
                 s += c
                 if CONTEXT <= t < CONTEXT + STRIDE:
-                    y[:, t - CONTEXT] += v.T @ s.T  # small products, for which the library takes one thread and keeps no other one spinning
+                    y[t - CONTEXT] += np.matmul(s, weights, out=v)  # small products, for which the library takes one thread and keeps no other one spinning
+        y = np.ascontiguousarray(np.moveaxis(y, 2, 0))
         y -= y.max(axis=0)
         y -= np.log(np.exp(y).sum(axis=0))
         return y
@@ -188,7 +193,8 @@ class Reader:
         for i in range(0, len(owner), LANES):
             own, at = owner[i : i + LANES], begin[i : i + LANES]
             codes = data[(first[own] + at - CONTEXT)[None, :] + np.arange(STRIDE + 2 * CONTEXT)[:, None]]
-            y = self.net.pooled(codes, self.tables)
+            with np.errstate(over="ignore"):
+                y = self.net.pooled(codes, self.tables)
             y *= np.arange(STRIDE)[:, None] < (size[own] - at)[None, :]
             np.add.at(out, own, y.sum(axis=1).T)
         return out
