@@ -2,8 +2,11 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from hypothesis import given, settings, strategies as st
 
 from tests.llm.conftest import prose
@@ -78,6 +81,28 @@ def test_against_brute_force(spark, corpus, corpus_df, empty_df, monkeypatch):
     assert R.ranked_search(empty_df, frame).count() == 0 == R.ranked_search(df, frame.limit(0)).count()
 
 
+def test_one_shard_at_a_time(spark, corpus_df, monkeypatch):
+    """A task of many shards holds one of them: where they are written, where files are read, and in Python."""
+    monkeypatch.setattr(R, "SHARD", 500)
+    docs, sizes = corpus_df.coalesce(1), []
+    files = list(Path(R.build(docs).table._tidemark_path.removeprefix("file:")).glob("*.parquet"))
+    for f in map(pq.ParquetFile, files):
+        sizes += [f.metadata.row_group(k).num_rows for k in range(f.num_row_groups)]
+    assert len(files) == 1 and len(sizes) > 20 and set(sizes) == {1}
+
+    def sizes_of_batches(column):
+        def run(batches):
+            for k, b in enumerate(batches):
+                yield pa.RecordBatch.from_pydict({n: pa.array([v], pa.int64()) for n, v in zip(column, (0, b.num_rows, k + 1))})
+
+        return run
+
+    monkeypatch.setattr(R, "_frequencies", lambda vocabulary: sizes_of_batches(("term", "df")))
+    monkeypatch.setattr(R, "_searcher", lambda plan, top: sizes_of_batches(("query", "doc_id", "score")))
+    found = R.ranked_search(docs, spark.createDataFrame([(1, "alpha1")], "item_id long, text string")).collect()
+    assert [r.doc_id for r in found] == [1] * R.TOP
+
+
 def test_shards_skip_and_find_all():
     """Shard by shard with one threshold, as in a task: the best of all, and far fewer documents scored than there are."""
     rng = random.Random(3)

@@ -10,7 +10,8 @@ A search goes through the shards of a task one after the other and keeps its ten
 the threshold. A pivot is a document that can reach it: one in a list without which the lists' bounds stay below the
 threshold, and whose own value there, plus the bounds of the other lists' blocks that lie over it, reaches it. Pivots are
 taken in the order of documents, and only blocks over them are opened; blocks over which all bounds are too low are
-skipped. Tasks return ten rows a query at most.
+skipped. Tasks return ten rows a query at most. Shards are written, read and handed to Python one at a time, so that a
+task's memory is that of a shard, however many it has.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import ASCII_LOWER, Stage, batch, tidied, utf8_groups
+from tidemark.llm.common import ASCII_LOWER, Stage, batch, batches_of, tidied, utf8_groups
 
 TOP = 10
 #: Text of a shard in bytes; a longer document is a shard of its own. And its documents at most.
@@ -163,7 +164,7 @@ def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Index:
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = source.select("text").mapInArrow(_counted, "documents long, length long").agg(F.sum("documents"), F.sum("length")).first()
     documents, length = (x or 0 for x in total)
-    table = Stage(docs.sparkSession, "index").table(source.mapInArrow(_indexer(documents, length), INDEX_SQL), "shards")
+    table = Stage(docs.sparkSession, "index").table(source.mapInArrow(_indexer(documents, length), INDEX_SQL), "shards", group=1)
     return Index(table, documents, length)
 
 
@@ -320,7 +321,10 @@ def weight(documents: int, df: int) -> int:
 
 
 def search(index: Index, queries: list[str | None], top: int = TOP) -> DataFrame | None:
-    """(query, doc_id, score): the best documents of each task for each query, which hold the best of all. One pass over the index."""
+    """(query, doc_id, score): the best documents of each task for each query, which hold the best of all. One pass over the index.
+
+    To be called and run within ``batches_of(spark, 1)``, which gives Python one shard at a time.
+    """
     spark = index.table.sparkSession
     terms = [query_terms(q) for q in queries]
     vocabulary = sorted({t for q in terms for t in q})
@@ -359,13 +363,14 @@ def ranked_search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     """
     spark, index, found, stage = docs.sparkSession, build(docs, text, doc_id), None, Stage(docs.sparkSession, "found")
     for block in _in_blocks(items.select(F.col(item).cast("long"), F.col(query))):
-        some = search(index, [q for _, q in block], top)
-        if some is None:
-            continue
-        ranked = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-        best = some.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
         names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(block)], "query long, item_id long")  # at most QUERIES rows
-        part = stage.table(best.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score"), "best")
+        with batches_of(spark, 1):
+            some = search(index, [q for _, q in block], top)
+            if some is None:
+                continue
+            ranked = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+            best = some.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
+            part = stage.table(best.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score"), "best")
         found = part if found is None else found.unionByName(part)
     stage.drop(index.table)
     return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long") if found is None else found
